@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare, table
-from . import bpe, exactdedup, quality, sharding, simhash, tokencount
+from . import bpe, decontam, exactdedup, quality, sharding, simhash, tokencount
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +40,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
     "op6_token_counts": op6_token_counts,
