@@ -41,6 +41,12 @@ def features(texts: list[str | None], cache: HashCache, bits: int = BITS) -> lis
     shift = np.uint64(64 - bits)
     one = (mix(flat) >> shift).astype(np.uint32)
     two = (mix(flat[:-1] * np.uint64(0x9E3779B97F4A7C15) + flat[1:]) >> shift).astype(np.uint32)
+    # words that repeat at once share one bigram, and runs of three and four of them another, whatever the word
+    again = flat[:-1] == flat[1:]
+    two[again] = 1
+    three = np.flatnonzero(again[:-1] & again[1:])
+    two[three] = 2
+    two[three[np.isin(three + 1, three)]] = 3
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         x = np.concatenate([one[a:b], two[a : b - 1]]) if b > a else one[:0]
@@ -49,7 +55,7 @@ def features(texts: list[str | None], cache: HashCache, bits: int = BITS) -> lis
     return out
 
 
-def fit(rows: list[np.ndarray], good: np.ndarray, bits: int = BITS, smooth: float = 1.0, cost: float = 1.0, blend: float = 0.5, epochs: int = 12, seed: int = 1) -> Model:
+def fit(rows: list[np.ndarray], good: np.ndarray, bits: int = BITS, smooth: float = 1.0, cost: float = 1.0, blend: float = 0.75, epochs: int = 12, seed: int = 1) -> Model:
     """Log-count ratios, then dual coordinate descent on the L1-hinge dual; ``blend`` interpolates with the ratios' mean weight."""
     y = np.where(good > 0, 1.0, -1.0)
     size = 1 << bits
@@ -58,7 +64,7 @@ def fit(rows: list[np.ndarray], good: np.ndarray, bits: int = BITS, smooth: floa
     p, q = np.full(size, smooth), np.full(size, smooth)
     for x, s in zip(rows, y):
         (p if s > 0 else q)[x] += 1
-    ratio = np.log((p / p.sum()) / (q / q.sum()))
+    ratio = np.where(p + q > 2 * smooth, np.log((p / p.sum()) / (q / q.sum())), 0.0)  # nothing is known of what no labelled row has
     norm = [1 / np.sqrt(max(1, len(x))) for x in rows]
     values = [ratio[x] * n for x, n in zip(rows, norm)]
     diagonal = np.array([v @ v + 1.0 for v in values])
