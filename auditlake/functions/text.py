@@ -65,17 +65,15 @@ def quantity(n: Column | str, noun: str, plural: str | None = None) -> Column:
 
 def sanitize(x: Column | str) -> Column:
     """Control characters as ``\\xNN``, bidirectional controls as ``\\u{NNNN}``, so that text can't steer a terminal."""
-    def one(c: Column) -> Column:
-        code = F.hex(F.encode(c, "UTF-16BE"))
-        number = F.conv(code, 16, 10).cast("int")
-        return (
-            F.when((number < 32) | number.between(127, 159), F.concat(F.lit("\\x"), F.lower(F.right(code, F.lit(2)))))
-            .when(number.isin(0x061C, 0x200E, 0x200F) | number.between(0x202A, 0x202E) | number.between(0x2066, 0x2069), F.concat(F.lit("\\u{"), F.lower(code), F.lit("}")))
-            .otherwise(c)
-        )
+    steers = r"[\x00-\x1f\x7f-\u009f\u061c\u200e\u200f\u202a-\u202e\u2066-\u2069]"
 
-    clean = ~_c(x).rlike(r"[\x00-\x1f\x7f-\u009f؜‎‏‪-‮⁦-⁩]")
-    return F.when(clean, _c(x)).otherwise(F.array_join(F.transform(F.split(_c(x), ""), one), ""))
+    def shown(c: Column) -> Column:
+        code = F.lower(F.hex(F.encode(c, "UTF-16BE")))
+        return F.when(F.startswith(code, F.lit("00")), F.concat(F.lit("\\x"), F.right(code, F.lit(2)))).otherwise(F.concat(F.lit("\\u{"), code, F.lit("}")))
+
+    marks = F.transform(F.regexp_extract_all(_c(x), F.lit(f"({steers})"), F.lit(1)), shown)
+    parts = F.split(_c(x), steers, -1)
+    return F.when(~_c(x).rlike(steers), _c(x)).otherwise(F.array_join(F.zip_with(parts, marks, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
 
 
 def uri_reference(path: Column | str) -> Column:
@@ -152,14 +150,13 @@ def scope_hash(*parts: Column | str) -> Column:
 def one_decimal(x: Column | str) -> Column:
     """A double with one decimal, rounded by its exact binary value, ties to even (as C's printf does)."""
     exact = _c(x).cast("double")
-    # the product with ten may round; the decimal of the shortest repr tells on which side of a tie the double lies
     scaled = exact * 10
+    # what the product lost in rounding, by splitting the factor in two halves whose products are exact
+    c = exact * 134217729.0
+    high = c - (c - exact)
+    lost = (high * 10 - scaled) + (exact - high) * 10
     low = F.floor(scaled)
     half = scaled - low
-    up = F.when(half > 0.5, True).when(half < 0.5, False).otherwise(low % 2 == 1)
-    tie = (exact * 4) == F.floor(exact * 4)  # only quarters can be exact ties
-    text = F.format_string("%.20f", exact)
-    above = F.substring(F.split(text, r"\.")[1], 2, 19) > F.lit("5" + "0" * 18)
-    up = F.when((half == 0.5) & ~tie, above).otherwise(up)
+    up = F.when(half > 0.5, True).when(half < 0.5, False).when(lost != 0, lost > 0).otherwise(low % 2 != 0)
     tenth = (low + F.when(up, 1).otherwise(0)).cast("long")
     return F.concat(F.when(exact < 0, "-").otherwise(""), F.floor(F.abs(tenth) / 10).cast("string"), F.lit("."), (F.abs(tenth) % 10).cast("string"))

@@ -564,9 +564,9 @@ def coverage_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_ROLLED}, {_SCANNED} SELECT path, lines_covered || '/' || lines_total || ' lines (' || printf('%.1f', 100.0 * lines_covered / lines_total) || '%)' AS matched,
-    sha256('gates.coverage' || chr(0) || path || chr(0) || chr(0) || '0') AS fingerprint FROM res WHERE 100.0 * lines_covered / lines_total < 25""")
+    sha256('gates.coverage' || chr(0) || path || chr(0) || chr(0) || '0') AS fingerprint FROM res WHERE 100.0 * lines_covered / lines_total < 35""")
 def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rule = Rule(id="gates.coverage", severity="warning", message="Too little is covered.", kind="coverage", limit=25.0)
+    rule = Rule(id="gates.coverage", severity="warning", message="Too little is covered.", kind="coverage", limit=35.0)
     return coverage.gate(rule, _resolved(spark, sf_dir)).select("path", "matched", "fingerprint")
 
 
