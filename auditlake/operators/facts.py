@@ -33,7 +33,7 @@ _IMPORTS = {
 }
 _IMPORTS["typescript"], _IMPORTS["cpp"] = _IMPORTS["javascript"], _IMPORTS["c"]
 _MODS = r"(?:(?:public|protected|private|internal|static|final|abstract|sealed|partial|async|override|virtual|readonly|export|default|declare|pub(?:\([^)]*\))?|unsafe|extern|const|inline|synchronized|native)\s+)*"
-_CALLABLE = r"(?m)^[ \t]*(?!(?:return|if|for|while|switch|else|new|throw|catch|using|case|do|try|await|function|class)\b)"
+_CALLABLE = r"(?m)(?:^|[{};])[ \t]*(?!(?:return|if|for|while|switch|else|new|throw|catch|using|case|do|try|await|function|class)\b)"
 _DECLS: dict[str, list[tuple[str, str]]] = {
     "rust": [("function", r"\bfn\s+(\w+)"), ("struct", r"\b(?:struct|union)\s+(\w+)"), ("enum", r"\benum\s+(\w+)"), ("trait", r"\btrait\s+(\w+)"), ("type", r"\btype\s+(\w+)"), ("const", r"\b(?:const|static)\s+(?:mut\s+)?(?!fn\b|unsafe\b|extern\b|async\b)([A-Za-z_]\w*)\s*:")],
     "javascript": [("function", r"\bfunction\s*\*?\s*(\w+)\s*\("), ("class", r"\bclass\s+(\w+)"), ("method", _CALLABLE + r"(?:(?:static|async|get|set)\s+)*\*?(#?\w+)\s*\([^()]*\)\s*\{"), ("const", r"\bconst\s+([A-Za-z_$][\w$]*)\s*=")],
