@@ -2,8 +2,8 @@
 
 Pages of a host are aligned with the host's reference page (the smallest page_id) by simple tree matching of their DOM
 trees: the largest order-preserving match of equal elements, parents before children. Over all pages of the host, a text
-node of the reference counts as constant, and so as template, if at least ``COVERED`` of the pages have it and at least
-``SAME`` of these with the same text. A page's content is the text of its varying slots: what is aligned with no constant
+node of the reference counts as constant, and so as template, if at least two and ``COVERED`` of the pages have it and at
+least ``SAME`` of these with the same text. A page's content is the text of its varying slots: what is aligned with no constant
 node, or differs from it. Scripts, styles, comments and the head have no content; nor have slots within nav, footer,
 aside and form elements, which HTML itself sets apart from the content.
 
@@ -277,7 +277,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     pages_of = summed.where("slot = -1").select("host", F.col("aligned").alias("pages"))
     constant = (
         summed.where("slot >= 0").join(pages_of, "host")
-        .where((F.col("aligned") >= COVERED * F.col("pages")) & (F.col("same") >= SAME * F.col("aligned")))
+        .where((F.col("aligned") > 1) & (F.col("aligned") >= COVERED * F.col("pages")) & (F.col("same") >= SAME * F.col("aligned")))
         .groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
     )
     template = reference.join(constant, "host")

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from ..session import checkpointed
 from .common import HashCache, hashed_tokens, mix, slices
 
@@ -230,24 +231,6 @@ def _linked(buckets: DataFrame, radius: int) -> DataFrame:
     return buckets.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of the edges (a, b) that are not the smallest of their component: large and small stars, in turn, until nothing changes."""
-    stars = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
-        both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        stars = checkpointed(small.where("a <> b").distinct())
-        now = tuple(stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
-
-
 def groups(docs: DataFrame, radius: int = RADIUS, bands: int = BANDS, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, group_id, kept) for every row: the smallest doc_id of its group of near copies, and whether it is that one."""
     same = Window.partitionBy("sketch", "minima")
