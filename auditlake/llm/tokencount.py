@@ -21,8 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
-
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 #: The usual pre-token pattern of byte-level vocabularies: contractions, letters, numbers, other signs, white space.
@@ -49,118 +47,139 @@ def splitter():
     return regex.compile(PATTERN).findall
 
 
-POSTINGS = pa.schema([("pretoken", pa.string()), ("batch", pa.int64()), ("docs", pa.binary()), ("times", pa.binary())])
-SUMS = pa.schema([("batch", pa.int64()), ("doc", pa.int32()), ("tokens", pa.int64())])
+POSTINGS = pa.schema([("pretoken", pa.string()), ("base", pa.int64()), ("docs", pa.binary()), ("times", pa.binary())])
+SUMS = pa.schema([("base", pa.int64()), ("tokens", pa.binary())])
+_MOST = np.iinfo(np.uint16).max
 
 
-def _small(x: np.ndarray) -> bytes:
-    """The array in the smallest of three widths; the first byte tells which."""
-    for code, kind in ((b"1", np.uint8), (b"2", np.uint16)):
-        if x.max() <= np.iinfo(kind).max:
-            return code + x.astype(kind).tobytes()
-    return b"8" + x.astype(np.int64).tobytes()
+def _binary(flat: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Runs of ``flat`` as one binary array, without a copy for each."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * flat.itemsize).astype(np.int32)), pa.py_buffer(flat.tobytes())])
 
 
-def _large(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, {49: np.uint8, 50: np.uint16, 56: np.int64}[x[0]], offset=1)
+def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary array's runs in one array, and the length of each run."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], kind)[ends[0] // 2 : ends[-1] // 2], np.diff(ends) // 2
 
 
-def _invert(texts: list[str | None], batch: int, split) -> pa.RecordBatch | None:
-    """The postings of one batch: its pre-tokens, and for each the documents and frequencies."""
+def _invert(texts: list[str | None], base: int, split) -> pa.RecordBatch | None:
+    """The postings of one batch: its pre-tokens, and for each the documents (by their place behind ``base``) and frequencies."""
     number: dict[str, int] = {}
     codes, docs, times = [], [], []
     for d, t in enumerate(texts):
         if t:
             c = Counter(split(t))
-            codes.append(np.fromiter((number.setdefault(p, len(number)) for p in c), np.int64, len(c)))
+            codes.append(np.fromiter([number.setdefault(p, len(number)) for p in c], np.int64, len(c)))
             times.append(np.fromiter(c.values(), np.int64, len(c)))
-            docs.append(np.full(len(c), d, np.int64))
+            docs.append(np.full(len(c), d, np.uint16))
     if not number:
         return None
     code, doc, n = np.concatenate(codes), np.concatenate(docs), np.concatenate(times)
+    while (n > _MOST).any():  # what two bytes can't hold goes into further postings of the same document
+        high = np.flatnonzero(n > _MOST)
+        code, doc, n = np.concatenate([code, code[high]]), np.concatenate([doc, doc[high]]), np.concatenate([n, n[high] - _MOST])
+        n[high] = _MOST
     order = np.argsort(code, kind="stable")
-    code, doc, n = code[order], doc[order], n[order]
-    cuts = np.searchsorted(code, np.arange(len(number) + 1)).tolist()
+    cuts = np.searchsorted(code[order], np.arange(len(number) + 1))
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(list(number)),
-            pa.array(np.full(len(number), batch)),
-            pa.array([_small(doc[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
-            pa.array([_small(n[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
-        ],
-        schema=POSTINGS,
+        [pa.array(list(number)), pa.array(np.full(len(number), base)), _binary(doc[order], cuts), _binary(n[order].astype(np.uint16), cuts)], schema=POSTINGS
     )
 
 
-def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 8 << 20) -> DataFrame:
-    """(doc_id, n_tokens) for every row."""
+def _runs(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row number, texts) of runs of consecutive rows, of about ``chars`` characters and at most 60,000 rows."""
+    base, texts, size = 0, [], 0
+    for b in batches:
+        for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if texts and (size > chars or len(texts) >= 60_000 or row != base + len(texts)):
+                yield base, texts
+                texts, size = [], 0
+            if not texts:
+                base = row
+            texts.append(t)
+            size += len(t or "")
+    if texts:
+        yield base, texts
 
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-        from pyspark import TaskContext
 
-        k, part = 0, TaskContext.get().partitionId()
-        for whole in batches:
-            for b in slices(whole, "text", batch_chars):
-                yield (part << 36) + k, b
-                k += 1
+def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", run_chars: int = 16 << 20) -> DataFrame:
+    """(doc_id, n_tokens) for every row. ``docs`` is scanned twice and has to give its rows in the same order, as a table does."""
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter()
-        for batch, b in numbered(batches):
-            out = _invert(b.column(1).to_pylist(), batch, split)
+        for base, texts in _runs(batches, run_chars):
+            out = _invert(texts, base, split)
             if out is not None:
                 yield out
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, b in numbered(batches):
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.full(len(b), batch)), pa.array(np.arange(len(b), dtype=np.int32)), b.column(1).is_null()],
-                names=["doc_id", "batch", "doc", "none"],
-            )
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(vocabulary).encode_ordinary
-        pieces: dict[str, int] = {}
         sums: dict[int, np.ndarray] = {}
+        pieces: dict[str, int] = {}
         held = 0
+        for b in batches:
+            tokens = b.column(0).to_pylist()
+            n = np.empty(len(tokens), np.int64)
+            for k, p in enumerate(tokens):
+                found = pieces.get(p)
+                if found is None:
+                    found = pieces[p] = len(encode(p))
+                n[k] = found
+            if len(pieces) > 400_000:
+                pieces.clear()
+            doc, size = _flat(b.column(2), np.uint16)
+            weight = _flat(b.column(3), np.uint16)[0] * np.repeat(n, size)
+            bases, which = np.unique(b.column(1).to_numpy(), return_inverse=True)
+            which = np.repeat(which, size)
+            order = np.argsort(which, kind="stable")
+            doc, weight = doc[order], weight[order]
+            cuts = np.searchsorted(which[order], np.arange(len(bases) + 1)).tolist()
+            for base, i, j in zip(bases.tolist(), cuts, cuts[1:]):
+                add = np.bincount(doc[i:j], weight[i:j]).astype(np.int64)
+                total = sums.get(base)
+                if total is None:
+                    sums[base] = add
+                    held += len(add)
+                elif len(total) < len(add):
+                    add[: len(total)] += total
+                    sums[base] = add
+                    held += len(add) - len(total)
+                else:
+                    total[: len(add)] += add
+            if held > FLUSH:
+                yield _sums(sums)
+                sums, held = {}, 0
+        if sums:
+            yield _sums(sums)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, size, kept = None, 0, np.zeros(0, np.int64)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for batch, total in sums.items():
-                doc = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), batch)), pa.array(doc.astype(np.int32)), pa.array(total[doc])], schema=SUMS)
-            sums.clear()
+        def out() -> pa.RecordBatch:
+            rows = np.flatnonzero(kept)
+            return pa.RecordBatch.from_arrays([pa.array(rows + now), pa.array(kept[rows])], names=["row", "tokens"])
 
         for b in batches:
-            tokens, batch_of = b.column(0).to_pylist(), b.column(1).to_numpy()
-            for p, batch, where, times in zip(tokens, batch_of.tolist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                n = pieces.get(p)
-                if n is None:
-                    n = pieces[p] = len(encode(p))
-                doc, freq = _large(where), _large(times)
-                total = sums.get(batch)
-                top = int(doc[-1]) + 1
-                if total is None or len(total) < top:
-                    grown = np.zeros(max(top, 2 * len(total) if total is not None else 64), np.int64)
-                    if total is not None:
-                        grown[: len(total)] = total
-                    held += len(grown) - (len(total) if total is not None else 0)
-                    total = sums[batch] = grown
-                total[doc] += freq.astype(np.int64) * n
-            if held > FLUSH:
-                yield from flush()
-                held = 0
-            if len(pieces) > 500_000:
-                pieces.clear()
-        yield from flush()
-
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    postings = slim.mapInArrow(invert, "pretoken string, batch long, docs binary, times binary")
-    sums = (
-        postings.repartition("pretoken")
-        .mapInArrow(count, "batch long, doc int, tokens long")
-        .groupBy("batch", "doc").agg(F.sum("tokens").alias("tokens"))
-    )
-    names = slim.mapInArrow(name, "doc_id long, batch long, doc int, none boolean")
-    return names.join(sums, ["batch", "doc"], "left").select(
-        "doc_id", F.when(~F.col("none"), F.coalesce("tokens", F.lit(0))).alias("n_tokens")
-    )
+            for base, vec in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if base != now:
+                    if now is not None:
+                        yield out()
+                    now, kept = base, np.zeros(0, np.int64)
+                v = np.frombuffer(vec, np.int32)
+                if len(v) > len(kept):
+                    kept = np.concatenate([kept, np.zeros(len(v) - len(kept), np.int64)])
+                kept[: len(v)] += v
+        if now is not None:
+            yield out()
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    postings = numbered.select("row", "text").mapInArrow(invert, "pretoken string, base long, docs binary, times binary")
+    partial = postings.repartition("pretoken").mapInArrow(count, "base long, tokens binary")
+    sums = partial.repartition("base").sortWithinPartitions("base").mapInArrow(total, "row long, tokens long")
+    names = numbered.select("row", "doc_id", F.col("text").isNull().alias("none"))
+    return names.join(sums, "row", "left").select("doc_id", F.when(~F.col("none"), F.coalesce("tokens", F.lit(0))).alias("n_tokens"))
+
+
+def _sums(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.astype(np.int32).tobytes() for v in sums.values()], pa.binary())], schema=SUMS)
