@@ -17,6 +17,7 @@ count in training as often as they occur. Other columns are ignored. An empty ta
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from .common import HashCache, hashed_tokens, mix, slices
 
 CLASSES, MEMBERS = 32, 64
@@ -168,7 +170,10 @@ def vocabulary(slim: DataFrame) -> Symbols:
                 words, n = np.unique(hashed_tokens(b.column(1).to_pylist(), cache)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    counted = slim.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # written once, as both the total and the ranking read it
+    at = f"{shared_dir(slim.sparkSession)}/words-{uuid.uuid4().hex}"
+    slim.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).write.parquet(at)
+    counted = slim.sparkSession.read.parquet(at)
     total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
     top = counted.orderBy(F.desc("n"), "word").limit(OWN).collect()
     return assign([r["word"] % (1 << 64) for r in top], [r["n"] for r in top], total)
