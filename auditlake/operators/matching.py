@@ -55,35 +55,54 @@ def is_native(rule: Rule) -> bool:
     return rule.kind == "regex" and rule.group == 0 and compiled(rule.pattern).search("") is None and not re.search(r"\\[bBA]|\^|\$|\\x\{", rule.pattern)
 
 
-def native_matches(files: DataFrame, rule: Rule) -> DataFrame:
-    """(path, matched, offset, prefix) for each match of a rule, offsets in characters."""
-    pattern = java_pattern(rule.pattern)
-    found = (
-        files.where(applies(rule)).where(F.col("content").rlike(pattern))
-        .select("path", "content", F.regexp_extract_all("content", F.lit(pattern), F.lit(0)).alias("m"), F.split("content", pattern, -1).alias("gaps"))
-    )
-    length = lambda acc, x: acc + F.length(x)
-    at = F.aggregate(F.slice("gaps", 1, F.col("i") + 1), F.lit(0), length) + F.aggregate(F.slice("m", 1, F.col("i")), F.lit(0), length)
-    return (
-        found.select("path", "content", "m", "gaps", F.posexplode("m").alias("i", "matched"))
-        .select("path", "content", "matched", at.alias("offset"))
-        .select("path", "matched", F.col("offset").cast("long").alias("offset"), F.expr("substring(content, 1, offset)").alias("prefix"))
-    )
-
-
-def native_findings(files: DataFrame, rule: Rule) -> DataFrame:
-    m = native_matches(with_language(files), rule)
-    return finish(
-        m.select(
-            F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.lit(rule.message).alias("message"), "path", "matched", "offset",
-            X.line_of("prefix").alias("line"), X.column_of("prefix").alias("column"), X.utf16_column_of("prefix").alias("column_utf16"),
-        )
+def native_findings(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Findings of whole-match rules, from one scan of the files.
+
+    The matches of a text and the gaps between them are its parts in order. Each part is reduced to numbers (bytes,
+    UTF-16 units, line feeds, and how much follows the last of these), and running sums over a file's parts give every
+    match its line and columns; texts themselves aren't carried along, and nothing grows with the square of the matches.
+    """
+    files = with_language(files)
+
+    def parts(rule: Rule) -> Column:
+        p = java_pattern(rule.pattern)
+        gaps = F.split("content", p, -1)
+        return F.when(applies(rule) & F.col("content").rlike(p), F.arrays_zip(F.regexp_extract_all("content", F.lit(p), F.lit(0)).alias("m"), F.slice(gaps, 1, F.size(gaps) - 1).alias("g")))
+
+    some = functools.reduce(lambda a, b: a | b, (F.col("content").rlike(java_pattern(r.pattern)) for r in rules))
+    by_rule = files.where(some).select("path", F.posexplode(F.array(*(parts(r) for r in rules))).alias("k", "parts"))
+    rows = by_rule.select("path", "k", F.posexplode("parts").alias("i", "s")).select("path", "k", "i", F.col("s.m").alias("matched"), F.col("s.g").alias("gap"))
+
+    def feeds(x: str) -> Column:
+        return F.length(x) - F.length(F.translate(x, "\n", ""))
+
+    def units(x: Column) -> Column:
+        return (F.octet_length(F.encode(x, "UTF-16BE")) / 2).cast("long")
+
+    measured = rows.select(
+        "path", "k", "i", "matched", feeds("gap").alias("gap_feeds"), feeds("matched").alias("own_feeds"),
+        *(c for n, size in (("b", lambda x: F.octet_length(x).cast("long")), ("u", units)) for x in ("gap", "matched")
+          for c in (size(F.col(x)).alias(f"{x}_{n}"), size(F.substring_index(x, "\n", -1)).alias(f"{x}_{n}_tail"))),
     )
+    before = Window.partitionBy("path", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("path", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    placed = measured.withColumn("line", zero(F.sum("own_feeds").over(before)) + F.sum("gap_feeds").over(upto) + 1)
+    for n, name in (("b", "column"), ("u", "column_utf16")):
+        # where each part ends, and where its last line feed was, counted from the file's start
+        placed = placed.withColumn("start", zero(F.sum(F.col(f"gap_{n}") + F.col(f"matched_{n}")).over(before)) + F.col(f"gap_{n}"))
+        gap_feed = F.when(F.col("gap_feeds") > 0, F.col("start") - F.col(f"gap_{n}_tail"))
+        own_feed = F.when(F.col("own_feeds") > 0, F.col("start") + F.col(f"matched_{n}") - F.col(f"matched_{n}_tail"))
+        placed = placed.withColumn("gap_feed", gap_feed).withColumn("own_feed", own_feed)
+        placed = placed.withColumn(name, F.col("start") - F.greatest(zero(F.max("gap_feed").over(upto)), zero(F.max("own_feed").over(before))) + 1)
+    named = F.array(*(F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.message).alias("message")) for r in rules))
+    out = placed.withColumn("r", F.get(named, F.col("k"))).select("r.*", "path", "k", "matched", F.col("i").alias("offset"), *(F.col(c).cast("long").alias(c) for c in ("line", "column", "column_utf16")))
+    return finish(out)
 
 
 def finish(found: DataFrame) -> DataFrame:
-    """Occurrence numbers (in match order, among equal texts of a rule in a file) and fingerprints."""
-    same = Window.partitionBy("path", "rule_id", X.normalize_space("matched")).orderBy("offset")
+    """``found`` has the rule's number ``k``. Occurrence numbers (in match order, among equal texts of a rule in a file) and fingerprints."""
+    same = Window.partitionBy("path", "k", X.normalize_space("matched")).orderBy("offset")
     return found.withColumn("occurrence", F.row_number().over(same) - 1).withColumn("fingerprint", X.fingerprint("rule_id", "path", "matched", "occurrence")).select(*FINDING_COLUMNS)
 
 
@@ -173,5 +192,5 @@ def findings(files: DataFrame, rules: list[Rule]) -> DataFrame:
     files = with_language(files)
     native = [r for r in rules if is_native(r)]
     rest = [r for r in rules if r.kind in ("regex", "secret") and not is_native(r)]
-    parts = [native_findings(files, r) for r in native] + ([python_findings(files, rest)] if rest or not native else [])
+    parts = ([native_findings(files, native)] if native else []) + ([python_findings(files, rest)] if rest or not native else [])
     return functools.reduce(DataFrame.unionByName, parts)

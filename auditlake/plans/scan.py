@@ -14,6 +14,7 @@ from ..functions.languages import code_lines
 from ..model import FINDING, FINDING_COLUMNS, ORDER
 from ..operators import baseline, boundary, coverage, duplication, facts, markers, matching, syntax
 from ..rulesets.loader import Rule, RuleSet, require_rules
+from ..session import checkpointed
 
 
 class SetupError(ValueError):
@@ -53,6 +54,16 @@ def totals(metrics: DataFrame) -> DataFrame:
     return summed.withColumn("duplication_density", X.density("duplicated_lines", "lines"))
 
 
+def with_status(found: DataFrame, marks: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
+    """``found`` with status: suppressed by a marker, else baselined where the fingerprint is accepted, else new. One join for each."""
+    m = marks.select("path", "line", "rule_id").distinct().withColumn("marked", F.lit(True))
+    out = found.join(m, ["path", "line", "rule_id"], "left")
+    if accepted is None:
+        return out.select(*found.columns, F.when(F.col("marked"), "suppressed").otherwise("new").alias("status"))
+    out = out.join(accepted.select("fingerprint").distinct().withColumn("known", F.lit(True)), "fingerprint", "left")
+    return out.select(*found.columns, F.when(F.col("marked"), "suppressed").when(F.col("known"), "baselined").otherwise("new").alias("status"))
+
+
 class Scanner:
     """Scans tables of files under a set of rules. Plans are built only for the kinds of rules that there are."""
 
@@ -97,12 +108,13 @@ class Scanner:
                     raise SetupError(said)
                 warnings.append(said)
             parts += [coverage.gate(r, resolved) for r in some]
-        copies = duplication.copies(files, self.config.min_lines)
+        copies = checkpointed(duplication.copies(files, self.config.min_lines))
         metrics = file_metrics(files, self.config.min_lines, copies)
         parts += [duplication.gate(r, metrics, silos) for r in self.rules.of("duplication")]
         if self.config.report_blocks:
             parts.append(duplication.block_findings(copies))
         found = functools.reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], FINDING)
+        found = checkpointed(found)  # the lists below are parts of it: it is computed once and written, being small beside the files
         marks = markers.suppressions(files)
         kept, silenced = markers.kept(found, marks), markers.silenced(found, marks)
         known = baseline.known(kept, accepted) if accepted is not None else kept.limit(0)

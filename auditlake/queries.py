@@ -17,7 +17,7 @@ from .model import FINDING_COLUMNS
 from .operators import baseline, boundary, coverage, duplication, facts, markers, matching, syntax
 from .plans import scan, views
 from .rulesets.loader import Rule, RuleSet, default_rules, load_text
-from .session import prepare, table
+from .session import checkpointed, prepare, table
 from .sinks import reports as sinks
 from .sources import files as sources
 from .sources import reports
@@ -77,15 +77,8 @@ def _accepted(found: DataFrame) -> DataFrame:
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings with status: suppressed by markers, accepted in French documents, else new."""
     files = _marked(spark, sf_dir)
-    found, marks = matching.findings(files, rules().rules), markers.suppressions(files)
-    kept = markers.kept(found, marks)
-    accepted = _accepted(kept)
-    parts = ((baseline.new(kept, accepted), "new"), (baseline.known(kept, accepted), "baselined"), (markers.silenced(found, marks), "suppressed"))
-    out = None
-    for d, s in parts:
-        d = d.withColumn("status", F.lit(s))
-        out = d if out is None else out.unionByName(d)
-    return out
+    found, marks = checkpointed(matching.findings(files, rules().rules)), markers.suppressions(files)
+    return scan.with_status(found, marks, _accepted(markers.kept(found, marks)))
 
 
 # --- building blocks of the SQL

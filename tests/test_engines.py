@@ -29,7 +29,7 @@ def test_native_and_python_agree(spark, files):
     for p in ("ab", r"ab\s+c", "(?i)AB|é", "x+"):
         r = regex_rule(p)
         assert matching.is_native(r)
-        got = rows(matching.native_findings(f, r), *matching.FINDING_COLUMNS)
+        got = rows(matching.native_findings(f, [r]), *matching.FINDING_COLUMNS)
         assert got == rows(matching.python_findings(f, [r]), *matching.FINDING_COLUMNS)
 
 
