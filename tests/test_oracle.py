@@ -17,7 +17,7 @@ def plain(v):
 
 def rows(columns, data):
     order = sorted(range(len(columns)), key=lambda k: columns[k])
-    return sorted(tuple(plain(r[k]) for k in order) for r in data), [columns[k] for k in order]
+    return sorted((tuple(plain(r[k]) for k in order) for r in data), key=repr), [columns[k] for k in order]
 
 
 @pytest.fixture(scope="module")
