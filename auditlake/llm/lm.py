@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import discard, shared_dir
 from .common import HashCache, hashed_tokens, mix, slices
 
 CLASSES, MEMBERS = 32, 64
@@ -176,6 +176,7 @@ def vocabulary(slim: DataFrame) -> Symbols:
     counted = slim.sparkSession.read.parquet(at)
     total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
     top = counted.orderBy(F.desc("n"), "word").limit(OWN).collect()
+    discard(slim.sparkSession, at)
     return assign([r["word"] % (1 << 64) for r in top], [r["n"] for r in top], total)
 
 
