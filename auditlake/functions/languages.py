@@ -9,7 +9,7 @@ EXTENSIONS = {
     "rs": "rust", "py": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go",
     "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "cs": "csharp", "rb": "ruby",
 }
-SLASHES = ("rust", "javascript", "typescript", "go", "java", "c", "cpp", "csharp")
+SLASHES = tuple("c cpp csharp go java javascript rust typescript".split())
 HASHES = ("python", "ruby")
 LANGUAGES = tuple(dict.fromkeys(EXTENSIONS.values()))
 

@@ -16,7 +16,7 @@ from ..rulesets.loader import Rule
 from .matching import applies
 
 SUFFIXES = {
-    "javascript": (".js", ".ts", ".tsx", ".mjs", "/index.js", "/index.ts", "/index.tsx", "/index.mjs"), "python": (".py", "/__init__.py"), "rust": (".rs", "/mod.rs"), "go": (".go",),
+    "javascript": tuple(front + end for front in ("", "/index") for end in ".js .ts .tsx .mjs".split()), "python": (".py", "/__init__.py"), "rust": (".rs", "/mod.rs"), "go": (".go",),
     "java": (".java",), "csharp": (".cs",), "ruby": (".rb",), "c": (), "cpp": (),
 }
 SUFFIXES["typescript"] = SUFFIXES["javascript"]

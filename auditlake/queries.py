@@ -89,7 +89,7 @@ _SPACED = r"trim(regexp_replace(matched, '\s+', ' ', 'g'))"
 
 
 def _q(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
+    return "'{}'".format(x.replace("'", "''"))
 
 
 def findings_sql(some: list[Rule] | None = None, files: str = FILES) -> str:

@@ -232,7 +232,7 @@ def compile_rule(raw: Any, origin: str) -> Rule:
 
 def load_text(text: str, origin: str = "<text>") -> RuleSet:
     """The rules of one YAML document; the first error in their order is raised."""
-    text = text.replace("\r\n", "\n")
+    text = "\n".join(text.split("\r\n"))
     try:
         data = yaml.safe_load(text)
     except yaml.YAMLError as e:

@@ -21,6 +21,7 @@ from ..rulesets.loader import RESERVED, RuleSet
 SCHEMA_VERSION = "1.2"
 REDACTED = "<redacted>"
 WARNED, SARIF_SKIPS = 10, 100
+SARIF_SCHEMA = "https://docs.oasis-open.org/sarif/sarif/v2.1.0/errata01/os/schemas/sarif-schema-2.1.0.json"
 
 
 def redacted(findings: DataFrame, ids: list[str]) -> DataFrame:
@@ -75,16 +76,15 @@ def sarif_report(report: Report, rules: RuleSet, version: str = "0.1.0", least:
     ]
     skipped = report.skipped.orderBy("path").limit(SARIF_SKIPS).collect()
     hidden = report.skipped.count() - len(skipped)
-    notes = [{"level": "warning", "message": {"text": w}} for w in report.warnings]
-    notes += [{"level": "note", "message": {"text": f"skipped {r['path']}: {r['reason']}"}} for r in skipped]
-    if hidden:
-        notes.append({"level": "note", "message": {"text": f"{hidden} more files were skipped"}})
+    said = [("warning", w) for w in report.warnings] + [("note", f"skipped {r['path']}: {r['reason']}") for r in skipped]
+    said += [("note", f"{hidden} more files were skipped")] if hidden else []
+    notes = [dict(level=k, message=dict(text=w)) for k, w in said]
     t = report.totals.first().asDict()
     run = {
-        "tool": {"driver": {"name": "auditlake", "version": version, "rules": descriptors}}, "columnKind": "utf16CodeUnits", "results": results,
+        "tool": dict(driver=dict(name="auditlake", version=version, rules=descriptors)), "columnKind": "utf16CodeUnits", "results": results,
         "invocations": [{"executionSuccessful": True, "toolExecutionNotifications": notes}], "properties": {"metrics": {k: v for k, v in t.items() if v is not None}},
     }
-    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}, indent=2, ensure_ascii=False)
+    return json.dumps({"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [run]}, indent=2, ensure_ascii=False)
 
 
 def listing(findings: DataFrame) -> Column:

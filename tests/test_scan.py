@@ -46,7 +46,7 @@ def test_report(report, tmp_path, spark):
 
 def test_old_reports_withhold_matches(spark, tmp_path):
     p = tmp_path / "r.json"
-    p.write_text(json.dumps({"schema_version": "1.0", "findings": [{"rule_id": "a.b", "matched": "x", "new": 1}, {"rule_id": "metrics.duplicate-block", "matched": "y"}]}))
+    p.write_text(json.dumps({"schema_version": "1.0", "findings": [dict(rule_id=r, matched=m, new=1) for r, m in (("a.b", "x"), ("metrics.duplicate-block", "y"))]}))
     assert {r["matched"] for r in R.read_report(spark, str(p))[0].collect()} == {"<redacted>", "y"}
     for text, said in (("{", "not JSON"), ("{}", "no scan report"), ('{"findings": [], "schema_version": "2.0"}', "version")):
         p.write_text(text)
@@ -114,7 +114,10 @@ def test_lcov_and_cobertura(spark, tmp_path):
     p.write_text("TN:\nSF:a\\b.c\nDA:1,0\nDA:2,5\nend_of_record\nDA:9,9\nSF:a/b.c\nDA:1,3\nend_of_record\nSF:s.c\nLF:4\nLH:9\nend_of_record\nSF:e.c\nend_of_record\n")
     assert sorted(map(tuple, R.read_coverage(spark, str(p)).collect())) == [("a/b.c", 2, 2), ("e.c", 0, 0), ("s.c", 4, 4)]
     x = tmp_path / "x.xml"
-    x.write_text('<coverage><packages><package><classes><class filename="a.py"><methods><method><lines><line number="7" hits="1"/></lines></method></methods><lines><line number="1" hits="0"/><line number="2" hits="2"/></lines></class><class filename="a.py"><lines><line number="1" hits="1"/></lines></class></classes></package></packages></coverage>')
+    line = lambda n, h: f'<line hits="{h}" number="{n}"/>'
+    first = f"<methods><method><lines>{line(7, 1)}</lines></method></methods><lines>{line(1, 0)}{line(2, 2)}</lines>"
+    classes = "".join(f'<class name="k" filename="a.py">{body}</class>' for body in (first, f"<lines>{line(1, 1)}</lines>"))
+    x.write_text(f"<coverage>\n<packages>\n<package><classes>\n{classes}\n</classes>\n</package>\n</packages> {chr(10)}</coverage>")
     assert sorted(map(tuple, R.read_coverage(spark, str(x)).collect())) == [("a.py", 2, 2)]
     for text in ("<other/>", "nothing"):
         with pytest.raises(R.ReportError):
