@@ -39,6 +39,7 @@ RATIO = 0.2
 REPETITIONS = 40
 SAMPLES = 4
 BLOCK_CHARS = 32 << 20
+HELD = 1 << 20  # walks that are held at a time
 _PAD = np.uint64(0)
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -76,47 +77,75 @@ def classes(lengths: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-class Walk:
-    """One repetition for one length class: the sampled steps and, for each, the keys that items have there."""
+class Walks:
+    """All repetitions for one length class, walked together: the sampled steps, the keys that items have at each of them, and the items by their whole keys."""
 
-    def __init__(self, seed: int, least: int, samples: int):
-        rng = np.random.default_rng([seed, least])
+    def __init__(self, least: int, repetitions: int, samples: int, seed: int, flat: np.ndarray, start: np.ndarray, end: np.ndarray):
         steps = 2 * least
-        self.seed = np.uint64(rng.integers(1, 1 << 62))
-        self.at = set(rng.choice(steps, min(samples, steps), replace=False).tolist())
-        self.steps = max(self.at) + 1
-        self.levels: list[np.ndarray] = []
-        self.items = self.order = np.zeros(0, np.int64)
-
-    def run(self, flat: np.ndarray, start: np.ndarray, end: np.ndarray, build: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the windows are left, and their keys. Building keeps all and notes their keys."""
-        left, ptr = np.arange(len(start)), start.astype(np.int64)
-        key = np.zeros(len(start), np.uint64)
-        level, top = 0, len(flat) - 1
-        seed = self.seed
-        for j in range(self.steps):
-            stop = end[left]
+        self.sampled = np.zeros((repetitions, steps), bool)
+        seeds = np.empty(repetitions, np.uint64)
+        for r in range(repetitions):
+            rng = np.random.default_rng([seed * 1000 + r, least])
+            seeds[r] = rng.integers(1, 1 << 62)
+            self.sampled[r, rng.choice(steps, min(samples, steps), replace=False)] = True
+        self.last = steps - 1 - np.argmax(self.sampled[:, ::-1], axis=1)
+        self.seeds = mix(seeds)
+        self.odd = mix(np.arange(1, steps + 1, dtype=np.uint64)) | np.uint64(1)  # each step draws its bit by a multiplier of its own
+        self.known = np.zeros(0, np.uint64)
+        seen: list[np.ndarray] = []
+        item, key = self._run(flat, start, end, seen)
+        self.known = np.unique(np.concatenate(seen))
+        order = np.argsort(key, kind="stable")
+        self.keys, self.order = key[order], item[order]
+
+    def _run(self, flat: np.ndarray, start: np.ndarray, end: np.ndarray, seen: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(window, key) of the walks that come through to their last sample; with ``seen``, all do, and their keys are noted."""
+        reps = len(self.last)
+        rep, left = np.repeat(np.arange(reps), len(start)), np.tile(np.arange(len(start)), reps)
+        ptr, stop, bits = start[left].astype(np.int64), end[left], self.seeds[rep]
+        key, alive, dead = bits.copy(), np.ones(len(rep), bool), 0
+        top, done = len(flat) - 1, []
+        for j in range(self.sampled.shape[1]):
+            if dead > len(rep) // 5:  # the others walk on until it pays to leave them out
+                rep, left, ptr, stop, bits, key = (x[alive] for x in (rep, left, ptr, stop, bits, key))
+                alive, dead = np.ones(len(rep), bool), 0
+            if not len(rep):
+                break
             word = np.where(ptr < stop, flat[np.minimum(ptr, top)], _PAD)
-            if j in self.at:
-                key = mix(key * _K ^ word)
-                if build:
-                    self.levels.append(np.unique(key))
+            now = np.flatnonzero(self.sampled[rep, j] & alive)
+            if len(now):
+                k = mix(key[now] * _K ^ word[now])
+                key[now] = k
+                if seen is None:
+                    at = np.minimum(np.searchsorted(self.known, k), len(self.known) - 1)
+                    lost = self.known[at] != k
+                    alive[now[lost]] = False
+                    dead += int(lost.sum())
+                    now = now[~lost]
                 else:
-                    known = self.levels[level]
-                    hit = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
-                    left, ptr, key, word = left[hit], ptr[hit], key[hit], word[hit]
-                    if not len(left):
-                        break
-                level += 1
-            if j % 64 == 0:
-                seed = mix(np.array([self.seed ^ np.uint64(j)]))
-            ptr = ptr + ((mix(word ^ seed) >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
-        return left, key
-
-    def build(self, flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        _, key = self.run(flat, start, end, True)
-        self.order = np.argsort(key, kind="stable")
-        self.keys = key[self.order]
+                    seen.append(k)
+                ends = now[self.last[rep[now]] == j]
+                if len(ends):
+                    done.append((left[ends], key[ends]))
+                    alive[ends] = False
+                    dead += len(ends)
+            ptr += (((word ^ bits) * self.odd[j]) >> np.uint64(63)).astype(np.int64)
+        if not done:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.concatenate([x for x, _ in done]), np.concatenate([x for _, x in done])
+
+    def find(self, flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of all equal keys, some of them more than once; the windows go through in runs that bound what is held."""
+        windows, items = [], []
+        run = max(1, HELD // len(self.last))
+        for i in range(0, len(start), run):
+            left, key = self._run(flat, start[i : i + run], end[i : i + run])
+            a, b = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+            times = b - a
+            which = np.repeat(a - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
+            windows.append(np.repeat(left + i, times))
+            items.append(self.order[which])
+        return np.concatenate(windows), np.concatenate(items)
 
 
 class Items:
@@ -138,11 +167,7 @@ class Items:
         self.classes = []
         for least, longest in classes(self.length.tolist()):
             mine = np.flatnonzero((self.length >= least) & (self.length <= longest))
-            walks = []
-            for r in range(repetitions):
-                w = Walk(seed * 1000 + r, least, samples)
-                w.build(self.flat, self.start[mine], self.start[mine] + self.length[mine])
-                walks.append(w)
+            walks = Walks(least, repetitions, samples, seed, self.flat, self.start[mine], self.start[mine] + self.length[mine])
             self.classes.append((least, int(self.most[mine].max()), mine, walks))
 
     @staticmethod
@@ -169,19 +194,10 @@ class Items:
             start = start[(strange[stop] - strange[start] + (start + least - stop) <= most) & (odd[stop - 1] - odd[start] <= 2 * most)]
             if not len(start):
                 continue
-            end = end_of[start]
-            pairs = []
-            for w in walks:
-                left, key = w.run(flat, start, end)
-                if len(left):
-                    a, b = np.searchsorted(w.keys, key, "left"), np.searchsorted(w.keys, key, "right")
-                    times = b - a
-                    which = np.repeat(a - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
-                    pairs.append(np.repeat(start[left], times) * len(self.ids) + mine[w.order[which]])
-            if pairs:
-                pairs = np.unique(np.concatenate(pairs))
-                windows.append(pairs // len(self.ids))
-                items.append(pairs % len(self.ids))
+            window, item = walks.find(flat, start, end_of[start])
+            pairs = np.unique(start[window] * len(self.ids) + mine[item])
+            windows.append(pairs // len(self.ids))
+            items.append(pairs % len(self.ids))
         if not windows:
             return none
         window, item = np.concatenate(windows), np.concatenate(items)
