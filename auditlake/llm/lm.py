@@ -7,9 +7,10 @@ into classes by frequency, so that classes are of like weight.
 
 Training passes over the whole corpus once, in ``ROUNDS`` rounds by the hash of the id. In a round, tasks run gradient
 descent over their documents from the weights so far and send on what they changed after every ``BLOCK`` words: so what
-is gathered from the corpus grows with it. The changes of a block of rows meet in one task, which averages them, weighted
-by how often each row was used; the problem is convex, so the average is a better model. Only the mixed weights, of fixed
-size, pass the driver. Scoring is one narrow pass in numpy batches, which gathers the sparse rows that occur.
+is gathered from the corpus grows with it. The changes of a block of rows meet in two steps, within groups of tasks and
+then over the groups, and are averaged, weighted by how often each row was used; the problem is convex, so the average is
+a better model. Only the mixed weights, of fixed size, pass the driver. Scoring is one narrow pass in numpy batches, which
+gathers the sparse rows that occur.
 
 Defined results: a text that is null or has no words has 0 words and null scores. Rows that repeat are scored alike, and
 count in training as often as they occur. Other columns are ignored. An empty table gives an empty result.
@@ -17,6 +18,7 @@ count in training as often as they occur. Other columns are ignored. An empty ta
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -194,6 +196,42 @@ def _moves(base: Weights, now: Weights, uses: tuple[np.ndarray, np.ndarray], ori
     yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(MOVES)], schema=MOVES)
 
 
+def _sums(batches: Iterator[pa.RecordBatch], kind: type, grouped: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(part, group, weighted sum of the changes, uses) of rows that come in that order; float16 rows are changes, float32 rows are sums already."""
+    now, total, used = None, None, None
+    for b in batches:
+        for part, group, rows, uses in zip(*(c.to_pylist() for c in b.columns)):
+            key = (part, group if grouped else 0)
+            u = np.frombuffer(uses, np.float32).astype(np.float64)
+            moved = np.frombuffer(rows, kind).astype(np.float64).reshape(SPAN, -1)
+            if kind is np.float16:
+                moved *= u[:, None]
+            if key == now:
+                total += moved
+                used += u
+            else:
+                if now is not None:
+                    yield *now, total, used
+                now, total, used = key, moved, u
+    if now is not None:
+        yield *now, total, used
+
+
+def _added(kind: type):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, group, total, used in _sums(batches, kind, True):
+            values = [[part], [group], [total.astype(np.float32).tobytes()], [used.astype(np.float32).tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "origin_group", "rows", "uses"])
+
+    return run
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, _, total, used in _sums(batches, np.float32, False):
+        mean = (total / np.maximum(used, 1)[:, None]).astype(np.float32).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([mean], pa.binary())], names=["part", "rows"])
+
+
 def train(slim: DataFrame, symbols: Symbols, rounds: int = ROUNDS, block: int = BLOCK) -> Weights:
     """``slim`` has (doc_id, text)."""
     sc = slim.sparkSession.sparkContext
@@ -220,25 +258,13 @@ def train(slim: DataFrame, symbols: Symbols, rounds: int = ROUNDS, block: int =
             if seen:
                 yield from _moves(base, now, uses, origin)
 
-        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, np.ndarray] = {}
-            used: dict[int, np.ndarray] = {}
-            for b in batches:
-                for part, rows, uses in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                    u = np.frombuffer(uses, np.float32).astype(np.float64)
-                    moved = np.frombuffer(rows, np.float16).astype(np.float64).reshape(SPAN, -1) * u[:, None]
-                    if part in total:
-                        total[part] += moved
-                        used[part] += u
-                    else:
-                        total[part], used[part] = moved, u
-            parts = list(total)
-            mixed = [(total[p] / np.maximum(used[p], 1)[:, None]).astype(np.float32).tobytes() for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(mixed, pa.binary())], names=["part", "rows"])
-
         mine = slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r)
         moves = mine.mapInArrow(learn, "part int, origin long, rows binary, uses binary")
-        got = moves.repartition("part").sortWithinPartitions("part", "origin").mapInArrow(average, "part int, rows binary").toArrow()
+        # first within groups of about as many tasks as there are groups, so that no task reads what grows with all the corpus
+        groups = max(1, math.isqrt(slim.rdd.getNumPartitions()))
+        grouped = moves.withColumn("origin_group", F.pmod(F.xxhash64("origin"), F.lit(groups))).repartition("part", "origin_group").sortWithinPartitions("part", "origin_group", "origin")
+        summed = grouped.select("part", "origin_group", "rows", "uses").mapInArrow(_added(np.float16), "part int, origin_group long, rows binary, uses binary")
+        got = summed.repartition("part").sortWithinPartitions("part", "origin_group").mapInArrow(_averaged, "part int, rows binary").toArrow()
         weights = weights.copy()
         for part, rows in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
             table, k = (weights.classes, part) if part < _PARTS[0] else (weights.words, part - _PARTS[0])
