@@ -214,6 +214,35 @@ def test_leaks_against_brute_force(spark, prose):
         assert {x["doc_id"] for x in decontam.drop_leaks(d, b, block_chars=chars).collect()} == set(range(63)) - {k for k, _ in got}
 
 
+@pytest.mark.parametrize("size", [59, 100, 200, 400])
+def test_long_items_at_the_limit_are_found(size):
+    r = np.random.default_rng(size)
+    words = [f"w{k}" for k in range(3000)]
+    items, texts, want = [], [], []
+    for k in range(60):
+        item = [words[p] for p in r.integers(3000, size=size)]
+        most = int(decontam.RATIO * size + 1e-9)
+        some = list(item)
+        if k % 3 == 2:  # as many words left out as put in
+            for p in sorted(r.permutation(size)[: most // 2].tolist(), reverse=True):
+                del some[p]
+            for p in r.integers(size - most, size=most // 2).tolist():
+                some.insert(p, words[int(r.integers(3000))])
+        else:  # substitutions anywhere, or all within the first words
+            for p in (r.permutation(size) if k % 3 else np.arange(size))[:most].tolist():
+                some[p] = words[int(r.integers(3000))]
+        items.append((k, " ".join(item)))
+        before = [words[p] for p in r.integers(3000, size=int(r.integers(30)))]
+        texts.append(" ".join([*before, *some, *([] if k % 2 else before)]))
+        want.append(len(before))
+    found = decontam.Items(items, decontam.RATIO, decontam.REPETITIONS, decontam.SAMPLES)
+    text, item, window, distance = found.find(*common.hashed_tokens(texts, common.HashCache()))
+    assert (text == item).all() and len(set(text.tolist())) == len(text) >= 0.9 * len(texts)
+    for k, w, d in list(zip(text.tolist(), window.tolist(), distance.tolist()))[:6]:
+        a, b = items[k][1].split(), texts[k].split()[w : w + size]
+        assert d == edit_distance(a, b + [None] * (size - len(b))) <= decontam.RATIO * size
+
+
 def test_leaks_of_hostile_tables(spark, hostile, prose):
     b = spark.createDataFrame([(1, prose(80, 2)), (2, "日本語 x")], "item_id long, text string")
     got = plain(decontam.leaks(hostile, b).select("doc_id", "item_id"))
