@@ -305,6 +305,16 @@ def test_classifier_on_held_out_rows(spark, prose):
     assert (again.weights == model.weights).all()
 
 
+def test_toxic_rows_are_rejected_whatever_their_quality(spark, prose):
+    rows = [(k, prose(60, k) + (" vile scum vermin" if k % 4 == 0 else "")) for k in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, None if k % 5 == 0 else 1, int(k % 4 == 0)) for k in range(200)], "doc_id long, quality int, toxic int")
+    model = quality.train(d, labels)
+    got = {r["doc_id"]: r for r in quality.score(d, model).collect()}
+    assert np.mean([got[k]["kept"] == (k % 4 > 0) == (got[k]["toxic_score"] <= 0) for k in range(200, 300)]) >= 0.98
+    assert {r["doc_id"] for r in quality.keep_good(d, model).collect()} == {k for k, r in got.items() if r["kept"]}
+
+
 def test_scores_by_hand(prose):
     x = quality.features([prose(20, 1), "", "a"], common.HashCache())
     assert all((np.diff(v.astype(np.int64)) > 0).all() for v in x)
