@@ -125,14 +125,22 @@ def _logits(table: np.ndarray, rows: np.ndarray, bias: np.ndarray | None) -> tup
 
 
 def _step(table: np.ndarray, rows: np.ndarray, target: np.ndarray, bias: np.ndarray | None) -> None:
-    """One stochastic gradient step on a batch. Of the examples that share a row, one (the last) moves it; the bias of all moves by their mean."""
-    held, p = _logits(table, rows, bias)
+    """One stochastic gradient step on a batch. A row moves by the sum over all examples that share it, divided by the root of their number; the bias of all moves by their mean."""
+    _, p = _logits(table, rows, bias)
     np.exp(p, out=p)
     p *= np.float32(RATE) / p.sum(axis=1, keepdims=True)
     p[np.arange(len(p)), target] -= np.float32(RATE)
-    for r, h in zip(rows, held):
-        h -= p
-        table[r] = h
+    for r in rows:
+        order = np.argsort(r.astype(np.uint16), kind="stable")
+        row = r[order]
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        count = np.diff(np.append(first, len(row)))
+        alone, first, count = first[count == 1], first[count > 1], count[count > 1]
+        table[row[alone]] -= p[order[alone]]
+        if len(first):
+            at = np.cumsum(count) - count
+            some = order[np.repeat(first - at, count) + np.arange(count.sum())]  # the examples whose row others share
+            table[row[first]] -= np.add.reduceat(p[some], at, axis=0) / np.sqrt(count, dtype=np.float32)[:, None]
     if bias is not None:
         bias -= p.mean(axis=0)
 

@@ -357,6 +357,21 @@ def test_probabilities_sum_to_one_and_training_helps(prose):
     assert math.isclose(np.exp(lp).sum(), 1, rel_tol=1e-3)
 
 
+def test_every_example_of_a_batch_moves_its_rows():
+    r = np.random.default_rng(3)
+    rows, target = r.integers(6, size=(3, 200)) + np.array([[0], [4], [12]]), r.integers(lm.MEMBERS, size=200)
+    table = r.normal(size=(18, lm.MEMBERS)).astype(np.float32)
+    z = np.exp(sum(table[x].astype(np.float64) for x in rows))
+    gradient = z / z.sum(axis=1, keepdims=True)
+    gradient[np.arange(200), target] -= 1
+    want = table.astype(np.float64)
+    for x in rows:
+        for k in np.unique(x):
+            want[k] -= lm.RATE * gradient[x == k].sum(axis=0) / (x == k).sum() ** 0.5
+    lm._step(table, rows, target, None)
+    assert np.allclose(table, want, atol=1e-4)
+
+
 def test_lm_scores(spark, prose, hostile):
     rows = [(k, prose(200, k)) for k in range(60)] + [(100, " ".join(reversed("zq wv kj xx yy".split() * 40)))]
     d = spark.createDataFrame(rows, "doc_id long, text string")
