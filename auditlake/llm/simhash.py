@@ -7,12 +7,15 @@ bit of the sketch; a plane shifted by s lanes against itself compares every docu
 buckets at once. Carry-save adders update 64 distances with each word, and a block of lanes is abandoned as soon as all
 that count exceed the radius. Documents within the radius are linked, and links joined to groups by alternating stars.
 
-A bucket of more than ``HEAVY`` documents (a passage that many share) is split by each of the other minima, so that near
-copies still meet and its work doesn't grow with its square. There is no cap on partners or candidates.
+A bucket of more than ``HEAVY`` sketches (a passage that many share) is cut into blocks, and every two of these meet in a
+bucket of their own: all of its pairs are compared still, spread over tasks, so the result doesn't depend on ``HEAVY``.
+The work of such a bucket grows with the square of its distinct sketches. There is no cap on partners or candidates.
 
 Defined results: a text that is null or has no words has no sketch and stays on its own; so does a row with a null
 doc_id (its group_id is null). Rows that share a doc_id are one document. Repeated texts have distance 0 and share a
-group. Other columns are ignored (:func:`groups`) or carried (:func:`one_per_group`). An empty table gives none.
+group, whose smallest doc_id is kept, so ties can't arise. ``n_links`` counts the links by which a document was joined to
+others or to the document with an equal sketch; links that join what is joined already aren't looked for. A very long text
+is sketched whole, like any other. Other columns are ignored (:func:`groups`) or carried (:func:`one_per_group`). An empty table gives none.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -29,10 +32,11 @@ from ..session import checkpointed
 from .common import HashCache, hashed_tokens, mix, slices
 
 BITS = 256
-RADIUS = 54
+RADIUS = 62
 BANDS = 8
 GRAM = 4
-HEAVY = 20_000
+HEAVY = 20_000  # rows of a bucket that are compared in one task
+BROADCAST_ROWS = 1 << 16  # crowded buckets that are broadcast; of more, the join is left to the optimiser
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _ODD = mix(np.arange(11, 11 + 64, dtype=np.uint64)) | np.uint64(1)
 SKETCH = pa.schema([("doc_id", pa.int64()), ("sketch", pa.binary()), ("minima", pa.list_(pa.int64()))])
@@ -231,28 +235,31 @@ def _linked(buckets: DataFrame, radius: int) -> DataFrame:
     return buckets.mapInArrow(run, "a long, b long")
 
 
+def _spread(rows: DataFrame, heavy: int) -> DataFrame:
+    """``rows`` (bucket, rep, sketch) with every bucket of more than ``heavy`` rows cut into blocks, and in place of it a bucket for each two of these."""
+    crowded = checkpointed(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy).select("bucket", F.ceil(F.col("n") / heavy).cast("int").alias("g")))
+    many = crowded.count()
+    if not many:
+        return rows
+    marked = rows.join(F.broadcast(crowded) if many <= BROADCAST_ROWS else crowded, "bucket", "left").withColumn("k", F.pmod(F.xxhash64("rep", "bucket"), "g").cast("int"))
+    pairs = marked.where("g IS NOT NULL").select("bucket", "rep", "sketch", "k", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j")).where("k <> j")
+    return marked.where("g IS NULL").select("bucket", "rep", "sketch").unionByName(pairs.select(F.xxhash64("bucket", F.least("k", "j"), F.greatest("k", "j")).alias("bucket"), "rep", "sketch"))
+
+
 def groups(docs: DataFrame, radius: int = RADIUS, bands: int = BANDS, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, group_id, kept) for every row: the smallest doc_id of its group of near copies, and whether it is that one."""
-    same = Window.partitionBy("sketch", "minima")
-    known = checkpointed(_sketched(docs, id_col, text_col, bands).withColumn("rep", F.min("doc_id").over(same)))
-    reps = known.where("doc_id = rep").select("rep", "sketch", "minima")
-    rows = reps.select("rep", "sketch", "minima", F.posexplode("minima").alias("band", "low")).withColumn("bucket", F.xxhash64("band", "low"))
-    # at most rows / heavy of these, so they can be broadcast
-    crowded = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy).select("bucket", F.lit(True).alias("crowded"))
-    marked = rows.join(F.broadcast(crowded), "bucket", "left")
-    plain = marked.where("crowded IS NULL").select("bucket", "rep", "sketch")
-    split = (
-        marked.where("crowded")
-        .select("bucket", "band", "rep", "sketch", F.posexplode("minima").alias("band2", "low2"))
-        .where("band <> band2")
-        .select(F.xxhash64("bucket", "band2", "low2").alias("bucket"), "rep", "sketch")
-    )
-    buckets = plain.unionByName(split).repartition("bucket").sortWithinPartitions("bucket", "rep")
+    """(doc_id, group_id, n_links, kept) for every row: the smallest doc_id of its group of near copies, how many links join it to others, and whether it is that one."""
+    known = checkpointed(_sketched(docs, id_col, text_col, bands))
+    reps = known.groupBy("sketch", "minima").agg(F.min("doc_id").alias("rep"))
+    rows = reps.select("rep", "sketch", F.posexplode("minima").alias("band", "low")).select(F.xxhash64("band", "low").alias("bucket"), "rep", "sketch")
+    buckets = _spread(rows, heavy).repartition("bucket").sortWithinPartitions("bucket", "rep")
     # rows of one document in different sketches, and links between documents
-    roots = components(_linked(buckets, radius).unionByName(known.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
+    same = known.join(reps, ["sketch", "minima"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    edges = checkpointed(_linked(buckets, radius).unionByName(same).where("a <> b").distinct())
+    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    roots = components(edges).join(degree, "node")
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     joined = ids.join(roots, F.col("doc_id") == F.col("node"), "left")
-    return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("group_id")).withColumn(
+    return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("group_id"), F.coalesce("n", F.lit(0)).alias("n_links")).withColumn(
         "kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("group_id"))
     )
 
