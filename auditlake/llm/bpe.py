@@ -2,16 +2,17 @@
 
 A rolling hash over the bytes of a text sets chunk borders by content alone, so passages that documents share fall into
 the same chunks whatever precedes them. A worker encodes each distinct chunk once and keeps its ids. The chunks of a
-document are then joined: around every border the text between the last border of words that is certain on the left and
-the first on the right is encoded anew, and the new ids replace the old ones where the token borders of both agree; where
-none agree, the span grows over the neighbouring chunk, up to the whole document. The ids equal those of encoding the
-whole text, for every text.
+document are then joined: around every border the text from the last certain border on the left to the first on the
+right is encoded anew, and the new ids replace the old ones between the token borders that both have there; a chunk
+without any is encoded anew with its neighbours, up to the whole document. The ids equal those of encoding the whole text,
+for every text.
 
-A border of words is certain between a letter or number and a single space that a letter follows: no pre-token holds
-both, whatever stands further off.
+A border is certain between a letter of any common script and a blank or sign behind it: no pre-token holds both, whatever
+stands further off, so every encoding of a text around it has a token border there.
 
-Defined results: a null text has null ids; the empty text has none. Strings of special tokens are ordinary text. Rows
-that repeat are encoded like any other. Other columns are ignored. An empty table gives an empty result.
+Defined results: a null text has null ids; the empty text has none. Strings of special tokens are ordinary text. Very long
+texts are encoded whole, in time that grows with their length. Rows that repeat are encoded alike, so ties don't matter.
+Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,11 @@ MASK_BITS = 10  # chunks of about 1 KB
 LEAST = 256
 CACHE_BYTES = 48 << 20
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
-_CERTAIN = re.compile(rb"[A-Za-z](?= [A-Za-z])")
+# letters of old standing in the common scripts, of whose kind no two Unicode versions differ, and signs that are neither letters nor numbers
+_LETTER = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01ba\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u0905-\u0939\u0e01-\u0e30\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]"
+_SIGN = r"[\s!-/:-@\[-`{-~\u00ab\u00bb\u00bf\u2010-\u2027\u3001-\u3003\u3008-\u3011\uff01-\uff0f\uff1a\uff1b\uff1f]"
+_FIRST = re.compile(f"{_LETTER}(?={_SIGN})")
+_LAST = re.compile(f"(?s).*{_LETTER}(?={_SIGN})")
 
 
 def borders(data: bytes, bits: int = MASK_BITS, least: int = LEAST) -> list[int]:
@@ -73,15 +78,12 @@ class Chunks:
     def get(self, chunk: bytes) -> tuple[np.ndarray, np.ndarray, int, int]:
         found = self.held.get(chunk)
         if found is None:
-            ids = self.ids(chunk)
-            first = _CERTAIN.search(chunk)
-            last = -1
-            at = len(chunk)
-            while (at := chunk.rfind(b" ", 0, at)) > 0:
-                if _CERTAIN.match(chunk, at - 1):
-                    last = at
-                    break
-            found = (ids, np.cumsum(self.width[ids]), first.end() if first else -1, last)
+            text = chunk.decode("utf-8")
+            ids = np.array(self.enc.encode_ordinary(text), np.int32)
+            at = np.cumsum(self.width[ids])
+            first, last = _FIRST.search(text), _LAST.match(text)
+            ends = [-1 if m is None else int(np.searchsorted(at, len(text[: m.end()].encode("utf-8")))) for m in (first, last)]
+            found = (ids, at, *ends)
             self.encoded += 1
             if self.size > self.limit:
                 self.held.clear()
@@ -99,37 +101,30 @@ class Chunks:
         if len(ends) < 2:
             return self.get(data)[0] if data else np.zeros(0, np.int32)
         out: list[np.ndarray] = []
-        pending = b""  # text behind the last certain border, not joined yet
+        pending: list[bytes] = []  # text behind the last certain border, not joined yet
         start = 0
         for k, e in enumerate(ends):
             chunk = data[start:e]
-            ids, at, first, last = self.get(chunk)
+            ids, at, i, j = self.get(chunk)
             start = e
-            if k == 0 and k < len(ends) - 1:
-                if last > 0 and (i := int(np.searchsorted(at, last))) < len(at) and at[i] == last:
-                    out.append(ids[: i + 1])
-                    pending = chunk[last:]
+            # tokens i and j end at the chunk's first and last certain border
+            if k == 0:
+                if j < 0:
+                    pending = [chunk]
                 else:
-                    pending = chunk
-                continue
-            # repair: the pending text and this chunk up to its first certain border
-            i = int(np.searchsorted(at, first)) if first > 0 else len(at)
-            if first <= 0 or i >= len(at) or at[i] != first:
-                pending += chunk
-                continue
-            if k == len(ends) - 1:
-                out += [self.ids(pending + chunk[:first]), ids[i + 1 :]]
-                pending = b""
-                continue
-            j = int(np.searchsorted(at, last))
-            if last <= first or j >= len(at) or at[j] != last:
-                out.append(self.ids(pending + chunk[:first]))
-                pending = chunk[first:]
-                continue
-            out += [self.ids(pending + chunk[:first]), ids[i + 1 : j + 1]]
-            pending = chunk[last:]
-        if pending:
-            out.append(self.ids(pending))
+                    out.append(ids[: j + 1])
+                    pending = [chunk[at[j] :]]
+            elif i < 0:
+                pending.append(chunk)
+            else:
+                pending.append(chunk[: at[i]])
+                out.append(self.ids(b"".join(pending)))
+                if k == len(ends) - 1:
+                    out.append(ids[i + 1 :])
+                    return np.concatenate(out)
+                out.append(ids[i + 1 : j + 1])
+                pending = [chunk[at[j] :]]
+        out.append(self.ids(b"".join(pending)))
         return np.concatenate(out)
 
     def decode(self, ids: np.ndarray) -> str:

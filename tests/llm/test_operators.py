@@ -138,10 +138,9 @@ def test_links_join_what_brute_force_joins(seed):
     assert {tuple(x) for x in simhash.links(bucket, sk, 40, block=2).tolist()} == want
 
 
-@pytest.mark.parametrize("heavy", [simhash.HEAVY, 4])
-def test_near_copies(corpus, heavy):
+def test_near_copies(corpus):
     d, pairs = corpus
-    got = {r["doc_id"]: r["group_id"] for r in simhash.groups(d, heavy=heavy).collect()}
+    got = {r["doc_id"]: r["group_id"] for r in simhash.groups(d).collect()}
     assert np.mean([got[c] == got[o] for c, o in pairs.items()]) >= 0.9
     touched = set(pairs) | set(pairs.values())
     assert all(got[k] == k for k in got if k not in touched)
@@ -152,6 +151,19 @@ def test_near_copies(corpus, heavy):
     assert len(near) >= 45 and np.mean([got[i] == got[j] for i, j in near]) >= 0.9
 
 
+def test_groups_are_the_same_however_buckets_are_cut(spark, prose):
+    r, passage = random.Random(3), prose(60, 1)
+    rows = []
+    for k in range(60):
+        words = prose(r.randrange(20, 200), 300 + k).split()
+        rows.append((2 * k, " ".join([*words, passage])))
+        words[r.randrange(len(words))] = "other"
+        rows.append((2 * k + 1, " ".join([*words, passage])))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, cut = ({r["doc_id"]: r["group_id"] for r in simhash.groups(d, heavy=h).collect()} for h in (1 << 40, 2))
+    assert whole == cut and sum(g == k for k, g in whole.items()) < 80
+
+
 def test_near_copies_of_hostile_tables(hostile):
     got = plain(simhash.groups(hostile).select("doc_id", "group_id", "kept"))
     assert len(got) == hostile.count()
@@ -258,8 +270,8 @@ def test_leaks_of_hostile_tables(spark, hostile, prose):
 def test_chunked_encoding_is_exact(prose):
     c, enc = bpe.Chunks(tokencount.VOCABULARY), tokencount.encoding(tokencount.VOCABULARY)
     r = random.Random(2)
-    bits = ["a", "b", " ", "  ", "\n", "'s", "é", "1", "日本", "!", "\t", "  x", " the", "　", "🙂", "'ll", "<|endoftext|>", "́"]
-    texts = ["", *(prose(n, n) for n in (1, 40, 3000)), *("".join(r.choice(bits[: r.randrange(2, len(bits))]) for _ in range(r.choice([1, 50, 900, 5000]))) for _ in range(120))]
+    bits = ["a", "b", " ", "  ", "\n", "'s", "é", "1", "日本", "!", "\t", "  x", " the", "　", "🙂", "'ll", "<|endoftext|>", "́", "слово ", "。", "нет,", "ab'", "語、"]
+    texts = ["", "日本語" * 3000, ("日本語の文章です。" * 7 + "次の文、") * 300, "Съешь ещё этих мягких французских булок, да выпей чаю. " * 300, *(prose(n, n) for n in (1, 40, 3000)), *("".join(r.choice(bits[: r.randrange(2, len(bits))]) for _ in range(r.choice([1, 50, 900, 5000]))) for _ in range(120))]
     for t in texts:
         ids = c.encode(t)
         assert ids.tolist() == enc.encode_ordinary(t) and c.decode(ids) == t
@@ -271,6 +283,23 @@ def test_chunked_encoding_is_exact(prose):
     assert first > 5 and c.encoded - before - first <= 3  # all but the first chunks are found again
 
 
+def test_texts_of_other_scripts_are_encoded_in_time_that_grows_with_them():
+    import time
+
+    c, r = bpe.Chunks(tokencount.VOCABULARY), random.Random(5)
+    words = ["".join(r.choice("абвгдежзиклмнопрстуф") for _ in range(r.randrange(2, 9))) for _ in range(5000)]
+    signs = [chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(3000)]
+    russian = " ".join(r.choice(words) for _ in range(150_000))
+    chinese = "".join(r.choice(signs) + ("，" if r.random() < 0.1 else "") for _ in range(300_000))
+    for text in (russian, chinese):
+        took = []
+        for f in (c.ids, lambda b: c.encode(b.decode())):
+            began = time.process_time()
+            f(text.encode())
+            took.append(time.process_time() - began)
+        assert (c.encode(text) == c.ids(text.encode())).all() and took[1] < 2 * took[0] + 0.2, took
+
+
 def test_encode_decode_and_count_tables(hostile):
     got, counts = bpe.encode(hostile).collect(), plain(tokencount.count_tokens(hostile))
     enc = tokencount.encoding(tokencount.VOCABULARY)
