@@ -1,309 +1,450 @@
 """Language-model scores from a hashed maximum-entropy model.
 
-A word's probability is that of its class times that of the word within its class, each a softmax over the summed weights
-of the context's features: the last word, the last two, and the last but one (a skip). Features are hashed to rows of
-weights. The most frequent words of the corpus have symbols of their own, all others share hashed ones; symbols are put
-into classes by frequency, so that classes are of like weight.
-
-Training passes over the whole corpus once, in ``ROUNDS`` rounds by the hash of the id. In a round, tasks run gradient
-descent over their documents from the weights so far and send on what they changed after every ``BLOCK`` words: so what
-is gathered from the corpus grows with it. The changes of a block of rows meet in two steps, within groups of tasks and
-then over the groups, and are averaged, weighted by how often each row was used; the problem is convex, so the average is
-a better model. Only the mixed weights, of fixed size, pass the driver. Scoring is one narrow pass in numpy batches, which
-gathers the sparse rows that occur.
-
-Defined results: a text that is null or has no words has 0 words and null scores. Rows that repeat are scored alike, and
-count in training as often as they occur. Other columns are ignored. An empty table gives an empty result.
+A word's probability is the product of its classes': every distinct word of the corpus has a path through a tree of
+classes with ``FAN`` children each, short for frequent words, and each step of the path is a softmax over the summed
+weights of the context's features: the class itself (a bias), the last word, the last two, and the last but one (a skip).
+A feature at a class is hashed to a row of ``FAN`` weights.
+
+What the model holds grows with the corpus: all its distinct words have paths of their own, and there is a row of weights
+for every ``SHARE`` words or so. Neither passes the driver, which sees a histogram of counts and names of files: the
+words' codes are sorted segments in the shared folder, mapped by workers; the weights are spans in the shared folder.
+
+1. Texts are tokenised once; the distinct words of each run of documents, and their places in these, are written.
+2. Words are counted. A path's length follows from the count (a scaled Shannon code, found from the histogram), the path
+   from the rank among the words of this length.
+3. Training passes over all runs once, in ``ROUNDS`` rounds by the hash of the run. In a round, tasks run gradient descent
+   over their runs from the weights so far, with a rate that falls by row as its gradients add up, and send on the rows
+   that changed after every ``BLOCK`` words or so. Changes of a span meet in two steps, within groups of tasks and then
+   over the groups. Those of rows that little was learnt of are added; the more was learnt, the more it is an average.
+4. Scoring is one narrow pass in numpy batches, which gathers the sparse rows that occur.
+
+Defined results: a text that is null or has no words has 0 words and null scores. A very long text is one run, scored whole.
+Rows that repeat are scored alike (ties don't matter) and count in training as often as they occur. Other columns are
+ignored. An empty table gives an empty result. A task that is run again writes files of its own, of which only those of
+the run that counts are read.
 """
 
 from __future__ import annotations
 
+import functools
+import io
 import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import discard, shared_dir
-from .common import HashCache, hashed_tokens, mix, slices
-
-CLASSES, MEMBERS = 32, 64
-OWN = 1024  # words with symbols of their own
-CLASS_BITS, WORD_BITS = 14, 15
-SPAN = 512  # rows of weights that travel together
-#: The last span of the class weights holds the bias, in its last row.
-CLASS_ROWS, WORD_ROWS = (1 << CLASS_BITS) + SPAN, 1 << WORD_BITS
-FEATURES = 3
+from .common import HashCache, filesystem, hashed_tokens, mix, slices
+
+FAN = 16
+BITS = 4  # of a step
+FEATURES = 4
+SHARE = 4  # distinct words for each row of weights
+SPAN = 4096  # rows of weights that travel together
 ROUNDS = 2
 BLOCK = 2_000_000
-BATCH = 1024
-RATE = 0.1
+BATCH = 4096  # steps in one update
+RATE = 0.4
+SUMMED = 16.0  # summed squares of gradients up to which changes of different blocks are added rather than averaged
+DEEPEST = 15  # steps of a path; two words of equal hash are one
 _K = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_START = np.uint64(0x2545F4914F6CDD1D)
 
 
-@dataclass
-class Symbols:
-    """word hash -> symbol; symbol s is member s % MEMBERS of class s // MEMBERS."""
-
-    words: np.ndarray  # hashes with own symbols, sorted
-    own: np.ndarray  # their symbols
-    rest: np.ndarray  # symbols that the other words share
-
-    def of(self, flat: np.ndarray) -> np.ndarray:
-        out = self.rest[(mix(flat) >> np.uint64(32)).astype(np.int64) % len(self.rest)]
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, flat), len(self.words) - 1)
-            hit = self.words[at] == flat
-            out[hit] = self.own[at[hit]]
-        return out
-
-
-def assign(words: list[int], counts: list[int], total: int) -> Symbols:
-    """Deals symbols out: own words by falling count, and the shared ones, into the class with the least weight that has room."""
-    shared = CLASSES * MEMBERS - len(words)
-    left = max(0, total - sum(counts)) / shared
-    weights = sorted([(c, k) for k, c in enumerate(counts)] + [(left, -1 - k) for k in range(shared)], key=lambda x: (-x[0], x[1]))
-    load, used = np.zeros(CLASSES), np.zeros(CLASSES, np.int64)
-    own, rest = np.zeros(len(words), np.int32), np.zeros(shared, np.int32)
-    for w, k in weights:
-        c = int(np.argmin(np.where(used < MEMBERS, load, np.inf)))
-        s = c * MEMBERS + int(used[c])
-        load[c] += w
-        used[c] += 1
-        if k >= 0:
-            own[k] = s
-        else:
-            rest[-1 - k] = s
-    order = np.argsort(np.array(words, np.uint64))
-    return Symbols(np.array(words, np.uint64)[order], own[order], rest)
+def _put(folder: str, array: np.ndarray) -> str:
+    fs, base = filesystem(folder)
+    fs.create_dir(base, recursive=True)
+    name, held = f"{uuid.uuid4().hex}.npy", io.BytesIO()
+    np.save(held, array)
+    with fs.open_output_stream(f"{base}/{name}") as f:
+        f.write(held.getvalue())
+    return name
+
+
+def _get(folder: str, name: str) -> np.ndarray:
+    fs, base = filesystem(folder)
+    if fs.type_name == "local":
+        return np.load(f"{base}/{name}", mmap_mode="r")
+    with fs.open_input_file(f"{base}/{name}") as f:
+        return np.load(io.BytesIO(f.read()))
+
+
+# --- words and their paths
+
+def lengths(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Path lengths for bins of ``words`` words that occur about ``counts`` times each, such that all paths fit into the tree, with one of the longest left over."""
+    total = float((counts * words).sum())
+    bits = np.log2(total / counts) / BITS
+
+    def at(shift: float) -> np.ndarray:
+        return np.clip(np.ceil(bits - shift - 1e-12), 1, DEEPEST)
+
+    def room(n: np.ndarray) -> bool:
+        return float((words * 2.0 ** (-BITS * n)).sum()) + 2.0 ** (-BITS * max(n.max(), 1)) <= 1 + 1e-12
 
+    low, high = -2.0, 2.0
+    for _ in range(40):
+        mid = (low + high) / 2
+        low, high = (mid, high) if room(at(mid)) else (low, mid)
+    return at(low).astype(np.int64)
+
+
+@dataclass
+class Vocabulary:
+    """word hash -> (code, length). Codes of one length follow each other, after those of the shorter ones."""
+
+    folder: str
+    segments: tuple[tuple[int, str], ...]  # first word, file
+    start: np.ndarray  # [segments, DEEPEST + 1] code of each segment's first word of a length
+    unknown: tuple[int, int]  # the path that no word has
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words = words.view(np.int64)
+        code, length = np.full(len(words), self.unknown[0], np.uint64), np.full(len(words), self.unknown[1], np.int64)
+        if not len(self.segments):
+            return code, length
+        which = np.searchsorted(np.array([s[0] for s in self.segments]), words, "right") - 1
+        for s in np.unique(which[which >= 0]).tolist():
+            known = _segment(self.folder, self.segments[s][1])
+            mine = np.flatnonzero(which == s)
+            at = np.minimum(np.searchsorted(known[0], words[mine]), known.shape[1] - 1)
+            mine, at = mine[known[0][at] == words[mine]], at[known[0][at] == words[mine]]
+            packed = known[1][at]
+            length[mine] = packed & 15
+            code[mine] = self.start[s][packed & 15] + (packed >> 4).astype(np.uint64)
+        return code, length
+
+
+_segment = functools.lru_cache(maxsize=256)(_get)
+
+
+def vocabulary(counted: DataFrame, folder: str) -> tuple[Vocabulary, int]:
+    """Paths for all words of ``counted`` (word, n), and how many words there are."""
+    fine = F.floor(F.log2("n") * 8).cast("int")
+    bins = counted.groupBy(fine.alias("bin")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).orderBy("bin").collect()
+    names = [r["bin"] for r in bins]
+    words = np.array([r["words"] for r in bins], np.float64)
+    size = lengths(np.array([r["n"] for r in bins]) / np.maximum(words, 1), words) if bins else np.zeros(0, np.int64)
+    length_of = np.zeros(max(names, default=0) + 1, np.int64)
+    length_of[names] = size
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if len(b)]
+        rows = []
+        if held:
+            word, length = np.concatenate([w for w, _ in held]), length_of[np.concatenate([k for _, k in held])]
+            order = np.argsort(word, kind="stable")
+            word, length = word[order], length[order]
+            rank, per = np.zeros(len(word), np.int64), np.zeros(DEEPEST + 1, np.int64)
+            for n in np.unique(length).tolist():
+                these = length == n
+                per[n] = these.sum()
+                rank[these] = np.arange(per[n])
+            rows = [(int(word[0]), _put(folder, np.stack([word, rank << 4 | length])), per.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.list_(pa.int64())))], names=["first", "file", "per"])
+
+    ranged = counted.select("word", fine.alias("bin")).repartitionByRange("word")
+    got = sorted((r["first"], r["file"], r["per"]) for r in ranged.mapInArrow(write, "first long, file string, per array<long>").collect())
+    per = np.array([r[2] for r in got], np.int64).reshape(-1, DEEPEST + 1)
+    start = np.zeros(per.shape, np.uint64)
+    code, deepest = 0, max(1, int(size.max()) if len(size) else 1)
+    for n in range(1, deepest + 1):
+        code <<= BITS
+        start[:, n] = (code + np.cumsum(per[:, n]) - per[:, n]).astype(np.uint64)
+        code += int(per[:, n].sum())
+    return Vocabulary(folder, tuple((a, b) for a, b, _ in got), start, (code, deepest)), int(per.sum())
+
+
+# --- the model
 
 @dataclass
 class Weights:
-    classes: np.ndarray  # [CLASS_ROWS, CLASSES]
-    words: np.ndarray  # [WORD_ROWS, MEMBERS]
+    table: np.ndarray  # [rows, FAN]
+    squares: np.ndarray  # [rows] sums of the squared gradients so far
 
     @staticmethod
-    def zero() -> Weights:
-        return Weights(np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((WORD_ROWS, MEMBERS), np.float32))
+    def zero(bits: int) -> Weights:
+        return Weights(np.zeros((1 << bits, FAN), np.float32), np.zeros(1 << bits, np.float32))
 
     def copy(self) -> Weights:
-        return Weights(self.classes.copy(), self.words.copy())
+        return Weights(self.table.copy(), self.squares.copy())
 
+    @property
+    def shift(self) -> np.uint64:
+        return np.uint64(65 - len(self.squares).bit_length())
 
-def contexts(symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of class weights [FEATURES, words] and of word weights [FEATURES + 1, words], the last of which is a bias for the class; before a text's first word stands a sign of its own."""
-    n = len(symbols)
+
+def contexts(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """[FEATURES, words] hashes of what stands before each word; before a text's first word stands a sign of its own."""
+    n = len(flat)
     ahead = np.arange(n) - np.repeat(at[:-1], np.diff(at))
-    one, two = np.full(n, CLASSES * MEMBERS, np.uint64), np.full(n, CLASSES * MEMBERS, np.uint64)
-    one[1:] = symbols[:-1]
-    two[2:] = symbols[:-2]
-    one[ahead < 1] = two[ahead < 2] = CLASSES * MEMBERS
-    h = np.empty((FEATURES + 1, n), np.uint64)
-    h[0] = mix(one * _K[0] + _K[1])
-    h[1] = mix(h[0] + two * _K[2])
-    h[2] = mix(two * _K[2] + _K[3])
-    h[3] = _K[1]
-    rows = (h[:FEATURES] >> np.uint64(64 - CLASS_BITS)).astype(np.intp)
-    within = (((h + (symbols // MEMBERS).astype(np.uint64) * _K[3]) * _K[0]) >> np.uint64(64 - WORD_BITS)).astype(np.intp)
-    return rows, within
-
-
-def _logits(table: np.ndarray, rows: np.ndarray, bias: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
-    held = [table.take(r, axis=0) for r in rows]
-    z = held[0] + held[1]
-    for h in held[2:]:
-        z += h
-    if bias is not None:
-        z += bias
+    one, two = np.full(n, _START), np.full(n, _START)
+    one[1:], two[2:] = flat[:-1], flat[:-2]
+    one[ahead < 1] = two[ahead < 2] = _START
+    h = np.empty((FEATURES, n), np.uint64)
+    h[0] = _K[3]
+    h[1] = mix(one * _K[0] + _K[1])
+    h[2] = mix(h[1] + two * _K[2])
+    h[3] = mix(two * _K[2] + _K[3])
+    return h
+
+
+def steps(ctx: np.ndarray, code: np.ndarray, length: np.ndarray, shift: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of weights [FEATURES, steps] and the children taken, over the paths of all words in order."""
+    total = int(length.sum())
+    word = np.repeat(np.arange(len(length)), length)
+    depth = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
+    down = ((length[word] - depth) * BITS).astype(np.uint64)
+    left = code[word]
+    node = ((left >> down) + (depth.astype(np.uint64) << np.uint64(60))) * _K[1]
+    node ^= node >> np.uint64(29)
+    child = ((left >> (down - np.uint64(BITS))) & np.uint64(FAN - 1)).astype(np.intp)
+    return (((ctx[:, word] + node) * _K[0]) >> shift).astype(np.intp), child
+
+
+def _softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = table.take(rows[0], axis=0)
+    for r in rows[1:]:
+        z += table.take(r, axis=0)
     z -= z.max(axis=1, keepdims=True)
-    return held, z
-
-
-def _step(table: np.ndarray, rows: np.ndarray, target: np.ndarray, bias: np.ndarray | None) -> None:
-    """One stochastic gradient step on a batch. A row moves by the sum over all examples that share it, divided by the root of their number; the bias of all moves by their mean."""
-    _, p = _logits(table, rows, bias)
-    np.exp(p, out=p)
-    p *= np.float32(RATE) / p.sum(axis=1, keepdims=True)
-    p[np.arange(len(p)), target] -= np.float32(RATE)
-    for r in rows:
-        order = np.argsort(r.astype(np.uint16), kind="stable")
-        row = r[order]
-        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-        count = np.diff(np.append(first, len(row)))
-        alone, first, count = first[count == 1], first[count > 1], count[count > 1]
-        table[row[alone]] -= p[order[alone]]
-        if len(first):
-            at = np.cumsum(count) - count
-            some = order[np.repeat(first - at, count) + np.arange(count.sum())]  # the examples whose row others share
-            table[row[first]] -= np.add.reduceat(p[some], at, axis=0) / np.sqrt(count, dtype=np.float32)[:, None]
-    if bias is not None:
-        bias -= p.mean(axis=0)
-
-
-def descend(weights: Weights, symbols: np.ndarray, at: np.ndarray, uses: tuple[np.ndarray, np.ndarray]) -> None:
-    rows, within = contexts(symbols, at)
-    for a in range(0, len(symbols), BATCH):
-        s = symbols[a : a + BATCH]
-        _step(weights.classes, rows[:, a : a + BATCH], s // MEMBERS, weights.classes[-1])
-        _step(weights.words, within[:, a : a + BATCH], s % MEMBERS, None)
-    uses[0][:] += np.bincount(rows.ravel(), minlength=len(uses[0]))
-    uses[0][-1] += len(symbols)
-    uses[1][:] += np.bincount(within.ravel(), minlength=WORD_ROWS)
-
-
-def log_probabilities(weights: Weights, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def update(w: Weights, rows: np.ndarray, child: np.ndarray, rate: float = RATE) -> None:
+    """One gradient step on a batch: a row moves against the sum of its examples' gradients, over the root of its summed squares."""
+    g = _softmax(w.table, rows)
+    g[np.arange(len(child)), child] -= 1
+    n = rows.size
+    order = np.sort((rows.ravel().astype(np.uint64) << np.uint64(32)) | np.tile(np.arange(len(child), dtype=np.uint64), len(rows)))
+    row = (order >> np.uint64(32)).astype(np.intp)
+    first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+    total = g.take((order & np.uint64(0xFFFFFFFF)).astype(np.intp), axis=0)
+    if len(first) < n:
+        total = np.add.reduceat(total, first, axis=0)
+    row = row[first]
+    squares = w.squares[row] + np.einsum("ij,ij->i", total, total)
+    w.squares[row] = squares
+    total *= (np.float32(rate) / np.sqrt(squares + np.float32(1e-6)))[:, None]
+    w.table[row] -= total
+
+
+def descend(w: Weights, flat: np.ndarray, at: np.ndarray, code: np.ndarray, length: np.ndarray) -> None:
+    ctx, piece = contexts(flat, at), 1 << 16
+    for a in range(0, len(flat), piece):
+        rows, child = steps(ctx[:, a : a + piece], code[a : a + piece], length[a : a + piece], w.shift)
+        for b in range(0, len(child), BATCH):
+            update(w, rows[:, b : b + BATCH], child[b : b + BATCH])
+
+
+def log_probabilities(w: Weights, flat: np.ndarray, at: np.ndarray, code: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Natural log-probability of every word."""
-    rows, within = contexts(symbols, at)
-    out = np.empty(len(symbols))
-    for a in range(0, len(symbols), BATCH):
-        s = symbols[a : a + BATCH]
-        k = np.arange(len(s))
-        _, c = _logits(weights.classes, rows[:, a : a + BATCH], weights.classes[-1])
-        _, w = _logits(weights.words, within[:, a : a + BATCH], None)
-        out[a : a + BATCH] = c[k, s // MEMBERS] + w[k, s % MEMBERS]
-        out[a : a + BATCH] -= np.log(np.exp(c, out=c).sum(axis=1)) + np.log(np.exp(w, out=w).sum(axis=1))
+    ctx, piece, out = contexts(flat, at), 1 << 15, np.zeros(len(flat))
+    for a in range(0, len(flat), piece):
+        size = length[a : a + piece]
+        rows, child = steps(ctx[:, a : a + piece], code[a : a + piece], size, w.shift)
+        lp = np.empty(len(child))
+        for b in range(0, len(child), BATCH):
+            c = child[b : b + BATCH]
+            lp[b : b + BATCH] = np.log(np.maximum(_softmax(w.table, rows[:, b : b + BATCH])[np.arange(len(c)), c], 1e-30))
+        out[a : a + piece] = np.add.reduceat(lp, np.cumsum(size) - size)
     return out
 
 
-def vocabulary(slim: DataFrame) -> Symbols:
-    """Symbols from the word counts of all documents."""
+# --- tables
+
+RUNS = pa.schema([("run", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
+_RUNS = "run long, ids array<long>, sizes binary, words binary, counts binary, places binary"
+
+
+def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of documents: ids, words of each, distinct words with their counts, and the place of every word among these (two bytes where that is enough)."""
+    from pyspark import TaskContext
+
+    cache, run = HashCache(), TaskContext.get().partitionId() << 32
+    for whole in batches:
+        for b in slices(whole, "text", 2 << 20):
+            flat, at = hashed_tokens(b.column(1).to_pylist(), cache)
+            place, words = pd.factorize(flat)
+            place = place.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
+            values = [np.diff(at), np.asarray(words, np.uint64), np.bincount(place, minlength=len(words)), place]
+            ids = pa.ListArray.from_arrays(pa.array([0, len(b)], pa.int32()), b.column(0).cast(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([run]), ids, *(pa.array([v.tobytes()], pa.binary()) for v in values)], schema=RUNS)
+            run += 1
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = HashCache()
-        for whole in batches:
-            for b in slices(whole, "text", 8 << 20):
-                words, n = np.unique(hashed_tokens(b.column(1).to_pylist(), cache)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for words, counts in zip(b.column(0), b.column(1)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words.as_py(), np.int64)), pa.array(np.frombuffer(counts.as_py(), np.int64))], names=["word", "n"])
+
+
+def _opened(names: Vocabulary, sizes: bytes, words: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(flat, at, code, length) of a run."""
+    distinct = np.frombuffer(words, np.uint64)
+    place = np.frombuffer(places, np.uint16 if len(distinct) <= 1 << 16 else np.uint32)
+    code, length = names.of(distinct)
+    return distinct[place], np.concatenate(([0], np.cumsum(np.frombuffer(sizes, np.int64)))), code[place], length[place]
+
+
+@dataclass(frozen=True)
+class Stored:
+    """Weights as spans in the shared folder; spans that aren't there are zero."""
 
-    # written once, as both the total and the ranking read it
-    at = f"{shared_dir(slim.sparkSession)}/words-{uuid.uuid4().hex}"
-    slim.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).write.parquet(at)
-    counted = slim.sparkSession.read.parquet(at)
-    total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
-    top = counted.orderBy(F.desc("n"), "word").limit(OWN).collect()
-    discard(slim.sparkSession, at)
-    return assign([r["word"] % (1 << 64) for r in top], [r["n"] for r in top], total)
+    folder: str
+    bits: int
+    spans: tuple[tuple[int, str], ...] = ()
 
+    def load(self) -> Weights:
+        w = Weights.zero(self.bits)
+        for k, name in self.spans:
+            some = _get(self.folder, name)
+            w.table[k * SPAN : (k + 1) * SPAN], w.squares[k * SPAN : (k + 1) * SPAN] = some[:, :FAN], some[:, FAN]
+        return w
 
-MOVES = pa.schema([("part", pa.int32()), ("origin", pa.int64()), ("rows", pa.binary()), ("uses", pa.binary())])
-_PARTS = (CLASS_ROWS // SPAN, WORD_ROWS // SPAN)
 
+@functools.lru_cache(maxsize=1)
+def _loaded(stored: Stored) -> Weights:
+    return stored.load()
 
-def _moves(base: Weights, now: Weights, uses: tuple[np.ndarray, np.ndarray], origin: int) -> Iterator[pa.RecordBatch]:
+
+MOVES = pa.schema([("part", pa.int32()), ("origin", pa.int64()), ("rows", pa.binary()), ("moves", pa.binary()), ("squares", pa.binary())])
+SUMS = pa.schema([("part", pa.int32()), ("origin_group", pa.int64()), ("moves", pa.binary()), ("squares", pa.binary())])
+
+
+def _moves(base: Weights, now: Weights, origin: int) -> Iterator[pa.RecordBatch]:
+    """The changed rows of each span."""
     out = []
-    for kind, (a, b, u) in enumerate(((base.classes, now.classes, uses[0]), (base.words, now.words, uses[1]))):
-        for k in range(_PARTS[kind]):
-            span = slice(k * SPAN, (k + 1) * SPAN)
-            if u[span].any():
-                out.append((k + kind * _PARTS[0], origin, (b[span] - a[span]).astype(np.float16).tobytes(), u[span].astype(np.float32).tobytes()))
+    for k in range(-(-len(now.squares) // SPAN)):
+        span = slice(k * SPAN, (k + 1) * SPAN)
+        gained = now.squares[span] - base.squares[span]
+        rows = np.flatnonzero(gained)
+        if len(rows):
+            moved = (now.table[span][rows] - base.table[span][rows]).astype(np.float16)
+            out.append((k, origin, rows.astype(np.uint16).tobytes(), moved.tobytes(), gained[rows].tobytes()))
     yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(MOVES)], schema=MOVES)
 
 
-def _sums(batches: Iterator[pa.RecordBatch], kind: type, grouped: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(part, group, weighted sum of the changes, uses) of rows that come in that order; float16 rows are changes, float32 rows are sums already."""
-    now, total, used = None, None, None
+def _weighted(moves: np.ndarray, gained: np.ndarray) -> np.ndarray:
+    return moves * (gained + np.float32(SUMMED))[:, None]
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of weighted changes within each (part, group), whose rows come one after the other."""
+    now, total, gained = None, None, None
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*now, total.tobytes(), gained.tobytes()), SUMS)], schema=SUMS)
+
     for b in batches:
-        for part, group, rows, uses in zip(*(c.to_pylist() for c in b.columns)):
-            key = (part, group if grouped else 0)
-            u = np.frombuffer(uses, np.float32).astype(np.float64)
-            moved = np.frombuffer(rows, kind).astype(np.float64).reshape(SPAN, -1)
-            if kind is np.float16:
-                moved *= u[:, None]
-            if key == now:
-                total += moved
-                used += u
-            else:
+        for part, group, rows, moves, squares in zip(*(c.to_pylist() for c in b.columns)):
+            if (part, group) != now:
                 if now is not None:
-                    yield *now, total, used
-                now, total, used = key, moved, u
+                    yield out()
+                now, total, gained = (part, group), np.zeros((SPAN, FAN), np.float32), np.zeros(SPAN, np.float32)
+            r, s = np.frombuffer(rows, np.uint16), np.frombuffer(squares, np.float32)
+            total[r] += _weighted(np.frombuffer(moves, np.float16).reshape(-1, FAN).astype(np.float32), s)
+            gained[r] += s
     if now is not None:
-        yield *now, total, used
+        yield out()
 
 
-def _added(kind: type):
+def _mixed(stored: Stored):
+    spans = dict(stored.spans)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, group, total, used in _sums(batches, kind, True):
-            values = [[part], [group], [total.astype(np.float32).tobytes()], [used.astype(np.float32).tobytes()]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "origin_group", "rows", "uses"])
+        def out() -> pa.RecordBatch:
+            size = min(SPAN, 1 << stored.bits)
+            new = np.array(_get(stored.folder, spans[now])) if now in spans else np.zeros((size, FAN + 1), np.float32)
+            new[:, :FAN] += (total / (gained + np.float32(SUMMED))[:, None])[:size]
+            new[:, FAN] += gained[:size]
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([_put(stored.folder, new)])], names=["part", "file"])
+
+        now, total, gained = None, None, None
+        for b in batches:
+            for part, moves, squares in zip(*(c.to_pylist() for c in b.columns)):
+                if part != now:
+                    if now is not None:
+                        yield out()
+                    now, total, gained = part, np.zeros((SPAN, FAN), np.float32), np.zeros(SPAN, np.float32)
+                total += np.frombuffer(moves, np.float32).reshape(SPAN, FAN)
+                gained += np.frombuffer(squares, np.float32)
+        if now is not None:
+            yield out()
 
     return run
 
 
-def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, _, total, used in _sums(batches, np.float32, False):
-        mean = (total / np.maximum(used, 1)[:, None]).astype(np.float32).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([mean], pa.binary())], names=["part", "rows"])
-
-
-def train(slim: DataFrame, symbols: Symbols, rounds: int = ROUNDS, block: int = BLOCK) -> Weights:
-    """``slim`` has (doc_id, text)."""
-    sc = slim.sparkSession.sparkContext
-    names = sc.broadcast(symbols)
-    weights = Weights.zero()
+def train(runs: DataFrame, names: Vocabulary, stored: Stored, rounds: int = ROUNDS, block: int = BLOCK) -> Stored:
+    """``runs`` are tokenised documents."""
     for r in range(rounds):
-        sent = sc.broadcast(weights)
-
-        def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def learn(batches: Iterator[pa.RecordBatch], stored: Stored = stored) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            cache, base, origin = HashCache(), sent.value, TaskContext.get().partitionId() << 32
-            now, uses, seen = base.copy(), (np.zeros(CLASS_ROWS), np.zeros(WORD_ROWS)), 0
-            for whole in batches:
-                for b in slices(whole, "text", 2 << 20):
-                    flat, at = hashed_tokens(b.column(1).to_pylist(), cache)
-                    if not len(flat):
-                        continue
-                    descend(now, names.value.of(flat), at, uses)
-                    seen += len(flat)
-                    if seen >= block:
-                        yield from _moves(base, now, uses, origin)
-                        now, uses, seen, origin = base.copy(), (np.zeros(CLASS_ROWS), np.zeros(WORD_ROWS)), 0, origin + 1
+            base, origin, now, seen = _loaded(stored), TaskContext.get().partitionId() << 32, None, 0
+            for b in batches:
+                for sizes, words, places in zip(b.column(0), b.column(1), b.column(2)):
+                    flat, at, code, length = _opened(names, sizes.as_py(), words.as_py(), places.as_py())
+                    if len(flat):
+                        now = base.copy() if now is None else now
+                        descend(now, flat, at, code, length)
+                        seen += len(flat)
+                        if seen >= block:
+                            yield from _moves(base, now, origin)
+                            now, seen, origin = None, 0, origin + 1
             if seen:
-                yield from _moves(base, now, uses, origin)
+                yield from _moves(base, now, origin)
 
-        mine = slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r)
-        moves = mine.mapInArrow(learn, "part int, origin long, rows binary, uses binary")
+        mine = runs.where(F.pmod(F.xxhash64("run"), F.lit(rounds)) == r).select("sizes", "words", "places")
+        moves = mine.mapInArrow(learn, "part int, origin long, rows binary, moves binary, squares binary")
         # first within groups of about as many tasks as there are groups, so that no task reads what grows with all the corpus
-        groups = max(1, math.isqrt(slim.rdd.getNumPartitions()))
+        groups = max(1, math.isqrt(runs.rdd.getNumPartitions()))
         grouped = moves.withColumn("origin_group", F.pmod(F.xxhash64("origin"), F.lit(groups))).repartition("part", "origin_group").sortWithinPartitions("part", "origin_group", "origin")
-        summed = grouped.select("part", "origin_group", "rows", "uses").mapInArrow(_added(np.float16), "part int, origin_group long, rows binary, uses binary")
-        got = summed.repartition("part").sortWithinPartitions("part", "origin_group").mapInArrow(_averaged, "part int, rows binary").toArrow()
-        weights = weights.copy()
-        for part, rows in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
-            table, k = (weights.classes, part) if part < _PARTS[0] else (weights.words, part - _PARTS[0])
-            table[k * SPAN : (k + 1) * SPAN] += np.frombuffer(rows, np.float32).reshape(SPAN, -1)
-        sent.unpersist()
-    return weights
+        summed = grouped.select("part", "origin_group", "rows", "moves", "squares").mapInArrow(_added, "part int, origin_group long, moves binary, squares binary")
+        ordered = summed.repartition("part").sortWithinPartitions("part", "origin_group").select("part", "moves", "squares")
+        got = ordered.mapInArrow(_mixed(stored), "part int, file string").collect()
+        stored = Stored(stored.folder, stored.bits, tuple(sorted((dict(stored.spans) | {x["part"]: x["file"] for x in got}).items())))
+    return stored
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_prob", pa.float64()), ("perplexity", pa.float64())])
 
 
+def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """The tokenised runs of all rows, written to the shared folder, and the folder."""
+    spark: SparkSession = docs.sparkSession
+    folder = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
+    docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tokenised, _RUNS).write.parquet(f"{folder}/runs")
+    return spark.read.schema(_RUNS).parquet(f"{folder}/runs"), folder
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_words, log_prob, perplexity) for every row, under a model trained on all of them."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    symbols = vocabulary(slim)
-    weights = train(slim, symbols, rounds, block)
-    sc = docs.sparkSession.sparkContext
-    model = sc.broadcast((symbols, weights))
+    runs, folder = prepared(docs, id_col, text_col)
+    counted = f"{folder}/counts"
+    runs.select("words", "counts").mapInArrow(_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).write.parquet(counted)
+    names, words = vocabulary(docs.sparkSession.read.parquet(counted), f"{folder}/names")
+    discard(docs.sparkSession, counted)
+    bits = max(12, round(math.log2(max(1, words / SHARE))))
+    stored = train(runs, names, Stored(f"{folder}/weights", bits), rounds, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = HashCache()
-        names, w = model.value
-        for whole in batches:
-            for b in slices(whole, "text", 2 << 20):
-                flat, at = hashed_tokens(b.column(1).to_pylist(), cache)
-                n = np.diff(at)
-                total = np.concatenate(([0.0], np.cumsum(log_probabilities(w, names.of(flat), at))))
-                lp = total[at[1:]] - total[at[:-1]]
+        w = _loaded(stored)
+        for b in batches:
+            for ids, sizes, words, places in zip(*b.columns):
+                flat, at, code, length = _opened(names, sizes.as_py(), words.as_py(), places.as_py())
+                total = np.concatenate(([0.0], np.cumsum(log_probabilities(w, flat, at, code, length))))
+                n, lp = np.diff(at), total[at[1:]] - total[at[:-1]]
                 none = n == 0
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(n), pa.array(np.round(lp, 4), mask=none), pa.array(np.round(np.exp(-lp / np.maximum(n, 1)), 4), mask=none)], schema=SCORES
+                    [ids.values, pa.array(n), pa.array(np.round(lp, 4), mask=none), pa.array(np.round(np.exp(np.minimum(-lp / np.maximum(n, 1), 700)), 4), mask=none)], schema=SCORES
                 )
 
-    return slim.mapInArrow(run, "doc_id long, n_words long, log_prob double, perplexity double")
+    return runs.select("ids", "sizes", "words", "places").mapInArrow(run, "doc_id long, n_words long, log_prob double, perplexity double")

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -367,52 +368,161 @@ def test_classifier_on_hostile_tables(spark, hostile):
 
 # --- 5, language model
 
-def test_probabilities_sum_to_one_and_training_helps(prose):
-    flat, at = common.hashed_tokens([prose(3000, k) for k in range(20)], common.HashCache())
+def paths(flat):
+    """Codes and lengths of words, without Spark: {word: (code, length)} and the path left over."""
     words, n = np.unique(flat, return_counts=True)
-    order = np.argsort(-n)[: lm.OWN]
-    s = lm.assign(words[order].tolist(), n[order].tolist(), int(n.sum()))
-    own = s.of(words[order])
-    assert len(set(own.tolist())) == len(own) and not set(own.tolist()) & set(s.rest.tolist()) and len(own) + len(s.rest) == lm.CLASSES * lm.MEMBERS
-    w, uses = lm.Weights.zero(), (np.zeros(lm.CLASS_ROWS), np.zeros(lm.WORD_ROWS))
-    sym = s.of(flat)
-    before = lm.log_probabilities(w, sym, at).mean()
-    assert math.isclose(before, -math.log(lm.CLASSES * lm.MEMBERS), rel_tol=1e-4)
-    lm.descend(w, sym, at, uses)
-    assert lm.log_probabilities(w, sym, at).mean() > before + 0.3
-    every = np.repeat(np.array([[5, 9]]), lm.CLASSES * lm.MEMBERS, 0)
-    probe = np.column_stack([every, np.arange(lm.CLASSES * lm.MEMBERS)]).ravel()
-    lp = lm.log_probabilities(w, probe, np.arange(0, len(probe) + 1, 3))[2::3]
-    assert math.isclose(np.exp(lp).sum(), 1, rel_tol=1e-3)
-
-
-def test_every_example_of_a_batch_moves_its_rows():
+    fine = np.floor(np.log2(n) * 8).astype(int)
+    bins = np.unique(fine)
+    size = lm.lengths(np.array([n[fine == b].mean() for b in bins]), np.array([float((fine == b).sum()) for b in bins]))
+    length, code, out = size[np.searchsorted(bins, fine)], 0, {}
+    for k in range(1, int(size.max()) + 1):
+        code *= lm.FAN
+        for w in words[length == k].tolist():
+            out[w] = (code, k)
+            code += 1
+    return out, (code, int(size.max()))
+
+
+def brute_log_probability(w, before, path):
+    """ln P of one path after the words ``before``, feature by feature and class by class in plain Python, and the rows and children it takes."""
+    m, k = (1 << 64) - 1, [int(x) for x in lm._K]
+    mix = lambda x: int(common.mix(np.array([x & m], np.uint64))[0])
+    one, two = ([int(lm._START)] * 2 + [int(x) for x in before])[-1:-3:-1]
+    h = [k[3], mix(one * k[0] + k[1]), mix(mix(one * k[0] + k[1]) + two * k[2]), mix(two * k[2] + k[3])]
+    code, length = path
+    lp, used = 0.0, []
+    for d in range(length):
+        node = ((code >> (4 * (length - d))) + (d << 60)) * k[1] & m
+        node ^= node >> 29
+        rows = [((x + node) * k[0] & m) >> int(w.shift) for x in h]
+        child = code >> (4 * (length - d - 1)) & 15
+        z = [sum(float(w.table[r, c]) for r in rows) for c in range(lm.FAN)]
+        lp += z[child] - math.log(sum(math.exp(x) for x in z))
+        used.append((rows, child))
+    return lp, used
+
+
+def test_paths_are_a_code(prose):
+    flat, _ = common.hashed_tokens([prose(3000, k) for k in range(5)] + [" ".join(f"w{k}" for k in range(700))], common.HashCache())
+    known, left = paths(flat)
+    every = [*known.values(), left]
+    assert len(set(every)) == len(every) and all(0 <= c < lm.FAN**n for c, n in every)
+    for c, n in every:  # none begins another
+        assert not any((c >> 4 * k, n - k) in set(every) for k in range(1, n))
+    words, n = np.unique(flat, return_counts=True)
+    share = n / n.sum()
+    mean = sum(s * known[w][1] for w, s in zip(words.tolist(), share))
+    assert mean < -(share * np.log2(share)).sum() / 4 + 0.6
+
+
+def test_scores_and_gradients_against_plain_python():
     r = np.random.default_rng(3)
-    rows, target = r.integers(6, size=(3, 200)) + np.array([[0], [4], [12]]), r.integers(lm.MEMBERS, size=200)
-    table = r.normal(size=(18, lm.MEMBERS)).astype(np.float32)
-    z = np.exp(sum(table[x].astype(np.float64) for x in rows))
-    gradient = z / z.sum(axis=1, keepdims=True)
-    gradient[np.arange(200), target] -= 1
-    want = table.astype(np.float64)
-    for x in rows:
-        for k in np.unique(x):
-            want[k] -= lm.RATE * gradient[x == k].sum(axis=0) / (x == k).sum() ** 0.5
-    lm._step(table, rows, target, None)
-    assert np.allclose(table, want, atol=1e-4)
+    flat = r.integers(1, 40, 300).astype(np.uint64) * np.uint64(0x1234567)
+    at = np.array([0, 1, 1, 120, 300])
+    known, _ = paths(flat)
+    code, length = (np.array([known[x][k] for x in flat.tolist()], t) for k, t in ((0, np.uint64), (1, np.int64)))
+    w = lm.Weights(r.normal(size=(4096, lm.FAN)).astype(np.float32), r.random(4096).astype(np.float32))
+    got, used = lm.log_probabilities(w, flat, at, code, length), []
+    for a, b in zip(at, at[1:]):
+        for p in range(a, b):
+            want, some = brute_log_probability(w, flat[a:p], (int(code[p]), int(length[p])))
+            assert math.isclose(got[p], want, rel_tol=1e-4)
+            used += some
+    # all paths after one context, the unused one included, have probability 1
+    every = [*known.values()]
+    total = sum(math.exp(brute_log_probability(lm.Weights.zero(12), [5], q)[0]) for q in every)
+    assert total <= 1 and math.isclose(sum(lm.FAN ** -float(n) for _, n in every), total, rel_tol=1e-6)
+    gradient = np.zeros((4096, lm.FAN))
+    for rows, child in used:
+        z = np.exp([sum(float(w.table[x, c]) for x in rows) for c in range(lm.FAN)])
+        z /= z.sum()
+        z[child] -= 1
+        for x in rows:
+            gradient[x] += z
+    rows, child = lm.steps(lm.contexts(flat, at), code, length, w.shift)
+    before = w.copy()
+    lm.update(w, rows, child, rate=0.5)
+    squares = before.squares + (gradient**2).sum(axis=1)
+    assert np.allclose(w.squares, squares, rtol=1e-3)
+    moved = gradient.any(axis=1)
+    assert np.allclose(w.table[moved], (before.table - 0.5 * gradient / np.sqrt(squares + 1e-6)[:, None])[moved], atol=2e-3) and (w.table[~moved] == before.table[~moved]).all()
+
+
+def test_training_beats_the_unigram_model_on_texts_it_has_not_seen():
+    r = np.random.default_rng(5)
+    follow = {k: r.integers(200, size=4) for k in range(200)}
+
+    def text():
+        out = [int(r.integers(200))]
+        while len(out) < 300:
+            out.append(int(r.choice(follow[out[-1]])))
+        return " ".join(f"w{x}" for x in out)
+
+    flat, at = common.hashed_tokens([text() for _ in range(60)], common.HashCache())
+    known, _ = paths(flat)
+    code, length = (np.array([known[x][k] for x in flat.tolist()], t) for k, t in ((0, np.uint64), (1, np.int64)))
+    cut, w = at[50], lm.Weights.zero(14)
+    lm.descend(w, flat[:cut], at[:51], code[:cut], length[:cut])
+    got = lm.log_probabilities(w, flat[cut:], at[50:] - cut, code[cut:], length[cut:]).mean()
+    words, n = np.unique(flat, return_counts=True)
+    unigram = np.log(n / n.sum())[np.searchsorted(words, flat[cut:])].mean()
+    assert got > unigram + 1.0 and got < -math.log(4)
+
+
+def test_vocabulary_of_a_table(spark, tmp_path, prose):
+    flat, _ = common.hashed_tokens([prose(4000, k) for k in range(3)], common.HashCache())
+    words, n = np.unique(flat, return_counts=True)
+    d = spark.createDataFrame(list(zip(words.view(np.int64).tolist(), n.tolist())), "word long, n long").repartition(3)
+    names, count = lm.vocabulary(d, str(tmp_path))
+    code, length = names.of(words)
+    assert count == len(words) == len(set(zip(code.tolist(), length.tolist())))
+    assert np.corrcoef(length, -np.log(n))[0, 1] > 0.8
+    _, unknown = names.of(np.array([12345], np.uint64))
+    assert (int(names.of(np.array([12345], np.uint64))[0][0]), int(unknown[0])) == names.unknown and names.unknown not in set(zip(code.tolist(), length.tolist()))
+
+
+def test_changes_of_rare_rows_add_up_and_those_of_frequent_rows_are_averaged():
+    base = lm.Weights.zero(12)
+    parts = []
+    for k in range(2):
+        now = base.copy()
+        now.table[5], now.squares[5] = 1.0, 0.5
+        now.table[6], now.squares[6] = 1.0 + k, 1e6
+        parts += list(lm._moves(base, now, k))
+    rows = [pa.RecordBatch.from_arrays([b.column(0), pa.array([0], pa.int64()), *b.columns[2:]], names=["part", "group", "rows", "moves", "squares"]) for b in parts]
+    (summed,) = lm._added(iter(rows))
+    total, gained = (np.frombuffer(summed.column(k)[0].as_py(), np.float32) for k in (2, 3))
+    mixed = total.reshape(-1, lm.FAN) / (gained + lm.SUMMED)[:, None]
+    assert 1.8 < mixed[5, 0] <= 2 and math.isclose(mixed[6, 0], 1.5, rel_tol=1e-3) and not mixed[7].any()
 
 
 def test_lm_scores(spark, prose, hostile):
-    rows = [(k, prose(200, k)) for k in range(60)] + [(100, " ".join(reversed("zq wv kj xx yy".split() * 40)))]
+    rows = [(k, prose(200, k)) for k in range(60)] + [(100, " ".join(reversed("zq wv kj xx yy".split() * 40))), (101, "one"), (102, "one two")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r for r in lm.score(d, block=2000).collect()}
-    assert np.median([got[k]["perplexity"] for k in range(60)]) < lm.CLASSES * lm.MEMBERS
     r = got[3]
     assert r["n_words"] == len(common.WORD.findall(rows[3][1])) and math.isclose(r["perplexity"], math.exp(-r["log_prob"] / r["n_words"]), rel_tol=1e-3)
+    flat, _ = common.hashed_tokens([t for _, t in rows], common.HashCache())
+    assert np.median([got[k]["perplexity"] for k in range(60)]) < len(set(flat.tolist())) / 2
     h = lm.score(hostile)
     assert h.count() == hostile.count() and h.where("n_words = 0 AND perplexity IS NULL AND log_prob IS NULL").count() == h.where("n_words = 0").count() >= 5
+    same = [x["log_prob"] for x in h.where("doc_id = 1 OR doc_id = 2").where("n_words > 5").collect()]
+    assert len(same) == 4 and len(set(same)) == 2
     assert lm.score(empty(hostile)).count() == 0
 
 
+def test_table_scores_are_those_of_the_model(spark, prose, tmp_path):
+    d = spark.createDataFrame([(k, prose(50, k)) for k in range(12)] + [(12, None)], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["log_prob"] for r in lm.score(d, rounds=1).collect()}
+    flat, at = common.hashed_tokens([prose(50, k) for k in range(12)], common.HashCache())
+    known, _ = paths(flat)
+    code, length = (np.array([known[x][k] for x in flat.tolist()], t) for k, t in ((0, np.uint64), (1, np.int64)))
+    w = lm.Weights.zero(12)
+    lm.descend(w, flat, at, code, length)
+    lp = lm.log_probabilities(w, flat, at, code, length)
+    assert got[12] is None and all(math.isclose(got[k], lp[at[k] : at[k + 1]].sum(), rel_tol=0.05) for k in range(12))
+
+
 # --- 2, URL filter
 
 def test_canonical():
