@@ -1,12 +1,14 @@
 """Token counts without token ids.
 
-A map over the documents splits texts into pre-tokens and inverts each batch: one row for every distinct pre-token of a
-batch, with the documents that hold it and how often. These rows meet by pre-token; there each distinct pre-token is
-encoded once, only the number of its pieces is kept, and the products are summed per document. Partial sums, not ids,
-travel on to the final sum.
-
-Defined results: a null text has a null count, a text without pre-tokens 0. Rows that repeat an id are counted one by
-one. Other columns are ignored; an empty table gives an empty result.
+A map over the documents splits texts into pre-tokens and inverts each run of rows: one row for every distinct pre-token of
+a run, with the documents that hold it and how often. These rows meet by pre-token, sorted; so each distinct pre-token is
+encoded once, only the number of its pieces is kept, and the products are summed per document. Partial sums, not token
+ids, travel on to the final sum. The ids of a run's documents travel with its postings, so the table is read once and its
+order doesn't matter. Postings of pre-tokens that many documents of a run hold are spread over tasks by a salt of the run,
+and their pieces are counted once for each salt; nothing that grows with the corpus meets in one task.
+
+Defined results: a null text has a null count, a text without pre-tokens 0. A very long text is a run of its own, counted
+whole. Rows that repeat an id, or repeat in full, are counted one by one, so there are no ties. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 #: The usual pre-token pattern of byte-level vocabularies: contractions, letters, numbers, other signs, white space.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 FLUSH = 2_000_000  # partial sums that a task holds
+HOT, SALTS = 512, 1 << 16  # documents of a run from which on a pre-token's postings are salted, and the salts there are
 
 
 def encoding(vocabulary: str):
@@ -47,8 +50,11 @@ def splitter():
     return regex.compile(PATTERN).findall
 
 
-POSTINGS = pa.schema([("pretoken", pa.string()), ("base", pa.int64()), ("docs", pa.binary()), ("times", pa.binary())])
-SUMS = pa.schema([("base", pa.int64()), ("tokens", pa.binary())])
+KINDS = "pretoken string, base long, salt int, docs binary, times binary"
+POSTINGS = pa.schema([("pretoken", pa.string()), ("base", pa.int64()), ("salt", pa.int32()), ("docs", pa.binary()), ("times", pa.binary())])
+SUMS = pa.schema([("base", pa.int64()), ("tokens", pa.binary()), ("ids", pa.binary()), ("states", pa.binary())])
+_SUMS = "base long, tokens binary, ids binary, states binary"
+COUNTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 _MOST = np.iinfo(np.uint16).max
 
 
@@ -63,8 +69,8 @@ def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], kind)[ends[0] // 2 : ends[-1] // 2], np.diff(ends) // 2
 
 
-def _invert(texts: list[str | None], base: int, split) -> pa.RecordBatch | None:
-    """The postings of one batch: its pre-tokens, and for each the documents (by their place behind ``base``) and frequencies."""
+def _invert(texts: list[str | None], base: int, split, hot: int = HOT) -> pa.RecordBatch | None:
+    """The postings of one run: its pre-tokens, and for each the documents (by their place behind ``base``) and frequencies. Those in at least ``hot`` documents are salted by the run."""
     number: dict[str, int] = {}
     codes, docs, times = [], [], []
     for d, t in enumerate(texts):
@@ -82,54 +88,64 @@ def _invert(texts: list[str | None], base: int, split) -> pa.RecordBatch | None:
         n[high] = _MOST
     order = np.argsort(code, kind="stable")
     cuts = np.searchsorted(code[order], np.arange(len(number) + 1))
+    salt = np.where(np.diff(cuts) >= hot, 1 + (base * 2654435761 >> 7) % SALTS, 0).astype(np.int32)
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(number)), pa.array(np.full(len(number), base)), _binary(doc[order], cuts), _binary(n[order].astype(np.uint16), cuts)], schema=POSTINGS
+        [pa.array(list(number)), pa.array(np.full(len(number), base)), pa.array(salt), _binary(doc[order], cuts), _binary(n[order].astype(np.uint16), cuts)], schema=POSTINGS
     )
 
 
-def _runs(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[int, list[str | None]]]:
-    """(first row number, texts) of runs of consecutive rows, of about ``chars`` characters and at most 60,000 rows."""
-    base, texts, size = 0, [], 0
+def _runs(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[list[int | None], list[str | None]]]:
+    """(ids, texts) of runs of rows, of about ``chars`` characters and at most 60,000 rows."""
+    ids, texts, size = [], [], 0
     for b in batches:
-        for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if texts and (size > chars or len(texts) >= 60_000 or row != base + len(texts)):
-                yield base, texts
-                texts, size = [], 0
-            if not texts:
-                base = row
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if texts and (size > chars or len(texts) >= 60_000):
+                yield ids, texts
+                ids, texts, size = [], [], 0
+            ids.append(i)
             texts.append(t)
             size += len(t or "")
     if texts:
-        yield base, texts
+        yield ids, texts
 
 
-def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", run_chars: int = 16 << 20) -> DataFrame:
-    """(doc_id, n_tokens) for every row. ``docs`` is scanned twice and has to give its rows in the same order, as a table does."""
+def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", run_chars: int = 16 << 20, hot: int = HOT) -> DataFrame:
+    """(doc_id, n_tokens) for every row."""
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = splitter()
-        for base, texts in _runs(batches, run_chars):
-            out = _invert(texts, base, split)
+        from pyspark import TaskContext
+
+        split, base = splitter(), TaskContext.get().partitionId() << 32
+        for ids, texts in _runs(batches, run_chars):
+            out = _invert(texts, base, split, hot)
             if out is not None:
                 yield out
+            # the run's own row, with neither pre-token nor place among the sorted ones: ids, and which of these and of the texts are null
+            states = np.array([(i is None) + 2 * (t is None) for i, t in zip(ids, texts)], np.uint8)
+            own = [[None], [base], [0], [np.array([i or 0 for i in ids], np.int64).tobytes()], [states.tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(own, POSTINGS)], schema=POSTINGS)
+            base += 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(vocabulary).encode_ordinary
         sums: dict[int, np.ndarray] = {}
-        pieces: dict[str, int] = {}
-        held = 0
+        held, last, pieces = 0, None, 0
         for b in batches:
             tokens = b.column(0).to_pylist()
+            own = [k for k, p in enumerate(tokens) if p is None]
+            if own:
+                yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(own)), pa.nulls(len(own), pa.binary()), b.column(3).take(pa.array(own)), b.column(4).take(pa.array(own))], schema=SUMS)
+                b = b.filter(b.column(0).is_valid())
+                tokens = b.column(0).to_pylist()
+            if not tokens:
+                continue
             n = np.empty(len(tokens), np.int64)
-            for k, p in enumerate(tokens):
-                found = pieces.get(p)
-                if found is None:
-                    found = pieces[p] = len(encode(p))
-                n[k] = found
-            if len(pieces) > 400_000:
-                pieces.clear()
-            doc, size = _flat(b.column(2), np.uint16)
-            weight = _flat(b.column(3), np.uint16)[0] * np.repeat(n, size)
+            for k, p in enumerate(tokens):  # equal ones follow each other
+                if p != last:
+                    last, pieces = p, len(encode(p))
+                n[k] = pieces
+            doc, size = _flat(b.column(3), np.uint16)
+            weight = _flat(b.column(4), np.uint16)[0] * np.repeat(n, size)
             bases, which = np.unique(b.column(1).to_numpy(), return_inverse=True)
             which = np.repeat(which, size)
             order = np.argsort(which, kind="stable")
@@ -154,32 +170,36 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "d
             yield _sums(sums)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, size, kept = None, 0, np.zeros(0, np.int64)
+        now, kept, ids, states = None, np.zeros(0, np.int64), None, None
 
         def out() -> pa.RecordBatch:
-            rows = np.flatnonzero(kept)
-            return pa.RecordBatch.from_arrays([pa.array(rows + now), pa.array(kept[rows])], names=["row", "tokens"])
+            n = np.zeros(len(ids), np.int64)
+            n[: len(kept)] = kept
+            return pa.RecordBatch.from_arrays([pa.array(ids, mask=(states & 1).astype(bool)), pa.array(n, mask=(states & 2).astype(bool))], schema=COUNTS)
 
         for b in batches:
-            for base, vec in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for base, vec, own, state in zip(*(c.to_pylist() for c in b.columns)):
                 if base != now:
                     if now is not None:
                         yield out()
                     now, kept = base, np.zeros(0, np.int64)
-                v = np.frombuffer(vec, np.int32)
+                if own is not None:
+                    ids, states = np.frombuffer(own, np.int64), np.frombuffer(state, np.uint8)
+                    continue
+                v = np.frombuffer(vec, np.int64)
                 if len(v) > len(kept):
                     kept = np.concatenate([kept, np.zeros(len(v) - len(kept), np.int64)])
                 kept[: len(v)] += v
         if now is not None:
             yield out()
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    postings = numbered.select("row", "text").mapInArrow(invert, "pretoken string, base long, docs binary, times binary")
-    partial = postings.repartition("pretoken").mapInArrow(count, "base long, tokens binary")
-    sums = partial.repartition("base").sortWithinPartitions("base").mapInArrow(total, "row long, tokens long")
-    names = numbered.select("row", "doc_id", F.col("text").isNull().alias("none"))
-    return names.join(sums, "row", "left").select("doc_id", F.when(~F.col("none"), F.coalesce("tokens", F.lit(0))).alias("n_tokens"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    postings = slim.mapInArrow(invert, KINDS)
+    # a run's own row goes by its number
+    placed = postings.repartition("pretoken", "salt", F.when(F.col("pretoken").isNull(), F.col("base"))).sortWithinPartitions("pretoken")
+    return placed.mapInArrow(count, _SUMS).repartition("base").sortWithinPartitions("base").mapInArrow(total, "doc_id long, n_tokens long")
 
 
 def _sums(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.astype(np.int32).tobytes() for v in sums.values()], pa.binary())], schema=SUMS)
+    none = pa.nulls(len(sums), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary()), none, none], schema=SUMS)

@@ -29,7 +29,7 @@ def test_trie_with_and_without_spills(tmp_path):
     for n, k in enumerate(keys):
         want[k].append(n)
     for limit, folder in ((1 << 30, None), (60_000, str(tmp_path / "s"))):
-        t = exactdedup.PatriciaTrie(lambda a, b: a + b, limit, folder)
+        t = exactdedup.PatriciaTrie(lambda a, b: b if a is None else a + b, limit, folder)
         for n, k in enumerate(keys):
             t.insert(k, [n])
         assert t.spills > 0 or folder is None
@@ -49,6 +49,25 @@ def test_owners(hostile, limit):
     assert exactdedup.owners(empty(hostile)).count() == 0
 
 
+def test_what_many_copies_hold_stays_small(tmp_path):
+    told, texts = [], [b"a" * 3000, b"b" * 3000, b"ab" * 1500]
+    t = exactdedup.PatriciaTrie(exactdedup._first, 12_000, str(tmp_path / "s"), lambda held, new: told.append((held[0], new[1])), lambda held: 64 + 40 * len(held[1] or ()))
+    for k in range(20_000):
+        t.insert(texts[k % 3], (k, [k]))
+        assert t.size <= 12_000 or k < 3
+    for k in range(200):
+        t.insert(b"b%d" % k * 100, (k, [-k - 1]))
+    assert len(list(t.items())) == 203 and t.spills > 0
+    assert sorted(x for _, ids in told if ids for x in ids) == sorted([*range(20_000), *(-k - 1 for k in range(200))])
+    assert all(o == ids[0] % 3 for o, ids in told if ids and ids[0] >= 0) and not list((tmp_path / "s").iterdir())
+
+
+def test_a_text_that_most_rows_have_is_merged_before_it_travels():
+    b = pa.RecordBatch.from_arrays([pa.array([*range(5000), None]), pa.array(["hot"] * 5000 + [None])], names=["doc_id", "text"])
+    (out,) = exactdedup._merged(iter([b]))
+    assert len(out) == 2 and out.column(0).to_pylist() == [0, None] and out.column(1).to_pylist() == [list(range(5000)), [None]]
+
+
 @pytest.mark.parametrize("limit", [96 << 20, 200_000])
 def test_drop_copies(hostile, limit):
     out = exactdedup.drop_copies(hostile, limit=limit)
@@ -317,8 +336,20 @@ def test_counts_over_many_runs(spark, prose):
     rows = [(k, prose(1 + k % 50, k)) for k in range(300)] + [(300, "the " * 70_000)]
     enc = tokencount.encoding(tokencount.VOCABULARY)
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
-    got = {r[0]: r[1] for r in tokencount.count_tokens(d, run_chars=2000).collect()}
-    assert got == {k: len(enc.encode_ordinary(t)) for k, t in rows}
+    want = {k: len(enc.encode_ordinary(t)) for k, t in rows}
+    for some, hot in ((d, tokencount.HOT), (d, 2), (d.orderBy(F.rand()), 2)):
+        assert {r[0]: r[1] for r in tokencount.count_tokens(some, run_chars=2000, hot=hot).collect()} == want
+
+
+def test_postings_of_a_hot_pretoken_are_spread(spark):
+    split = tokencount.splitter()
+    salts = set()
+    for base in range(40):
+        b = tokencount._invert(["the cat", f" the dog{base}", "the"] * 300, base, split)
+        by = dict(zip(b.column(0).to_pylist(), b.column(2).to_pylist()))
+        assert by["the"] > 0 and by[" cat"] == 0
+        salts.add(by["the"])
+    assert len(salts) > 30
 
 
 # --- 9, quality
