@@ -1,12 +1,16 @@
 """Exact dedup with Patricia tries.
 
-Documents are partitioned by length and content hash, so equal texts meet in one task. Each task inserts the full byte
-strings into a compressed radix trie whose terminal nodes hold the group: no decision rests on a hash. When a trie
-outgrows its limit, the largest subtrees are spilled to the shared folder and finished one after the other.
+Copies within an Arrow batch are merged before anything is shuffled, so of a text that a third of all rows have, only one
+row for each batch travels. Documents are partitioned by length and content hash, so equal texts meet in one task. Each
+task inserts the full byte strings into a compressed radix trie whose terminal nodes hold the smallest identifier: no
+decision rests on a hash. Rows come to it in the order of their smallest identifiers, so they are given out with their
+owner as they come, and nothing but the trie is held. When a trie outgrows its limit, the largest subtrees are spilled to
+the shared folder and finished one after the other.
 
 Defined results: a null text equals nothing, so its row owns itself. The empty text is a text like any other. A null
-doc_id loses to any other; a group of nulls only has a null owner. Rows that repeat in full are copies of each other.
-Other columns of any name are carried (:func:`drop_copies`) or ignored (:func:`owners`). An empty table gives none.
+doc_id loses to any other; a group of nulls only has a null owner. Rows that repeat in full are copies of each other; of
+copies that tie in doc_id, the one whose other columns are smallest is kept. A very long text is compared whole; one that
+is larger than the limit is held all the same. Other columns of any name are carried (:func:`drop_copies`) or ignored (:func:`owners`). An empty table gives none.
 """
 
 from __future__ import annotations
@@ -48,31 +52,37 @@ class _Node:
 
 
 class PatriciaTrie:
-    """Compressed radix trie over byte strings. ``merge(held, new)`` joins what a terminal node holds."""
+    """Compressed radix trie over byte strings. ``merge(held, new)`` joins what a terminal node holds (``held`` is None at first); ``settle(held, new)`` is told of every value that reached its terminal; ``weigh(held)`` is what a held value takes."""
 
-    def __init__(self, merge: Callable[[Any, Any], Any], limit: int = 96 << 20, folder: str | None = None):
-        self.merge, self.limit, self.folder = merge, limit, folder
+    def __init__(self, merge: Callable[[Any, Any], Any], limit: int = 96 << 20, folder: str | None = None, settle: Callable[[Any, Any], None] | None = None, weigh: Callable[[Any], int] = lambda held: 64):
+        self.merge, self.limit, self.folder, self.settle, self.weigh = merge, limit, folder, settle, weigh
         self.root, self.size, self.spills = _Node(b""), 0, 0
 
-    def insert(self, key: bytes, value: Any, cost: int = 64) -> None:
+    def _hold(self, node: _Node, value: Any) -> None:
+        before = 0 if node.held is None else self.weigh(node.held)
+        node.held = self.merge(node.held, value)
+        self.size += self.weigh(node.held) - before
+        if self.settle:
+            self.settle(node.held, value)
+
+    def insert(self, key: bytes, value: Any) -> None:
         node, at = self.root, 0
-        self.size += cost
         while True:
             if node.spilled is not None:
                 node.spilled[1].append((key[at:], value))
-                node.spilled[2] += len(key) - at
-                self.size += len(key) - at
+                node.spilled[2] += len(key) - at + self.weigh(value)
+                self.size += len(key) - at + self.weigh(value)
                 if node.spilled[2] > self.limit // 8:
                     self._flush(node)
                 break
             if at == len(key):
-                node.held = value if node.held is None else self.merge(node.held, value)
+                self._hold(node, value)
                 break
             child = node.children.get(key[at])
             if child is None:
                 child = node.children[key[at]] = _Node(key[at:])
-                child.held = value
                 self.size += len(child.label) + NODE_BYTES
+                self._hold(child, value)
                 break
             if key.startswith(child.label, at):
                 at += len(child.label)
@@ -113,7 +123,7 @@ class PatriciaTrie:
         total, stack = 0, [node]
         while stack:
             x = stack.pop()
-            total += len(x.label) + NODE_BYTES
+            total += len(x.label) + NODE_BYTES + (0 if x.held is None else self.weigh(x.held)) + (x.spilled[2] if x.spilled else 0)
             stack.extend(x.children.values())
         return total
 
@@ -126,15 +136,15 @@ class PatriciaTrie:
         for weight, c in left:
             if self.size <= self.limit // 2:
                 break
-            c.spilled = [[], list(self._entries(c, b"")), weight]
-            c.children, c.held = {}, None
+            self.size -= weight - NODE_BYTES - 1
+            c.spilled = [[], list(self._entries(c, c.label[1:])), 0]  # all but the byte that leads there
+            c.label, c.children, c.held = c.label[:1], {}, None
             self._flush(c)
             self.spills += 1
         for c in top.children.values():
             if c.spilled is not None:
                 self._flush(c)
-        self.size = max(0, self._weight(self.root))
-        if self.size > self.limit:  # a single text or held values beyond the limit: it has to be kept
+        if self.size > self.limit:  # a text, or what one terminal holds, that is larger than the limit: it has to be kept
             self.limit = 2 * self.size
 
     def items(self) -> Iterator[tuple[bytes, Any]]:
@@ -151,7 +161,7 @@ class PatriciaTrie:
             stack.extend((c, at + c.label) for c in x.children.values())
         self.root, self.size = _Node(b""), 0
         for files, prefix in later:
-            sub = PatriciaTrie(self.merge, self.limit, self.folder)
+            sub = PatriciaTrie(self.merge, self.limit, self.folder, self.settle, self.weigh)
             fs, _ = filesystem(self.folder)
             for path in files:
                 with fs.open_input_stream(path) as f:
@@ -169,6 +179,22 @@ def _by_content(docs: DataFrame, text: Column, doc_id: Column) -> DataFrame:
 
 
 OWNERS = pa.schema([("doc_id", pa.int64()), ("owner_id", pa.int64())])
+MERGED = pa.schema([("least", pa.int64()), ("ids", pa.list_(pa.int64())), ("text", pa.string())])
+
+
+def _first(held: tuple | None, new: tuple) -> tuple:
+    """Owners come in order: the first one stays, without the ids it came with."""
+    return (new[0], None) if held is None else held
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each distinct text of a batch, with all ids; null texts, which equal nothing, in one row of their own."""
+    for b in batches:
+        by: dict[str | None, list] = {}
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            by.setdefault(t, []).append(i)
+        least = [min((i for i in ids if i is not None), default=None) for ids in by.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), pa.array(list(by.values()), pa.list_(pa.int64())), pa.array(list(by), pa.string())], schema=MERGED)
 
 
 def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 96 << 20) -> DataFrame:
@@ -176,30 +202,38 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
     folder = f"{shared_dir(docs.sparkSession)}/patricia-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def merge(held: list, new: list) -> list:
-            held.extend(new)
-            return held
+        ids: list[int | None] = []
+        own: list[int | None] = []
 
-        trie = PatriciaTrie(merge, limit, folder)
+        def settle(held: tuple, new: tuple) -> None:
+            if new[1]:
+                ids.extend(new[1])
+                own.extend([held[0]] * len(new[1]))
+
+        def out() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.int64())], schema=OWNERS)
+            ids.clear()
+            own.clear()
+            return b
+
+        trie = PatriciaTrie(_first, limit, folder, settle, lambda held: 64 + 40 * len(held[1] or ()))
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            alone = [i for i, t in zip(ids, texts) if t is None]
-            if alone:
-                yield pa.RecordBatch.from_arrays([pa.array(alone, pa.int64())] * 2, schema=OWNERS)
-            for i, t in zip(ids, texts):
-                if t is not None:
-                    trie.insert(t, [i])
-        ids, own = [], []
-        for _, group in trie.items():
-            ids.extend(group)
-            own.extend([min((i for i in group if i is not None), default=None)] * len(group))
+            for least, some, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
+                if text is None:
+                    ids.extend(some)
+                    own.extend(some)
+                else:
+                    trie.insert(text, (least, some))
+            yield out()
+        for _ in trie.items():
             if len(ids) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.int64())], schema=OWNERS)
-                ids, own = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.int64())], schema=OWNERS)
+                yield out()
+        yield out()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _by_content(slim, F.col("text"), F.col("doc_id")).mapInArrow(run, "doc_id long, owner_id long")
+    merged = slim.mapInArrow(_merged, "least long, ids array<long>, text string")
+    placed = _by_content(merged, F.col("text"), F.col("least")).sortWithinPartitions(F.length("text"), F.xxhash64("text"), F.col("least").asc_nulls_last())
+    return placed.mapInArrow(run, "doc_id long, owner_id long")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 96 << 20) -> DataFrame:
@@ -207,8 +241,32 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     folder = f"{shared_dir(docs.sparkSession)}/patricia-{uuid.uuid4().hex}"
     at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
 
+    def rank(row: tuple) -> tuple:
+        return row[at_id] is None, row[at_id] or 0, repr(row)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best row of each text of a batch."""
+        for b in batches:
+            by: dict[str, list[int]] = {}
+            keep = []
+            for k, t in enumerate(b.column(at_text).to_pylist()):
+                if t is None:
+                    keep.append(k)
+                else:
+                    by.setdefault(t, []).append(k)
+            for some in by.values():
+                if len(some) > 1:
+                    few = b.take(pa.array(some))
+                    rows = list(zip(*(c.to_pylist() if k != at_text else [None] * len(some) for k, c in enumerate(few.columns))))
+                    some = [some[min(range(len(some)), key=lambda k: rank(rows[k]))]]
+                keep += some
+            yield b if len(keep) == len(b) else b.take(pa.array(sorted(keep)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, schema = PatriciaTrie(lambda a, b: b if b[0] < a[0] else a, limit, folder), None
+        def better(held: tuple | None, new: tuple) -> tuple:
+            return new if held is None or new[0] < held[0] else held
+
+        trie, schema = PatriciaTrie(better, limit, folder, weigh=lambda held: 400 + 2 * len(held[0][2])), None
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
@@ -221,8 +279,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield batch.filter(texts.is_null())
             for row, t in zip(zip(*columns), texts.cast(pa.binary()).to_pylist()):
                 if t is not None:
-                    i = row[at_id]
-                    trie.insert(t, ((i is None, i or 0, repr(row)), row), 400)
+                    trie.insert(t, (rank(row), row))
         rows, size = [], 0
         for key, (_, row) in trie.items():
             rows.append((*row[:at_text], key.decode("utf-8"), *row[at_text + 1 :]))
@@ -233,4 +290,4 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if rows:
             yield out(rows)
 
-    return _by_content(docs, F.col(text_col), F.col(id_col)).mapInArrow(run, docs.schema)
+    return _by_content(docs.mapInArrow(once, docs.schema), F.col(text_col), F.col(id_col)).mapInArrow(run, docs.schema)
