@@ -634,3 +634,144 @@ def test_extraction(spark, limit):
     assert got[100]["content"] == "Site name\nLone\none & only\n© all of us" and got[101]["content"] == "free" and got[102]["content"] is None and got[103]["content"] == ""
     assert got[None]["content"] == "odd" and got[104]["content"] == "a\nb" and got[105]["content"] == "deep" and got[106]["content_nodes"] == 4000
     assert htmlextract.extract(d.limit(0)).count() == 0
+
+
+def words_of(source):
+    """A DOM by the standard library's parser, as (name, class and id, children or text)."""
+    from html.parser import HTMLParser
+
+    root = ("", "", [])
+    stack = [root]
+
+    class P(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            node = (tag, (a.get("class"), a.get("id")), [])
+            stack[-1][2].append(node)
+            if tag not in ("br", "img"):
+                stack.append(node)
+
+        def handle_endtag(self, tag):
+            stack.pop()
+
+        def handle_data(self, data):
+            if data.strip():
+                stack[-1][2].append(("#", "", " ".join(data.split())))
+
+    P().feed(source)
+    return root
+
+
+def best_match(a, b):
+    """((nodes, equal subtrees, equal classes), pairs of texts) of a best match of two trees of equal name, by plain recursion."""
+    if a[0] != b[0]:
+        return None
+    if a[0] == "#":
+        return 1, [(a, b)]
+    x, y = a[2], b[2]
+    got = {}
+    best = [[(0, 0, 0)] * (len(y) + 1) for _ in range(len(x) + 1)]
+    add = lambda s, t: tuple(map(sum, zip(s, t)))
+    for i, c in enumerate(x):
+        for j, d in enumerate(y):
+            m = got[i, j] = best_match(c, d)
+            options = [best[i][j + 1], best[i + 1][j]]
+            if m:
+                options.append(add(best[i][j], (m[0], c == d, c[:2] == d[:2])))
+            best[i + 1][j + 1] = max(options)
+    pairs, i, j = [], len(x), len(y)
+    while i and j:
+        m = got[i - 1, j - 1]
+        if m and best[i][j] == add(best[i - 1][j - 1], (m[0], x[i - 1] == y[j - 1], x[i - 1][:2] == y[j - 1][:2])):
+            pairs += m[1]
+            i, j = i - 1, j - 1
+        elif best[i][j] == best[i - 1][j]:
+            i -= 1
+        else:
+            j -= 1
+    return 1 + best[-1][-1][0], pairs
+
+
+def test_whole_extraction_against_brute_force(spark):
+    r = random.Random(9)
+
+    def made(k):
+        ad = f"<div class='ad'>Buy {r.randrange(1000)}</div>" if r.random() < 0.5 else ""
+        items = "".join(f"<li id='item-{k}-{j}'><b>Row {k} {j}</b><i>More</i></li>" for j in range(r.randrange(1, 7)))
+        paragraphs = "".join(f"<p>Text {k} {j} {r.randrange(100)}</p>" for j in range(r.randrange(4)))
+        return f"<html><body class='post postid-{k}'><div id='top'>Site</div>{ad}<h1>Title {k}</h1><p class='by'>Written by us</p>{paragraphs}<ul class='list-{k}'>{items}</ul><div class='foot'><p>All rights</p><p>Page {k}</p></div></body></html>"
+
+    rows = [(k, made(k)) for k in range(30)]
+    d = spark.createDataFrame([(k, "http://one.org/x", h) for k, h in rows], "page_id long, url string, html string")
+    got = {x["page_id"]: x for x in htmlextract.extract(d).collect()}
+    ref, trees = words_of(rows[0][1]), {k: words_of(h) for k, h in rows}
+
+    def texts(t):
+        return [t] if t[0] == "#" else [x for c in t[2] for x in texts(c)]
+
+    aligned, same, pairs = Counter(), Counter(), {}
+    for k, t in trees.items():
+        pairs[k] = {id(q): p for p, q in best_match(ref, t)[1]}
+        for q in texts(t):
+            p = pairs[k].get(id(q))
+            if p:
+                aligned[id(p)] += 1
+                same[id(p)] += p[2] == q[2]
+    constant = {p for p, n in aligned.items() if n > 1 and n >= 15 and same[p] >= 0.9 * n}
+    for k, t in trees.items():
+        want = [q[2] for q in texts(t) if not ((p := pairs[k].get(id(q))) and id(p) in constant and p[2] == q[2])]
+        assert got[k]["content"].split("\n") == want and "Site" not in want and "All rights" not in want and f"Title {k}" in want
+
+
+def test_layouts_of_a_host_have_templates_of_their_own(spark):
+    rows = [(k, f"<body class='single postid-{k}'><header>Head</header><article><h1>A{k}</h1><p>t{k}</p></article><div>Foot</div></body>") for k in range(10, 20)]
+    rows += [(k, f"<body class='archive page-{k}'><header>Head</header><main><ul><li>Posts</li><li>L{k}</li></ul></main><div>Other foot</div></body>") for k in range(20, 26)]
+    rows += [(0, "<body><form>Sign in</form><p>Welcome back</p><div>Foot</div></body>")]
+    d = spark.createDataFrame([(k, "http://one.org/", h) for k, h in rows] + [(k, "http://[::1]:80/", "<p>v6</p>") for k in (90, 91)], "page_id long, url string, html string")
+    for limit in (htmlextract.BROADCAST_BYTES, 0):
+        got = {x["page_id"]: x for x in htmlextract.extract(d, broadcast_bytes=limit).collect()}
+        assert all(got[k]["content"] == f"A{k}\nt{k}" for k in range(10, 20)) and all(got[k]["content"] == f"L{k}" for k in range(20, 26))
+        assert got[0]["content"] == "Welcome back" and got[90]["host"] == "[::1]" and got[91]["content"] == ""
+
+
+def test_hostile_pages_take_little_time(spark):
+    import time
+
+    bad = ["<div x=\"1\" '" * 80_000, "<div x=\"1\" '" * 80_000 + ">", "<a b='" * 150_000, "<!--" * 250_000, "<script>" * 120_000, "<p" * 400_000, "<" * 1_000_000, "<div>" * 200_000, "</x>" * 250_000, "<div>" * 90_000 + "</x>" * 120_000, "<p>a" * 200_000, "<i x = " * 140_000, "<b class=\"a\"" * 90_000]
+    for source in bad:
+        m = htmlextract.Matcher()
+        reference = m.parse("<div><p>one</p><p>two</p></div>" * 5)
+        for page in (source, source + "<p>end"):  # against a common page, then against one as bad
+            began = time.process_time()
+            tree = m.parse(page)
+            m.align(reference, tree)
+            assert time.process_time() - began < 5, page[:20]
+            reference = tree
+    wide = "<ul>" + "".join(f"<li class='c{k}' id='i{k}'>{k}</li>" for k in range(1700)) + "</ul>"
+    began = time.process_time()
+    a, b = m.parse(wide), m.parse(wide.replace("<li", "<b>x</b><li", 400))
+    assert len(m.align(a, b)) == 1700 and time.process_time() - began < 5
+
+
+def test_long_lists_are_aligned_whole():
+    names, r = "pbi", random.Random(4)
+    x = "".join(f"<{names[k % 3]}>{k}</{names[k % 3]}>" for k in range(600))
+    y = "".join(f"<{names[k % 3]}>{k}</{names[k % 3]}>" + ("<u>new</u>" if r.random() < 0.2 else "") for k in range(600) if r.random() < 0.9) + "<div>last</div>"
+    for cells in (htmlextract.CELLS, 5_000):
+        m = htmlextract.Matcher(cells=cells)
+        a, b = m.parse(x + "<div>last</div>"), m.parse(y)
+        pairs = m.align(a, b)
+        assert len(pairs) == b.text.count("last") + sum(t is not None and t.isdigit() for t in b.text)
+        assert all(a.text[p] == b.text[q] for q, p in pairs.items())
+    deep = htmlextract.Matcher()
+    a, b = (deep.parse("<div>" * n + "<p>in" + "</div>" * n + "<p>out") for n in (3000, 2900))
+    assert len(deep.align(a, b)) == 1
+
+
+def test_extraction_of_hostile_tables(spark, hostile, prose):
+    d = hostile.withColumnRenamed("doc_id", "page_id").withColumn("html", F.col("text")).withColumn("url", F.when(F.col("lang") == "en", "http://h.org/")).drop("slots", "host").withColumn("slots", F.lit("a"))
+    got = htmlextract.extract(d).collect()
+    assert len(got) == d.count() and sum(x["content"] is None for x in got) == 3
+    tie = spark.createDataFrame([(1, "http://t.org", "<p>b</p><p>x</p>"), (1, "http://t.org", "<p>a</p><p>x</p>"), (1, "http://t.org", "<p>a</p><p>x</p>"), (None, "http://t.org", "<p>0</p><p>x</p>")], "page_id long, url string, html string")
+    assert sorted(x["content"] for x in htmlextract.extract(tie).collect()) == ["0", "a", "a", "b"]
+    assert htmlextract.extract(empty(d)).count() == 0
