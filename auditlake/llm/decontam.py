@@ -9,7 +9,7 @@ that match nothing). Search for matches:
 2. Bit sampling: a repetition has its own random bits and keeps ``SAMPLES`` places of the output as key. Every position
    of every document is a window; all repetitions look all windows up among the items' keys. A walk ends as soon as the
    places sampled so far are those of no item, which loses nothing. Each length class repeats until ``TRIALS`` copies of
-   its items, with as many random edits as allowed, are found at the rate ``RECALL``, and ``REPETITIONS`` times at least.
+   its items, with as many random edits as allowed, are found at the rate ``recall``, and ``REPETITIONS`` times at least.
 3. Before that, a window is left out only where no match is possible: each of its words that no item has costs an edit,
    and an edit changes two of its word pairs at most, so more strange words than edits, or pairs than twice that, rule
    a match out.
@@ -23,7 +23,8 @@ Items are taken in length classes, in which lengths differ by at most a quarter,
 The benchmark is broadcast in blocks of at most ``BLOCK_CHARS``; a larger one makes more passes, not larger broadcasts.
 
 Defined results: null texts, texts and items without words match nothing; items with a null id are left out; items that
-repeat in full count once. Rows that repeat give their pairs again. Other columns are ignored (:func:`leaks`) or carried
+repeat in full count once. Rows that repeat give their pairs again. Very long texts are searched whole, window by window;
+of windows that tie in edits, the first is given. Other columns are ignored (:func:`leaks`) or carried
 (:func:`drop_leaks`). An empty table or benchmark gives no pairs.
 """
 
@@ -201,7 +202,7 @@ class Walks:
 class Items:
     """The search structures of one block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str]], ratio: float, repetitions: int, samples: int, seed: int = 5):
+    def __init__(self, items: list[tuple[int, str]], ratio: float, repetitions: int, samples: int, seed: int = 5, recall: float = RECALL):
         cache = HashCache()
         self.flat, at = hashed_tokens([t for _, t in items], cache)
         length = np.diff(at)
@@ -224,7 +225,7 @@ class Items:
             for least, longest in classes(size[whole == kind].tolist()):
                 mine = np.flatnonzero((size >= least) & (size <= longest) & (whole == kind))
                 begin = self.start[owner[mine]] + first[mine]
-                walks = Walks(least, repetitions, samples, seed, self.flat, begin, begin + size[mine], ratio)
+                walks = Walks(least, repetitions, samples, seed, self.flat, begin, begin + size[mine], ratio, recall)
                 self.classes.append((least, int(np.floor(ratio * size[mine].max() + 1e-9)), owner[mine], first[mine], kind, walks))
 
     @staticmethod
@@ -334,8 +335,8 @@ class Items:
 
 
 @functools.lru_cache(maxsize=2)
-def _items(sent: Broadcast, ratio: float, repetitions: int, samples: int) -> Items:
-    return Items(sent.value, ratio, repetitions, samples)
+def _items(sent: Broadcast, ratio: float, repetitions: int, samples: int, recall: float) -> Items:
+    return Items(sent.value, ratio, repetitions, samples, recall=recall)
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list[tuple[int, str]]]:
@@ -356,7 +357,7 @@ LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO, repetitions: int = REPETITIONS, samples: int = SAMPLES,
+    docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO, repetitions: int = REPETITIONS, samples: int = SAMPLES, recall: float = RECALL,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """(doc_id, item_id, first_word, edits) for every document and item that match, with the best window found."""
@@ -364,14 +365,14 @@ def leaks(
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = spark.createDataFrame([], "doc_id long, item_id long, first_word long, edits long")
     for n, block in enumerate(blocks(benchmark, item_col, "text", block_chars)):
-        found = slim.mapInArrow(_search(spark.sparkContext.broadcast(block), ratio, repetitions, samples), "doc_id long, item_id long, first_word long, edits long")
+        found = slim.mapInArrow(_search(spark.sparkContext.broadcast(block), ratio, repetitions, samples, recall), "doc_id long, item_id long, first_word long, edits long")
         out = out.unionByName(found) if n else found
     return out
 
 
-def _search(sent: Broadcast, ratio: float, repetitions: int, samples: int):
+def _search(sent: Broadcast, ratio: float, repetitions: int, samples: int, recall: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, cache = _items(sent, ratio, repetitions, samples), HashCache()
+        items, cache = _items(sent, ratio, repetitions, samples, recall), HashCache()
         for whole in batches:
             for b in slices(whole, "text", 4 << 20):
                 text, item, window, distance = items.find(*hashed_tokens(b.column(1).to_pylist(), cache, WORD))
@@ -381,14 +382,14 @@ def _search(sent: Broadcast, ratio: float, repetitions: int, samples: int):
     return run
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO, repetitions: int = REPETITIONS, samples: int = SAMPLES, text_col: str = "text", item_col: str = "item_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO, repetitions: int = REPETITIONS, samples: int = SAMPLES, recall: float = RECALL, text_col: str = "text", item_col: str = "item_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that match no item, all columns as they were, in one narrow pass for each block of items."""
     spark, at = docs.sparkSession, docs.columns.index(text_col)
     for block in blocks(benchmark, item_col, "text", block_chars):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
-            items, cache = _items(sent, ratio, repetitions, samples), HashCache()
+            items, cache = _items(sent, ratio, repetitions, samples, recall), HashCache()
             for whole in batches:
                 for b in slices(whole, text_col, 4 << 20):
                     keep = np.ones(len(b), bool)

@@ -275,6 +275,29 @@ def test_long_items_at_the_limit_are_found(size):
         assert d == edit_distance(a, b + [None] * (size - len(b))) <= decontam.RATIO * size
 
 
+@pytest.mark.parametrize("size", [20, 40, 80, 160, 400])
+@pytest.mark.parametrize("ratio", [0.1, 0.15, 0.2])
+def test_recall_of_mixed_edits(size, ratio):
+    r = np.random.default_rng(size)
+    items, texts, near = [], [], []
+    for k in range(40):
+        item = r.integers(3000, size=size).tolist()
+        some = list(item)
+        for _ in range(int(ratio * size + 1e-9)):
+            p = int(r.integers(len(some)))
+            some[p : p + int(r.integers(2))] = r.integers(3000, size=int(r.integers(2))).tolist()
+        before = r.integers(3000, size=20).tolist()
+        text = [*before, *some, *r.integers(3000, size=size).tolist()]
+        windows = np.array([text[s : s + size] for s in range(14, 27)], np.uint64)
+        most = int(decontam.RATIO * size + 1e-9)
+        near.append(decontam.edits(np.array([item] * len(windows), np.uint64), windows, most).min() <= most)
+        items.append((k, " ".join(f"w{x}" for x in item)))
+        texts.append(" ".join(f"w{x}" for x in text))
+    text, item, _, _ = decontam.Items(items, decontam.RATIO, decontam.REPETITIONS, decontam.SAMPLES).find(*common.hashed_tokens(texts, common.HashCache()))
+    found = set(zip(text.tolist(), item.tolist()))
+    assert sum(near) > 8 and np.mean([(k, k) in found for k in range(40) if near[k]]) >= 0.93
+
+
 def test_leaks_of_hostile_tables(spark, hostile, prose):
     b = spark.createDataFrame([(1, prose(80, 2)), (2, "日本語 x")], "item_id long, text string")
     got = plain(decontam.leaks(hostile, b).select("doc_id", "item_id"))
@@ -559,7 +582,8 @@ def test_table_scores_are_those_of_the_model(spark, prose, tmp_path):
 def test_canonical():
     for url, want in {
         "HTTP://user:pw@WWW.Ex.ORG:80/a/?b=2&a=1#top": ("ex.org/a?a=1&b=2", "ex.org"), "https://m.ex.org": ("ex.org", "ex.org"), "//ex.org/a/": ("ex.org/a", "ex.org"), "not a url": ("not a url", ""), "": ("", ""),
-        "http://www.org/x": ("www.org/x", "www.org"), "http:///x": ("/x", ""),
+        "http://www.org/x": ("www.org/x", "www.org"), "http:///x": ("/x", ""), "http://[2001:db8::1]:8080/a/": ("[2001:db8::1]/a", "[2001:db8::1]"),
+        "http://ex.org/" + "a/" * 200_000: ("ex.org/" + "a/" * 199_999 + "a", "ex.org"),
     }.items():
         assert urlfilter.canonical(url) == want
 
