@@ -69,7 +69,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": r"""
         WITH parts AS (
             SELECT page_id, url, trim(url) AS u,
-                regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)(?:\?([^#]*))?', ['h', 'p', 'q']) AS m,
+                regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::\d*)?([^?#]*)(?:\?([^#]*))?', ['h', 'p', 'q']) AS m,
                 regexp_matches(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//') AS whole
             FROM pages
         ), named AS (

@@ -10,7 +10,8 @@ A URL is canonical without scheme, user, port, fragment, ``www.`` or ``m.`` in f
 host in lower case. A host entry also blocks the hosts below it.
 
 Defined results: a null URL is null in all columns and not blocked; an empty one, or one without a host, matches only an
-equal entry. Rows that repeat are looked up alike; null and repeated entries of the list count once or not at all. Other
+equal entry. An IPv6 host is kept with its brackets. Very long URLs are looked up whole. Rows that repeat are looked up
+alike, and a page listed by host and by URL counts as listed by host, so there are no ties; null and repeated entries of the list count once or not at all. Other
 columns are ignored (:func:`look_up`) or carried (:func:`drop_listed`). Empty tables and an empty list give none blocked.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 from .common import filesystem
 
-_URL = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)(?:\?([^#]*))?")
+_URL = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::\d*)?([^?#]*)(?:\?([^#]*))?")
 _FRONT = re.compile(r"^(?:www\d?|m)\.(?=[^.]+\.)")
 
 
