@@ -35,7 +35,7 @@ BITS = 256
 RADIUS = 62
 BANDS = 8
 GRAM = 4
-HEAVY = 20_000  # rows of a bucket that are compared in one task
+HEAVY = 4_000  # rows of a bucket that are compared in one task
 BROADCAST_ROWS = 1 << 16  # crowded buckets that are broadcast; of more, the join is left to the optimiser
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _ODD = mix(np.arange(11, 11 + 64, dtype=np.uint64)) | np.uint64(1)
@@ -100,22 +100,26 @@ def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def near(p: np.ndarray, shift: int, first: int, words: int, wanted: np.ndarray, radius: int) -> np.ndarray:
-    """The lanes of ``words`` words from ``first`` on that are wanted and within ``radius`` of the document ``shift`` lanes on."""
-    skip, b = divmod(shift, 64)
-    at = first + skip
-    ones, twos, fours = (np.zeros(words, np.uint64) for _ in range(3))
-    upper = [np.zeros(words, np.uint64) for _ in range(6)]
+def near(p: np.ndarray, shifts: np.ndarray, first: int, words: int, wanted: np.ndarray, radius: int) -> np.ndarray:
+    """[shifts, words]: the lanes of ``words`` words from ``first`` on that are wanted and within ``radius`` of the document as many lanes on as each shift says."""
+    shape = wanted.shape
+    ones, twos, fours = (np.zeros(shape, np.uint64) for _ in range(3))
+    upper = [np.zeros(shape, np.uint64) for _ in range(6)]
+    bits, back = (shifts & 63).astype(np.uint64)[:, None], (64 - (shifts & 63)).astype(np.uint64)[:, None]  # a shift by 64 gives 0
+    at = first + (shifts >> 6)[:, None] + np.arange(words)
+    low = int(first + (shifts[0] >> 6))
 
     def csa(a: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         u = a ^ x
         return u ^ y, (a & x) | (u & y)
 
     for j in range(0, BITS, 8):
-        other = p[j : j + 8, at : at + words]
-        if b:
-            other = (other >> np.uint64(b)) | (p[j : j + 8, at + 1 : at + 1 + words] << np.uint64(64 - b))
-        x = p[j : j + 8, first : first + words] ^ other
+        some = p[j : j + 8]
+        if len(shifts) == 1:
+            other = (some[:, None, low : low + words] >> bits) | (some[:, None, low + 1 : low + 1 + words] << back)
+        else:
+            other = (some.take(at, axis=1) >> bits) | (some.take(at + 1, axis=1) << back)
+        x = some[:, None, first : first + words] ^ other
         ones, t1 = csa(ones, x[0], x[1])
         ones, t2 = csa(ones, x[2], x[3])
         twos, f1 = csa(twos, t1, t2)
@@ -126,7 +130,7 @@ def near(p: np.ndarray, shift: int, first: int, words: int, wanted: np.ndarray,
         for k in range(6):
             upper[k], carry = upper[k] ^ carry, upper[k] & carry
         if j % 32 == 24 and j > radius and not (wanted & ~_above([ones, twos, fours, *upper], radius)).any():
-            return np.zeros(words, np.uint64)
+            return np.zeros(shape, np.uint64)
     return wanted & ~_above([ones, twos, fours, *upper], radius)
 
 
@@ -160,24 +164,25 @@ def links(bucket: np.ndarray, sk: np.ndarray, radius: int = RADIUS, block: int =
         place = np.arange(len(lanes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         p = planes(sk[lanes])
         reach = min(int(sizes[0]), max(shift + 1, 2 * shift))  # shifts before the joined buckets are left out
-        p = np.pad(p, ((0, 0), (0, reach // 64 + 2)))
-        for s in range(shift, reach):
-            used = int(sizes[sizes > s].sum())
-            if not used:
-                break
-            good = (place[:used] + s < sizes[which[:used]]) & (open_parts[which[:used]] > 0)
+        p = np.pad(p, ((0, 0), (0, reach // 64 + 3)))
+        s = shift
+        while s < reach and (used := int(sizes[sizes > s].sum())):
             words = -(-used // 64)
-            flags = np.zeros(words * 64, np.uint8)
-            flags[:used] = good
-            wanted = np.packbits(flags, bitorder="little").view(np.uint64)
+            some = np.arange(s, min(reach, s + max(1, min(64, 2048 // words))))  # narrow ones are taken together
+            s += len(some)
+            flags = np.zeros((len(some), words * 64), np.uint8)
+            flags[:, :used] = (place[:used] + some[:, None] < sizes[which[:used]]) & (open_parts[which[:used]] > 0)
+            wanted = np.packbits(flags, axis=1, bitorder="little").view(np.uint64)
             for a in range(0, words, block):
                 n = min(block, words - a)
-                if wanted[a : a + n].any():
-                    for k in (_lanes(near(p, s, a, n, wanted[a : a + n], radius)) + 64 * a).tolist():
-                        x, y = find(lanes[k]), find(lanes[k + s])
-                        if x != y:
-                            root[max(x, y)] = min(x, y)
-                            open_parts[which[k]] -= 1
+                if wanted[:, a : a + n].any():
+                    found = near(p, some, a, n, wanted[:, a : a + n], radius)
+                    for r in np.flatnonzero(found.any(axis=1)).tolist():
+                        for k in (_lanes(found[r]) + 64 * a).tolist():
+                            x, y = find(lanes[k]), find(lanes[k + int(some[r])])
+                            if x != y:
+                                root[max(x, y)] = min(x, y)
+                                open_parts[which[k]] -= 1
         shift = reach
         rest = (sizes > shift) & (open_parts > 0)
         starts, sizes, open_parts = starts[rest], sizes[rest], open_parts[rest]
