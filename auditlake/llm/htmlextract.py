@@ -468,12 +468,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 def _constant(votes: DataFrame) -> DataFrame:
     """(host, layout, slots): the constant slots of each group."""
     summed = votes.groupBy("host", "layout", "slot").agg(F.sum("aligned").alias("aligned"), F.sum("same").alias("same"))
-    pages_of = summed.where("slot = -1").select("host", "layout", F.col("aligned").alias("pages"))
-    return (
-        summed.where("slot >= 0").join(pages_of, ["host", "layout"])
-        .where((F.col("aligned") > 1) & (F.col("aligned") >= COVERED * F.col("pages")) & (F.col("same") >= SAME * F.col("aligned")))
-        .groupBy("host", "layout").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
-    )
+    # as many as the reference has text nodes
+    every = summed.groupBy("host", "layout").agg(F.collect_list(F.struct("slot", "aligned", "same")).alias("v"), F.max(F.when(F.col("slot") == -1, F.col("aligned"))).alias("pages"))
+    often = F.filter("v", lambda v: (v["slot"] >= 0) & (v["aligned"] > 1) & (v["aligned"] >= COVERED * F.col("pages")) & (v["same"] >= SAME * v["aligned"]))
+    return every.select("host", "layout", F.sort_array(F.transform(often, lambda v: v["slot"])).alias("slots")).where(F.size("slots") > 0)
 
 
 def _narrow(slim: DataFrame, groups: DataFrame, reference: DataFrame) -> DataFrame:
