@@ -137,7 +137,8 @@ def import_table(files: DataFrame, max_bytes: int = 2 << 20) -> DataFrame:
         for k, (at, raw) in enumerate(imports(language, content)):
             yield path, language, k, raw, *position(content, at)
 
-    return _run(files.where(F.octet_length("content") <= max_bytes), IMPORTS, rows)
+    # every import of any of the languages is announced by one of these words
+    return _run(files.where((F.octet_length("content") <= max_bytes) & F.col("content").rlike("import|require|include|use|using|from|export|mod")), IMPORTS, rows)
 
 
 def declaration_table(files: DataFrame, max_bytes: int = 2 << 20) -> DataFrame:

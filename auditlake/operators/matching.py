@@ -12,11 +12,12 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.languages import detect
@@ -24,7 +25,6 @@ from ..functions.paths import matches_any, python_glob
 from ..model import FINDING, FINDING_COLUMNS
 from ..rulesets.loader import Rule, compiled, java_pattern
 
-TIMEOUT = 20.0  # seconds that one pattern may take on one file
 _SPACE = re.compile(r"\s+")
 
 
@@ -55,23 +55,27 @@ def is_native(rule: Rule) -> bool:
     return rule.kind == "regex" and rule.group == 0 and compiled(rule.pattern).search("") is None and not re.search(r"\\[bBA]|\^|\$|\\x\{", rule.pattern)
 
 
-def native_findings(files: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Findings of whole-match rules, from one scan of the files.
+def native_findings(files: DataFrame, rules: list[Rule], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Findings of whole-match rules, from one scan of the files; ``carry`` names columns of the files to hand on.
 
-    The matches of a text and the gaps between them are its parts in order. Each part is reduced to numbers (bytes,
-    UTF-16 units, line feeds, and how much follows the last of these), and running sums over a file's parts give every
-    match its line and columns; texts themselves aren't carried along, and nothing grows with the square of the matches.
+    The matches of a text and the gaps between them are its parts in order; each pattern runs once over every text, and
+    again, for the gaps, over those that it matches. Each part is reduced to numbers (bytes, UTF-16 units, line feeds, and
+    how much follows the last of these), and running sums over the parts of a row give every match its line and columns;
+    texts themselves aren't carried along, and nothing grows with the square of the matches. Rows are told apart by a
+    number of their own, so files may repeat a path.
     """
-    files = with_language(files)
+    files = with_language(files).where(F.col("path").isNotNull()).select("path", "language", "content", *carry).withColumn("__row", F.monotonically_increasing_id())
 
-    def parts(rule: Rule) -> Column:
-        p = java_pattern(rule.pattern)
-        gaps = F.split("content", p, -1)
-        return F.when(applies(rule) & F.col("content").rlike(p), F.arrays_zip(F.regexp_extract_all("content", F.lit(p), F.lit(0)).alias("m"), F.slice(gaps, 1, F.size(gaps) - 1).alias("g")))
+    def matches(rule: Rule) -> Column:
+        return F.when(applies(rule), F.regexp_extract_all("content", F.lit(java_pattern(rule.pattern)), F.lit(0)))
 
-    some = functools.reduce(lambda a, b: a | b, (F.col("content").rlike(java_pattern(r.pattern)) for r in rules))
-    by_rule = files.where(some).select("path", F.posexplode(F.array(*(parts(r) for r in rules))).alias("k", "parts"))
-    rows = by_rule.select("path", "k", F.posexplode("parts").alias("i", "s")).select("path", "k", "i", F.col("s.m").alias("matched"), F.col("s.g").alias("gap"))
+    by_rule = files.select("*", F.posexplode(F.array(*(matches(r) for r in rules))).alias("k", "m")).where(F.size("m") > 0)
+    gaps = None
+    for k, r in enumerate(rules):
+        cut = F.split("content", java_pattern(r.pattern), -1)
+        gaps = F.when(F.col("k") == k, cut) if gaps is None else gaps.when(F.col("k") == k, cut)
+    rows = by_rule.select("path", "__row", "k", *carry, F.posexplode(F.arrays_zip("m", gaps.alias("g"))).alias("i", "s"))
+    rows = rows.select("path", "__row", "k", *carry, "i", F.col("s.m").alias("matched"), F.col("s.g").alias("gap")).where("matched IS NOT NULL")
 
     def feeds(x: str) -> Column:
         return F.length(x) - F.length(F.translate(x, "\n", ""))
@@ -80,12 +84,12 @@ def native_findings(files: DataFrame, rules: list[Rule]) -> DataFrame:
         return (F.octet_length(F.encode(x, "UTF-16BE")) / 2).cast("long")
 
     measured = rows.select(
-        "path", "k", "i", "matched", feeds("gap").alias("gap_feeds"), feeds("matched").alias("own_feeds"),
+        "path", "__row", "k", *carry, "i", "matched", feeds("gap").alias("gap_feeds"), feeds("matched").alias("own_feeds"),
         *(c for n, size in (("b", lambda x: F.octet_length(x).cast("long")), ("u", units)) for x in ("gap", "matched")
           for c in (size(F.col(x)).alias(f"{x}_{n}"), size(F.substring_index(x, "\n", -1)).alias(f"{x}_{n}_tail"))),
     )
-    before = Window.partitionBy("path", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("path", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("__row", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("__row", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     placed = measured.withColumn("line", zero(F.sum("own_feeds").over(before)) + F.sum("gap_feeds").over(upto) + 1)
     for n, name in (("b", "column"), ("u", "column_utf16")):
@@ -96,14 +100,15 @@ def native_findings(files: DataFrame, rules: list[Rule]) -> DataFrame:
         placed = placed.withColumn("gap_feed", gap_feed).withColumn("own_feed", own_feed)
         placed = placed.withColumn(name, F.col("start") - F.greatest(zero(F.max("gap_feed").over(upto)), zero(F.max("own_feed").over(before))) + 1)
     named = F.array(*(F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.message).alias("message")) for r in rules))
-    out = placed.withColumn("r", F.get(named, F.col("k"))).select("r.*", "path", "k", "matched", F.col("i").alias("offset"), *(F.col(c).cast("long").alias(c) for c in ("line", "column", "column_utf16")))
-    return finish(out)
+    out = placed.withColumn("r", F.get(named, F.col("k"))).select("r.*", "path", "__row", "k", *carry, "matched", F.col("i").alias("offset"), *(F.col(c).cast("long").alias(c) for c in ("line", "column", "column_utf16")))
+    return finish(out, carry)
 
 
-def finish(found: DataFrame) -> DataFrame:
-    """``found`` has the rule's number ``k``. Occurrence numbers (in match order, among equal texts of a rule in a file) and fingerprints."""
-    same = Window.partitionBy("path", "k", X.normalize_space("matched")).orderBy("offset")
-    return found.withColumn("occurrence", F.row_number().over(same) - 1).withColumn("fingerprint", X.fingerprint("rule_id", "path", "matched", "occurrence")).select(*FINDING_COLUMNS)
+def finish(found: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``found`` has the row's number and the rule's, ``k``. Occurrence numbers (in match order, among equal texts of a rule in a file) and fingerprints."""
+    same = Window.partitionBy("__row", "k", X.normalize_space("matched")).orderBy("offset")
+    numbered = found.withColumn("occurrence", F.row_number().over(same) - 1)
+    return numbered.withColumn("fingerprint", X.fingerprint("rule_id", "path", "matched", "occurrence")).select(*FINDING_COLUMNS, *carry)
 
 
 def byte_entropy(value: str) -> float:
@@ -124,7 +129,7 @@ def position(content: str, offset: int) -> tuple[int, int, int]:
 
 def spans(rule: Rule, content: str) -> Iterator[tuple[int, int]]:
     """Spans that a rule reports: of its group, where it took part, that pass the gates of secret rules."""
-    for m in compiled_once(rule.pattern).finditer(content, timeout=TIMEOUT):
+    for m in compiled_once(rule.pattern).finditer(content):
         a, b = m.span(rule.group)
         if a < 0:
             continue
@@ -132,7 +137,7 @@ def spans(rule: Rule, content: str) -> Iterator[tuple[int, int]]:
             value = content[a:b]
             if rule.entropy is not None and byte_entropy(value) < rule.entropy:
                 continue
-            if any(w in value.lower() for w in rule.stopwords) or any(compiled_once(p).search(value, timeout=TIMEOUT) for p in rule.allow_patterns):
+            if any(w in value.lower() for w in rule.stopwords) or any(compiled_once(p).search(value) for p in rule.allow_patterns):
                 continue
         yield a, b
 
@@ -173,24 +178,34 @@ def file_findings(rules: list[Rule], path: str, language: str | None, content: s
 _ARROW = pa.schema([(f.name, pa.int64() if f.dataType.simpleString() == "bigint" else pa.string()) for f in FINDING])
 
 
-def python_findings(files: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Findings of rules that need match positions, in one pass over the files that can have any."""
-    if not rules:
-        return files.sparkSession.createDataFrame([], FINDING)
+def by_file(files: DataFrame, find: Callable[[str, str | None, str], list[tuple]], carry: tuple[str, ...] = ()) -> DataFrame:
+    """The findings that ``find(path, language, content)`` gives for each file, over Arrow batches; columns named in ``carry`` are handed on."""
+    slim = files.select("path", "language", "content", *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [r for p, language, c in zip(*(x.to_pylist() for x in b.columns)) for r in file_findings(rules, p, language, c)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ARROW)], schema=_ARROW)
+            rows, origin = [], []
+            for i, (path, language, content) in enumerate(zip(*(c.to_pylist() for c in b.columns[:3]))):
+                some = find(path, language, content)
+                rows += some
+                origin += [i] * len(some)
+            columns = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ARROW)]
+            yield pa.RecordBatch.from_arrays([*columns, *(c.take(pa.array(origin, pa.int64())) for c in b.columns[3:])], names=[*FINDING_COLUMNS, *carry])
+
+    return slim.mapInArrow(run, T.StructType([*FINDING.fields, *(slim.schema[c] for c in carry)]))
 
-    some = functools.reduce(lambda a, b: a | b, (applies(r) & has_keyword(r) for r in rules))
-    return with_language(files).where(F.col("path").isNotNull() & F.col("content").isNotNull()).where(some).select("path", "language", "content").mapInArrow(run, FINDING)
+
+def python_findings(files: DataFrame, rules: list[Rule], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Findings of rules that need match positions, in one pass over the files that can have any."""
+    some = functools.reduce(lambda a, b: a | b, (applies(r) & has_keyword(r) for r in rules)) if rules else F.lit(False)
+    held = with_language(files).where(F.col("path").isNotNull() & F.col("content").isNotNull()).where(some)
+    return by_file(held, lambda path, language, content: file_findings(rules, path, language, content), carry)
 
 
-def findings(files: DataFrame, rules: list[Rule]) -> DataFrame:
+def findings(files: DataFrame, rules: list[Rule], carry: tuple[str, ...] = ()) -> DataFrame:
     """Findings of all regex and secret rules."""
     files = with_language(files)
     native = [r for r in rules if is_native(r)]
     rest = [r for r in rules if r.kind in ("regex", "secret") and not is_native(r)]
-    parts = ([native_findings(files, native)] if native else []) + ([python_findings(files, rest)] if rest or not native else [])
+    parts = ([native_findings(files, native, carry)] if native else []) + ([python_findings(files, rest, carry)] if rest or not native else [])
     return functools.reduce(DataFrame.unionByName, parts)

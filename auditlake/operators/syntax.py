@@ -16,13 +16,11 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import FINDING
 from ..rulesets.loader import Rule
-from .matching import _ARROW, _in_envelope, fingerprint, position, with_language
+from .matching import _in_envelope, by_file, fingerprint, position, with_language
 
 _TOKEN = re.compile(r'\s+|;[^\n]*|(\()|(\))|(\[)|(\])|"((?:\\.|[^"\\])*)"|(@[\w.-]+)|(#[\w-]+\?)|([\w.]+:)|(_(?![\w])|[A-Za-z_][\w.]*)|(.)', re.S)
 _TESTS = ("#eq?", "#not-eq?", "#match?", "#not-match?", "#any-of?")
@@ -344,18 +342,48 @@ def file_findings(rules: list[Rule], path: str, language: str | None, content: s
     return out
 
 
-def findings(files: DataFrame, rules: list[Rule], max_bytes: int = 2 << 20) -> DataFrame:
-    """Findings of structural rules, in files of their languages and of at most ``max_bytes``."""
+def findings(files: DataFrame, rules: list[Rule], max_bytes: int = 2 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Findings of structural rules, in files of their languages and of at most ``max_bytes`` that hold the texts a match needs."""
     rules = [r for r in rules if r.kind == "ast"]
     languages = sorted(set(itertools.chain.from_iterable(dict(r.queries) for r in rules)))
+    some = with_language(files).where(F.col("language").isin(*languages) & (F.octet_length("content") <= max_bytes) & F.col("path").isNotNull())
+    wanted = functools.reduce(lambda a, b: a | b, (_can_match(q, F.col("language") == language) for r in rules for language, q in r.queries), F.lit(False))
+    return by_file(some.where(wanted), lambda path, language, content: file_findings(rules, path, language, content), carry)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [r for p, language, c in zip(*(x.to_pylist() for x in b.columns)) for r in file_findings(rules, p, language, c)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ARROW)], schema=_ARROW)
 
-    some = with_language(files).where(F.col("language").isin(*languages) & (F.octet_length("content") <= max_bytes) & F.col("path").isNotNull())
-    return some.select("path", "language", "content").mapInArrow(run, FINDING)
+def unparsed(rules: list[Rule]) -> list[str]:
+    """What has to be said of rules with queries for languages that have no parser here."""
+    out = []
+    for r in rules:
+        if others := sorted(set(dict(r.queries)) - {"python"}):
+            out.append(f"rule {r.id}: no parser for {', '.join(others)}, so its queries for these find nothing")
+    return out
+
+
+def literals(source: str) -> list[list[str]]:
+    """For each pattern of a query, texts that a file needs for a match: what ``#eq?`` compares with, and literal children."""
+
+    def inside(p: Pattern) -> Iterator[str]:
+        if p.type == '"':
+            yield p.literal
+        elif p.type != "|":
+            for _, c in p.children:
+                yield from inside(c)
+
+    def bound(p: Pattern) -> Iterator[str]:
+        """Captures that every match has."""
+        if p.type != "|":
+            yield from p.captures
+            for _, c in p.children:
+                yield from bound(c)
+
+    return [[*inside(p), *(args[1] for name, args in tests if name == "#eq?" and not args[1].startswith("@") and args[0][1:] in set(bound(p)))] for p, tests in _query(source).patterns]
+
+
+def _can_match(source: str, base: Column) -> Column:
+    """Whether a file of the right language holds the texts that some pattern needs."""
+    alternatives = [functools.reduce(lambda a, b: a & b, (F.contains(F.col("content"), F.lit(t)) for t in some), F.lit(True)) for some in literals(source)]
+    return base & functools.reduce(lambda a, b: a | b, alternatives)
 
 
 def oversized(files: DataFrame, rules: list[Rule], max_bytes: int = 2 << 20) -> DataFrame:

@@ -94,6 +94,7 @@ class Scanner:
             parts.append(matching.findings(files, some))
         if some := self.rules.of("ast"):
             parts.append(syntax.findings(files, some, self.config.max_parse_bytes))
+            warnings += syntax.unparsed(some)
         silos = boundary.silo_of(files, self.config.silos) if self.config.silos else None
         if some := self.rules.of("boundary"):
             resolved = boundary.resolve(facts.import_table(files, self.config.max_parse_bytes), files, self.config.source_roots, boundary.go_modules(files))

@@ -129,11 +129,12 @@ def drill(card: str) -> dict:
     return known[card]
 
 
-def silo_drill(silos: DataFrame, silo: str) -> dict:
-    paths = [r["path"] for r in silos.where(F.col("silo") == silo).select("path").collect()]
-    if not paths:
+def silo_drill(rows: DataFrame, silos: DataFrame, silo: str) -> DataFrame:
+    """The rows of one silo's files, by a semi join; a silo without files is an error."""
+    paths = silos.where(F.col("silo") == silo).select("path")
+    if paths.isEmpty():
         raise ValueError(f"silo {silo!r} has no files")
-    return {"paths": paths}
+    return rows.join(paths, "path", "left_semi")
 
 
 def sections(rows: DataFrame, active: dict | None = None) -> DataFrame:

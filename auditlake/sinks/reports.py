@@ -10,12 +10,12 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..model import FINDING_COLUMNS, ORDER, RANK
-from ..plans.scan import Report
+from ..plans.scan import Report, fails
 from ..rulesets.loader import RESERVED, RuleSet
 
 SCHEMA_VERSION = "1.2"
@@ -54,6 +54,19 @@ def json_report(report: Report, version: str = "0.1.0", least: str | None = None
     return json.dumps(out, indent=2, ensure_ascii=False)
 
 
+def write_json_lines(report: Report, folder: str) -> None:
+    """A report of any size: findings with their status, metrics and skipped files as JSON lines, which executors write."""
+    redacted(report.rows(), report.redacted).orderBy("status", *ORDER).write.mode("overwrite").json(f"{folder}/findings")
+    report.metrics.orderBy("path").write.mode("overwrite").json(f"{folder}/files")
+    report.totals.write.mode("overwrite").json(f"{folder}/totals")
+    report.skipped.orderBy("path").write.mode("overwrite").json(f"{folder}/skipped")
+
+
+def write_sarif_lines(report: Report, folder: str) -> None:
+    """The results of a SARIF run, one to a line, which executors write."""
+    sarif_results(report.findings, report.redacted).orderBy(*ORDER[:3], "rule_id").select("result").write.mode("overwrite").text(folder)
+
+
 def sarif_results(findings: DataFrame, ids: list[str] = ()) -> DataFrame:
     """(rule_id, level, result): one SARIF result, as JSON, for each finding."""
     place = F.struct(F.struct(F.struct(X.uri_reference("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine"), F.greatest("column_utf16", F.lit(1)).alias("startColumn")).alias("region")).alias("physicalLocation"))
@@ -103,9 +116,7 @@ def metrics_line(totals: DataFrame) -> DataFrame:
 
 
 def skip_warnings(skipped: DataFrame) -> list[str]:
-    some = skipped.orderBy("path").limit(WARNED).collect()
-    more = skipped.count() - len(some)
-    return [f"skipped {r['path']}: {r['reason']}" for r in some] + ([f"... and {more} more"] if more else [])
+    return [r["text"] for r in skip_notes(skipped).orderBy("k").collect()]
 
 
 def text_report(report: Report, least: str | None = None) -> str:
@@ -141,13 +152,33 @@ def parity(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return j.select("path", "line", F.when(F.col("b").isNull(), "only-ours").when(F.col("a").isNull(), "only-theirs").when(F.arrays_overlap("a", "b"), "same").otherwise("differing").alias("bucket"))
 
 
+def parity_counts(rows: DataFrame) -> DataFrame:
+    """(bucket, places) over the rows of :func:`parity`, zeros included."""
+    every = rows.sparkSession.createDataFrame([(b,) for b in ("same", "differing", "only-ours", "only-theirs")], "bucket string")
+    return every.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("places"))
+
+
+def parity_tsv(rows: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(path, line, text): tab-separated lines of the places that differ, with the rules of either side (- for none)."""
+    shown = lambda c: F.coalesce(F.array_join(c, ";"), F.lit("-"))
+    j = rows.where("bucket <> 'same'").join(ours.withColumnRenamed("rules", "a"), ["path", "line"], "left").join(theirs.withColumnRenamed("rules", "b"), ["path", "line"], "left")
+    return j.select("path", "line", F.concat_ws("\t", "path", F.col("line").cast("string"), shown("b"), shown("a"), "bucket").alias("text"))
+
+
 def rules_per_line(findings: DataFrame) -> DataFrame:
     return findings.groupBy("path", "line").agg(F.sort_array(F.collect_set("rule_id")).alias("rules"))
 
 
 def exit_status(report: Report, fail_on: str = "error") -> int:
     """1 where a new finding reaches the severity, before anything is filtered for output; else 0."""
-    return int(not report.findings.where(X.severity_rank("severity") >= RANK[fail_on]).limit(1).isEmpty())
+    return int(fails(report.findings, fail_on))
+
+
+def skip_notes(skipped: DataFrame) -> DataFrame:
+    """(k, text): what a listing says of skipped files, the first ``WARNED`` by path and the number of the others."""
+    first = skipped.orderBy("path").limit(WARNED).select(F.row_number().over(Window.orderBy("path")).cast("long").alias("k"), F.concat(F.lit("skipped "), X.sanitize("path"), F.lit(": "), X.sanitize("reason")).alias("text"))
+    more = skipped.agg((F.count(F.lit(1)) - WARNED).alias("n")).where("n > 0").select(F.lit(WARNED + 1).cast("long").alias("k"), F.concat(F.lit("... and "), F.col("n").cast("string"), F.lit(" more")).alias("text"))
+    return first.unionByName(more)
 
 
 def descriptor_ids(findings: DataFrame) -> DataFrame:

@@ -1,46 +1,120 @@
 """Scans of files as they arrive.
 
-A content-addressed side table (content hash, scope hash) keeps the findings of files that were scanned; a file whose
-content and rules haven't changed isn't scanned again. It is a plain left-anti join per micro-batch, so a lost table
-costs time and never changes a result.
+A content-addressed side table keeps the findings of files that were scanned, one row for each key: rules, path scope,
+parse limit, path and content. A file whose key is there isn't scanned again. An entry holds no matched text, which is
+read from the file again, and a tag over its rows with a salt that only the table's owner has; a row whose tag is wrong
+counts as missing. So a lost or damaged table costs time and never changes a result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+import secrets
+from datetime import date, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as X
-from ..operators import matching
+from ..model import FINDING_COLUMNS
+from ..operators import markers, matching, syntax
+from ..plans.scan import with_status
 from ..rulesets.loader import RuleSet
+from ..session import discard
 from ..sources.files import classified
 
+VERSION = "2"
+_KEPT = [c for c in FINDING_COLUMNS if c not in ("path", "matched")]
+ENTRY = "struct<" + ", ".join(f"{c}: {'bigint' if c in ('line', 'column', 'column_utf16') else 'string'}" for c in _KEPT) + ", size: bigint>"
+CACHE = f"key string, entries array<{ENTRY}>, tag string, day date"
+
+
+def keyed(files: DataFrame, rules: RuleSet, scope: str = "scan-root", max_bytes: int = 2 << 20) -> DataFrame:
+    """Files with the hash of what their findings depend on."""
+    return files.withColumn("key", X.scope_hash(F.lit(VERSION), F.lit(rules.digest()), F.lit(scope), F.lit(str(max_bytes)), "path", X.content_hash("content")))
+
+
+def tag(salt: str) -> Column:
+    """What proves that the owner of the salt wrote a row."""
+    return X.scope_hash(F.lit(salt), "key", F.to_json("entries"), F.lit(salt))
+
+
+def matched_at(content: Column, line: Column, column: Column, size: Column) -> Column:
+    """``size`` characters from a line and byte column on."""
+    before = F.when(line > 1, F.length(F.call_function("substring_index", content, F.lit("\n"), (line - 1).cast("int"))) + 1).otherwise(0)
+    rest = F.substring(content, before + 1, F.length(content))
+    ahead = F.length(F.decode(F.substring(F.encode(F.substring_index(rest, "\n", 1), "UTF-8"), F.lit(1), (column - 1).cast("int")), "UTF-8"))
+    return F.substring(rest, ahead + 1, size.cast("int"))
+
+
+def scan_batch(files: DataFrame, rules: RuleSet, cache: DataFrame | None = None, salt: str = "", scope: str = "scan-root", max_bytes: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
+    """(findings of the files by all rules that look at one file, rows for the cache of those that had to be scanned)."""
+    k = keyed(matching.with_language(files.where(F.col("path").isNotNull() & F.col("content").isNotNull())), rules, scope, max_bytes)
+    known = None if cache is None else cache.where(F.col("tag") == tag(salt)).select("key", "entries").dropDuplicates(["key"])
+    fresh = (k if known is None else k.join(known.select("key"), "key", "left_anti")).dropDuplicates(["key"])
+    engines = []
+    if some := rules.of("regex", "secret"):
+        engines.append(matching.findings(fresh, some, ("key",)))
+    if some := rules.of("ast"):
+        engines.append(syntax.findings(fresh, some, max_bytes, ("key",)))
+    row = F.struct(*_KEPT, F.length("matched").cast("long").alias("size"))
+    if engines:
+        by_key = functools.reduce(DataFrame.unionByName, engines).groupBy("key").agg(F.sort_array(F.collect_list(row)).alias("entries"))
+        scanned = fresh.select("key").join(by_key, "key", "left").select("key", F.coalesce("entries", F.array().cast(f"array<{ENTRY}>")).alias("entries"))
+    else:
+        scanned = fresh.select("key", F.array().cast(f"array<{ENTRY}>").alias("entries"))
+    every = scanned if known is None else known.join(k.select("key").distinct(), "key", "left_semi").unionByName(scanned)
+    found = k.join(every, "key").select("path", "content", F.explode("entries").alias("e")).select("path", "content", "e.*")
+    found = found.withColumn("matched", matched_at(F.col("content"), F.col("line"), F.col("column"), F.col("size")))
+    return found.select(*FINDING_COLUMNS), scanned.withColumn("tag", tag(salt)).withColumn("day", F.current_date())
+
+
+class Cache:
+    """The side table of one rule owner: Parquet in a shared folder, in parts that are written once and never changed, by day."""
+
+    def __init__(self, spark: SparkSession, folder: str, salt: str | None = None):
+        self.spark, self.folder, self.salt = spark, folder.rstrip("/"), salt or secrets.token_hex(16)
+
+    def _exists(self, path: str) -> bool:
+        sc = self.spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(f"{CACHE}, part string").parquet(self.folder).drop("part") if self._exists(self.folder) else self.spark.createDataFrame([], CACHE)
+
+    def write(self, rows: DataFrame, part: str) -> None:
+        """Adds rows under a name of their own; the same name again replaces them, so a batch may be run again."""
+        rows.drop("day").write.mode("overwrite").parquet(f"{self.folder}/day={date.today().isoformat()}/part={part}")
+
+    def days(self) -> list[str]:
+        return [r["day"].isoformat() for r in self.read().select("day").distinct().orderBy("day").collect()] if self._exists(self.folder) else []
 
-def keyed(files: DataFrame, rules: RuleSet) -> DataFrame:
-    """Files with the hash of what their findings depend on: rules, path, content."""
-    return files.withColumn("key", X.scope_hash(F.lit(rules.digest()), "path", X.content_hash("content")))
+    def prune(self, days: int, today: date | None = None) -> int:
+        """Drops what was written more than ``days`` days ago, whole days at a time; how many of these there were."""
+        last = ((today or date.today()) - timedelta(days=days)).isoformat()
+        old = [d for d in self.days() if d < last]
+        for d in old:
+            discard(self.spark, f"{self.folder}/day={d}")
+        return len(old)
 
 
-def scan_batch(files: DataFrame, rules: RuleSet, cache: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(findings of the files, findings of those that had to be scanned with their ``key``)."""
-    k = keyed(matching.with_language(files), rules)
-    fresh = k if cache is None else k.join(cache.select("key").distinct(), "key", "left_anti")
-    found = matching.findings(fresh, rules.of("regex", "secret"))
-    scanned = fresh.select("key", "path").join(found, "path", "left")
-    old = cache.join(k.select("key"), "key", "left_semi") if cache is not None else scanned.limit(0)
-    every = old.select(*scanned.columns).unionByName(scanned)
-    return every.where("rule_id IS NOT NULL").drop("key"), scanned
+def scan(files: DataFrame, rules: RuleSet, cache: Cache, part: str, scope: str = "scan-root") -> DataFrame:
+    """Findings of the files, of which those that the cache knows aren't scanned; what was scanned is added to it."""
+    found, rows = scan_batch(files, rules, cache.read(), cache.salt, scope)
+    cache.write(rows, part)
+    return found
 
 
-def watch(spark: SparkSession, folder: str, rules: RuleSet, out: str, checkpoint: str, glob: str = "*") -> StreamingQuery:
-    """Scans files of a folder as they come; findings are appended to ``out`` with the batch's number. Runs until it has caught up."""
+def watch(spark: SparkSession, folder: str, rules: RuleSet, out: str, checkpoint: str, glob: str = "*", cache: Cache | None = None) -> StreamingQuery:
+    """Scans files of a folder as they come, with ``status`` by their markers; findings go to ``out`` by batch, and what was scanned to the cache. Runs until it has caught up."""
     raw = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
     files = classified(raw.select("path", F.col("content").alias("bytes"))).where("kind = 'text'").select("path", "content")
 
     def one(batch: DataFrame, number: int) -> None:
-        found, _ = scan_batch(batch, rules, None)
-        found.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        found = scan_batch(batch, rules)[0] if cache is None else scan(batch, rules, cache, f"{number}")
+        with_status(found, markers.suppressions(batch)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,12 +1,13 @@
 import json
 import os
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from auditlake.config import Config
-from auditlake.operators import baseline
-from auditlake.plans import scan, views
+from auditlake.operators import baseline, matching
+from auditlake.plans import progress, scan, views
 from auditlake.rulesets.loader import load_text
 from auditlake.sinks import reports as sinks
 from auditlake.sources import files as S
@@ -105,7 +106,8 @@ def test_views(report, spark):
     e = spark.createDataFrame([("a", "b", "f1"), ("a", "b", "f1"), ("b", "c", "f2")], "from_silo string, to_silo string, fingerprint string")
     assert views.matrix(e).count() == 9 and views.pivoted(e).count() == 2
     with pytest.raises(ValueError):
-        views.silo_drill(spark.createDataFrame([], "path string, silo string"), "x")
+        views.silo_drill(rows, spark.createDataFrame([], "path string, silo string"), "x")
+    assert views.silo_drill(rows, spark.createDataFrame([("a.py", "x")], "path string, silo string"), "x").count() == rows.where("path = 'a.py'").count() > 0
     assert [r[0] for r in spark.range(4).select(views.bar_cells(F.col("id"), F.lit(3), 10)).collect()] == [0, 3, 7, 10]
 
 
@@ -141,21 +143,79 @@ def test_walk(spark, tmp_path):
     assert "x.log" in S.walk(tmp_path, S.Policy.everything()).files and S.walk(tmp_path / "a.py").files == ["a.py"]
     got = {r["path"]: (r["kind"], r["reason"]) for r in S.read_tree(spark, tmp_path, w, "pre").collect()}
     assert got["pre/n.bin"] == ("binary", None) and got["pre/bad"] == ("unreadable", S.INVALID) and got["pre/a.py"] == ("text", None) and len(got) == 9
+    (tmp_path / "sub" / "keep.log").write_text("")
+    assert "keep.log" in S.walk(tmp_path / "sub").files and "up" not in S.walk(tmp_path / "sub").files
+    (tmp_path / "all").write_text("a.*\n")
+    (tmp_path / ".git" / "info").mkdir()
+    (tmp_path / ".git" / "info" / "exclude").write_text("n.bin\n")
+    for policy, gone in ((S.Policy(global_ignore=tmp_path / "all"), "a.py"), (S.Policy(git_exclude=True), "n.bin")):
+        assert gone in S.walk(tmp_path).files and gone not in S.walk(tmp_path, policy).files
+    assert "sub/top" in S.walk(tmp_path, S.Policy(parents=True)).files
+    (tmp_path / "sub" / "y.log").write_text("")
+    assert "y.log" in S.walk(tmp_path / "sub").files and "y.log" not in S.walk(tmp_path / "sub", S.Policy(parents=True)).files
     outer = S.project_ignores(tmp_path, tmp_path / "sub")
     (tmp_path / "sub" / "q.log").write_text("")
     assert "q.log" not in S.walk(tmp_path / "sub", outer=outer).files
 
 
+AST = "version: 1\nrules:\n  - {id: code.eval, severity: error, message: m, ast: {python: '(call function: (identifier) @_f (#eq? @_f \"eval\")) @report'}}\n"
+
+
 def test_incremental(spark, files, tmp_path):
-    f = files({"a": "needle", "b": "none"})
-    found, cache = incremental.scan_batch(f, RULES, None)
-    again, fresh = incremental.scan_batch(files({"a": "needle", "b": "needle!"}), RULES, cache.cache())
-    assert found.count() == 1 and again.count() == 2 and {r["path"] for r in fresh.collect()} == {"b"}
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "x.txt").write_text("a needle")
-    q = incremental.watch(spark, str(tmp_path / "in"), RULES, str(tmp_path / "out"), str(tmp_path / "cp"))
-    q.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    rules = RULES.merged(load_text(AST, "ast"))
+    f = files({"a": "needle", "b": "none", "c.py": "é = 1\nxé = eval(\n  'ö')\n"})
+    found, cache = incremental.scan_batch(f, rules, salt="s")
+    cache = cache.cache()
+    assert {r["path"]: (r["matched"], r["line"]) for r in found.collect()} == {"a": ("needle", 1), "c.py": ("eval(\n  'ö')", 2)} and cache.count() == 3
+    two = f.unionByName(spark.createDataFrame([("b", "a needle!"), ("b", "none"), ("a", "needle"), (None, "needle"), ("n", None)], "path string, content string"))
+    again, fresh = incremental.scan_batch(two, rules, cache, "s")
+    assert sorted((r["path"], r["line"], r["column"]) for r in again.collect()) == [("a", 1, 1), ("a", 1, 1), ("b", 1, 3), ("c.py", 2, 7)] and fresh.count() == 1
+    assert incremental.scan_batch(f, rules, cache, "other")[1].count() == 3  # tags of another salt
+    assert incremental.scan_batch(f, rules, cache.withColumn("entries", F.slice("entries", 1, 0)), "s")[1].count() == 2  # all but the entry that was empty before
+    assert incremental.scan_batch(f, rules, cache, "s", "config")[1].count() == 3 and incremental.scan_batch(f, RULES, cache, "s")[1].count() == 3
+    store = incremental.Cache(spark, str(tmp_path / "cache"), "s")
+    for k in range(2):
+        assert incremental.scan(f, rules, store, f"{k}").count() == 2
+    assert [store.read().count(), len(store.days())] == [3, 1] and store.prune(3) == 0
+    assert store.prune(3, date.today() + timedelta(days=9)) == 1 and not store.days()
+
+
+def test_watch(spark, tmp_path):
+    store = incremental.Cache(spark, str(tmp_path / "cache"))
+    for k, name in enumerate(("x", "y")):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / "in" / name / "f.txt").write_text("a needle\n# auditlake-ignore-line: t.word, needle\n" if k else "a needle")
+        incremental.watch(spark, str(tmp_path / "in"), RULES, str(tmp_path / "out"), str(tmp_path / "cp"), cache=store).awaitTermination()
+    got = sorted((r["batch"], r["status"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(0, "new"), (1, "new"), (1, "suppressed")] and store.read().count() == 2
+
+
+def test_progress(spark, files):
+    said = []
+    f = files({f"{k}.txt": "needle" for k in range(9)})
+    report = progress.scan_with_progress(scan.Scanner(spark, RULES), f, said.append, every=0.01)
+    assert said[0] == progress.Progress(9, 0, 0) and said[-1] == progress.Progress(9, 9, report.findings.count()) and report.findings.count() == 9
+    done = [p.files_done for p in said]
+    assert done == sorted(done) and [said[0].ratio, said[-1].ratio, progress.Progress(0, 3, 0).ratio, progress.Progress(2, 3, 0).ratio] == [0, 1, 0, 1]
+
+
+def test_reports_written_by_executors(spark, report, tmp_path):
+    sinks.write_json_lines(report, str(tmp_path / "r"))
+    sinks.write_sarif_lines(report, str(tmp_path / "s"))
+    assert spark.read.json(str(tmp_path / "r" / "findings")).count() == report.rows().count()
+    assert all(json.loads(r["value"])["ruleId"] for r in spark.read.text(str(tmp_path / "s")).collect())
+
+
+def test_rules_without_a_parser_are_named(spark, files):
+    rules = load_text("version: 1\nrules:\n  - {id: code.js, severity: error, message: m, ast: {javascript: '(call_expression) @report'}}\n", "js")
+    assert scan.Scanner(spark, rules).scan(files({"a.js": "f()"})).warnings == ["rule code.js: no parser for javascript, so its queries for these find nothing"]
+
+
+def test_repeated_paths_have_positions_of_their_own(spark):
+    f = spark.createDataFrame([("p", "needle\n x needle"), ("p", "\n\n  needle needle"), ("p", "needle\n x needle")], "path string, content string")
+    rules = RULES.of("regex")
+    native, python = (sorted(map(tuple, d.collect())) for d in (matching.native_findings(f, rules), matching.python_findings(f, rules)))
+    assert native == python and len(native) == 6
 
 
 def test_manifest(spark, tmp_path):
