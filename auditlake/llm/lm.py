@@ -2,8 +2,8 @@
 
 A word's probability is the product of its classes': every distinct word of the corpus has a path through a tree of
 classes with ``FAN`` children each, short for frequent words, and each step of the path is a softmax over the summed
-weights of the context's features: the class itself (a bias), the last word, the last two, and the last but one (a skip).
-A feature at a class is hashed to a row of ``FAN`` weights.
+weights of the context's features: the class itself (a bias), the last word, and in the first ``SHALLOW`` steps, which
+weigh most, the last two words and the last but one (a skip). A feature at a class is hashed to a row of ``FAN`` weights.
 
 What the model holds grows with the corpus: all its distinct words have paths of their own, and there is a row of weights
 for every ``SHARE`` words or so. Neither passes the driver, which sees a histogram of counts and names of files: the
@@ -14,7 +14,7 @@ words' codes are sorted segments in the shared folder, mapped by workers; the we
    from the rank among the words of this length.
 3. Training passes over all runs once, in ``ROUNDS`` rounds by the hash of the run. In a round, tasks run gradient descent
    over their runs from the weights so far, with a rate that falls by row as its gradients add up, and send on the rows
-   that changed after every ``BLOCK`` words or so. Changes of a span meet in two steps, within groups of tasks and then
+   that changed after every ``BLOCK`` words or so (or eight for each row of weights, if that is more). Changes of a span meet in two steps, within groups of tasks and then
    over the groups. Those of rows that little was learnt of are added; the more was learnt, the more it is an average.
 4. Scoring is one narrow pass in numpy batches, which gathers the sparse rows that occur.
 
@@ -46,14 +46,16 @@ FAN = 16
 BITS = 4  # of a step
 FEATURES = 4
 SHARE = 4  # distinct words for each row of weights
-SPAN = 4096  # rows of weights that travel together
+SPAN = 512  # rows of weights that travel together
+SHALLOW = 2  # steps of a path at which the longer contexts count, too
 ROUNDS = 2
-BLOCK = 2_000_000
+BLOCK = 4_000_000
 BATCH = 4096  # steps in one update
 RATE = 0.4
 SUMMED = 16.0  # summed squares of gradients up to which changes of different blocks are added rather than averaged
 DEEPEST = 15  # steps of a path; two words of equal hash are one
 _K = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_ONES = np.ones(FAN, np.float32)
 _START = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -195,66 +197,86 @@ def contexts(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return h
 
 
-def steps(ctx: np.ndarray, code: np.ndarray, length: np.ndarray, shift: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of weights [FEATURES, steps] and the children taken, over the paths of all words in order."""
-    total = int(length.sum())
-    word = np.repeat(np.arange(len(length)), length)
-    depth = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
-    down = ((length[word] - depth) * BITS).astype(np.uint64)
-    left = code[word]
-    node = ((left >> down) + (depth.astype(np.uint64) << np.uint64(60))) * _K[1]
-    node ^= node >> np.uint64(29)
-    child = ((left >> (down - np.uint64(BITS))) & np.uint64(FAN - 1)).astype(np.intp)
-    return (((ctx[:, word] + node) * _K[0]) >> shift).astype(np.intp), child
+def steps(ctx: np.ndarray, code: np.ndarray, length: np.ndarray, shift: np.uint64) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, rows of weights [features, steps], children taken) over the paths of all words: of the first ``SHALLOW`` steps with all features, and of the others with the first two."""
+    out = []
+    for first, features in ((0, FEATURES), (SHALLOW, 2)):
+        size = np.clip(length - first, 0, SHALLOW if not first else None)
+        total = int(size.sum())
+        word = np.repeat(np.arange(len(length)), size)
+        depth = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + first
+        down = ((length[word] - depth) * BITS).astype(np.uint64)
+        left = code[word]
+        node = ((left >> down) + (depth.astype(np.uint64) << np.uint64(60))) * _K[1]
+        node ^= node >> np.uint64(29)
+        child = ((left >> (down - np.uint64(BITS))) & np.uint64(FAN - 1)).astype(np.intp)
+        out.append((word, (((ctx[:features, word] + node) * _K[0]) >> shift).astype(np.intp), child))
+    return out
 
 
 def _softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = table.take(rows[0], axis=0)
+    z = table.take(rows[0], axis=0, mode="clip")
+    more = np.empty_like(z)
     for r in rows[1:]:
-        z += table.take(r, axis=0)
-    z -= z.max(axis=1, keepdims=True)
+        z += table.take(r, axis=0, out=more, mode="clip")
+    if len(z) and z.max() > 60:  # a row's weights sum to 0, so there is no underflow to mind
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z *= (1 / (z @ _ONES))[:, None]
     return z
 
 
+def _summed(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and the sum of the gradients of each: of rows with many examples by runs, of the others in as many rounds as they have examples."""
+    n = len(g)
+    order = np.sort((rows.ravel().astype(np.uint64) << np.uint64(32)) | np.tile(np.arange(n, dtype=np.uint64), len(rows)))
+    row, example = (order >> np.uint64(32)).astype(np.intp), (order & np.uint64(0xFFFFFFFF)).astype(np.intp)
+    first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+    count = np.diff(np.append(first, len(row)))
+    total = g.take(example[first], axis=0, mode="clip")
+    many, few, k = np.flatnonzero(count > 8), np.flatnonzero((count > 1) & (count <= 8)), 1
+    while len(few):
+        total[few] += g.take(example[first[few] + k], axis=0, mode="clip")
+        k += 1
+        few = few[count[few] > k]
+    if len(many):
+        size = count[many]
+        at = np.cumsum(size) - size
+        total[many] = np.add.reduceat(g.take(example[np.repeat(first[many] - at, size) + np.arange(size.sum())], axis=0, mode="clip"), at, axis=0)
+    return row[first], total
+
+
 def update(w: Weights, rows: np.ndarray, child: np.ndarray, rate: float = RATE) -> None:
     """One gradient step on a batch: a row moves against the sum of its examples' gradients, over the root of its summed squares."""
     g = _softmax(w.table, rows)
     g[np.arange(len(child)), child] -= 1
-    n = rows.size
-    order = np.sort((rows.ravel().astype(np.uint64) << np.uint64(32)) | np.tile(np.arange(len(child), dtype=np.uint64), len(rows)))
-    row = (order >> np.uint64(32)).astype(np.intp)
-    first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-    total = g.take((order & np.uint64(0xFFFFFFFF)).astype(np.intp), axis=0)
-    if len(first) < n:
-        total = np.add.reduceat(total, first, axis=0)
-    row = row[first]
+    row, total = _summed(g, rows)
     squares = w.squares[row] + np.einsum("ij,ij->i", total, total)
     w.squares[row] = squares
     total *= (np.float32(rate) / np.sqrt(squares + np.float32(1e-6)))[:, None]
-    w.table[row] -= total
+    now = w.table.take(row, axis=0, mode="clip")
+    now -= total
+    w.table[row] = now
 
 
 def descend(w: Weights, flat: np.ndarray, at: np.ndarray, code: np.ndarray, length: np.ndarray) -> None:
-    ctx, piece = contexts(flat, at), 1 << 16
+    ctx, piece = contexts(flat, at), 1 << 15
     for a in range(0, len(flat), piece):
-        rows, child = steps(ctx[:, a : a + piece], code[a : a + piece], length[a : a + piece], w.shift)
-        for b in range(0, len(child), BATCH):
-            update(w, rows[:, b : b + BATCH], child[b : b + BATCH])
+        for _, rows, child in steps(ctx[:, a : a + piece], code[a : a + piece], length[a : a + piece], w.shift):
+            for b in range(0, len(child), BATCH):
+                update(w, rows[:, b : b + BATCH], child[b : b + BATCH])
 
 
 def log_probabilities(w: Weights, flat: np.ndarray, at: np.ndarray, code: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Natural log-probability of every word."""
     ctx, piece, out = contexts(flat, at), 1 << 15, np.zeros(len(flat))
     for a in range(0, len(flat), piece):
-        size = length[a : a + piece]
-        rows, child = steps(ctx[:, a : a + piece], code[a : a + piece], size, w.shift)
-        lp = np.empty(len(child))
-        for b in range(0, len(child), BATCH):
-            c = child[b : b + BATCH]
-            lp[b : b + BATCH] = np.log(np.maximum(_softmax(w.table, rows[:, b : b + BATCH])[np.arange(len(c)), c], 1e-30))
-        out[a : a + piece] = np.add.reduceat(lp, np.cumsum(size) - size)
+        for word, rows, child in steps(ctx[:, a : a + piece], code[a : a + piece], length[a : a + piece], w.shift):
+            lp = np.empty(len(child))
+            for b in range(0, len(child), BATCH):
+                c = child[b : b + BATCH]
+                lp[b : b + BATCH] = np.log(np.maximum(_softmax(w.table, rows[:, b : b + BATCH])[np.arange(len(c)), c], 1e-30))
+            out[a : a + piece] += np.bincount(word, lp, minlength=len(out[a : a + piece]))
     return out
 
 
@@ -383,7 +405,11 @@ def _mixed(stored: Stored):
 
 
 def train(runs: DataFrame, names: Vocabulary, stored: Stored, rounds: int = ROUNDS, block: int = BLOCK) -> Stored:
-    """``runs`` are tokenised documents."""
+    """``runs`` are tokenised documents. A task takes about ``block`` words, and more of a large model, so that what is sent on grows with the corpus and no faster."""
+    block = max(block, 8 << stored.bits)
+    words = runs.agg(F.coalesce(F.sum(F.octet_length("places")), F.lit(0)).alias("n")).first()["n"] / 2  # two bytes a place, or four in long runs
+    tasks = max(1, math.ceil(words / rounds / block))
+    parts = runs.coalesce(tasks)
     for r in range(rounds):
         def learn(batches: Iterator[pa.RecordBatch], stored: Stored = stored) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
@@ -396,16 +422,16 @@ def train(runs: DataFrame, names: Vocabulary, stored: Stored, rounds: int = ROUN
                         now = base.copy() if now is None else now
                         descend(now, flat, at, code, length)
                         seen += len(flat)
-                        if seen >= block:
+                        if seen >= 2 * block:
                             yield from _moves(base, now, origin)
                             now, seen, origin = None, 0, origin + 1
             if seen:
                 yield from _moves(base, now, origin)
 
-        mine = runs.where(F.pmod(F.xxhash64("run"), F.lit(rounds)) == r).select("sizes", "words", "places")
+        mine = parts.where(F.pmod(F.xxhash64("run"), F.lit(rounds)) == r).select("sizes", "words", "places")
         moves = mine.mapInArrow(learn, "part int, origin long, rows binary, moves binary, squares binary")
         # first within groups of about as many tasks as there are groups, so that no task reads what grows with all the corpus
-        groups = max(1, math.isqrt(runs.rdd.getNumPartitions()))
+        groups = max(1, math.isqrt(tasks))
         grouped = moves.withColumn("origin_group", F.pmod(F.xxhash64("origin"), F.lit(groups))).repartition("part", "origin_group").sortWithinPartitions("part", "origin_group", "origin")
         summed = grouped.select("part", "origin_group", "rows", "moves", "squares").mapInArrow(_added, "part int, origin_group long, moves binary, squares binary")
         ordered = summed.repartition("part").sortWithinPartitions("part", "origin_group").select("part", "moves", "squares")

@@ -448,7 +448,7 @@ def brute_log_probability(w, before, path):
     for d in range(length):
         node = ((code >> (4 * (length - d))) + (d << 60)) * k[1] & m
         node ^= node >> 29
-        rows = [((x + node) * k[0] & m) >> int(w.shift) for x in h]
+        rows = [((x + node) * k[0] & m) >> int(w.shift) for x in (h if d < lm.SHALLOW else h[:2])]
         child = code >> (4 * (length - d - 1)) & 15
         z = [sum(float(w.table[r, c]) for r in rows) for c in range(lm.FAN)]
         lp += z[child] - math.log(sum(math.exp(x) for x in z))
@@ -493,8 +493,20 @@ def test_scores_and_gradients_against_plain_python():
         z[child] -= 1
         for x in rows:
             gradient[x] += z
-    rows, child = lm.steps(lm.contexts(flat, at), code, length, w.shift)
-    before = w.copy()
+    parts = lm.steps(lm.contexts(flat, at), code, length, w.shift)
+    before, w = w, lm.Weights(w.table.copy(), w.squares.copy())
+    every = np.concatenate([rows[f] for _, rows, _ in parts for f in range(len(rows))])
+    g = np.concatenate([lm._softmax(w.table, rows) - np.eye(lm.FAN)[child] for _, rows, child in parts for _ in rows])
+    row, total = lm._summed(g.astype(np.float32), every[None])
+    assert np.allclose(total, gradient[row], atol=1e-3) and set(np.flatnonzero(gradient.any(axis=1)).tolist()) <= set(row.tolist())
+    _, rows, child = parts[0]
+    gradient = np.zeros((4096, lm.FAN))
+    for some, c in zip(rows.T, child):
+        z = np.exp([sum(float(w.table[x, k]) for x in some) for k in range(lm.FAN)])
+        z /= z.sum()
+        z[c] -= 1
+        for x in some:
+            gradient[x] += z
     lm.update(w, rows, child, rate=0.5)
     squares = before.squares + (gradient**2).sum(axis=1)
     assert np.allclose(w.squares, squares, rtol=1e-3)
