@@ -719,3 +719,6 @@ def incremental_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def counts_by_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("ts", F.when(F.col("event_type") == "error", "error").otherwise("info").alias("severity"))
     return incremental.counts_by_minute(e)
+
+
+from . import queries_more as _more  # noqa: E402, F401  (registers its queries here)
