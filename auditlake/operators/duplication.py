@@ -1,7 +1,10 @@
 """Duplicate blocks: windows of lines that files share, grown to maximal blocks.
 
-Windows are grouped natively by digest. Which of them become blocks depends on order (a line belongs to one block only),
-so the greedy pass runs per connected group of files that share windows: what one group consumes can't touch another.
+Windows are grouped natively by digest. Which of them become blocks depends on order (a line belongs to one block only).
+But a block only ever takes lines of a segment: a run of repeated windows in one file of which each overlaps the next. And
+segments that are equal in full fare alike, as soon as there are two: whatever the first takes, the others take at the
+same place. So each distinct segment is resolved with two copies at most, in a greedy pass per connected group of segments
+that share windows, and what became of it is then joined to all its copies. A header that all files share is one segment.
 """
 
 from __future__ import annotations
@@ -34,12 +37,13 @@ def windows(files: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """(path, tok, line, last_line, window): every run of ``min_lines`` such lines in a file, with its digest. Built from each file's own array, without a shuffle."""
     numbered = F.transform(X.lines("content"), lambda x, i: F.struct((i + 1).cast("long").alias("line"), F.regexp_replace(x, r"(?U)^\s+|\s+\z", "").alias("text")))
     held = files.select("path", F.filter(numbered, lambda s: s["text"] != "").alias("t")).where(F.size("t") >= min_lines)
-    at = held.select("path", "t", F.transform("t", lambda s: F.sha2(s["text"], 256)).alias("h")).select(
+    at = held.select("path", "t", F.transform("t", lambda s: F.unhex(F.sha2(s["text"], 256))).alias("h")).select(
         "path", "t", "h", F.explode(F.sequence(F.lit(0), F.size("t") - min_lines)).alias("tok")
     )
+    digest = F.unhex(F.sha2(F.aggregate(F.slice("h", F.col("tok") + 1, min_lines), F.lit(b""), lambda a, x: F.concat(a, x)), 256))
     return at.select(
         "path", F.col("tok").cast("long").alias("tok"), F.get("t", F.col("tok"))["line"].alias("line"), F.get("t", F.col("tok") + (min_lines - 1))["line"].alias("last_line"),
-        F.sha2(F.array_join(F.slice("h", F.col("tok") + 1, min_lines), ""), 256).alias("window"),
+        F.substring(digest, 1, 16).alias("window"),
     )
 
 
@@ -91,23 +95,47 @@ def greedy(rows: list[tuple[str, int, int, str]], min_lines: int) -> Iterator[tu
             yield block, size, path[o], line[o], line[o + size - 1]
 
 
+def _segments(r: DataFrame, min_lines: int) -> DataFrame:
+    """(path, first, content): each run of repeated windows that overlap, with its first token and a digest of where its windows stand."""
+    before = Window.partitionBy("path").orderBy("tok")
+    opens = r.withColumn("opens", (F.col("tok") - F.lag("tok").over(before) >= min_lines).cast("int"))
+    numbered = opens.withColumn("n", F.coalesce(F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    by = numbered.groupBy("path", "n").agg(F.min("tok").alias("first"), F.sort_array(F.collect_list(F.struct("tok", "window"))).alias("ws"))
+    inside = F.transform("ws", lambda x: F.struct((x["tok"] - F.col("first")).alias("at"), F.hex(x["window"]).alias("w")))
+    return by.select("path", "first", F.sha2(F.to_json(inside), 256).alias("content"), F.size("ws").alias("size"), "ws")
+
+
 def copies(files: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """(block, line_count, first, path, start_line, end_line): every copy of every block; ``first`` names the block's first copy."""
-    r = checkpointed(repeated(files, min_lines).select("path", "tok", "window"))
-    named = r.groupBy("window").agg(F.min("path").alias("b"))
-    edges = r.join(named, "window").select(F.col("path").alias("a"), "b").distinct()
-    member = components(edges).select(F.col("node").alias("path"), F.col("root").alias("component"))
-    inside = r.select("path", F.explode(F.sequence("tok", F.col("tok") + (min_lines - 1))).alias("tok")).distinct()
-    rows = inside.join(tokens(files), ["path", "tok"]).join(member, "path", "left").select(F.coalesce("component", "path").alias("component"), "path", "tok", "line", "text")
+    r = checkpointed(repeated(files, min_lines).select("path", "tok", "line", "last_line", "window"))
+    every = _segments(r, min_lines)
+    segments = checkpointed(every.select("path", "first", "content", (F.element_at("ws", -1)["tok"] + min_lines).alias("behind")))
+    # the first two segments of each content, by aggregation, as there may be any number
+    place = F.struct("path", "first", "behind")
+    one = segments.groupBy("content").agg(F.min(place).alias("p"))
+    two = segments.join(one, "content").where(place > F.col("p")).groupBy("content").agg(F.min(place).alias("p"))
+    chosen = checkpointed(one.withColumn("leads", F.lit(True)).unionByName(two.withColumn("leads", F.lit(False))).select("content", "leads", "p.*"))
+    inside = chosen.select("path", "content", "leads", F.col("first").alias("from"), F.explode(F.sequence("first", F.col("behind") - 1)).alias("tok"))
+    windows_of = inside.join(r.select("path", "tok", "window"), ["path", "tok"]).select("content", "window").distinct()
+    named = windows_of.groupBy("window").agg(F.min("content").alias("b"))
+    member = components(windows_of.join(named, "window").select(F.col("content").alias("a"), "b").distinct()).select(F.col("node").alias("content"), F.col("root").alias("component"))
+    held = tokens(files.join(chosen.select("path").distinct(), "path", "left_semi"))
+    rows = inside.join(held, ["path", "tok"]).join(member, "content", "left").select(F.coalesce("component", "content").alias("component"), "content", "leads", "from", "path", "tok", "text")
 
     def resolve(part: pd.DataFrame) -> pd.DataFrame:
         part = part.assign(order=part["path"].map(lambda p: p.encode())).sort_values(["order", "tok"])
-        out = pd.DataFrame(greedy(list(part[["path", "tok", "line", "text"]].itertuples(index=False, name=None)), min_lines), columns=["block", "line_count", "path", "start_line", "end_line"])
-        return out
+        # the token's number stands in for its line, which differs from copy to copy
+        found = greedy(list(zip(part["path"], part["tok"], part["tok"], part["text"])), min_lines)
+        at = {(p, t): (c, f) for p, t, c, f, leads in zip(part["path"], part["tok"], part["content"], part["from"], part["leads"]) if leads}
+        out = [(block, size, *at[path, start], start) for block, size, path, start, _ in found if (path, start) in at]
+        return pd.DataFrame([(b, n, c, s - f) for b, n, c, f, s in out], columns=["block", "line_count", "content", "offset"])
 
-    found = rows.groupBy("component").applyInPandas(resolve, "block string, line_count long, path string, start_line long, end_line long")
-    same = Window.partitionBy("block", "line_count")
-    return found.withColumn("first", F.min(F.struct("path", "start_line")).over(same)).select("block", "line_count", "first", "path", "start_line", "end_line")
+    found = rows.groupBy("component").applyInPandas(resolve, "block string, line_count long, content string, offset long")
+    placed = segments.join(found, "content").select("block", "line_count", "path", (F.col("first") + F.col("offset")).alias("tok"))
+    starts, ends = r.select("path", "tok", F.col("line").alias("start_line")), r.select("path", F.col("tok").alias("end"), F.col("last_line").alias("end_line"))
+    lined = checkpointed(placed.withColumn("end", F.col("tok") + F.col("line_count") - min_lines).join(starts, ["path", "tok"]).join(ends, ["path", "end"]))
+    first = lined.groupBy("block", "line_count").agg(F.min(F.struct("path", "start_line")).alias("first"))
+    return lined.join(first, ["block", "line_count"]).select("block", "line_count", "first", "path", "start_line", "end_line")
 
 
 def duplicated_lines(files: DataFrame, min_lines: int = MIN_LINES, found: DataFrame | None = None) -> DataFrame:
@@ -123,13 +151,15 @@ def duplicated_lines(files: DataFrame, min_lines: int = MIN_LINES, found: DataFr
 def block_findings(found: DataFrame) -> DataFrame:
     """One info finding per copy; its message lists at most ten of the other copies."""
     place = F.concat("path", F.lit(":"), F.col("start_line").cast("string"))
-    same = Window.partitionBy("block", "first")
+    # only the first places of a block travel; a filter on the rank limits them before the shuffle
     ordered = Window.partitionBy("block", "first").orderBy("path", "start_line")
-    some = found.withColumn("k", F.row_number().over(ordered)).withColumn("n", F.count(F.lit(1)).over(same))
-    listed = F.transform(F.sort_array(F.collect_list(F.when(F.col("k") <= LISTED + 1, F.struct("k", place.alias("place")))).over(same)), lambda s: s)
-    others = F.transform(F.slice(F.filter(F.col("listed"), lambda s: s["k"] != F.col("k")), 1, LISTED), lambda s: s["place"])
+    few = found.select("block", "first", "path", "start_line", place.alias("place")).withColumn("k", F.row_number().over(ordered)).where(F.col("k") <= LISTED + 1)
+    listed = few.groupBy("block", "first").agg(F.sort_array(F.collect_list(F.struct("k", "place"))).alias("listed"))
+    size = found.groupBy("block", "first").agg(F.count(F.lit(1)).alias("n"))
+    some = found.join(listed.join(size, ["block", "first"]), ["block", "first"]).withColumn("own", place)
+    others = F.transform(F.slice(F.filter(F.col("listed"), lambda s: s["place"] != F.col("own")), 1, LISTED), lambda s: s["place"])
     hidden = F.col("n") - 1 - F.size("others")
-    rows = some.withColumn("listed", listed).withColumn("others", others).select(
+    rows = some.withColumn("others", others).select(
         F.lit(RESERVED).alias("rule_id"), F.lit("info").alias("severity"),
         F.concat(F.lit("duplicated block, also at "), F.array_join("others", ", "), F.when(hidden > 0, F.concat(F.lit(", and "), hidden.cast("string"), F.lit(" more"))).otherwise("")).alias("message"),
         "path", F.col("start_line").alias("line"), F.lit(1).cast("long").alias("column"), F.lit(1).cast("long").alias("column_utf16"),

@@ -26,6 +26,7 @@ from .streaming import incremental
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+_LATER: list[tuple[str, Callable[[], str]]] = []
 
 RULES = """
 version: 1
@@ -43,10 +44,14 @@ def rules() -> RuleSet:
     return load_text(RULES, "queries")
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | Callable[[], str] | None = None) -> Callable[[Query], Query]:
+    """Registers a query with its SQL, or with a function that gives the SQL once all of this module is there."""
+
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(prepare(spark), sf_dir)
-        if sql is not None:
+        if callable(sql):
+            _LATER.append((f.__name__, sql))
+        elif sql is not None:
             ORACLE_SQL[f.__name__] = sql
         return f
 
@@ -206,7 +211,26 @@ def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.findings(_files(spark, sf_dir), [_secret()]).select("rule_id", "path", "line", "column", "fingerprint")
 
 
-@query()
+def _every_secret_sql() -> str:
+    """All rules of the pack, one by one: gates as :func:`matching.spans` has them, positions of the group within its match."""
+    parts = []
+    for r in default_rules().rules:
+        p, g = _q(r.pattern), r.group
+        keys = " OR ".join(f"contains(lower(content), {_q(k)})" for k in r.keywords) or "true"
+        gates = [f"list_aggregate(string_split(v, ''), 'entropy') >= {r.entropy}"] if r.entropy is not None else []
+        gates += [f"NOT regexp_matches(v, {_q(x)})" for x in r.allow_patterns] + [f"NOT contains(lower(v), {_q(w)})" for w in r.stopwords]
+        parts.append(
+            f"SELECT {_q(r.id)} AS rule_id, {_q(r.severity)} AS severity, {_q(r.message)} AS message, path, content, v AS matched, off + strpos(whole, v) - 1 AS off FROM (SELECT path, content, m[i] AS whole, vs[i] AS v, "
+            f"(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::BIGINT AS off FROM (SELECT path, content, regexp_extract_all(content, {p}) AS m, "
+            f"regexp_extract_all(content, {p}, {g}) AS vs, string_split_regex(content, {p}) AS gaps FROM files WHERE ({keys}) AND regexp_matches(content, {p})), unnest(range(1, len(m) + 1)) AS t(i)) WHERE {' AND '.join(gates) or 'true'}"
+        )
+    return f"""{FILES}, raw AS ({' UNION ALL '.join(parts)}), placed AS (SELECT *, substr(content, 1, off) AS prefix FROM raw), tailed AS (SELECT *, regexp_extract(prefix, '[^\\n]*$') AS tail FROM placed),
+        counted AS (SELECT *, row_number() OVER (PARTITION BY path, rule_id, {_SPACED} ORDER BY off) - 1 AS occurrence FROM tailed),
+        found AS (SELECT rule_id, severity, message, path, (length(prefix) - length(replace(prefix, chr(10), '')) + 1)::BIGINT AS line, (strlen(tail) + 1)::BIGINT AS "column", (length(tail) + 1)::BIGINT AS column_utf16, '<redacted>' AS matched,
+            sha256(rule_id || chr(0) || path || chr(0) || {_SPACED} || chr(0) || occurrence::VARCHAR) AS fingerprint FROM counted)"""
+
+
+@query(f"WITH {_every_secret_sql()} SELECT {_ALL} FROM found")
 def secret_findings_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matching.findings(_files(spark, sf_dir), default_rules().rules)
     return sinks.redacted(found, default_rules().redacted())
@@ -345,20 +369,24 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.gate(_rows(spark, sf_dir))
 
 
-@query(f"""WITH {ROWS}, silos AS (SELECT path, {_DIR} AS silo, len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '\\S'))) AS n FROM files),
-    s AS (SELECT silo, sum(n)::BIGINT AS lines FROM silos GROUP BY silo), c AS (SELECT {_DIR} AS silo, count_if(severity = 'info') AS i, count_if(severity = 'warning') AS w, count_if(severity = 'error') AS e FROM rows_ GROUP BY 1)
-    SELECT s.silo, coalesce(i, 0)::BIGINT AS info, coalesce(w, 0)::BIGINT AS warning, coalesce(e, 0)::BIGINT AS error, lines, 0.0::DOUBLE AS duplication FROM s LEFT JOIN c USING (silo)""")
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.file_metrics(_files(spark, sf_dir))
+
+
+@query(lambda: f"""WITH RECURSIVE {ROWS}, {_PLAIN}, m AS (SELECT f.path, coalesce(lines, 0) AS lines, coalesce(duplicated_lines, 0) AS dup FROM plain f LEFT JOIN met USING (path) LEFT JOIN dup USING (path)),
+    s AS (SELECT {_DIR} AS silo, sum(lines)::BIGINT AS lines, sum(dup) AS dup FROM m GROUP BY 1), c AS (SELECT {_DIR} AS silo, count_if(severity = 'info') AS i, count_if(severity = 'warning') AS w, count_if(severity = 'error') AS e FROM rows_ GROUP BY 1)
+    SELECT s.silo, coalesce(i, 0)::BIGINT AS info, coalesce(w, 0)::BIGINT AS warning, coalesce(e, 0)::BIGINT AS error, lines, CASE WHEN lines = 0 THEN 0.0 ELSE dup / lines * 100.0 END::DOUBLE AS duplication FROM s LEFT JOIN c USING (silo)""")
 def silo_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = _marked(spark, sf_dir).select("path", X.count_lines("content").alias("lines"), F.lit(0).alias("duplicated_lines"))
-    return views.silo_cards(_rows(spark, sf_dir), metrics, _silos(spark, sf_dir))
+    return views.silo_cards(_rows(spark, sf_dir), _metrics(spark, sf_dir), _silos(spark, sf_dir))
 
 
-@query(f"""WITH {ROWS}, t AS (SELECT sum(len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '\\S'))))::BIGINT AS lines FROM files)
-    SELECT count_if(severity = 'info')::BIGINT AS infos, count_if(severity = 'warning')::BIGINT AS warnings, count_if(severity = 'error')::BIGINT AS errors, count_if(status <> 'new')::BIGINT AS debt, 0::BIGINT AS coverage_findings,
-    any_value(lines) AS lines, 0::BIGINT AS duplicated_lines, 0.0::DOUBLE AS duplication_density FROM rows_, t""")
+@query(lambda: f"""WITH RECURSIVE {ROWS}, {_PLAIN}, {_ROLLED}, {_SCANNED}, low AS (SELECT count(*) AS n FROM res WHERE 100.0 * lines_covered / lines_total < 35), t AS (SELECT sum(lines)::BIGINT AS lines, (SELECT coalesce(sum(duplicated_lines), 0) FROM dup)::BIGINT AS d FROM met)
+    SELECT count_if(severity = 'info')::BIGINT AS infos, (count_if(severity = 'warning') + (SELECT n FROM low))::BIGINT AS warnings, count_if(severity = 'error')::BIGINT AS errors, count_if(status <> 'new')::BIGINT AS debt, (SELECT n FROM low)::BIGINT AS coverage_findings,
+    any_value(lines) AS lines, any_value(d) AS duplicated_lines, any_value(d / lines * 100.0)::DOUBLE AS duplication_density FROM rows_, t""")
 def kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = _marked(spark, sf_dir).select("path", X.count_lines("content").alias("lines"), F.lit(None).cast("long").alias("code_lines"), F.lit(0).cast("long").alias("duplicated_lines"))
-    return views.kpis(_rows(spark, sf_dir), scan.totals(metrics))
+    rule = Rule(id="gates.coverage", severity="warning", message="Too little is covered.", kind="coverage", limit=35.0)
+    low = coverage.gate(rule, _resolved(spark, sf_dir)).withColumn("status", F.lit("new"))
+    return views.kpis(_rows(spark, sf_dir).unionByName(low), scan.totals(_metrics(spark, sf_dir)))
 
 
 @query(f"""WITH {ROWS} SELECT 'severity' AS section, s AS value, count(r.severity) AS findings, s = 'error' AS active FROM (VALUES ('info'), ('warning'), ('error')) v(s) LEFT JOIN rows_ r ON r.severity = s GROUP BY s
@@ -385,8 +413,8 @@ def withheld_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ROWS} SELECT s AS fail_on, (SELECT count_if(status = 'new' AND ({_RANK}) >= k) FROM rows_) > 0 AS fails FROM (VALUES ('info', 0), ('warning', 1), ('error', 2)) v(s, k)")
 def fail_on(spark: SparkSession, sf_dir: str) -> DataFrame:
-    worst = views.new_only(_rows(spark, sf_dir)).agg(F.max(X.severity_rank("severity")).alias("worst"))
-    return spark.createDataFrame([("info", 0), ("warning", 1), ("error", 2)], "fail_on string, k int").crossJoin(worst).select("fail_on", F.coalesce(F.col("worst") >= F.col("k"), F.lit(False)).alias("fails"))
+    new = checkpointed(views.new_only(_rows(spark, sf_dir)))
+    return spark.createDataFrame([(at, scan.fails(new, at)) for at in ("info", "warning", "error")], "fail_on string, fails boolean")
 
 
 @query(f"WITH {findings_sql()} SELECT path, line, list_sort(list_distinct(list(rule_id))) AS rules FROM found GROUP BY path, line")
@@ -426,16 +454,29 @@ def sarif_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.descriptor_ids(_findings(spark, sf_dir))
 
 
-@query()
+@query(lambda: f"""WITH RECURSIVE {findings_sql()}, {_PLAIN}, t AS (SELECT sum(lines)::BIGINT AS n, (SELECT coalesce(sum(duplicated_lines), 0) FROM dup)::BIGINT AS d FROM met)
+    SELECT (SELECT count(*) FROM found) AS findings, 0::BIGINT AS baselined, 0::BIGINT AS suppressed, 0::BIGINT AS skipped, '1.2' AS schema_version, (SELECT count(*) FROM files) AS files, n AS lines, d AS duplicated_lines, d / n * 100.0 AS duplication_density,
+    (SELECT sha256(string_agg(path || ':' || line || ':' || "column" || ' ' || rule_id || ' ' || fingerprint, chr(10) ORDER BY path, line, "column", rule_id)) FROM found) AS places, (SELECT count(*) FROM found WHERE rule_id = 'text.hex-token') AS withheld, 'scan-root' AS anchor FROM t""")
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = scan.Scanner(spark, rules()).scan(_files(spark, sf_dir))
-    return spark.createDataFrame([(sinks.json_report(report),)], "report string")
+    """The whole document, and what it says: its lists by size, its findings in order, its metrics."""
+    import hashlib
+    import json
+
+    d = json.loads(sinks.json_report(scan.Scanner(spark, rules()).scan(_files(spark, sf_dir))))
+    t = d["metrics"]["totals"]
+    places = "\n".join(f"{f['path']}:{f['line']}:{f['column']} {f['rule_id']} {f['fingerprint']}" for f in d["findings"])
+    row = (
+        *(len(d[k]) for k in ("findings", "baselined", "suppressed", "skipped")), d["schema_version"], len(d["metrics"]["files"]), t["lines"], t["duplicated_lines"], t["duplication_density"],
+        hashlib.sha256(places.encode()).hexdigest(), sum(f["matched"] == sinks.REDACTED for f in d["findings"]), d["anchor"],
+    )
+    return spark.createDataFrame([row], "findings long, baselined long, suppressed long, skipped long, schema_version string, files long, lines long, duplicated_lines long, duplication_density double, places string, withheld long, anchor string")
 
 
-@query(f"WITH {FILES}, t AS (SELECT sum(len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '\\S'))))::BIGINT AS n FROM files) SELECT n || ' lines, 0 duplicated (0.0%)' AS text FROM t")
+@query(lambda: f"WITH RECURSIVE {_BLOCKS}, t AS (SELECT sum(lines)::BIGINT AS n, (SELECT coalesce(sum(duplicated_lines), 0) FROM dup)::BIGINT AS d FROM met), c AS (SELECT sum(len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '\\S') AND NOT regexp_matches(x, '^\\s*#'))))::BIGINT AS code FROM files) SELECT n || ' lines, ' || code || ' code lines, ' || d || ' duplicated (' || printf('%.1f', d / n * 100.0) || '%)' AS text FROM t, c")
 def metrics_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = line_metrics(spark, sf_dir).select("path", "lines", F.lit(None).cast("long").alias("code_lines"), F.lit(0).cast("long").alias("duplicated_lines"))
-    return sinks.metrics_line(scan.totals(metrics))
+    """The documents as Python files, so that all have code lines."""
+    f = _files(spark, sf_dir).withColumn("language", F.lit("python"))
+    return sinks.metrics_line(scan.totals(scan.file_metrics(f)))
 
 
 # --- duplication
@@ -487,31 +528,57 @@ def dup_gate_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplication.gate(_gate_rule("scan"), _window_metrics(spark, sf_dir)).select("path", "matched", "fingerprint")
 
 
-@query()
+# The greedy pass as a recursion over the starts of repeated windows in order: a state holds the tokens used so far and the
+# blocks found. Tokens are numbered over all files; a file's first token is two behind the last of the one before.
+_BLOCKS = rf"""{_TOKENS}, num AS (SELECT path, line, t, dense_rank() OVER (ORDER BY t) AS x, row_number() OVER (ORDER BY path, tok) + 2 * (dense_rank() OVER (ORDER BY path)) AS g, count(*) OVER (PARTITION BY path) - tok AS run, tok FROM toks),
+    big AS (SELECT map_from_entries(list((g, x))) AS xs, map_from_entries(list((g, run))) AS runs FROM num WHERE path IN (SELECT path FROM hit)),
+    st AS (SELECT row_number() OVER (ORDER BY g) AS i, g AS s, list_sort(list(g) OVER (PARTITION BY ts)) AS os FROM hit JOIN num USING (path, tok)),
+    rec AS (SELECT 1::BIGINT AS i, []::BIGINT[] AS used, 0::BIGINT AS s, 0::BIGINT AS size, []::BIGINT[] AS chosen UNION ALL
+        SELECT i + 1, CASE WHEN size > 0 THEN list_concat(used, flatten(list_transform(chosen, lambda o: range(o, o + size)))) ELSE used END, s, size, CASE WHEN size > 0 THEN chosen ELSE []::BIGINT[] END FROM (
+            SELECT i, used, s, chosen, CASE WHEN len(chosen) > 1 THEN size ELSE 0 END AS size FROM (
+                SELECT i, used, s, size, CASE WHEN len(grp) < 2 THEN []::BIGINT[] ELSE list_reduce(list_transform(grp, lambda o: [o]), lambda a, b: CASE WHEN b[1] >= a[-1] + size THEN list_concat(a, b) ELSE a END) END AS chosen FROM (
+                    SELECT i, used, s, grp, list_filter(range({duplication.MIN_LINES}, runs[s] + 1), lambda e: e >= runs[s] OR list_contains(used, s + e) OR len(list_filter(grp, lambda o: e >= runs[o] OR list_contains(used, o + e) OR xs[o + e] <> xs[s + e])) > 0)[1]::BIGINT AS size, xs, runs FROM (
+                        SELECT rec.i, used, st.s, CASE WHEN list_contains(used, st.s) THEN []::BIGINT[] ELSE list_filter(os, lambda o: o >= st.s AND NOT list_has_any(used, range(o, o + {duplication.MIN_LINES}))) END AS grp, xs, runs
+                        FROM rec JOIN st ON st.i = rec.i, big))))),
+    blk AS (SELECT s, size, unnest(chosen) AS o FROM rec WHERE size > 0),
+    txt AS (SELECT s, size, sha256(string_agg(t, chr(10) ORDER BY g))[1:12] AS block FROM (SELECT DISTINCT s, size FROM blk) JOIN num ON g >= s AND g < s + size GROUP BY s, size),
+    blocks AS (SELECT block, size AS line_count, a.path, a.line AS start_line, b.line AS end_line, s FROM blk JOIN txt USING (s, size) JOIN num a ON a.g = o JOIN num b ON b.g = o + size - 1),
+    dup AS (SELECT t.path, count(DISTINCT t.line)::BIGINT AS duplicated_lines FROM toks t JOIN blocks b ON b.path = t.path AND t.line BETWEEN b.start_line AND b.end_line GROUP BY t.path),
+    spots AS (SELECT *, path || ':' || start_line AS place, row_number() OVER w AS k, count(*) OVER (PARTITION BY s) AS n, list(path || ':' || start_line) OVER (PARTITION BY s ORDER BY path, start_line ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ps FROM blocks WINDOW w AS (PARTITION BY s ORDER BY path, start_line)),
+    told AS (SELECT *, list_filter(ps, lambda p: p <> place)[1:10] AS others, line_count || ' duplicated lines (block ' || block || ')' AS matched FROM spots),
+    dupf AS (SELECT 'metrics.duplicate-block' AS rule_id, 'info' AS severity, 'duplicated block, also at ' || array_to_string(others, ', ') || CASE WHEN n - 1 > len(others) THEN ', and ' || (n - 1 - len(others)) || ' more' ELSE '' END AS message,
+        path, start_line AS line, 1::BIGINT AS "column", 1::BIGINT AS column_utf16, matched, sha256('metrics.duplicate-block' || chr(0) || path || chr(0) || matched || chr(0) || (row_number() OVER (PARTITION BY path, matched ORDER BY block, start_line) - 1)) AS fingerprint, block, line_count FROM told)"""
+
+
+@query(f"WITH RECURSIVE {_BLOCKS} SELECT block, line_count, path, start_line, end_line FROM blocks")
 def dup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplication.copies(_files(spark, sf_dir)).drop("first")
 
 
-@query()
+@query(f"WITH RECURSIVE {_BLOCKS} SELECT path, duplicated_lines FROM dup")
 def dup_lines_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplication.duplicated_lines(_files(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {_BLOCKS} SELECT {_ALL} FROM dupf")
 def dup_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplication.block_findings(duplication.copies(_files(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH RECURSIVE {_BLOCKS} SELECT block, count(*) AS copies, max(line_count)::BIGINT AS lines FROM dupf GROUP BY block")
 def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.duplicate_groups(dup_findings(spark, sf_dir))
+    return views.duplicate_groups(duplication.block_findings(duplication.copies(_files(spark, sf_dir))))
 
 
-@query()
+@query(f"WITH RECURSIVE {_BLOCKS} SELECT f.path, coalesce(lines, 0)::BIGINT AS lines, NULL::BIGINT AS code_lines, coalesce(duplicated_lines, 0)::BIGINT AS duplicated_lines FROM files f LEFT JOIN met USING (path) LEFT JOIN dup USING (path)")
 def scan_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.file_metrics(_files(spark, sf_dir))
 
 
+# the same over files without markers, beside other files
+_PLAIN = _BLOCKS.replace("files AS (", "plain AS (").replace("FROM files", "FROM plain")
+
+
 # --- coverage
 
 _ROLLED = """roll AS (SELECT path, count(*)::BIGINT AS lines_total, count_if(hits > 0)::BIGINT AS lines_covered FROM (
@@ -721,4 +788,6 @@ def counts_by_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.counts_by_minute(e)
 
 
+ORACLE_SQL.update((name, sql()) for name, sql in _LATER)
+
 from . import queries_more as _more  # noqa: E402, F401  (registers its queries here)

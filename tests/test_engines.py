@@ -122,10 +122,10 @@ def brute_blocks(contents, n):
     return sorted(duplication.greedy(toks, n))
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(8))
 def test_blocks_by_component_equal_blocks_overall(spark, files, seed):
     rnd = random.Random(seed)
-    pool = [[rnd.choice("abc") + str(rnd.randrange(4)) for _ in range(rnd.randrange(3, 9))] for _ in range(6)]
+    pool = [[rnd.choice("abc"[: 1 + seed % 3]) + str(rnd.randrange(1 + seed // 2)) for _ in range(rnd.randrange(3, 9))] for _ in range(6)]
     contents = {}
     for k in range(14):
         lines = []
@@ -137,6 +137,16 @@ def test_blocks_by_component_equal_blocks_overall(spark, files, seed):
     assert rows(got, "block", "line_count", "path", "start_line", "end_line") == brute_blocks(contents, 3)
 
 
+def test_a_header_of_all_files_is_resolved_with_two_of_them(spark, monkeypatch):
+    header = [f"# line {k}" for k in range(12)]
+    two = [f"body {k}" for k in range(11)]
+    contents = {f"f{k:03}": "\n".join([*header, f"own {k}", *(two if k % 7 == 0 else []), "", *(header[:10] if k % 5 == 0 else [])]) for k in range(120)}
+    f = spark.createDataFrame(list(contents.items()), "path string, content string").cache()
+    segments = duplication._segments(duplication.repeated(f).select("path", "tok", "line", "last_line", "window"), 10)
+    assert segments.count() > 120 and segments.select("content").distinct().count() == 4
+    assert rows(duplication.copies(f), "block", "line_count", "path", "start_line", "end_line") == brute_blocks(contents, 10)
+
+
 def test_block_findings_and_lines(spark, files):
     shared = "\n".join(f"line {k}" for k in range(5))
     f = files({f"f{k:02}": shared + f"\nown {k}\n" for k in range(14)})
