@@ -26,7 +26,7 @@ from .queries import _ROLLED, _SCANNED, _hits
 from .rulesets import loader
 from .rulesets.convert import convert
 from .rulesets.loader import Rule
-from .session import shared_dir, table
+from .session import shared_dir, table, temporary
 from .sinks import reports as sinks
 from .sources import files as sources
 from .sources import reports
@@ -38,6 +38,7 @@ def _folder(spark: SparkSession) -> Path:
     """A new folder beside the checkpoints; on the clusters' shared folder that is a path all nodes see."""
     out = Path(shared_dir(spark).removeprefix("file:").replace("//", "/")) / f"tree-{uuid.uuid4().hex}"
     out.mkdir(parents=True)
+    temporary(str(out))
     return out
 
 
@@ -624,3 +625,34 @@ def cache_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.prune(60)
     left = {r["key"] for r in store.read().collect()}
     return spark.createDataFrame([(n, f"k{n}" in left) for n in days], "days_ago int, kept boolean")
+
+
+@query(f"WITH {findings_sql()} SELECT {_ALL} FROM found")
+def cached_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan of English documents fills the cache, which is written and read; a scan of all takes theirs from it."""
+    from .streaming import incremental
+
+    store, f = incremental.Cache(spark, f"{_folder(spark)}/cache", "s"), _files(spark, sf_dir)
+    store.write(incremental.scan_batch(f.where(F.contains("path", F.lit("/en/"))), rules(), salt="s")[1], "0")
+    return incremental.scan(f, rules(), store, "1")
+
+
+@query(f"WITH {ROWS} SELECT {_ALL}, CASE status WHEN 'baselined' THEN 'new' ELSE status END AS status FROM rows_")
+def streamed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a stream, scanned by batch with their markers and the cache."""
+    from .queries import MARK
+    from .streaming import incremental
+
+    root = _folder(spark)
+    docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    stream = sources.from_documents(docs).withColumn("content", F.replace("content", F.lit("Licensed under"), F.lit(f"/* {MARK} Licensed under")))
+    incremental.watch_files(stream, rules(), f"{root}/out", f"{root}/state", incremental.Cache(spark, f"{root}/cache", "s")).awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(*FINDING_COLUMNS, "status")
+
+
+@query(f"WITH {findings_sql()} SELECT 'first' AS event, count(*)::BIGINT AS files_total, 0::BIGINT AS files_done, 0::BIGINT AS findings, 0.0::DOUBLE AS ratio FROM files UNION ALL SELECT 'last', count(*), count(*), (SELECT count(*) FROM found), 1.0 FROM files")
+def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said: list[progress.Progress] = []
+    progress.scan_with_progress(scan.Scanner(spark, rules()), _files(spark, sf_dir), said.append)
+    rows = [(name, p.files_total, p.files_done, p.findings, p.ratio) for name, p in (("first", said[0]), ("last", said[-1]))]
+    return spark.createDataFrame(rows, "event string, files_total long, files_done long, findings long, ratio double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 from pathlib import Path
@@ -19,6 +20,8 @@ def prepare(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 
@@ -47,6 +50,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_TEMPORARY: list[str] = []
+
+
+def temporary(path: str) -> str:
+    """Notes a folder in the shared one that later results read; it is deleted when this process ends."""
+    if not _TEMPORARY:
+        atexit.register(_clear)
+    _TEMPORARY.append(path)
+    return path
+
+
+def _clear() -> None:
+    import pyarrow.fs as pafs
+
+    for path in _TEMPORARY:
+        try:
+            fs, at = pafs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pafs.LocalFileSystem(), path)
+            fs.delete_dir(at)
+        except (OSError, ValueError):  # gone already, or a file system that can't be reached any more
+            continue
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a table that was written in the shared folder for one use."""
     sc = spark.sparkContext

@@ -110,7 +110,11 @@ def scan(files: DataFrame, rules: RuleSet, cache: Cache, part: str, scope: str =
 def watch(spark: SparkSession, folder: str, rules: RuleSet, out: str, checkpoint: str, glob: str = "*", cache: Cache | None = None) -> StreamingQuery:
     """Scans files of a folder as they come, with ``status`` by their markers; findings go to ``out`` by batch, and what was scanned to the cache. Runs until it has caught up."""
     raw = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    files = classified(raw.select("path", F.col("content").alias("bytes"))).where("kind = 'text'").select("path", "content")
+    return watch_files(classified(raw.select("path", F.col("content").alias("bytes"))).where("kind = 'text'").select("path", "content"), rules, out, checkpoint, cache)
+
+
+def watch_files(files: DataFrame, rules: RuleSet, out: str, checkpoint: str, cache: Cache | None = None) -> StreamingQuery:
+    """The same for a stream of (path, content). A batch that is run again replaces what it wrote."""
 
     def one(batch: DataFrame, number: int) -> None:
         found = scan_batch(batch, rules)[0] if cache is None else scan(batch, rules, cache, f"{number}")
