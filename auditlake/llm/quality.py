@@ -2,14 +2,15 @@
 
 Indicators of hashed word and punctuation uni- and bigrams are scaled by class log-count ratios and given to a linear
 hinge-loss model, which is fitted by dual coordinate descent. The fit uses at most ``max_labelled`` labelled rows (a
-sample by the hash of the id); the score of a document is one sparse product against broadcast weights, so scoring is
+sample by the hash of the id) with at most ``max_bytes`` of features; the score of a document is one sparse product against broadcast weights, so scoring is
 one narrow pass over the corpus. Labels have two columns, quality and toxic; each has a model of its own over the same
 features, and a document is kept if it is of good quality and not toxic. As few rows are toxic, and some of these in a few
 words only, the border of that model is where ``FALSE`` of the labelled rows that aren't and that it wasn't fitted on lie
 beyond, if that is below 0.
 
-Defined results: a null text has a null score and is rejected; a text without tokens scores the bias; labels with a null
-id or class are left out; rows that repeat are scored alike; with one class or no labels at all (or no column
+Defined results: a null text has a null score and is rejected; a text without tokens scores the bias; a very long text is
+scored whole; a score that ties with the threshold is kept, one that ties with the toxic border isn't toxic; labels with a null
+id or class are left out; rows that repeat are scored alike, and count once in the fit; with one class or no labels at all (or no column
 ``toxic``), every text has the score 0 of that model, by which it is kept. Other columns are carried (:func:`keep_good`) or ignored (:func:`score`).
 """
 
@@ -20,13 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import PIECE, HashCache, hashed_tokens, mix, slices
 
 BITS = 18
 MAX_LABELLED = 12_000
+MAX_BYTES = 192 << 20  # of features that reach the driver
 THRESHOLD = 0.0
 FALSE = 0.01
 TOXIC = 0.0  # scores above are toxic
@@ -96,8 +98,8 @@ def fit(rows: list[np.ndarray], good: np.ndarray, bits: int = BITS, smooth: floa
     return Model((ratio * (blend * w + (1 - blend) * mean)).astype(np.float32), float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", toxic_col: str = "toxic", max_labelled: int = MAX_LABELLED, bits: int = BITS) -> Model:
-    """Fits on the labelled documents, at most ``max_labelled`` of them: their number, not the corpus, bounds the driver's share."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", toxic_col: str = "toxic", max_labelled: int = MAX_LABELLED, bits: int = BITS, max_bytes: int = MAX_BYTES) -> Model:
+    """Fits on the labelled documents, at most ``max_labelled`` of them and, in the same order, ``max_bytes`` of their features: these, not the corpus, bound the driver's share."""
     toxic = F.col(toxic_col) if toxic_col in labels.columns else F.lit(None)
     picked = (
         labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y"), toxic.cast("int").alias("z"))
@@ -115,7 +117,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 x = features(b.column(3).to_pylist(), cache, bits)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([v.tobytes() for v in x], pa.binary())], names=["i", "y", "z", "x"])
 
-    got = joined.mapInArrow(run, "i long, y int, z int, x binary").toArrow()
+    # documents that repeat in full count once, so this is about max_labelled rows, and one window over them is small
+    sized = joined.mapInArrow(run, "i long, y int, z int, x binary").dropDuplicates(["i", "x"])
+    upto = Window.orderBy(F.xxhash64("i"), "i", "x").rowsBetween(Window.unboundedPreceding, 0)
+    got = sized.withColumn("upto", F.sum(F.octet_length("x")).over(upto)).where(F.col("upto") <= max_bytes).drop("upto").toArrow()
     ids = got.column("i").to_numpy()
     order = np.argsort(ids, kind="stable")  # the same fit whatever order the rows came in
     x = got.column("x").to_pylist()

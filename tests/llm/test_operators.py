@@ -399,6 +399,45 @@ def test_toxic_rows_are_rejected_whatever_their_quality(spark, prose):
     assert {r["doc_id"] for r in quality.keep_good(d, model).collect()} == {k for k, r in got.items() if r["kept"]}
 
 
+def test_fit_against_a_plain_solution():
+    """Ratios by hand, and the dual's optimum: no other point along any coordinate is better, and primal and dual meet."""
+    r = np.random.default_rng(2)
+    bits, size = 6, 64
+    rows = [np.unique(r.integers(size, size=int(r.integers(3, 12)))).astype(np.uint32) for _ in range(60)]
+    good = np.array([int((x < 32).sum() + r.integers(3) > len(x) / 2) for x in rows])
+    model = quality.fit(rows, good, bits, blend=1.0, epochs=3000)
+    p, q = np.ones(size), np.ones(size)
+    for x, g in zip(rows, good):
+        for k in x.tolist():
+            (p if g else q)[k] += 1
+    ratio = np.where(p + q > 2, np.log(p / p.sum() / (q / q.sum())), 0.0)
+    dense = np.zeros((60, size))
+    for i, x in enumerate(rows):
+        dense[i, x] = ratio[x] / len(x) ** 0.5
+    y = np.where(good > 0, 1.0, -1.0)
+    cost = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum()) * 60
+    # primal by subgradient descent on 1/2 (w.w + b.b) + sum of cost * hinge
+    full = np.column_stack([dense, np.ones(60)])
+
+    def primal(v):
+        return 0.5 * v @ v + (cost * np.maximum(0, 1 - y * (full @ v))).sum()
+
+    v, best = np.zeros(size + 1), np.inf
+    for t in range(1, 40_000):
+        g = v - full.T @ (cost * y * (y * (full @ v) < 1))
+        v = v - g / (t + 10)
+        best = min(best, primal(v))
+    w = np.where(ratio != 0, model.weights / np.where(ratio != 0, ratio, 1), 0)
+    assert primal(np.append(w, model.bias)) <= best * 1.02 + 1e-6
+
+
+def test_labelled_features_are_bounded_by_bytes(spark, prose):
+    d = spark.createDataFrame([(k, prose(300, k)) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    few, all_, twice = (quality.train(x, labels, max_bytes=n) for x, n in ((d, 20_000), (d, 1 << 30), (d.union(d), 1 << 30)))
+    assert 0 < np.count_nonzero(few.weights) < np.count_nonzero(all_.weights) and (all_.weights == twice.weights).all()
+
+
 def test_scores_by_hand(prose):
     x = quality.features([prose(20, 1), "", "a"], common.HashCache())
     assert all((np.diff(v.astype(np.int64)) > 0).all() for v in x)

@@ -63,6 +63,15 @@ def test_pipeline_against_brute_force(spark, tables):
     assert dict(bpe.encode(docs).dtypes)["token_ids"] == "array<int>"
 
 
+def test_pipeline_without_labels_or_benchmark(spark, tables, tmp_path):
+    """Without labels no document is rejected but those without text, and without a benchmark none is contaminated."""
+    for t in ("documents", "labels", "benchmark"):
+        d = spark.read.parquet(f"{tables}/{t}.parquet")
+        (d if t == "documents" else d.limit(0)).write.parquet(f"{tmp_path}/{t}.parquet")
+    got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert {0, 1, 30, 52, None} <= got and not {50, 51, 53, 54} & got
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_run_on_the_smallest_tables(spark, name):
     got = QUERIES[name](spark, SF)
