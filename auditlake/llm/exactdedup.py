@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import shared_dir, temporary
 from .common import filesystem
 
 NODE_BYTES = 300  # what a node of the trie takes besides its label
@@ -199,7 +199,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 96 << 20) -> DataFrame:
     """(doc_id, owner_id) for every row: the owner is the smallest doc_id with the very same text."""
-    folder = f"{shared_dir(docs.sparkSession)}/patricia-{uuid.uuid4().hex}"
+    folder = temporary(f"{shared_dir(docs.sparkSession)}/patricia-{uuid.uuid4().hex}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int | None] = []
@@ -238,7 +238,7 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 96 << 20) -> DataFrame:
     """The rows of ``docs`` with each text once, in the row with the smallest id (then the smallest other columns); all rows with a null text stay."""
-    folder = f"{shared_dir(docs.sparkSession)}/patricia-{uuid.uuid4().hex}"
+    folder = temporary(f"{shared_dir(docs.sparkSession)}/patricia-{uuid.uuid4().hex}")
     at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
 
     def rank(row: tuple) -> tuple:

@@ -6,7 +6,8 @@ next virtual node whose shard has room. Only counts per virtual node (as many as
 reach the driver; which documents overflow follows from their rank on the ring, a window over ids alone.
 
 Defined results: a null doc_id hashes to one fixed place and is bounded like all others; rows that repeat an id are
-keys of their own at the same place; other columns are ignored; an empty table gives an empty result.
+keys of their own at the same place, of which those that tie may change places; texts of any length aren't read; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import shared_dir, temporary
 from .common import filesystem
 
 _URL = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::\d*)?([^?#]*)(?:\?([^#]*))?")
@@ -111,7 +111,7 @@ def _listed(folder: str, segments: tuple) -> Listed:
 
 def build(entries: DataFrame, column: str, name: str) -> tuple[str, tuple[tuple[int, int, str], ...]]:
     """Writes the digest array of the distinct entries; (folder, segments). A task that runs again writes other files, of which only those of the run that counts are named."""
-    folder = f"{shared_dir(entries.sparkSession)}/digests-{name}-{uuid.uuid4().hex}"
+    folder = temporary(f"{shared_dir(entries.sparkSession)}/digests-{name}-{uuid.uuid4().hex}")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(b.column(0).to_numpy().view(np.uint64).tolist(), b.column(1).to_pylist())]
