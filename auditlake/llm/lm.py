@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import discard, shared_dir
+from ..session import discard, shared_dir, temporary
 from .common import HashCache, filesystem, hashed_tokens, mix, slices
 
 FAN = 16
@@ -407,7 +407,8 @@ def _mixed(stored: Stored):
 def train(runs: DataFrame, names: Vocabulary, stored: Stored, rounds: int = ROUNDS, block: int = BLOCK) -> Stored:
     """``runs`` are tokenised documents. A task takes about ``block`` words, and more of a large model, so that what is sent on grows with the corpus and no faster."""
     block = max(block, 8 << stored.bits)
-    words = runs.agg(F.coalesce(F.sum(F.octet_length("places")), F.lit(0)).alias("n")).first()["n"] / 2  # two bytes a place, or four in long runs
+    bytes_of = F.when(F.octet_length("words") > 8 << 16, 4).otherwise(2)  # of a place
+    words = runs.agg(F.coalesce(F.sum(F.octet_length("places") / bytes_of), F.lit(0)).alias("n")).first()["n"]
     tasks = max(1, math.ceil(words / rounds / block))
     parts = runs.coalesce(tasks)
     for r in range(rounds):
@@ -446,7 +447,7 @@ SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_prob"
 def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """The tokenised runs of all rows, written to the shared folder, and the folder."""
     spark: SparkSession = docs.sparkSession
-    folder = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
+    folder = temporary(f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}")
     docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tokenised, _RUNS).write.parquet(f"{folder}/runs")
     return spark.read.schema(_RUNS).parquet(f"{folder}/runs"), folder
 
