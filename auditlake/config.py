@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path, PurePosixPath
@@ -112,12 +113,22 @@ def parse(text: str, origin: str = "<text>", included: bool = False) -> Config:
     return out
 
 
+def _held(config: Config, folder: Path, home: Path, origin: str) -> None:
+    """Refuses source roots, rule folders and the fixed parts of silos' globs that lead out of the configuration's folder by way of links."""
+    fixed = {g: re.match(r"(?:[^*?\[{\\]*/)?", g)[0] for globs in config.silos.values() for g in globs}
+    for name, place in [*((x, x) for x in (*config.source_roots, *config.rules)), *fixed.items()]:
+        real = (folder / place).resolve()
+        if real != home and home not in real.parents:
+            raise ConfigError(f"{origin}: {name!r} leaves the folder of the configuration through a link")
+
+
 def load(path: str | Path) -> Config:
     """A configuration with what it includes: their silos and roots, with their folder in front."""
     path = Path(path)
     out = parse(path.read_text(encoding="utf-8"), str(path))
     out.path = path
     home = path.parent.resolve()
+    _held(out, path.parent, home, str(path))
     for name in out.include:
         part_path = path.parent / name
         if part_path.is_dir():
@@ -128,6 +139,7 @@ def load(path: str | Path) -> Config:
         if home not in real.parents:
             raise ConfigError(f"{path}: include {name!r} leaves the folder of the configuration")
         part = parse(part_path.read_text(encoding="utf-8"), str(part_path), included=True)
+        _held(part, real.parent, home, str(part_path))
         base = real.parent.relative_to(home).as_posix()
         rebase = (lambda x: x) if base == "." else (lambda x, base=base: f"{base}/{x}")
         for silo, globs in part.silos.items():

@@ -86,11 +86,16 @@ def uri_reference(path: Column | str) -> Column:
 
 def entropy(x: Column | str) -> Column:
     """Shannon entropy of the bytes, in bits per byte; 0 for an empty string."""
-    code = F.hex(F.encode(_c(x), "UTF-8"))
+    bytes_ = F.array_sort(F.filter(F.regexp_extract_all(F.hex(F.encode(_c(x), "UTF-8")), F.lit("(..)"), F.lit(1)), lambda b: b != ""))
     size = F.octet_length(_c(x)).cast("double")
-    bytes_ = F.filter(F.regexp_extract_all(code, F.lit("(..)"), F.lit(1)), lambda b: b != "")
-    share = F.transform(F.array_distinct(bytes_), lambda b: F.size(F.filter(bytes_, lambda o: o == b)) / size)
-    return F.when(size == 0, F.lit(0.0)).otherwise(F.aggregate(share, F.lit(0.0), lambda acc, p: acc - p * F.log2(p)))
+    weight = lambda n: n * F.log2(n)
+    # equal bytes follow each other: one pass over the runs
+    start = F.struct(F.lit("").alias("last"), F.lit(1.0).alias("run"), F.lit(0.0).alias("sum"))
+    step = lambda a, b: F.when(
+        a["last"] == b, F.struct(a["last"].alias("last"), (a["run"] + 1).alias("run"), a["sum"].alias("sum"))
+    ).otherwise(F.struct(b.alias("last"), F.lit(1.0).alias("run"), (a["sum"] + weight(a["run"])).alias("sum")))
+    total = F.aggregate(bytes_, start, step, lambda a: a["sum"] + weight(a["run"]))
+    return F.when(size == 0, F.lit(0.0)).otherwise(F.log2(size) - total / size)
 
 
 def lines(content: Column | str) -> Column:

@@ -50,6 +50,7 @@ SPAN = 512  # rows of weights that travel together
 SHALLOW = 2  # steps of a path at which the longer contexts count, too
 ROUNDS = 2
 BLOCK = 4_000_000
+RUN_CHARS = 512 << 10  # of text in a run; its parts so stay below what the JVM takes for huge objects
 BATCH = 4096  # steps in one update
 RATE = 0.4
 SUMMED = 16.0  # summed squares of gradients up to which changes of different blocks are added rather than averaged
@@ -292,11 +293,11 @@ def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     cache, run = HashCache(), TaskContext.get().partitionId() << 32
     for whole in batches:
-        for b in slices(whole, "text", 2 << 20):
+        for b in slices(whole, "text", RUN_CHARS):
             flat, at = hashed_tokens(b.column(1).to_pylist(), cache)
             place, words = pd.factorize(flat)
             place = place.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
-            values = [np.diff(at), np.asarray(words, np.uint64), np.bincount(place, minlength=len(words)), place]
+            values = [np.diff(at), np.asarray(words, np.uint64), np.bincount(place, minlength=len(words)).astype(np.uint32), place]
             ids = pa.ListArray.from_arrays(pa.array([0, len(b)], pa.int32()), b.column(0).cast(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([run]), ids, *(pa.array([v.tobytes()], pa.binary()) for v in values)], schema=RUNS)
             run += 1
@@ -305,7 +306,7 @@ def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for words, counts in zip(b.column(0), b.column(1)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words.as_py(), np.int64)), pa.array(np.frombuffer(counts.as_py(), np.int64))], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words.as_py(), np.int64)), pa.array(np.frombuffer(counts.as_py(), np.uint32).astype(np.int64))], names=["word", "n"])
 
 
 def _opened(names: Vocabulary, sizes: bytes, words: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

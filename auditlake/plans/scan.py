@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,9 @@ from ..operators import baseline, boundary, coverage, duplication, facts, marker
 from ..rulesets.loader import Rule, RuleSet, require_rules
 from ..session import checkpointed
 
+if TYPE_CHECKING:
+    from ..streaming.incremental import Cache
+
 
 class SetupError(ValueError):
     """The rules ask for something that the scan wasn't given."""
@@ -67,8 +72,9 @@ def with_status(found: DataFrame, marks: DataFrame, accepted: DataFrame | None =
 class Scanner:
     """Scans tables of files under a set of rules. Plans are built only for the kinds of rules that there are."""
 
-    def __init__(self, spark: SparkSession, rules: RuleSet, config: Config | None = None):
-        self.spark, self.rules, self.config = spark, require_rules(rules), config or Config()
+    def __init__(self, spark: SparkSession, rules: RuleSet, config: Config | None = None, cache: Cache | None = None):
+        """``cache`` keeps what rules that look at one file found, from scan to scan."""
+        self.spark, self.rules, self.config, self.cache = spark, require_rules(rules), config or Config(), cache
 
     def _setup(self, report: DataFrame | None) -> None:
         silos = self.config.silos
@@ -87,14 +93,21 @@ class Scanner:
 
     def scan(self, files: DataFrame, accepted: DataFrame | None = None, report: DataFrame | None = None, skipped: DataFrame | None = None, partial: bool = False) -> Report:
         """``files`` has path and content; ``report`` is a coverage table; ``partial`` turns a report without matches into a warning."""
+        from ..streaming.incremental import scan_batch
+
         self._setup(report)
         files = matching.with_language(files.where(F.col("content").isNotNull()))
         parts, warnings, edges = [], [], None
-        if some := self.rules.of("regex", "secret"):
-            parts.append(matching.findings(files, some))
-        if some := self.rules.of("ast"):
-            parts.append(syntax.findings(files, some, self.config.max_parse_bytes))
-            warnings += syntax.unparsed(some)
+        if self.cache is not None and self.rules.of("regex", "secret", "ast"):
+            found, rows = scan_batch(files, self.rules, self.cache.read(), self.cache.salt, self.config.anchor, self.config.max_parse_bytes)
+            self.cache.write(rows, uuid.uuid4().hex)
+            parts.append(found)
+        else:
+            if some := self.rules.of("regex", "secret"):
+                parts.append(matching.findings(files, some))
+            if some := self.rules.of("ast"):
+                parts.append(syntax.findings(files, some, self.config.max_parse_bytes))
+        warnings += syntax.unparsed(self.rules.of("ast"))
         silos = boundary.silo_of(files, self.config.silos) if self.config.silos else None
         if some := self.rules.of("boundary"):
             resolved = boundary.resolve(facts.import_table(files, self.config.max_parse_bytes), files, self.config.source_roots, boundary.go_modules(files))

@@ -20,7 +20,7 @@ from .functions import languages, paths
 from .functions import text as X
 from .model import FINDING_COLUMNS
 from .operators import boundary, coverage, duplication, facts, markers, matching, syntax
-from .plans import progress, scan, views
+from .plans import progress, ratchet, scan, views
 from .queries import _ALL, _DIR, _RANK, FILES, MARKED, ROWS, _files, _findings, _q, _resolved, _rows, _silos, findings_sql, query, rules
 from .queries import _ROLLED, _SCANNED, _hits
 from .rulesets import loader
@@ -656,3 +656,33 @@ def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     progress.scan_with_progress(scan.Scanner(spark, rules()), _files(spark, sf_dir), said.append)
     rows = [(name, p.files_total, p.files_done, p.findings, p.ratio) for name, p in (("first", said[0]), ("last", said[-1]))]
     return spark.createDataFrame(rows, "event string, files_total long, files_done long, findings long, ratio double")
+
+
+def _verdicts(rows: DataFrame) -> DataFrame:
+    chosen = F.when(F.col("rule_id") == "text.hex-token", "ignore").when(F.col("rule_id") == "text.email", "baseline").otherwise("next")
+    return ratchet.checked(rows.select("fingerprint", chosen.alias("verdict")))
+
+
+@query(f"""WITH {findings_sql()}, m AS (SELECT path, list(DISTINCT line) AS ls FROM found WHERE rule_id = 'text.hex-token' GROUP BY path)
+    SELECT path, array_to_string(list_transform(string_split(content, chr(10)), lambda x, i: CASE WHEN list_contains(ls, i) THEN x || ' # auditlake-ignore-line: text.hex-token' ELSE x END), chr(10)) AS content FROM files JOIN m USING (path)""")
+def ratchet_silenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with the markers that verdicts put there."""
+    rows = _findings(spark, sf_dir).withColumn("status", F.lit("new"))
+    return ratchet.silence(_files(spark, sf_dir), rows, _verdicts(rows))
+
+
+@query(f"WITH {ROWS} SELECT DISTINCT fingerprint, rule_id, path FROM rows_ WHERE status = 'baselined' OR (status = 'new' AND rule_id = 'text.email')")
+def ratchet_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import baseline
+    from .session import checkpointed
+
+    rows = checkpointed(_rows(spark, sf_dir))
+    return ratchet.accept(baseline.entries(rows.where("status = 'baselined'")), rows, _verdicts(rows))
+
+
+@query(f"WITH {ROWS} SELECT {_ALL}, status FROM rows_ WHERE status = 'new' AND rule_id NOT IN ('text.email', 'text.hex-token')")
+def ratchet_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .session import checkpointed
+
+    rows = checkpointed(_rows(spark, sf_dir))
+    return ratchet.remaining(rows, _verdicts(rows))

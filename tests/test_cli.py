@@ -2,7 +2,8 @@ import json
 
 import pytest
 
-from auditlake.cli import main
+from auditlake.cli import main, safe
+from auditlake.config import NAME, ConfigError, load
 from auditlake.rulesets.convert import convert
 from auditlake.rulesets.loader import load_text
 
@@ -35,6 +36,31 @@ def test_scan_baseline_and_rescan(spark, tree, capsys):
     assert json.loads(capsys.readouterr().out)["runs"][0]["results"] == []
 
 
+def test_cache_and_dry_run(spark, tree, capsys):
+    folder = str(tree / "state" / "cache")
+    for _ in range(2):
+        assert run(spark, tree, "scan", "--cache", folder) == 1
+        assert capsys.readouterr().out.startswith("a.py:2:2 error t.word A word.\n")
+    assert (tree / "state" / "cache.salt").stat().st_mode & 0o777 == 0o600
+    assert main(["cache", folder, "--prune-days", "5"], spark) == 0 and capsys.readouterr().out == "0 days dropped\n2 entries of 1 days\n"
+    assert run(spark, tree, "baseline", "--dry-run") == 0 and "1 findings would be added, 0 dropped" in capsys.readouterr().out
+    assert not (tree / "src" / "auditlake-baseline.json").exists() and safe("a\x1b[2J\u202e") == "a\\x1b[2J\\u{202e}"
+
+
+def test_links_out_of_the_configuration_are_refused(tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").mkdir()
+    (tmp_path / "in" / "link").symlink_to(tmp_path / "out")
+    (tmp_path / "in" / "own").symlink_to(tmp_path / "in")
+    for text, ok in (('source_roots = ["link"]', False), ('rules = ["link/x"]', False), ('[silos]\na = ["link/**"]', False), ('[silos]\na = ["*/link"]\nb = ["own/*"]', True)):
+        (tmp_path / "in" / NAME).write_text(text)
+        if ok:
+            assert len(load(tmp_path / "in" / NAME).silos) == 2
+        else:
+            with pytest.raises(ConfigError):
+                load(tmp_path / "in" / NAME)
+
+
 def test_expectations(spark, tree):
     assert run(spark, tree, "test") == 1
     (tree / "src" / "left.log").unlink()

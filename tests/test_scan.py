@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.config import Config
 from auditlake.operators import baseline, matching
-from auditlake.plans import progress, scan, views
+from auditlake.plans import progress, ratchet, scan, views
 from auditlake.rulesets.loader import load_text
 from auditlake.sinks import reports as sinks
 from auditlake.sources import files as S
@@ -190,6 +190,20 @@ def test_watch(spark, tmp_path):
     assert got == [(0, "new"), (1, "new"), (1, "suppressed")] and store.read().count() == 2
 
 
+def test_ratchet(spark, files, report):
+    rows = report.rows()
+    new = [r["fingerprint"] for r in report.findings.where("rule_id = 't.secret'").collect()]
+    v = ratchet.checked(spark.createDataFrame([(new[0], "ignore"), (new[0], "ignore"), ("zz", "baseline")], "fingerprint string, verdict string"))
+    f = files({"b/c.rs": "key=abc\nx", "other": "key=abc"})
+    assert [tuple(r) for r in ratchet.silence(f, rows, v).collect()] == [("b/c.rs", "key=abc // auditlake-ignore-line: t.secret\nx")]
+    assert ratchet.remaining(rows, v).count() == report.findings.count() - 1 and ratchet.accept(baseline.entries(rows.limit(0)), rows, v).count() == 0
+    for bad in ([("a", "shrug")], [("a", "next"), ("a", "ignore")]):
+        with pytest.raises(ratchet.RefusedError):
+            ratchet.checked(spark.createDataFrame(bad, "fingerprint string, verdict string"))
+    with pytest.raises(ratchet.RefusedError):
+        ratchet.silence(f, rows, v, live=False)
+
+
 def test_progress(spark, files):
     said = []
     f = files({f"{k}.txt": "needle" for k in range(9)})
