@@ -57,6 +57,7 @@ SUMMED = 16.0  # summed squares of gradients up to which changes of different bl
 DEEPEST = 15  # steps of a path; two words of equal hash are one
 _K = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _ONES = np.ones(FAN, np.float32)
+_ROW = np.dtype((np.void, 4 * FAN))
 _START = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -166,6 +167,13 @@ def vocabulary(counted: DataFrame, folder: str) -> tuple[Vocabulary, int]:
 
 # --- the model
 
+def _lined(rows: int) -> np.ndarray:
+    """[rows, FAN] zeros, of which each row is one line of the processor's cache."""
+    raw = np.zeros(rows * FAN + 16, np.float32)
+    first = -raw.ctypes.data % 64 // 4
+    return raw[first : first + rows * FAN].reshape(rows, FAN)
+
+
 @dataclass
 class Weights:
     table: np.ndarray  # [rows, FAN]
@@ -173,10 +181,12 @@ class Weights:
 
     @staticmethod
     def zero(bits: int) -> Weights:
-        return Weights(np.zeros((1 << bits, FAN), np.float32), np.zeros(1 << bits, np.float32))
+        return Weights(_lined(1 << bits), np.zeros(1 << bits, np.float32))
 
     def copy(self) -> Weights:
-        return Weights(self.table.copy(), self.squares.copy())
+        table = _lined(len(self.table))
+        table[:] = self.table
+        return Weights(table, self.squares.copy())
 
     @property
     def shift(self) -> np.uint64:
@@ -227,37 +237,59 @@ def _softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return z
 
 
-def _summed(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows, and the sum of the gradients of each: of rows with many examples by runs, of the others in as many rounds as they have examples."""
-    n = len(g)
-    order = np.sort((rows.ravel().astype(np.uint64) << np.uint64(32)) | np.tile(np.arange(n, dtype=np.uint64), len(rows)))
-    row, example = (order >> np.uint64(32)).astype(np.intp), (order & np.uint64(0xFFFFFFFF)).astype(np.intp)
-    first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-    count = np.diff(np.append(first, len(row)))
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of ``rows`` [features, examples]: the distinct ones, which of these each is, and for all in order of their row, the example of each and where every distinct one's begin (with the end)."""
+    n = rows.shape[1]
+    order = np.sort((rows.ravel().astype(np.uint64) << np.uint64(32)) | np.arange(rows.size, dtype=np.uint64))
+    place, row = (order & np.uint64(0xFFFFFFFF)).astype(np.intp), (order >> np.uint64(32)).astype(np.intp)
+    new = np.concatenate(([True], row[1:] != row[:-1]))
+    which = np.empty(rows.size, np.intp)
+    which[place] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return row[first], which.reshape(rows.shape), place % n, np.append(first, len(row))
+
+
+def _write(table: np.ndarray, row: np.ndarray, values: np.ndarray) -> None:
+    """``table[row] = values``, whole rows at a time."""
+    table.view(_ROW).reshape(-1)[row] = values.view(_ROW).reshape(-1)
+
+
+def _summed(g: np.ndarray, rows: np.ndarray, found: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and the sum of the gradients of each: of rows with many examples by runs, of the others in as many rounds as they have examples. ``found`` is what :func:`_distinct` gives."""
+    row, _, example, edges = _distinct(rows) if found is None else found
+    first, count = edges[:-1], np.diff(edges)
     total = g.take(example[first], axis=0, mode="clip")
     many, few, k = np.flatnonzero(count > 8), np.flatnonzero((count > 1) & (count <= 8)), 1
     while len(few):
-        total[few] += g.take(example[first[few] + k], axis=0, mode="clip")
+        some = total.take(few, axis=0, mode="clip")
+        some += g.take(example[first[few] + k], axis=0, mode="clip")
+        _write(total, few, some)
         k += 1
         few = few[count[few] > k]
     if len(many):
         size = count[many]
         at = np.cumsum(size) - size
         total[many] = np.add.reduceat(g.take(example[np.repeat(first[many] - at, size) + np.arange(size.sum())], axis=0, mode="clip"), at, axis=0)
-    return row[first], total
+    return row, total
 
 
 def update(w: Weights, rows: np.ndarray, child: np.ndarray, rate: float = RATE) -> None:
-    """One gradient step on a batch: a row moves against the sum of its examples' gradients, over the root of its summed squares."""
-    g = _softmax(w.table, rows)
-    g[np.arange(len(child)), child] -= 1
-    row, total = _summed(g, rows)
-    squares = w.squares[row] + np.einsum("ij,ij->i", total, total)
+    """One gradient step on a batch: a row moves against the sum of its examples' gradients, over the root of its summed squares.
+
+    The table, which doesn't fit into the processor's cache, is read and written once for each distinct row, in order.
+    """
+    found = _distinct(rows)
+    row = found[0]
+    now = w.table.take(row, axis=0, mode="clip")
+    g = _softmax(now, found[1])
+    g.reshape(-1)[np.arange(0, g.size, FAN) + child] -= 1
+    total = _summed(g, rows, found)[1]
+    squares = w.squares.take(row, mode="clip")
+    squares += np.einsum("ij,ij->i", total, total)
     w.squares[row] = squares
     total *= (np.float32(rate) / np.sqrt(squares + np.float32(1e-6)))[:, None]
-    now = w.table.take(row, axis=0, mode="clip")
     now -= total
-    w.table[row] = now
+    _write(w.table, row, now)
 
 
 def descend(w: Weights, flat: np.ndarray, at: np.ndarray, code: np.ndarray, length: np.ndarray) -> None:
