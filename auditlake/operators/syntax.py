@@ -1,9 +1,12 @@
-"""Structural rules: a subset of S-expression queries over syntax trees.
-
-Trees come from Python's own parser, under the node and field names that such queries use for Python. A pattern is
-``(type field: (pattern) (pattern) "text" ...)``; ``(_)`` and ``_`` match any node, ``[a b]`` one of several, ``@name``
-captures, and ``(#eq? @a "x")``, ``#not-eq?``, ``#match?``, ``#not-match?`` and ``#any-of?`` test captured text. Queries for
-other languages are checked when they are loaded and find nothing, as no parser for them is at hand.
+"""Structural rules: S-expression queries over syntax trees.
+
+Trees come from Python's own parser for Python and from :mod:`.grammars` for JavaScript, TypeScript, Go and Java, under the
+node and field names that such queries use. A pattern is ``(type field: (pattern) (pattern) "text" ...)``; ``(_)`` matches
+any named node, ``_`` any, ``[a b]`` one of several, ``((a) (b))`` siblings; ``?``, ``*`` and ``+`` follow what may be absent
+or come more than once (of which the first is captured), ``.`` stands between neighbours, ``!field`` for a field that isn't
+there, ``@name`` captures, and ``(#eq? @a "x")``, ``#not-eq?``, ``#match?``, ``#not-match?``, ``#any-of?`` and
+``#not-any-of?`` test captured text. Queries for other languages are checked when they are loaded and find nothing, as no
+parser for them is at hand.
 """
 
 from __future__ import annotations
@@ -20,10 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..rulesets.loader import Rule
+from . import grammars
+from .grammars import Node
 from .matching import _in_envelope, by_file, fingerprint, position, with_language
 
-_TOKEN = re.compile(r'\s+|;[^\n]*|(\()|(\))|(\[)|(\])|"((?:\\.|[^"\\])*)"|(@[\w.-]+)|(#[\w-]+\?)|([\w.]+:)|(_(?![\w])|[A-Za-z_][\w.]*)|(.)', re.S)
-_TESTS = ("#eq?", "#not-eq?", "#match?", "#not-match?", "#any-of?")
+_TOKEN = re.compile(r'\s+|;[^\n]*|(\()|(\))|(\[)|(\])|"((?:\\.|[^"\\])*)"|(@[\w.-]+)|(#[\w-]+\?)|([\w.]+:)|(_(?![\w])|[A-Za-z_][\w.]*)|(![A-Za-z_]\w*)|([?*+])|(\.)|(#set!)|(.)', re.S)
+_TESTS = ("#eq?", "#not-eq?", "#match?", "#not-match?", "#any-of?", "#not-any-of?")
+PARSED = frozenset(("python", *grammars.READERS))
 
 
 class QueryError(ValueError):
@@ -32,10 +38,14 @@ class QueryError(ValueError):
 
 @dataclass
 class Pattern:
-    type: str  # "_" for any, "|" for alternatives, '"' for literal text
+    type: str  # "_" for any, "(_)" for any named one, "|" for alternatives, '"' for literal text
     children: list[tuple[str | None, Pattern]] = field(default_factory=list)
     captures: list[str] = field(default_factory=list)
     literal: str = ""
+    times: str = ""  # "?", "*" or "+"
+    after: bool = False  # right behind its neighbour, or first
+    last: bool = False  # its last child is the node's last
+    without: list[str] = field(default_factory=list)  # fields
 
 
 @dataclass
@@ -48,7 +58,7 @@ def parse_query(source: str) -> Query:
         raise QueryError("a query must be a string")
     tokens = []
     for m in _TOKEN.finditer(source):
-        if m.lastindex == 10:
+        if m.lastindex == 14:
             raise QueryError(f"{m[0]!r} isn't understood")
         if m.lastindex:
             tokens.append((m.lastindex, m[m.lastindex]))
@@ -65,11 +75,17 @@ def parse_query(source: str) -> Query:
         return tokens[at - 1]
 
     def captures(p: Pattern) -> Pattern:
+        if (t := peek()) and t[0] == 11:
+            p.times = take()[1]
         while (t := peek()) and t[0] == 6:
             p.captures.append(take()[1][1:])
         return p
 
-    def pattern(tests: list) -> Pattern:
+    def tested() -> bool:
+        """Whether a test comes next."""
+        return peek() is not None and peek()[0] == 1 and at + 1 < len(tokens) and tokens[at + 1][0] in (7, 13)
+
+    def pattern(tests: list, depth: int = 0) -> Pattern:
         kind, text = take()
         if kind == 5:
             return captures(Pattern('"', literal=re.sub(r"\\(.)", r"\1", text)))
@@ -78,44 +94,61 @@ def parse_query(source: str) -> Query:
         if kind == 3:
             p = Pattern("|")
             while peek() and peek()[0] != 4:
-                p.children.append((None, pattern(tests)))
+                p.children.append((None, pattern(tests, depth + 1)))
             take()
             if not p.children:
                 raise QueryError("alternatives are empty")
             return captures(p)
         if kind != 1:
             raise QueryError(f"{text!r} stands where a pattern is needed")
-        kind, text = take()
-        if kind != 9:
-            raise QueryError(f"{text!r} is no node type")
-        p = Pattern(text)
+        grouped = peek() is not None and peek()[0] in (1, 3, 5)
+        if grouped:
+            p = Pattern("_")
+        else:
+            kind, text = take()
+            if kind != 9:
+                raise QueryError(f"{text!r} is no node type")
+            p = Pattern("(_)" if text == "_" else text)
+        after = False
         while True:
             t = peek()
             if t is None:
                 raise QueryError("a parenthesis isn't closed")
             if t[0] == 2:
                 take()
+                p.last = after
+                if grouped and len(p.children) == 1 and not p.last:  # one pattern with its tests
+                    p = p.children[0][1]
+                elif grouped and depth:
+                    raise QueryError("siblings in a group are understood at the top only")
                 return captures(p)
-            if t[0] == 1 and at + 1 < len(tokens) and tokens[at + 1][0] == 7:
+            if tested():
                 test(tests)
-            elif t[0] == 8:
-                name = take()[1][:-1]
-                p.children.append((name, pattern(tests)))
+            elif t[0] == 12:
+                take()
+                after = True
+            elif t[0] == 10:
+                p.without.append(take()[1][1:])
             else:
-                p.children.append((None, pattern(tests)))
+                name = take()[1][:-1] if t[0] == 8 else None
+                child = pattern(tests, depth + 1)
+                child.after, after = after, False
+                p.children.append((name, child))
 
     def test(tests: list) -> None:
         take()
         name = take()[1]
-        if name not in _TESTS:
+        if name not in (*_TESTS, "#set!"):
             raise QueryError(f"{name} isn't known")
         args = []
         while peek() and peek()[0] != 2:
             kind, text = take()
-            if kind not in (5, 6):
+            if kind not in (5, 6) and name != "#set!":
                 raise QueryError(f"{text!r} is no argument of {name}")
             args.append(text)
         take()
+        if name == "#set!":  # a note to editors
+            return
         if not args or not args[0].startswith("@"):
             raise QueryError(f"{name} needs a capture")
         if "match" in name:
@@ -129,7 +162,7 @@ def parse_query(source: str) -> Query:
     while peek():
         tests: list = []
         p = pattern(tests)
-        while peek() and peek()[0] == 1 and at + 1 < len(tokens) and tokens[at + 1][0] == 7:
+        while tested():
             test(tests)
         out.append((p, tests))
     if not out:
@@ -137,14 +170,6 @@ def parse_query(source: str) -> Query:
     return Query(out)
 
 
-@dataclass
-class Node:
-    type: str
-    start: int
-    end: int
-    children: list[tuple[str | None, Node]] = field(default_factory=list)
-
-
 _OPERATIONS = {
     ast.BoolOp: "boolean_operator", ast.BinOp: "binary_operator", ast.UnaryOp: "unary_operator", ast.Lambda: "lambda", ast.IfExp: "conditional_expression", ast.Dict: "dictionary",
     ast.Set: "set", ast.List: "list", ast.Tuple: "tuple", ast.ListComp: "list_comprehension", ast.SetComp: "set_comprehension", ast.DictComp: "dictionary_comprehension",
@@ -257,11 +282,25 @@ class _Builder:
         return Node(kind, a, b, kids)
 
 
+FAULTS = 64  # lines that may be left out of a Python file
+
+
 def python_tree(source: str) -> Node | None:
-    try:
-        return _Builder(source).build(ast.parse(source))
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return None
+    """The tree of a Python file without the lines that its parser stops at; None beyond ``FAULTS`` of these."""
+    text = source
+    for _ in range(FAULTS + 1):
+        try:
+            return _Builder(source).build(ast.parse(text))
+        except SyntaxError as e:
+            lines = text.split("\n")
+            k = min(e.lineno or len(lines), len(lines)) - 1
+            while k > 0 and not lines[k].strip():
+                k -= 1
+            lines[k] = ""
+            text = "\n".join(lines)
+        except (ValueError, RecursionError, MemoryError):
+            return None
+    return None
 
 
 def _fit(p: Pattern, n: Node, source: str) -> Iterator[dict[str, Node]]:
@@ -275,22 +314,34 @@ def _fit(p: Pattern, n: Node, source: str) -> Iterator[dict[str, Node]]:
         if source[n.start : n.end] == p.literal:
             yield {c: n for c in p.captures}
         return
-    if p.type not in ("_", n.type):
+    if p.type not in ("_", n.type) and not (p.type == "(_)" and n.named):
+        return
+    if p.without and any(label in p.without for label, _ in n.children):
         return
 
-    def rest(k: int, start: int) -> Iterator[dict[str, Node]]:
+    def rest(k: int, start: int, behind: int) -> Iterator[dict[str, Node]]:
+        """From child ``start`` on; ``behind`` is the one after what was matched last."""
         if k == len(p.children):
-            yield {}
+            if not p.last or not any(c.named for _, c in n.children[behind:]):
+                yield {}
             return
         name, child = p.children[k]
-        for i in range(start if name is None else 0, len(n.children)):
+        found = False
+        for i in range(behind if child.after else start if name is None else 0, len(n.children)):
             label, node = n.children[i]
             if name is None or label == name:
                 for got in _fit(child, node, source):
-                    for more in rest(k + 1, i + 1 if name is None else start):
+                    for more in rest(k + 1, i + 1 if name is None else start, i + 1):
+                        found = True
                         yield {**got, **more}
-
-    for got in rest(0, 0):
+                    if found and child.times:
+                        break
+            if (found and child.times) or (child.after and node.named):
+                break
+        if not found and child.times in ("?", "*"):
+            yield from rest(k + 1, start, behind)
+
+    for got in rest(0, 0, 0):
         yield {**{c: n for c in p.captures}, **got}
 
 
@@ -301,7 +352,7 @@ def _passes(tests: list, got: dict[str, Node], source: str) -> bool:
             continue
         text = source[n.start : n.end]
         others = [source[got[a[1:]].start : got[a[1:]].end] if a.startswith("@") and a[1:] in got else a for a in args[1:]]
-        ok = {"#eq?": lambda: text == others[0], "#not-eq?": lambda: text != others[0], "#match?": lambda: bool(re.search(others[0], text)), "#not-match?": lambda: not re.search(others[0], text), "#any-of?": lambda: text in others}[name]()
+        ok = {"#eq?": lambda: text == others[0], "#not-eq?": lambda: text != others[0], "#match?": lambda: bool(re.search(others[0], text)), "#not-match?": lambda: not re.search(others[0], text), "#any-of?": lambda: text in others, "#not-any-of?": lambda: text not in others}[name]()
         if not ok:
             return False
     return True
@@ -327,9 +378,9 @@ def _query(source: str) -> Query:
 
 def file_findings(rules: list[Rule], path: str, language: str | None, content: str) -> list[tuple]:
     mine = [(k, dict(r.queries)[language]) for k, r in enumerate(rules) if language in dict(r.queries) and _in_envelope(r, path, language)]
-    if not mine or language != "python":
+    if not mine or language not in PARSED:
         return []
-    tree = python_tree(content)
+    tree = python_tree(content) if language == "python" else grammars.tree(language, content)
     if tree is None:
         return []
     found = sorted({(n.start, k, n.end) for k, q in mine for n in search(_query(q), tree, content)})
@@ -355,7 +406,7 @@ def unparsed(rules: list[Rule]) -> list[str]:
     """What has to be said of rules with queries for languages that have no parser here."""
     out = []
     for r in rules:
-        if others := sorted(set(dict(r.queries)) - {"python"}):
+        if others := sorted(set(dict(r.queries)) - PARSED):
             out.append(f"rule {r.id}: no parser for {', '.join(others)}, so its queries for these find nothing")
     return out
 
@@ -364,6 +415,8 @@ def literals(source: str) -> list[list[str]]:
     """For each pattern of a query, texts that a file needs for a match: what ``#eq?`` compares with, and literal children."""
 
     def inside(p: Pattern) -> Iterator[str]:
+        if p.times in ("?", "*"):
+            return
         if p.type == '"':
             yield p.literal
         elif p.type != "|":
@@ -372,7 +425,7 @@ def literals(source: str) -> list[list[str]]:
 
     def bound(p: Pattern) -> Iterator[str]:
         """Captures that every match has."""
-        if p.type != "|":
+        if p.type != "|" and p.times not in ("?", "*"):
             yield from p.captures
             for _, c in p.children:
                 yield from bound(c)

@@ -451,12 +451,38 @@ _EVAL = Rule(id="code.eval", severity="error", message="eval", kind="ast", langu
 _SOURCES = "src AS (SELECT c_custkey AS k, 'src/' || c_custkey || CASE c_custkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.js' ELSE '' END AS path, 75 + CASE WHEN c_custkey % 3 = 2 THEN 22 ELSE 0 END + (c_custkey % 7) * 40 + CASE WHEN c_custkey % 10 = 9 THEN 7 ELSE 0 END AS bytes FROM customer)"
 
 
-@query(f"WITH {_SOURCES} SELECT path, CASE WHEN k % 3 = 2 THEN 7 ELSE 6 END::BIGINT AS line, 21::BIGINT AS \"column\", 'os.name' AS matched FROM src WHERE k % 3 <> 1 AND k % 10 <> 9")
+@query(f"WITH {_SOURCES} SELECT path, CASE WHEN k % 3 = 2 THEN 7 ELSE 6 END::BIGINT AS line, 21::BIGINT AS \"column\", 'os.name' AS matched FROM src WHERE k % 3 <> 1")
 def ast_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files by extension and by shebang; another language's files and those that don't parse give nothing."""
+    """Files by extension and by shebang; another language's files give nothing, and those with a faulty line what the others hold."""
     return syntax.findings(_sources_of(spark, sf_dir), [_EVAL]).select("path", "line", "column", "matched")
 
 
+_CALLS = {  # extension, what stands before a call and behind it, and where the call is
+    "javascript": (".js", "const m = require('m');\nfunction f(a) {\n  return a.b(", ");\n}\n", 3, 14),
+    "typescript": (".ts", "class C<T> {\n  m(a: T): string {\n    return `${", "}`;\n  }\n}\n", 3, 15),
+    "go": (".go", "package p\n\nfunc f() {\n\tx := ", "\n\tuse(x)\n}\n", 4, 7),
+    "java": (".java", "class C {\n  int f() {\n    return ", ";\n  }\n}\n", 3, 12),
+}
+_CALLED = '(call_expression function: (identifier) @_f (#eq? @_f "eval")) @report'
+
+
+@query(
+    "SELECT o_orderkey || e AS path, line, c AS \"column\", 'eval(' || o_custkey || ')' AS matched FROM orders JOIN (VALUES "
+    + ", ".join(f"({k}, '{e}', {line}::BIGINT, {c}::BIGINT)" for k, (e, _, _, line, c) in enumerate(_CALLS.values()))
+    + ") v(k, e, line, c) ON o_orderkey % 4 = k WHERE o_orderstatus = 'O'"
+)
+def ast_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rule with queries for four languages, over orders as their source files."""
+    k, key = F.col("o_orderkey") % 4, F.col("o_orderkey").cast("string")
+    call = F.concat(F.when(F.col("o_orderstatus") == "O", "eval(").otherwise("save("), F.col("o_custkey").cast("string"), F.lit(")"))
+    path, content = F.lit(None), F.lit(None)
+    for n, (end, head, tail, _, _) in enumerate(_CALLS.values()):
+        path, content = F.when(k == n, F.concat(key, F.lit(end))).otherwise(path), F.when(k == n, F.concat(F.lit(head), call, F.lit(tail))).otherwise(content)
+    java = '(method_invocation name: (identifier) @_f (#eq? @_f "eval")) @report'
+    rule = Rule(id="code.eval", severity="error", message="eval", kind="ast", languages=tuple(_CALLS), queries=tuple((x, java if x == "java" else _CALLED) for x in _CALLS))
+    return syntax.findings(table(spark, sf_dir, "orders").select(path.alias("path"), content.alias("content")), [rule]).select("path", "line", "column", "matched")
+
+
 @query(f"WITH {_SOURCES} SELECT path, 'larger than the parse limit of 200 bytes' AS reason, row_number() OVER (ORDER BY path) AS place FROM src WHERE k % 3 <> 1 AND bytes > 200")
 def parse_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that a syntax rule would need parsed but for their size, in order of path."""
@@ -466,7 +492,7 @@ def parse_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return big.select("path", "reason", F.row_number().over(Window.orderBy("path")).cast("long").alias("place"))
 
 
-@query(f"WITH {_SOURCES} SELECT path, name, kind, line FROM src, (VALUES ('C', 'class', 4), ('run', 'function', 5)) v(name, kind, l), LATERAL (SELECT (l + CASE WHEN k % 3 = 2 THEN 1 ELSE 0 END)::BIGINT AS line) WHERE k % 3 <> 1 AND k % 10 <> 9")
+@query(f"WITH {_SOURCES} SELECT path, name, kind, line FROM src, (VALUES ('C', 'class', 4), ('run', 'function', 5)) v(name, kind, l), LATERAL (SELECT (l + CASE WHEN k % 3 = 2 THEN 1 ELSE 0 END)::BIGINT AS line) WHERE k % 3 <> 1")
 def source_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.declaration_table(_sources_of(spark, sf_dir).where("path NOT LIKE '%.js'")).select("path", "name", "kind", "line")
 
@@ -596,11 +622,11 @@ def card_drills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(f"WITH {findings_sql()} SELECT 'rule code.js: no parser for javascript, so its queries for these find nothing' AS text, (SELECT count(*) FROM found) AS findings")
+@query(f"WITH {findings_sql()} SELECT 'rule code.rb: no parser for ruby, so its queries for these find nothing' AS text, (SELECT count(*) FROM found) AS findings")
 def scan_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scan with a rule that can't be evaluated warns of it and reports the others' findings."""
-    js = Rule(id="code.js", severity="error", message="m", kind="ast", languages=("javascript",), queries=(("javascript", "(call_expression) @report"),))
-    report = scan.Scanner(spark, loader.RuleSet([*rules().rules, js], rules().sources)).scan(_files(spark, sf_dir))
+    ruby = Rule(id="code.rb", severity="error", message="m", kind="ast", languages=("ruby",), queries=(("ruby", "(call) @report"),))
+    report = scan.Scanner(spark, loader.RuleSet([*rules().rules, ruby], rules().sources)).scan(_files(spark, sf_dir))
     return report.findings.agg(F.lit("\n".join(report.warnings)).alias("text"), F.count(F.lit(1)).alias("findings"))
 
 

@@ -1,11 +1,12 @@
 import random
 import string
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from auditlake import harness
-from auditlake.operators import baseline, boundary, coverage, duplication, facts, markers, matching, syntax
+from auditlake.operators import baseline, boundary, coverage, duplication, facts, grammars, markers, matching, syntax
 from auditlake.rulesets.loader import Rule, RuleSet, default_rules, load_text
 
 
@@ -238,6 +239,144 @@ def test_syntax_rules(spark, files):
             syntax.parse_query(bad)
 
 
+def test_python_with_faulty_lines():
+    source = "import os\ndef (:\nclass C:\n    def f(self):\n        x = = 1\n        return eval(é)\n"
+    tree = syntax.python_tree(source)
+    assert [source[n.start : n.end] for n in syntax.search(syntax.parse_query("[(call) (import_statement)] @c"), tree, source)] == ["import os", "eval(é)"]
+    assert syntax.python_tree("def (\n" * 100) is None and syntax.python_tree("def (\n" * 10).children == []
+
+
+SOURCES = {
+    "javascript": """import a, {b as c} from './x.js'
+const {x, y = 2, ...rest} = require('y'), z = `a ${f(`in ${q} `)} b`
+export default class Foo extends Bar.Baz { #p = 1; constructor(a, b = {}) { super(a); this.a = a?.b?.[0] ?? 1 } get v() { return this.#p } async *gen() { yield* other(); } }
+export const h = async ({a}, [b]) => { for (const k of Object.keys(a)) { if (k in a) continue; else break } return a / b / 2 }
+for (let i = 0, n = xs.length; i < n; i++) eval("x" + i)
+var re = /ab[/]c/gi.test(s) ? 1 : -1
+label: while (true) { do { x += 1 } while (x < 3); switch (x) { case 1: foo(); break; default: bar() } }
+try { throw new Error('x') } catch ({message}) { console.log(message) } finally { done() }
+element.innerHTML = `<b>${name}</b>`
+let o = { a, b: 1, 'c': 2, [d]: 3, e() { return 1 }, get f() { return 2 }, async g() {}, ...h }
+""",
+    "typescript": """import type { A } from './a'
+interface P<T> extends Q { readonly a: string; b?: number; m(x: T): void; [k: string]: any }
+type U = { a: string } | ((x: number) => void)
+enum E { A = 1, B, C = "c" }
+abstract class C<T> extends D<T> implements I { private readonly x: number = 1; constructor(private a: string, public b?: number) { super() } @Input() name!: string; static async f<T>(x: T): Promise<T> { return await g<T>(x)! } }
+const f = (a: number, b?: string): string => `${a}`
+export const x: Map<string, Array<number>> = new Map<string, Array<number>>()
+let t = a < b && c > d
+@Component({selector: 'x'})
+export class K { constructor(@Inject(X) private readonly x: X) {} handler = async (e: Event): Promise<void> => { eval(e) } }
+""",
+    "go": """package main
+import (
+	"fmt"
+	m "math/rand"
+)
+const (
+	A = iota
+	B
+)
+type T struct {
+	a, b int `json:"a"`
+	*Embedded
+	F func(x int) error
+}
+func (t *T) Method(a, b int, c ...string) (n int, err error) {
+	if err := do(); err != nil {
+		return 0, err
+	} else if x == (T{a: 1}) {
+		return
+	}
+	for k, v := range m {
+		exec.Command("sh", "-c", v).Run()
+	}
+	switch v := x.(type) {
+	case int, []string:
+		foo()
+	default:
+	}
+	select {
+	case v := <-ch:
+		use(v)
+	case ch <- 1:
+	}
+	go func() { defer wg.Done(); run(xs...) }()
+	ms := map[string][]int{"a": {1, 2}, "b": nil}
+	s, q := a[1:2], x.(string)
+	return len(s), nil
+}
+func Map[T any, U any](xs []T, f func(T) U) []U { var r []U; return r }
+""",
+    "java": """package a.b.c;
+import static java.util.List.*;
+@Entity(name = "x") @Deprecated
+public abstract class Foo<T extends Comparable<T>> extends Bar<T> implements I, J<String> {
+  private static final Map<String, List<int[]>> M = new HashMap<>();
+  static { init(); }
+  public Foo(String s, final int... xs) throws E { super(s); this.a = (int) xs[0]; }
+  @Override public <R> List<R> m(Function<? super T, R> f) throws IOException, E {
+    Runtime.getRuntime().exec("ls " + q);
+    for (final String s : list) System.out.println(s);
+    try (InputStream in = open(); x) { r = in.read(); } catch (A | B e) { throw new RuntimeException(e); } finally { done(); }
+    int v = switch (k) { case 1, 2 -> 3; default -> { yield 4; } };
+    Runnable r = () -> run(); Function<A, B> g = (x, y) -> { return x; }; h(a -> a.b, String::valueOf, int[]::new);
+    if (o instanceof String s && s.length() > 1) { o = (String) o; }
+    Object an = new Object() { public String toString() { return null; } };
+    return (T) foo.<String>bar(1).baz;
+  }
+  enum E { A(1), B { void x() {} }; private final int v; E(int v) { this.v = v; } }
+  record R(int a, String b) { R { check(a); } }
+}
+""",
+}
+
+
+@pytest.mark.parametrize(
+    ("language", "query", "found"),
+    [
+        ("javascript", '((call_expression function: (identifier) @f) @report (#eq? @f "eval"))', ['eval("x" + i)']),
+        ("javascript", '(assignment_expression left: (member_expression property: (property_identifier) @_p) right: (_) @r (#eq? @_p "innerHTML"))', ["`<b>${name}</b>`"]),
+        ("javascript", '(binary_expression operator: "/" right: (_) @r)', ["2", "b"]),
+        ("javascript", "(import_statement source: (string (string_fragment) @s))", ["./x.js"]),
+        ("javascript", "(template_substitution (call_expression) @c)", ["f(`in ${q} `)"]),
+        ("typescript", "(class_declaration (decorator)? name: (type_identifier) @n)", ["K"]),
+        ("typescript", '(call_expression function: (identifier) @_f arguments: (arguments . (identifier) @a .) (#not-any-of? @_f "x"))', ["e", "x"]),
+        ("typescript", "(enum_declaration name: (identifier) @n)", ["E"]),
+        ("java", '(method_invocation name: (identifier) @_m (#match? @_m "^(exec|bar)$")) @report', ['Runtime.getRuntime().exec("ls " + q)', "foo.<String>bar(1)"]),
+        ("java", "(method_invocation !object name: (identifier) @m)", ["check", "done", "h", "init", "open", "run"]),
+        ("java", "(class_declaration name: (identifier) @n)", ["Foo"]),
+        ("go", '(call_expression function: (selector_expression operand: (identifier) @_p) (#eq? @_p "exec")) @report', ['exec.Command("sh", "-c", v)']),
+        ("go", "((const_declaration) @a . (type_declaration) @b)", ["const (\n\tA = iota\n\tB\n)"]),
+        ("go", "(method_declaration receiver: (parameter_list) name: (field_identifier) @n)", ["Method"]),
+    ],
+)
+def test_trees_of_other_languages(language, query, found):
+    source = SOURCES[language]
+    tree = grammars.tree(language, source)
+    assert not list(syntax.search(syntax.parse_query("(ERROR) @e"), tree, source))
+    assert sorted({source[n.start : n.end] for n in syntax.search(syntax.parse_query(query), tree, source)}) == found
+
+
+@pytest.mark.parametrize("language", list(SOURCES))
+def test_any_text_has_a_tree(language):
+    source, r = SOURCES[language], random.Random(4)
+    for _ in range(60):
+        a, b = sorted(r.randrange(len(source)) for _ in range(2))
+        cut = source[:a] + r.choice(["", "}", "(", "`", "'", "<", "]"]) + source[b:]
+        tree = grammars.tree(language, cut)
+        stack = [tree]
+        while stack:
+            n = stack.pop()
+            assert 0 <= n.start <= n.end <= len(cut)
+            stack.extend(c for _, c in n.children)
+    began = time.time()
+    for hostile in ("(" * 20_000, "{" * 20_000, "a<b(" * 5_000, "(a=" * 3_000, "(a)" * 10_000, "f(x=>" * 3_000, "`${" * 3_000, "[" * 9_000 + "]" * 9_000, "if(a)" * 5_000):
+        grammars.tree(language, hostile)
+    assert time.time() - began < 60
+
+
 def test_harness(spark, files):
     f = files({"core.txt": "auditlake-expect: t.r\nx\n\nx\nauditlake-expect: t.q\ny", "k8s/a": "auditlake-expect: t.r\nx"})
     out = harness.run(f, RuleSet([regex_rule("x(?:$|\n)")]))

@@ -221,8 +221,8 @@ def test_reports_written_by_executors(spark, report, tmp_path):
 
 
 def test_rules_without_a_parser_are_named(spark, files):
-    rules = load_text("version: 1\nrules:\n  - {id: code.js, severity: error, message: m, ast: {javascript: '(call_expression) @report'}}\n", "js")
-    assert scan.Scanner(spark, rules).scan(files({"a.js": "f()"})).warnings == ["rule code.js: no parser for javascript, so its queries for these find nothing"]
+    rules = load_text("version: 1\nrules:\n  - {id: code.rb, severity: error, message: m, ast: {ruby: '(call) @report'}}\n", "rb")
+    assert scan.Scanner(spark, rules).scan(files({"a.rb": "f()"})).warnings == ["rule code.rb: no parser for ruby, so its queries for these find nothing"]
 
 
 def test_repeated_paths_have_positions_of_their_own(spark):
