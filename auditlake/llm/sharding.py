@@ -3,7 +3,9 @@
 Every document has a place on a ring of 64-bit positions, by the hash of its id, and belongs to the next virtual node
 clockwise. No shard takes more than ``ceil((1 + slack) * documents / shards)``; what overflows goes on clockwise to the
 next virtual node whose shard has room. Only counts per virtual node (as many as the ring has, whatever the corpus)
-reach the driver; which documents overflow follows from their rank on the ring, a window over ids alone.
+reach the driver; which documents overflow follows from their rank on the ring, a running sum over the distinct ids of each
+virtual node with how often each occurs. So an id that a third of all rows have (or a null one) is one row there; its rows
+are made again from its count, ``CHUNK`` of them in a task.
 
 Defined results: a null doc_id hashes to one fixed place and is bounded like all others; rows that repeat an id are
 keys of their own at the same place, of which those that tie may change places; texts of any length aren't read; other
@@ -55,10 +57,12 @@ def place(counts: np.ndarray, owner: np.ndarray, shards: int, capacity: int) ->
     return out
 
 
+CHUNK = 1 << 20
+
 SEG = pa.schema([("doc_id", pa.int64()), ("position", pa.int64()), ("segment", pa.int32())])
 
 
-def assign(docs: DataFrame, shards: int = 64, vnodes: int = 128, slack: float = 0.05, id_col: str = "doc_id") -> DataFrame:
+def assign(docs: DataFrame, shards: int = 64, vnodes: int = 128, slack: float = 0.05, id_col: str = "doc_id", chunk: int = CHUNK) -> DataFrame:
     """(doc_id, position, segment, shard, hops): the shard of every document and how many virtual nodes it was passed on."""
     spark = docs.sparkSession
     at, owner = ring(shards, vnodes)
@@ -79,6 +83,13 @@ def assign(docs: DataFrame, shards: int = 64, vnodes: int = 128, slack: float =
         place(counts, owner, shards, capacity),
         T.StructType([T.StructField(n, T.IntegerType() if n in ("s", "shard", "hops") else T.LongType()) for n in ("s", "low", "high", "shard", "hops")]),
     )
-    ranked = located.withColumn("rank", F.row_number().over(Window.partitionBy("segment").orderBy("position", "doc_id")))
-    placed = ranked.join(F.broadcast(runs), (F.col("segment") == F.col("s")) & F.col("rank").between(F.col("low"), F.col("high")))
-    return placed.select("doc_id", "position", "segment", "shard", "hops")
+    keys = located.groupBy("segment", "position", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("segment").orderBy("position", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = keys.withColumn("last", F.sum("n").over(before)).withColumn("first", F.col("last") - F.col("n") + 1)
+    placed = ranked.join(F.broadcast(runs), (F.col("segment") == F.col("s")) & (F.col("first") <= F.col("high")) & (F.col("last") >= F.col("low")))
+    placed = placed.withColumn("times", F.least("last", "high") - F.greatest("first", "low") + 1)
+    out = ("doc_id", "position", "segment", "shard", "hops")
+    few = placed.where(F.col("times") <= chunk).select(*out, "times")
+    many = placed.where(F.col("times") > chunk).select(*out, "times", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {chunk}"))).alias("k"))
+    many = many.repartition("doc_id", "shard", "k").select(*out, F.least(F.lit(chunk), F.col("times") - F.col("k") * chunk).alias("times"))
+    return few.unionByName(many).select(*out, F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("__copy")).select(*out)

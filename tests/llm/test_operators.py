@@ -116,6 +116,15 @@ def test_sharding(spark, hostile):
         sharding.ring(0, 1)
 
 
+def test_an_id_of_many_rows_is_one_row_until_the_end(spark):
+    d = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id")).unionByName(spark.range(900).select(F.lit(7).cast("long").alias("doc_id")))
+    ids = [r[0] for r in d.collect()]
+    hash_of = {r[0]: r[1] for r in d.select("doc_id", F.xxhash64("doc_id")).distinct().collect()}
+    for chunk in (1, 13, 1 << 20):
+        got = sharding.assign(d, 5, 4, 0.1, chunk=chunk)
+        assert sorted(((r["doc_id"], r["shard"], r["hops"]) for r in got.collect()), key=repr) == brute_shards(ids, 5, 4, 0.1, hash_of)
+
+
 def test_a_new_shard_moves_few_keys(spark):
     d = spark.range(4000).withColumnRenamed("id", "doc_id")
     a, b = ({r["doc_id"]: r["shard"] for r in sharding.assign(d, n, 64, 0.25).collect()} for n in (10, 11))
