@@ -1,9 +1,8 @@
-"""Syntax trees of JavaScript, TypeScript, Go and Java, under the node and field names that tree queries use for them.
+"""Syntax trees of JavaScript, TypeScript, Go, Java and Rust, under the node and field names that tree queries use for them.
 
 A lexer by regular expression, precedence climbing for expressions, one method per kind of statement. What can't be read
-becomes an ``ERROR`` node that ends with its statement, and reading goes on behind it, so every source has a tree. Types
-are read as names and balanced brackets. Not read: JSX, decorators' arguments as anything but expressions, and the inside
-of types.
+becomes an ``ERROR`` node that ends with its statement, and reading goes on behind it, so every source has a tree. Types,
+and Rust's patterns, are read as names and balanced brackets, and macros as their tokens. Not read: JSX.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ _NUMBER = r"(?P<num>0[xXbBoO][\da-fA-F_]+[nlL]?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)
 _STRING = r"(?P<str>\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?)"
 _COMMENT = r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))"
 _SPACE = r"(?P<space>[^\S\n]+)|(?P<line>\n)"
-_SIGNS = ">>>= ... === !== **= <<= >>= >>> &&= ||= ??= &^= => == != <= >= && || ?? ?. ++ -- += -= *= /= %= &= |= ^= << ** :: -> := <- &^".split()
+_SIGNS = ">>>= ... >> === !== **= <<= >>= >>> &&= ||= ??= &^= => == != <= >= && || ?? ?. ++ -- += -= *= /= %= &= |= ^= << ** :: -> := <- &^".split()
 _OP = "(?P<op>" + "|".join(map(re.escape, sorted(_SIGNS, key=len, reverse=True))) + r"|[^\w\s])"
 _REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/\w*")
 _RAW = re.compile(r'"""(?:\\.|[^\\])*?(?:"""|\Z)', re.S)
@@ -2149,7 +2148,661 @@ class Go(Reader):
         return n
 
 
-READERS: dict[str, type[Reader]] = {"go": Go, "java": Java, "javascript": JavaScript, "typescript": TypeScript}
+# --- Rust
+
+class Rust(Reader):
+    comment = ("line_comment", "block_comment")
+    levels = {**dict.fromkeys(("..", "..="), 1), "||": 3, "&&": 4, **dict.fromkeys("== != < > <= >=".split(), 5), "|": 6, "^": 7, "&": 8, "<<": 9, ">>": 9, "+": 10, "-": 10, "*": 11, "/": 11, "%": 11}
+    block_type, root, operand = "block", "source_file", None
+    unary = frozenset("! - *".split())
+    keywords = frozenset("as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while".split())
+    _named = {"self", "super", "crate"}
+    bare = False  # whether a brace opens a block rather than a struct's fields
+    _items = frozenset("fn struct enum union impl trait mod use const static type extern unsafe async pub macro_rules".split())
+    _raw = re.compile(r'(?:b|c)?r(#*)".*?"\1', re.S)
+    _text = re.compile(r'[bc]?"(?:\\.|[^"\\])*(?:"|\Z)', re.S)
+    _char = re.compile(r"b?'(?:\\(?:x[\da-fA-F]{2}|u\{[^}]*\}|.)|[^'\\\n])'")
+    _life = re.compile(r"'[^\W\d]\w*")
+    _number = re.compile(r"0[xob][\da-fA-F_]+(?:[iu]\w+)?|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?(?:[iuf]\w+)?")
+    _place = re.compile(r"\d+")
+    _edges = re.compile(r"/\*|\*/")
+
+    def special(self, at: int) -> tuple[str, int] | None:
+        c = self.source[at]
+        if c in "rbc\"":
+            for kind, p in (("raw", self._raw), ("str", self._text)):
+                if m := p.match(self.source, at):
+                    return kind, m.end()
+        if c in "b'":
+            if m := self._char.match(self.source, at):
+                return "char", m.end()
+            if m := self._life.match(self.source, at):
+                return "life", m.end()
+        if c.isdigit():
+            return "num", (self._place if self.tokens and self.tokens[-1][1] == "." else self._number).match(self.source, at).end()
+        for sign in ("..=", "...", ".."):
+            if self.source.startswith(sign, at):
+                return "op", at + len(sign)
+        if c in "#?.*" and not self.source.startswith("*=", at):  # no signs of more than one
+            return "op", at + 1
+        if self.source.startswith("/*", at):  # these nest
+            depth, i = 1, at + 2
+            for m in self._edges.finditer(self.source, i):
+                depth += 1 if m[0] == "/*" else -1
+                if not depth:
+                    return "comment", m.end()
+            return "comment", len(self.source)
+        return None
+
+    # types and patterns, as names in brackets
+
+    def type_(self, *more: str) -> Node:
+        stops = ("=", ";", ",", "{", ")", "]", "}", "where", "=>", ">", ">>", "|", *more)
+        return self.balanced("type", lambda: self.is_(*stops))
+
+    def balanced(self, type_: str, stops: Callable[[], bool]) -> Node:
+        a, kids, depth = self.start, [], 0
+        while self.at < len(self.tokens) and (depth > 0 or not stops()):
+            if self.is_("<"):
+                depth += 1
+            elif self.is_(">", ">>") and depth:
+                depth -= len(self.text)
+            elif self.kind == "op" and self.text in _OPEN:
+                if self.text == "{" and depth <= 0:
+                    break
+                self.at = self.closing()
+            elif self.kind == "op" and self.text in (*_CLOSE, ";"):
+                break
+            if self.kind == "id" and self.text not in self.keywords:
+                kids.append((None, Node("type_identifier", self.start, self.tokens[self.at][3])))
+            self.at += 1
+        if self.at == 0 or self.behind <= a:
+            raise _Wrong
+        if len(kids) == 1 and kids[0][1].start == a and kids[0][1].end == self.behind:
+            return kids[0][1]
+        return self.node(type_, a, *kids)
+
+    def pattern(self, *stops: str) -> Node:
+        if self.kind == "id" and self.text not in self.keywords and self.ahead() in stops:
+            return self.leaf("identifier")
+        a, kids = self.start, []
+        while self.at < len(self.tokens) and not self.is_(*stops):
+            if self.kind == "op" and self.text in _OPEN:
+                end = self.closing()
+                while self.at < end:
+                    self.at += 1
+                    if self.kind == "id" and self.text not in self.keywords:
+                        kids.append((None, Node("identifier", self.start, self.tokens[self.at][3])))
+            elif self.kind == "op" and self.text in (*_CLOSE, ";"):
+                break
+            elif self.kind == "id" and self.text not in self.keywords:
+                kids.append((None, Node("identifier", self.start, self.tokens[self.at][3])))
+            self.at += 1
+        if self.behind <= a:
+            raise _Wrong
+        return self.node("pattern", a, *kids)
+
+    def generics(self, type_: str) -> Node:
+        a, depth, kids = self.start, 0, []
+        while True:
+            if self.is_("<"):
+                depth += 1
+            elif self.is_(">", ">>"):
+                depth -= len(self.text)
+            elif self.kind == "op" and self.text in _OPEN:
+                self.at = self.closing()
+            elif self.is_(";") or (self.kind == "op" and self.text in _CLOSE):
+                raise _Wrong
+            elif self.kind == "id" and self.text not in self.keywords:
+                kids.append((None, Node("type_identifier", self.start, self.tokens[self.at][3])))
+            self.take()
+            if depth <= 0:
+                return self.node(type_, a, *kids)
+
+    # expressions
+
+    def whole(self) -> Node:
+        a = self.start
+        left = self.expression()
+        if self.kind == "op" and self.text in _ASSIGN:
+            op = self.sign()
+            if op.type == "=":
+                return self.node("assignment_expression", a, ("left", left), ("right", self.whole()))
+            return self.node("compound_assignment_expr", a, ("left", left), ("operator", op), ("right", self.whole()))
+        return left
+
+    def expression(self, level: int = 0) -> Node:
+        a = self.start
+        if self.is_("..", "..="):
+            self.take()
+            return self.node("range_expression", a, (None, None if self.ends() else self.expression(1)))
+        left = self.prefix()
+        while self.at < len(self.tokens):
+            if self.is_("as"):
+                self.take()
+                left = self.node("type_cast_expression", a, ("value", left), ("type", self.cast_type()))
+                continue
+            own = self.levels.get(self.text) if self.kind == "op" else None
+            if own is None or own <= level:
+                break
+            op = self.sign()
+            if own == 1:
+                left = self.node("range_expression", a, (None, left), (None, None if self.ends() else self.expression(1)))
+            else:
+                left = self.node("binary_expression", a, ("left", left), ("operator", op), ("right", self.expression(own)))
+        return left
+
+    def ends(self) -> bool:
+        return self.at >= len(self.tokens) or self.is_(")", "]", "}", ",", ";", "=>") or (self.bare and self.is_("{"))
+
+    def cast_type(self) -> Node:
+        a = self.start
+        while self.is_("&", "*", "mut", "const", "dyn") or self.kind == "life":
+            self.take()
+        if self.is_("(", "["):
+            self.at = self.closing() + 1
+        else:
+            self.take()
+            while self.is_("::") and self.ahead_kind() == "id":
+                self.at += 2
+            if self.is_("<"):
+                self.generics("type_arguments")
+        n = self.node("type", a)
+        if n.end - n.start and re.fullmatch(r"\w+", self.source[n.start : n.end]):
+            basic = re.fullmatch(r"[iu](?:8|16|32|64|128|size)|f32|f64|bool|char|str", self.source[n.start : n.end])
+            n.type = "primitive_type" if basic else "type_identifier"
+        return n
+
+    def prefix(self) -> Node:
+        a = self.start
+        if self.is_("&", "&&"):
+            self.take()
+            self.skip("mut")
+            return self.node("reference_expression", a, ("value", self.prefix()))
+        return super().prefix()
+
+    def unbared(self, one: Callable[[], Node]) -> Node:
+        kept, self.bare = self.bare, False
+        n = one()
+        self.bare = kept
+        return n
+
+    def arguments(self) -> Node:
+        return self.unbared(lambda: self.listed("arguments", self.argument))
+
+    def argument(self) -> Node:
+        while self.is_("#"):
+            self.attribute()
+        return self.whole()
+
+    def attribute(self) -> Node:
+        a = self.start
+        self.take("#")
+        inner = self.skip("!")
+        if not self.is_("["):
+            raise _Wrong
+        b, end = self.tokens[self.at + 1][2] if self.at + 1 < len(self.tokens) else self.start, self.closing()
+        kids = [(None, Node("identifier", t[2], t[3])) for t in self.tokens[self.at + 1 : end] if t[0] == "id"]
+        last = self.tokens[end][2]
+        self.at = end + 1
+        return self.node("inner_attribute_item" if inner else "attribute_item", a, (None, Node("attribute", b, last, kids)))
+
+    def trees(self) -> Node:
+        """A macro's tokens."""
+        a, end = self.start, self.closing()
+        kids: list[tuple[str | None, Node]] = []
+        self.at += 1
+        while self.at < end:
+            if self.kind == "op" and self.text in _OPEN and self.at in self.match:
+                kids.append((None, self.trees()))
+                continue
+            if self.kind != "op":
+                kids.append((None, self.token()))
+            else:
+                self.at += 1
+        self.at = end + 1
+        return self.node("token_tree", a, *kids)
+
+    def token(self) -> Node:
+        kind, text = self.kind, self.text
+        if kind == "num":
+            return self.leaf("float_literal" if re.search(r"\.|[^xXa-fA-F\d_][eE]|f(?:32|64)$", text) and text[:2] != "0x" else "integer_literal")
+        if kind == "raw":
+            return self.leaf("raw_string_literal")
+        if kind == "str":
+            n = self.leaf("string_literal")
+            first = self.source.index('"', n.start) + 1
+            if n.end - first > 1:
+                n.children.append((None, Node("string_content", first, n.end - 1)))
+            return n
+        if kind == "char":
+            return self.leaf("char_literal")
+        if kind == "life":
+            return self.leaf("lifetime")
+        if text in ("true", "false"):
+            return self.leaf("boolean_literal")
+        return self.leaf(text if text in self._named else "identifier")
+
+    def path(self) -> Node:
+        """a::b::<T>::c"""
+        a = self.start
+        n: Node | None = None
+        if self.is_("<"):
+            n = self.generics("bracketed_type")
+        elif not self.is_("::"):
+            n = self.token()
+        while self.is_("::"):
+            self.take()
+            if self.is_("<"):
+                n = self.node("generic_function", a, ("function", n), ("type_arguments", self.generics("type_arguments")))
+                continue
+            if self.kind != "id":
+                raise _Wrong
+            n = self.node("scoped_identifier", a, ("path", n), ("name", self.leaf("identifier")))
+        if n is None:
+            raise _Wrong
+        return n
+
+    def primary(self) -> Node:
+        a, kind, text = self.start, self.kind, self.text
+        if kind in ("num", "str", "raw", "char"):
+            return self.token()
+        if kind == "life" and self.ahead() == ":":
+            label = self.leaf("label")
+            self.take(":")
+            n = self.primary()
+            n.start = a
+            n.children.insert(0, (None, label))
+            return n
+        if text in ("true", "false"):
+            return self.token()
+        if text == "(":
+            return self.unbared(self.tuple)
+        if text == "[":
+            return self.unbared(lambda: self.listed("array_expression", self.element))
+        if text == "{":
+            return self.unbared(self.block)
+        if text in ("|", "||") or (text in ("move", "async") and self.ahead() in ("|", "||", "move")):
+            return self.closure()
+        if text in ("unsafe", "async", "const") and self.ahead() in ("{", "move"):
+            self.take()
+            self.skip("move")
+            return self.node(f"{text}_block", a, (None, self.unbared(self.block)))
+        if text == "if":
+            return self.if_()
+        if text == "match":
+            self.take()
+            value = self.head()
+            return self.node("match_expression", a, ("value", value), ("body", self.unbared(lambda: self.block("match_block", self.arm))))
+        if text == "while":
+            self.take()
+            test = self.condition()
+            return self.node("while_expression", a, ("condition", test), ("body", self.unbared(self.block)))
+        if text == "loop":
+            self.take()
+            return self.node("loop_expression", a, ("body", self.unbared(self.block)))
+        if text == "for":
+            self.take()
+            name = self.pattern("in")
+            self.take("in")
+            value = self.head()
+            return self.node("for_expression", a, ("pattern", name), ("value", value), ("body", self.unbared(self.block)))
+        if text in ("return", "break", "continue"):
+            self.take()
+            label = self.leaf("label") if self.kind == "life" else None
+            value = None if self.ends() or text == "continue" else self.whole()
+            return self.node(f"{text}_expression", a, (None, label), (None, value))
+        if kind == "id" and text in self.keywords and text not in (*self._named, "Self") or (kind != "id" and not self.is_("<", "::")):
+            raise _Wrong
+        n = self.path()
+        if self.is_("!") and self.ahead() in ("(", "[", "{") and n.type in ("identifier", "scoped_identifier"):
+            self.take()
+            return self.node("macro_invocation", a, ("macro", n), (None, self.trees()))
+        if self.is_("{") and not self.bare and n.type in ("identifier", "scoped_identifier", "generic_function") and re.search(r"(?:^|::)\s*[A-Z]\w*\s*(?:::\s*<.*)?$", self.source[n.start : n.end], re.S):
+            n.type = {"identifier": "type_identifier", "scoped_identifier": "scoped_type_identifier"}.get(n.type, "generic_type_with_turbofish")
+            return self.node("struct_expression", a, ("name", n), ("body", self.listed("field_initializer_list", self.initialised)))
+        return n
+
+    def initialised(self) -> Node:
+        a = self.start
+        while self.is_("#"):
+            self.attribute()
+        if self.skip(".."):
+            return self.node("base_field_initializer", a, (None, self.whole()))
+        if self.ahead() != ":":
+            return self.node("shorthand_field_initializer", a, (None, self.token()))
+        name = self.leaf("field_identifier")
+        self.take(":")
+        return self.node("field_initializer", a, ("field", name), ("value", self.whole()))
+
+    def element(self) -> Node:
+        n = self.whole()
+        if self.skip(";"):
+            length = self.whole()
+            return Node("", n.start, self.behind, [(None, n), ("length", length)])
+        return n
+
+    def tuple(self) -> Node:
+        a, end = self.start, self.closing()
+        n = self.listed("tuple_expression", self.argument)
+        if not n.children:
+            n.type = "unit_expression"
+        elif len(n.children) == 1 and self.tokens[end - 1][1] != ",":
+            n.type = "parenthesized_expression"
+        n.start = a
+        return n
+
+    def closure(self) -> Node:
+        a = self.start
+        self.skip("async")
+        self.skip("move")
+        b = self.start
+        kids: list[tuple[str | None, Node]] = []
+        if not self.skip("||"):
+            self.take("|")
+            while not self.is_("|"):
+                kids.append((None, self.pattern("|", ",", ":")))
+                if self.skip(":"):
+                    self.type_()
+                if not self.skip(",") and not self.is_("|"):
+                    raise _Wrong
+            self.take("|")
+        parameters = self.node("closure_parameters", b, *kids)
+        result = self.type_() if self.skip("->") else None
+        return self.node("closure_expression", a, ("parameters", parameters), ("return_type", result), ("body", self.block() if self.is_("{") else self.whole()))
+
+    def head(self) -> Node:
+        kept, self.bare = self.bare, True
+        n = self.whole()
+        self.bare = kept
+        return n
+
+    def condition(self) -> Node:
+        a, kids = self.start, []
+        while True:
+            b = self.start
+            if self.skip("let"):
+                name = self.pattern("=")
+                self.take("=")
+                kept, self.bare = self.bare, True
+                value = self.expression(4)
+                self.bare = kept
+                kids.append((None, self.node("let_condition", b, ("pattern", name), ("value", value))))
+            else:
+                kept, self.bare = self.bare, True
+                kids.append((None, self.expression(4) if kids else self.until_let()))
+                self.bare = kept
+            if not self.skip("&&"):
+                break
+        return kids[0][1] if len(kids) == 1 else self.node("let_chain", a, *kids)
+
+    def until_let(self) -> Node:
+        back = self.at
+        n = self.expression(4)
+        if self.is_("&&") and self.ahead() == "let":
+            return n
+        self.at = back
+        return self.whole()
+
+    def if_(self) -> Node:
+        a = self.start
+        self.take("if")
+        test = self.condition()
+        yes, other = self.unbared(self.block), None
+        if self.is_("else"):
+            b = self.start
+            self.take()
+            other = self.node("else_clause", b, (None, self.if_() if self.is_("if") else self.unbared(self.block)))
+        return self.node("if_expression", a, ("condition", test), ("consequence", yes), ("alternative", other))
+
+    def arm(self) -> Node | None:
+        if self.skip(","):
+            return None
+        a = self.start
+        while self.is_("#"):
+            self.attribute()
+        b = self.start
+        name = self.pattern("=>", "if")
+        test = None
+        if self.skip("if"):
+            test = self.condition()
+        shown = self.node("match_pattern", b, (None, name), ("condition", test))
+        self.take("=>")
+        n = self.node("match_arm", a, ("pattern", shown), ("value", self.whole()))
+        if not self.skip(",") and not self.is_("}") and self.tokens[self.at - 1][1] != "}":
+            raise _Wrong
+        return n
+
+    def postfix(self, n: Node) -> Node:
+        while self.at < len(self.tokens):
+            if self.is_("?"):
+                self.take()
+                n = self.node("try_expression", n.start, (None, n))
+            elif self.is_("."):
+                self.take()
+                if self.skip("await"):
+                    n = self.node("await_expression", n.start, (None, n))
+                    continue
+                if self.kind not in ("id", "num"):
+                    raise _Wrong
+                n = self.node("field_expression", n.start, ("value", n), ("field", self.leaf("field_identifier" if self.kind == "id" else "integer_literal")))
+                if self.is_("::"):
+                    self.take()
+                    n = self.node("generic_function", n.start, ("function", n), ("type_arguments", self.generics("type_arguments")))
+            elif self.is_("("):
+                n = self.node("call_expression", n.start, ("function", n), ("arguments", self.arguments()))
+            elif self.is_("["):
+                self.take()
+                index = self.unbared(self.whole)
+                self.take("]")
+                n = self.node("index_expression", n.start, (None, n), (None, index))
+            else:
+                break
+        return n
+
+    # items and statements
+
+    _blocks = frozenset("if match while loop for unsafe { async".split())
+
+    def statement(self) -> Node | None:
+        self.bare = False
+        a, text = self.start, self.text if self.kind in ("id", "op") else ""
+        if text == ";":
+            self.take()
+            return None
+        if text == "#":
+            return self.attribute()
+        if text == "let":
+            self.take()
+            name = self.pattern("=", ":", ";")
+            kind = self.type_() if self.skip(":") else None
+            value = self.whole() if self.skip("=") else None
+            other = self.block() if self.skip("else") else None
+            self.take(";")
+            return self.node("let_declaration", a, ("pattern", name), ("type", kind), ("value", value), ("alternative", other))
+        if text in self._items and not (text in ("unsafe", "async", "const") and self.ahead() in ("{", "move", "|", "||")) and not (text in ("union", "macro_rules") and self.ahead_kind() != "id" and self.ahead() != "!"):
+            return self.item()
+        blocks = text in self._blocks or (self.kind == "life" and self.ahead() == ":")
+        if blocks:
+            n = self.primary()
+            if self.is_(".", "?"):
+                n = self.postfix(n)
+                blocks = False
+            if blocks:
+                self.skip(";")
+                return self.node("expression_statement", a, (None, n))
+        else:
+            n = self.whole()
+        if self.skip(";") or (n.type == "macro_invocation" and self.tokens[self.at - 1][1] == "}"):
+            return self.node("expression_statement", a, (None, n))
+        if self.at < len(self.tokens) and not self.is_("}"):
+            raise _Wrong
+        return n
+
+    def item(self) -> Node:
+        a = self.start
+        seen = None
+        if self.is_("pub"):
+            b = self.start
+            self.take()
+            if self.is_("("):
+                self.at = self.closing() + 1
+            seen = self.node("visibility_modifier", b)
+        marks = []
+        while (self.is_("unsafe", "async", "default") or (self.is_("const") and self.ahead() in ("fn", "unsafe", "extern", "async")) or (self.is_("extern") and self.ahead_kind() in ("str", "id") and self.ahead() != "crate")) and self.ahead() != "{":
+            if self.take()[1] == "extern" and self.kind == "str":
+                self.take()
+            marks.append(1)
+            if self.is_("{"):
+                return self.node("foreign_mod_item", a, ("body", self.block("declaration_list")))
+        if self.at >= len(self.tokens) or self.kind != "id":
+            raise _Wrong
+        word = self.take()[1]
+        kids: list[tuple[str | None, Node | None]] = [(None, seen)]
+        if word == "fn":
+            kids.append(("name", self.name()))
+            if self.is_("<"):
+                kids.append(("type_parameters", self.generics("type_parameters")))
+            kids.append(("parameters", self.listed("parameters", self.parameter)))
+            if self.skip("->"):
+                kids.append(("return_type", self.type_()))
+            self.where()
+            if self.skip(";"):
+                return self.node("function_signature_item", a, *kids)
+            return self.node("function_item", a, *kids, ("body", self.block()))
+        if word in ("struct", "union", "enum", "trait", "type"):
+            kids.append(("name", self.name("type_identifier")))
+            if self.is_("<"):
+                kids.append(("type_parameters", self.generics("type_parameters")))
+            if word == "type":
+                if self.skip(":"):
+                    self.type_()
+                self.where()
+                kind = self.type_() if self.skip("=") else None
+                self.take(";")
+                return self.node("type_item" if kind else "associated_type", a, *kids, ("type", kind))
+            if self.skip(":"):
+                kids.append(("bounds", self.type_()))
+            self.where()
+            if word == "trait":
+                return self.node("trait_item", a, *kids, ("body", self.block("declaration_list")))
+            if self.is_("("):
+                kids.append(("body", self.listed("ordered_field_declaration_list", self.ordered)))
+                self.where()
+            if self.is_("{"):
+                kids.append(("body", self.listed("enum_variant_list", self.variant) if word == "enum" else self.listed("field_declaration_list", self.field)))
+            else:
+                self.take(";")
+            return self.node(f"{word}_item", a, *kids)
+        if word == "impl":
+            if self.is_("<"):
+                kids.append(("type_parameters", self.generics("type_parameters")))
+            kind = self.type_("for")
+            if self.skip("for"):
+                kids.append(("trait", kind))
+                kind = self.type_()
+            kids.append(("type", kind))
+            self.where()
+            return self.node("impl_item", a, *kids, ("body", self.block("declaration_list")))
+        if word == "mod":
+            kids.append(("name", self.name()))
+            if not self.skip(";"):
+                kids.append(("body", self.block("declaration_list")))
+            return self.node("mod_item", a, *kids)
+        if word == "use":
+            b = self.start
+            while not self.is_(";"):
+                if self.kind == "op" and self.text in _OPEN:
+                    self.at = self.closing()
+                self.take()
+            kids.append(("argument", self.node("use_path", b)))
+            self.take(";")
+            return self.node("use_declaration", a, *kids)
+        if word in ("const", "static"):
+            self.skip("mut")
+            kids.append(("name", self.name()))
+            self.take(":")
+            kids.append(("type", self.type_()))
+            if self.skip("="):
+                kids.append(("value", self.whole()))
+            self.take(";")
+            return self.node(f"{word}_item", a, *kids)
+        if word == "extern" and self.is_("crate"):
+            while not self.is_(";"):
+                self.take()
+            self.take(";")
+            return self.node("extern_crate_declaration", a)
+        if word == "macro_rules":
+            self.take("!")
+            kids.append(("name", self.name()))
+            kids += self.trees().children
+            self.skip(";")
+            return self.node("macro_definition", a, *kids)
+        raise _Wrong
+
+    def where(self) -> None:
+        while self.at < len(self.tokens) and self.is_("where") or (self.tokens[self.at - 1][1] == "," and not self.is_("{", ";")):
+            self.take()
+            self.balanced("where_clause", lambda: self.is_("{", ";", ","))
+            self.skip(",")
+
+    def parameter(self) -> Node:
+        a = self.start
+        while self.is_("#"):
+            self.attribute()
+        back = self.at
+        while self.is_("&", "mut") or self.kind == "life":
+            self.take()
+        if self.is_("self"):
+            self.take()
+            if self.skip(":"):
+                self.type_()
+            return self.node("self_parameter", a)
+        self.at = back
+        if self.is_("..."):
+            return self.leaf("variadic_parameter")
+        name = self.pattern(":", ",", ")")
+        self.take(":")
+        return self.node("parameter", a, ("pattern", name), ("type", self.type_()))
+
+    def field(self) -> Node | None:
+        a = self.start
+        while self.is_("#"):
+            self.attribute()
+        seen = self.visible()
+        name = self.name("field_identifier")
+        self.take(":")
+        return self.node("field_declaration", a, (None, seen), ("name", name), ("type", self.type_()))
+
+    def visible(self) -> Node | None:
+        if not self.is_("pub"):
+            return None
+        b = self.start
+        self.take()
+        if self.is_("("):
+            self.at = self.closing() + 1
+        return self.node("visibility_modifier", b)
+
+    def ordered(self) -> tuple[str, Node]:
+        while self.is_("#"):
+            self.attribute()
+        self.visible()
+        return "type", self.type_()
+
+    def variant(self) -> Node:
+        while self.is_("#"):
+            self.attribute()
+        a = self.start
+        name, body = self.name(), None
+        if self.is_("("):
+            body = self.listed("ordered_field_declaration_list", self.ordered)
+        elif self.is_("{"):
+            body = self.listed("field_declaration_list", self.field)
+        value = self.whole() if self.skip("=") else None
+        return self.node("enum_variant", a, ("name", name), ("body", body), ("value", value))
+
+
+READERS: dict[str, type[Reader]] = {"go": Go, "java": Java, "javascript": JavaScript, "rust": Rust, "typescript": TypeScript}
 
 
 def tree(language: str, source: str) -> Node | None:

@@ -1,6 +1,6 @@
 """Structural rules: S-expression queries over syntax trees.
 
-Trees come from Python's own parser for Python and from :mod:`.grammars` for JavaScript, TypeScript, Go and Java, under the
+Trees come from Python's own parser for Python and from :mod:`.grammars` for JavaScript, TypeScript, Go, Java and Rust, under the
 node and field names that such queries use. A pattern is ``(type field: (pattern) (pattern) "text" ...)``; ``(_)`` matches
 any named node, ``_`` any, ``[a b]`` one of several, ``((a) (b))`` siblings; ``?``, ``*`` and ``+`` follow what may be absent
 or come more than once (of which the first is captured), ``.`` stands between neighbours, ``!field`` for a field that isn't

@@ -462,6 +462,7 @@ _CALLS = {  # extension, what stands before a call and behind it, and where the
     "typescript": (".ts", "class C<T> {\n  m(a: T): string {\n    return `${", "}`;\n  }\n}\n", 3, 15),
     "go": (".go", "package p\n\nfunc f() {\n\tx := ", "\n\tuse(x)\n}\n", 4, 7),
     "java": (".java", "class C {\n  int f() {\n    return ", ";\n  }\n}\n", 3, 12),
+    "rust": (".rs", "impl C {\n    fn f<'a>(&'a self) -> Option<u8> {\n        let x: Vec<u8> = ", ".ok()?;\n        None\n    }\n}\n", 3, 26),
 }
 _CALLED = '(call_expression function: (identifier) @_f (#eq? @_f "eval")) @report'
 
@@ -469,11 +470,11 @@ _CALLED = '(call_expression function: (identifier) @_f (#eq? @_f "eval")) @repor
 @query(
     "SELECT o_orderkey || e AS path, line, c AS \"column\", 'eval(' || o_custkey || ')' AS matched FROM orders JOIN (VALUES "
     + ", ".join(f"({k}, '{e}', {line}::BIGINT, {c}::BIGINT)" for k, (e, _, _, line, c) in enumerate(_CALLS.values()))
-    + ") v(k, e, line, c) ON o_orderkey % 4 = k WHERE o_orderstatus = 'O'"
+    + ") v(k, e, line, c) ON o_orderkey % 5 = k WHERE o_orderstatus = 'O'"
 )
 def ast_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One rule with queries for four languages, over orders as their source files."""
-    k, key = F.col("o_orderkey") % 4, F.col("o_orderkey").cast("string")
+    """One rule with queries for five languages, over orders as their source files."""
+    k, key = F.col("o_orderkey") % 5, F.col("o_orderkey").cast("string")
     call = F.concat(F.when(F.col("o_orderstatus") == "O", "eval(").otherwise("save("), F.col("o_custkey").cast("string"), F.lit(")"))
     path, content = F.lit(None), F.lit(None)
     for n, (end, head, tail, _, _) in enumerate(_CALLS.values()):

@@ -327,8 +327,28 @@ public abstract class Foo<T extends Comparable<T>> extends Bar<T> implements I,
     return (T) foo.<String>bar(1).baz;
   }
   enum E { A(1), B { void x() {} }; private final int v; E(int v) { this.v = v; } }
-  record R(int a, String b) { R { check(a); } }
+  record R(int a, String b) { R { check(a >> 1); } }
 }
+""",
+    "rust": """//! doc
+use std::{fs, io::Read};
+#[derive(Debug, Clone)]
+pub(crate) struct P<'a, T: Ord> where T: Clone { pub a: &'a str, b: Vec<Option<T>>, }
+struct U; struct W(pub i32, String);
+enum E { A, B(i32), C { x: u8 }, D = 4 }
+impl<'a, T> Iterator for P<'a, T> where T: Ord { type Item = T; fn next(&mut self) -> Option<Self::Item> { self.b.pop()?.unwrap() } }
+pub async fn f<T>(a: &str, mut b: Box<dyn Fn(i32) -> i32>) -> Result<(), Box<dyn Error>> {
+    let x: i32 = a.parse::<i32>().unwrap(); let Some(y) = g() else { return Err("x".into()) };
+    if let Some(z) = x.get(0) && z > 1 { unsafe { *p = 1; } } else if x == (S { a: 1 }).a { } else { loop { break 'l; } }
+    match x { 1 | 2 => foo(), Some(ref n) if n > 3 => { bar() } E::C { x, .. } => baz!{ a }, _ => {} }
+    for (i, v) in xs.iter().filter(|(i, _)| *i > 0) { println!("{} {}", i, v); }
+    let c = move |a: i32| -> i32 { a + 1 }; let d = 0..=n; let s = r#"a "q" "#; let k = b'x' as u32 as usize;
+    let st = P::<u8> { a, ..Default::default() }; std::process::Command::new("sh").arg(a).spawn()?; x.0.1 += 1 << 2;
+    z = (z ^ (z >> 30)).w(0xBF); fs::read(p).await.map_err(|e| e.to_string())
+}
+mod tests { #[test] fn t() { assert_eq!(1, 1); } const X: &[&str] = &["a"]; }
+macro_rules! m { ($a:expr) => { $a } }
+extern "C" { fn c(x: i32); }
 """,
 }
 
@@ -349,6 +369,10 @@ public abstract class Foo<T extends Comparable<T>> extends Bar<T> implements I,
         ("java", "(class_declaration name: (identifier) @n)", ["Foo"]),
         ("go", '(call_expression function: (selector_expression operand: (identifier) @_p) (#eq? @_p "exec")) @report', ['exec.Command("sh", "-c", v)']),
         ("go", "((const_declaration) @a . (type_declaration) @b)", ["const (\n\tA = iota\n\tB\n)"]),
+        ("rust", '(call_expression function: (field_expression field: (field_identifier) @m (#eq? @m "unwrap"))) @report', ["a.parse::<i32>().unwrap()", "self.b.pop()?.unwrap()"]),
+        ("rust", "[(unsafe_block) (attribute_item)] @b", ["#[derive(Debug, Clone)]", "#[test]", "unsafe { *p = 1; }"]),
+        ("rust", "(macro_invocation macro: (identifier) @m)", ["assert_eq", "baz", "println"]),
+        ("rust", "(function_item name: (identifier) @n)", ["f", "next", "t"]),
         ("go", "(method_declaration receiver: (parameter_list) name: (field_identifier) @n)", ["Method"]),
     ],
 )
