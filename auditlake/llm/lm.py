@@ -16,6 +16,7 @@ words' codes are sorted segments in the shared folder, mapped by workers; the we
    over their runs from the weights so far, with a rate that falls by row as its gradients add up, and send on the rows
    that changed after every ``BLOCK`` words or so (or eight for each row of weights, if that is more). Changes of a span meet in two steps, within groups of tasks and then
    over the groups. Those of rows that little was learnt of are added; the more was learnt, the more it is an average.
+   A task holds one table, the one that it changes.
 4. Scoring is one narrow pass in numpy batches, which gathers the sparse rows that occur.
 
 Defined results: a text that is null or has no words has 0 words and null scores. A very long text is one run, scored whole.
@@ -47,6 +48,7 @@ BITS = 4  # of a step
 FEATURES = 4
 SHARE = 4  # distinct words for each row of weights
 SPAN = 512  # rows of weights that travel together
+SENT = 64  # spans of a batch of changes, 1.2 MB
 SHALLOW = 2  # steps of a path at which the longer contexts count, too
 ROUNDS = 2
 BLOCK = 4_000_000
@@ -188,6 +190,9 @@ class Weights:
         table[:] = self.table
         return Weights(table, self.squares.copy())
 
+    def span(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.table[k * SPAN : (k + 1) * SPAN], self.squares[k * SPAN : (k + 1) * SPAN]
+
     @property
     def shift(self) -> np.uint64:
         return np.uint64(65 - len(self.squares).bit_length())
@@ -357,34 +362,71 @@ class Stored:
     bits: int
     spans: tuple[tuple[int, str], ...] = ()
 
+    @functools.cached_property
+    def files(self) -> dict[int, str]:
+        return dict(self.spans)
+
+    def span(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k not in self.files:
+            size = min(SPAN, 1 << self.bits)
+            return np.zeros((size, FAN), np.float32), np.zeros(size, np.float32)
+        some = _get(self.folder, self.files[k])
+        return some[:, :FAN], some[:, FAN]
+
     def load(self) -> Weights:
         w = Weights.zero(self.bits)
-        for k, name in self.spans:
-            some = _get(self.folder, name)
-            w.table[k * SPAN : (k + 1) * SPAN], w.squares[k * SPAN : (k + 1) * SPAN] = some[:, :FAN], some[:, FAN]
+        for k, _ in self.spans:
+            w.table[k * SPAN : (k + 1) * SPAN], w.squares[k * SPAN : (k + 1) * SPAN] = self.span(k)
         return w
 
 
-@functools.lru_cache(maxsize=1)
+_HELD: dict[Stored, Weights] = {}
+
+
 def _loaded(stored: Stored) -> Weights:
-    return stored.load()
+    """The weights, kept for the worker's next task; others that it kept go before these are read."""
+    if stored not in _HELD:
+        _HELD.clear()
+        _HELD[stored] = stored.load()
+    return _HELD[stored]
 
 
 MOVES = pa.schema([("part", pa.int32()), ("origin", pa.int64()), ("rows", pa.binary()), ("moves", pa.binary()), ("squares", pa.binary())])
 SUMS = pa.schema([("part", pa.int32()), ("origin_group", pa.int64()), ("moves", pa.binary()), ("squares", pa.binary())])
 
 
-def _moves(base: Weights, now: Weights, origin: int) -> Iterator[pa.RecordBatch]:
-    """The changed rows of each span."""
-    out = []
-    for k in range(-(-len(now.squares) // SPAN)):
-        span = slice(k * SPAN, (k + 1) * SPAN)
-        gained = now.squares[span] - base.squares[span]
-        rows = np.flatnonzero(gained)
-        if len(rows):
-            moved = (now.table[span][rows] - base.table[span][rows]).astype(np.float16)
-            out.append((k, origin, rows.astype(np.uint16).tobytes(), moved.tobytes(), gained[rows].tobytes()))
-    yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(MOVES)], schema=MOVES)
+def _moves(base: Weights | Stored, now: Weights, origin: int) -> Iterator[pa.RecordBatch]:
+    """The changed rows of each span, ``SENT`` spans at a time."""
+    spans = -(-len(now.squares) // SPAN)
+    for a in range(0, spans, SENT):
+        out = []
+        for k in range(a, min(a + SENT, spans)):
+            (table, squares), (was, had) = now.span(k), base.span(k)
+            gained = squares - had
+            rows = np.flatnonzero(gained)
+            if len(rows):
+                moved = (table[rows] - was[rows]).astype(np.float16)
+                out.append((k, origin, rows.astype(np.uint16).tobytes(), moved.tobytes(), gained[rows].tobytes()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(MOVES)], schema=MOVES)
+
+
+def _learned(batches: Iterator[pa.RecordBatch], names: Vocabulary, stored: Stored, block: int, origin: int) -> Iterator[pa.RecordBatch]:
+    """What ``stored`` is changed by over the runs of a task. One table is held: what it was is read again, by span, when changes are sent."""
+    _HELD.clear()
+    now, seen = None, 0
+    for b in batches:
+        for sizes, words, places in zip(b.column(0), b.column(1), b.column(2)):
+            flat, at, code, length = _opened(names, sizes.as_py(), words.as_py(), places.as_py())
+            if len(flat):
+                now = stored.load() if now is None else now
+                descend(now, flat, at, code, length)
+                seen += len(flat)
+                if seen >= 2 * block:
+                    yield from _moves(stored, now, origin)
+                    now, seen, origin = None, 0, origin + 1
+    if seen:
+        yield from _moves(stored, now, origin)
 
 
 def _weighted(moves: np.ndarray, gained: np.ndarray) -> np.ndarray:
@@ -448,19 +490,7 @@ def train(runs: DataFrame, names: Vocabulary, stored: Stored, rounds: int = ROUN
         def learn(batches: Iterator[pa.RecordBatch], stored: Stored = stored) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            base, origin, now, seen = _loaded(stored), TaskContext.get().partitionId() << 32, None, 0
-            for b in batches:
-                for sizes, words, places in zip(b.column(0), b.column(1), b.column(2)):
-                    flat, at, code, length = _opened(names, sizes.as_py(), words.as_py(), places.as_py())
-                    if len(flat):
-                        now = base.copy() if now is None else now
-                        descend(now, flat, at, code, length)
-                        seen += len(flat)
-                        if seen >= 2 * block:
-                            yield from _moves(base, now, origin)
-                            now, seen, origin = None, 0, origin + 1
-            if seen:
-                yield from _moves(base, now, origin)
+            yield from _learned(batches, names, stored, block, TaskContext.get().partitionId() << 32)
 
         mine = parts.where(F.pmod(F.xxhash64("run"), F.lit(rounds)) == r).select("sizes", "words", "places")
         moves = mine.mapInArrow(learn, "part int, origin long, rows binary, moves binary, squares binary")
@@ -481,7 +511,8 @@ def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The tokenised runs of all rows, written to the shared folder, and the folder."""
     spark: SparkSession = docs.sparkSession
     folder = temporary(f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}")
-    docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tokenised, _RUNS).write.parquet(f"{folder}/runs")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tokenised, _RUNS)
+    rows.write.option("parquet.page.size.row.check.min", 1).parquet(f"{folder}/runs")  # else a page is some 100 runs, which the JVM holds several times
     return spark.read.schema(_RUNS).parquet(f"{folder}/runs"), folder
 
 

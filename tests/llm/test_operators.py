@@ -610,6 +610,62 @@ def test_changes_of_rare_rows_add_up_and_those_of_frequent_rows_are_averaged():
     assert 1.8 < mixed[5, 0] <= 2 and math.isclose(mixed[6, 0], 1.5, rel_tol=1e-3) and not mixed[7].any()
 
 
+def test_changes_are_sent_in_small_batches():
+    base = lm.Weights.zero(16)
+    now = base.copy()
+    now.table[:], now.squares[:] = np.arange(1 << 16)[:, None] % 1000, 1.0
+    now.squares[3 * lm.SPAN : 4 * lm.SPAN] = 0
+    parts = list(lm._moves(base, now, 7))
+    assert max(b.nbytes for b in parts) < 2 << 20
+    sent = pa.Table.from_batches(parts).to_pylist()
+    assert [x["part"] for x in sent] == [k for k in range(128) if k != 3] and {x["origin"] for x in sent} == {7}
+    for x in sent:
+        assert (np.frombuffer(x["moves"], np.float16).reshape(-1, lm.FAN) == now.span(x["part"])[0][np.frombuffer(x["rows"], np.uint16)]).all() and len(x["squares"]) == 4 * lm.SPAN
+
+
+def test_a_task_of_training_holds_one_table(prose, tmp_path):
+    import tracemalloc
+
+    bits, r = 18, np.random.default_rng(1)
+    whole = r.normal(scale=0.1, size=(1 << bits, lm.FAN + 1)).astype(np.float32) ** 2
+    spans = tuple((k, lm._put(str(tmp_path), whole[k * lm.SPAN : (k + 1) * lm.SPAN])) for k in range(0, (1 << bits) // lm.SPAN, 2))
+    stored = lm.Stored(str(tmp_path), bits, spans)
+    flat, at = common.hashed_tokens([prose(2000, k) for k in range(2)], common.HashCache())
+    words, place = np.unique(flat, return_inverse=True)
+    names = lm.Vocabulary(str(tmp_path), (), np.zeros((0, 16), np.uint64), (5, 4))
+    run = pa.RecordBatch.from_arrays([pa.array([x.tobytes()] * 3, pa.binary()) for x in (np.diff(at), words, place.astype(np.uint16))], names=["sizes", "words", "places"])
+    tracemalloc.start()
+    got = list(lm._learned(iter([run]), names, stored, len(flat), 7))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.5 * (68 << bits)
+    code, length = names.of(flat)
+    base = stored.load()
+    assert (base.span(2)[0] == whole[1024:1536, : lm.FAN]).all() and not base.span(1)[0].any() and not stored.span(1)[0].any()
+    want = []
+    for k, runs in enumerate((2, 1)):  # a block is full after two
+        now = base.copy()
+        for _ in range(runs):
+            lm.descend(now, flat, at, code, length)
+        want += lm._moves(base, now, 7 + k)
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches(want))
+
+
+def test_runs_are_stored_in_small_pages(spark):
+    rows = [(k, " ".join(f"{k}x{i}" for i in range(70_000))) for k in range(10)]
+    runs, folder = lm.prepared(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert runs.count() == 10
+    hadoop = spark._jvm.org.apache.parquet.hadoop
+    sizes = []
+    for path in runs.inputFiles():
+        source = hadoop.util.HadoopInputFile.fromPath(spark._jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration())
+        with_pages = hadoop.ParquetFileReader.open(source)
+        for block in with_pages.getFooter().getBlocks():
+            sizes += [c.getTotalUncompressedSize() / with_pages.readOffsetIndex(c).getPageCount() for c in block.getColumns()]
+        with_pages.close()
+    assert 100_000 < max(sizes) < 2 << 20
+
+
 def test_lm_scores(spark, prose, hostile):
     rows = [(k, prose(200, k)) for k in range(60)] + [(100, " ".join(reversed("zq wv kj xx yy".split() * 40))), (101, "one"), (102, "one two")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
