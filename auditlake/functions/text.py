@@ -114,8 +114,13 @@ def density(duplicated: Column | str, total: Column | str) -> Column:
     return F.when(_c(total) == 0, F.lit(0.0)).otherwise(_c(duplicated) / _c(total) * 100.0)
 
 
+def percent(part: Column | str, total: Column | str) -> Column:
+    """A count's share as the double nearest to it: the product is exact, so that only the division rounds and ties of :func:`one_decimal` are ties."""
+    return _c(part) * 100.0 / _c(total)
+
+
 def coverage_percent(covered: Column | str, total: Column | str) -> Column:
-    return F.when(_c(total) == 0, F.lit(100.0)).otherwise(_c(covered) / _c(total) * 100.0)
+    return F.when(_c(total) == 0, F.lit(100.0)).otherwise(percent(covered, total))
 
 
 def rating(errors: Column | str, warnings: Column | str) -> Column:

@@ -172,7 +172,7 @@ def block_findings(found: DataFrame) -> DataFrame:
 
 def _gate(rule: Rule, rows: DataFrame, path: str, identity: str) -> DataFrame:
     """Findings for rows (path, identity, lines, dup) whose density exceeds the rule's limit."""
-    d = X.density("dup", "lines")
+    d = F.when(F.col("lines") == 0, F.lit(0.0)).otherwise(X.percent("dup", "lines"))
     return rows.where(d > rule.limit).select(
         F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.lit(rule.message).alias("message"), F.col(path).alias("path"),
         *(F.lit(1).cast("long").alias(c) for c in ("line", "column", "column_utf16")),

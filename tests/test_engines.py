@@ -175,6 +175,14 @@ def test_coverage_resolution(spark):
     assert rows(coverage.gate(rule, coverage.resolve(report, paths)), "path", "matched") == [("a/b.py", "5/10 lines (50.0%)")]
 
 
+def test_shares_halfway_between_two_decimals(spark):
+    """23 of 80 are 28.75 exactly, but 23 / 80 * 100 isn't."""
+    rule = Rule(id="t.c", severity="error", message="m", kind="coverage", limit=35.0)
+    assert rows(coverage.gate(rule, spark.createDataFrame([("a", 80, 23)], "path string, lines_total long, lines_covered long")), "matched") == [("23/80 lines (28.8%)",)]
+    metrics = spark.createDataFrame([("a", 80, 23)], "path string, lines long, duplicated_lines long")
+    assert rows(duplication.gate(Rule(id="t.g", severity="error", message="m", kind="duplication", limit=3.0, scope="file"), metrics), "matched") == [("density 28.8% (max 3.0%)",)]
+
+
 @pytest.mark.parametrize(
     "language,path,raw,target",
     [
