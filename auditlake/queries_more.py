@@ -7,6 +7,7 @@ each row of a dimension table, and read these; all other queries run over whole
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from dataclasses import replace
 from datetime import date
@@ -36,7 +37,7 @@ ONE = "1::BIGINT"
 
 def _folder(spark: SparkSession) -> Path:
     """A new folder beside the checkpoints; on the clusters' shared folder that is a path all nodes see."""
-    out = Path(shared_dir(spark).removeprefix("file:").replace("//", "/")) / f"tree-{uuid.uuid4().hex}"
+    out = Path(re.sub(r"^file:/+", "/", shared_dir(spark))) / f"tree-{uuid.uuid4().hex}"
     out.mkdir(parents=True)
     temporary(str(out))
     return out
@@ -671,7 +672,8 @@ def streamed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming import incremental
 
     root = _folder(spark)
-    docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    # a pattern, as streams take a plain path for a folder; the table may be a file or a folder of parts
+    docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/{{documents.parquet}}")
     stream = sources.from_documents(docs).withColumn("content", F.replace("content", F.lit("Licensed under"), F.lit(f"/* {MARK} Licensed under")))
     incremental.watch_files(stream, rules(), f"{root}/out", f"{root}/state", incremental.Cache(spark, f"{root}/cache", "s")).awaitTermination()
     return spark.read.parquet(f"{root}/out").select(*FINDING_COLUMNS, "status")

@@ -235,3 +235,19 @@ def test_repeated_paths_have_positions_of_their_own(spark):
 def test_manifest(spark, tmp_path):
     (tmp_path / "m.tsv").write_text("a\t1\tNONE\twhy\nb\t2\tx.y|z.w\twhy\n")
     assert [(r["path"], r["expect"]) for r in R.read_manifest(spark, str(tmp_path / "m.tsv")).collect()] == [("a", []), ("b", ["x.y", "z.w"])]
+
+
+@pytest.mark.parametrize("parts", [False, True])
+def test_streamed_documents_as_file_and_as_folder(spark, tmp_path, monkeypatch, parts):
+    """The table may be one file or a folder of parts, and the shared folder may be named by a URL; tables beside it aren't read."""
+    from auditlake import queries, queries_more
+
+    docs = spark.createDataFrame([(k, f"Licensed under the X{k} license.", "en", "src1", 30) for k in range(4)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(2).write.parquet(str(tmp_path / ("sf/documents.parquet" if parts else "one")))
+    if not parts:
+        (tmp_path / "sf").mkdir()
+        docs.toPandas().to_parquet(tmp_path / "sf/documents.parquet")
+    docs.write.parquet(str(tmp_path / "sf/labels.parquet"))
+    monkeypatch.setattr(queries_more, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    got = queries.QUERIES["streamed_findings"](spark, str(tmp_path / "sf")).collect()
+    assert sorted((r["path"], r["status"]) for r in got) == [(f"src1/en/0000000{k}.txt", "suppressed") for k in range(4)]
