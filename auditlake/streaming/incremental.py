@@ -21,7 +21,7 @@ from ..model import FINDING_COLUMNS
 from ..operators import markers, matching, syntax
 from ..plans.scan import with_status
 from ..rulesets.loader import RuleSet
-from ..session import discard
+from ..session import checkpointed, discard
 from ..sources.files import classified
 
 VERSION = "2"
@@ -40,12 +40,21 @@ def tag(salt: str) -> Column:
     return X.scope_hash(F.lit(salt), "key", F.to_json("entries"), F.lit(salt))
 
 
-def matched_at(content: Column, line: Column, column: Column, size: Column) -> Column:
-    """``size`` characters from a line and byte column on."""
-    before = F.when(line > 1, F.length(F.call_function("substring_index", content, F.lit("\n"), (line - 1).cast("int"))) + 1).otherwise(0)
-    rest = F.substring(content, before + 1, F.length(content))
-    ahead = F.length(F.decode(F.substring(F.encode(F.substring_index(rest, "\n", 1), "UTF-8"), F.lit(1), (column - 1).cast("int")), "UTF-8"))
-    return F.substring(rest, ahead + 1, size.cast("int"))
+def matched_in(content: Column, entries: Column) -> Column:
+    """Entries with the text they matched: ``size`` characters from a line and byte column on. The content is cut into lines once for all of them."""
+
+    def cut(text: Column, e: Column) -> Column:
+        """By bytes first, as a search by characters would pass over all of a long line for each entry."""
+        some = F.substring(text.cast("binary"), e["column"].cast("int"), (e["size"] * 4).cast("int")).cast("string")
+        return F.substring(some, F.lit(1), e["size"].cast("int"))
+
+    def text(lines: Column, e: Column) -> Column:
+        inside = cut(F.get(lines, (e["line"] - 1).cast("int")), e)
+        beyond = cut(F.array_join(F.slice(lines, e["line"].cast("int"), (e["size"] + 1).cast("int")), "\n"), e)
+        return F.when(F.length(inside) == e["size"], inside).otherwise(beyond)
+
+    every = F.transform(F.array(F.split(content, "\n", -1)), lambda lines: F.transform(entries, lambda e: F.struct(*(e[c].alias(c) for c in _KEPT), text(lines, e).alias("matched"))))
+    return F.get(every, F.lit(0))
 
 
 def scan_batch(files: DataFrame, rules: RuleSet, cache: DataFrame | None = None, salt: str = "", scope: str = "scan-root", max_bytes: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
@@ -64,9 +73,9 @@ def scan_batch(files: DataFrame, rules: RuleSet, cache: DataFrame | None = None,
         scanned = fresh.select("key").join(by_key, "key", "left").select("key", F.coalesce("entries", F.array().cast(f"array<{ENTRY}>")).alias("entries"))
     else:
         scanned = fresh.select("key", F.array().cast(f"array<{ENTRY}>").alias("entries"))
-    every = scanned if known is None else known.join(k.select("key").distinct(), "key", "left_semi").unionByName(scanned)
-    found = k.join(every, "key").select("path", "content", F.explode("entries").alias("e")).select("path", "content", "e.*")
-    found = found.withColumn("matched", matched_at(F.col("content"), F.col("line"), F.col("column"), F.col("size")))
+    scanned = checkpointed(scanned)  # both results are made of it: files are scanned once
+    every = scanned if known is None else known.unionByName(scanned)
+    found = k.join(every.where(F.size("entries") > 0), "key").select("path", F.explode(matched_in(F.col("content"), F.col("entries"))).alias("e")).select("path", "e.*")
     return found.select(*FINDING_COLUMNS), scanned.withColumn("tag", tag(salt)).withColumn("day", F.current_date())
 
 
@@ -81,8 +90,12 @@ class Cache:
         p = sc._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
 
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(f"{CACHE}, part string").parquet(self.folder).drop("part") if self._exists(self.folder) else self.spark.createDataFrame([], CACHE)
+    def read(self, but: str | None = None) -> DataFrame:
+        """All rows, or those of all parts but one."""
+        if not self._exists(self.folder):
+            return self.spark.createDataFrame([], CACHE)
+        rows = self.spark.read.schema(f"{CACHE}, part string").parquet(self.folder)
+        return (rows if but is None else rows.where(F.col("part") != but)).drop("part")
 
     def write(self, rows: DataFrame, part: str) -> None:
         """Adds rows under a name of their own; the same name again replaces them, so a batch may be run again."""
@@ -102,7 +115,7 @@ class Cache:
 
 def scan(files: DataFrame, rules: RuleSet, cache: Cache, part: str, scope: str = "scan-root") -> DataFrame:
     """Findings of the files, of which those that the cache knows aren't scanned; what was scanned is added to it."""
-    found, rows = scan_batch(files, rules, cache.read(), cache.salt, scope)
+    found, rows = scan_batch(files, rules, cache.read(part), cache.salt, scope)  # a part that is replaced isn't read
     cache.write(rows, part)
     return found
 

@@ -251,3 +251,30 @@ def test_streamed_documents_as_file_and_as_folder(spark, tmp_path, monkeypatch,
     monkeypatch.setattr(queries_more, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
     got = queries.QUERIES["streamed_findings"](spark, str(tmp_path / "sf")).collect()
     assert sorted((r["path"], r["status"]) for r in got) == [(f"src1/en/0000000{k}.txt", "suppressed") for k in range(4)]
+
+
+def test_files_are_scanned_once_for_findings_and_cache(spark, files, tmp_path, monkeypatch):
+    log, real = tmp_path / "log", matching.findings
+
+    def logged(some, rules, carry=()):
+        def run(batches):
+            for b in batches:
+                with log.open("a") as f:
+                    f.write(f"{b.num_rows} ")
+                yield b
+
+        d = real(some, rules, carry)
+        return d.mapInArrow(run, d.schema)
+
+    monkeypatch.setattr(matching, "findings", logged)
+    f, store = files({"a": "needle\nneedle", "b": "é needle"}), incremental.Cache(spark, str(tmp_path / "cache"), "s")
+    assert incremental.scan(f, RULES, store, "0").count() == 3 and sum(map(int, log.read_text().split())) == 3
+    assert incremental.scan(f, RULES, store, "0").count() == 3 and store.read().count() == 2  # a batch that is run again replaces its part
+
+
+def test_matches_are_read_from_files_again(spark):
+    places = [(1, 9, 6), (1, 3, 5), (1, 9, 13), (2, 1, 8), (2, 7, 5)]
+    entries = [tuple({"line": a, "column": b, "size": n, "column_utf16": 1}.get(c, "") for c in [*incremental._KEPT, "size"]) for a, b, n in places]
+    f = spark.createDataFrame([("é😀x needle 😀\nneedle\n\nend", entries)], f"content string, entries array<{incremental.ENTRY}>")
+    got = f.select(incremental.matched_in(F.col("content"), F.col("entries")).alias("e")).first()["e"]
+    assert [e["matched"] for e in got] == ["needle", "😀x ne", "needle 😀\nneed", "needle\n\n", "\n\nend"]
