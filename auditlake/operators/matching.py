@@ -26,6 +26,7 @@ from ..model import FINDING, FINDING_COLUMNS
 from ..rulesets.loader import Rule, compiled, java_pattern
 
 _SPACE = re.compile(r"\s+")
+_SIGNS = "_-.:/~0123456789"  # rare in prose
 
 
 def applies(rule: Rule, path: Column | str = "path", language: Column | str = "language") -> Column:
@@ -50,6 +51,20 @@ def has_keyword(rule: Rule, content: Column | str = "content") -> Column:
     return functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(k)) for k in rule.keywords)) if rule.keywords else F.lit(True)
 
 
+def can_match(rules: list[Rule]) -> Column:
+    """Whether a file is in the envelope of some rule and holds one of its keywords. The content is lowered once for all rules of an envelope."""
+    envelopes: dict[tuple, list[Rule]] = {}
+    for r in rules:
+        envelopes.setdefault((r.languages, r.include, r.exclude), []).append(r)
+    out = F.lit(False)
+    for some in envelopes.values():
+        words = sorted({w for r in some for w in r.keywords}, key=len)
+        least = [w for k, w in enumerate(words) if not any(v in w for v in words[:k])]
+        held = F.exists(F.array(F.lower("content")), lambda low: F.exists(F.array(*map(F.lit, least)), lambda w: F.contains(low, w)))  # noqa: B023
+        out = out | (applies(some[0]) & held if all(r.keywords for r in some) else applies(some[0]))
+    return out
+
+
 def is_native(rule: Rule) -> bool:
     """Whether a rule runs inside the JVM: whole matches only, and never an empty one."""
     return rule.kind == "regex" and rule.group == 0 and compiled(rule.pattern).search("") is None and not re.search(r"\\[bBA]|\^|\$|\\x\{", rule.pattern)
@@ -160,12 +175,26 @@ def _in_envelope(rule: Rule, path: str, language: str | None) -> bool:
     return not any(_glob(g).match(path) for g in (*rule.exclude, *rule.allow_paths))
 
 
-def file_findings(rules: list[Rule], path: str, language: str | None, content: str) -> list[tuple]:
-    """Findings of one file in order of offset, then of the rules."""
-    low, found = content.lower(), []
+def keyword_tests(rules: list[Rule]) -> list[tuple[str, str | None, tuple[int, ...]]]:
+    """(text, text that has to be there first, numbers of the rules it lets pass) for all keywords, short ones first: a keyword that holds another, or a rare sign, needn't be looked for without it."""
+    by: dict[str, list[int]] = {c: [] for c in _SIGNS}
     for k, rule in enumerate(rules):
-        if _in_envelope(rule, path, language) and (not rule.keywords or any(w in low for w in rule.keywords)):
-            found += [(a, k, content[a:b]) for a, b in spans(rule, content)]
+        for w in rule.keywords or ("",):
+            by.setdefault(w, []).append(k)
+    words = sorted(by, key=len)
+    return [(w, max((v for v in words if v and v != w and v in w), key=len, default=None), tuple(by[w])) for w in words]
+
+
+def file_findings(rules: list[Rule], path: str, language: str | None, content: str, tests: list | None = None) -> list[tuple]:
+    """Findings of one file in order of offset, then of the rules; ``tests`` are the rules' :func:`keyword_tests`."""
+    low, found, there, some = content.lower(), [], set(), set()
+    for word, needed, ks in keyword_tests(rules) if tests is None else tests:
+        if (needed is None or needed in there) and word in low:
+            there.add(word)
+            some.update(ks)
+    for k in sorted(some):
+        if _in_envelope(rules[k], path, language):
+            found += [(a, k, content[a:b]) for a, b in spans(rules[k], content)]
     found.sort(key=lambda x: x[:2])
     out, seen = [], Counter()
     for a, k, matched in found:
@@ -197,9 +226,9 @@ def by_file(files: DataFrame, find: Callable[[str, str | None, str], list[tuple]
 
 def python_findings(files: DataFrame, rules: list[Rule], carry: tuple[str, ...] = ()) -> DataFrame:
     """Findings of rules that need match positions, in one pass over the files that can have any."""
-    some = functools.reduce(lambda a, b: a | b, (applies(r) & has_keyword(r) for r in rules)) if rules else F.lit(False)
-    held = with_language(files).where(F.col("path").isNotNull() & F.col("content").isNotNull()).where(some)
-    return by_file(held, lambda path, language, content: file_findings(rules, path, language, content), carry)
+    held = with_language(files).where(F.col("path").isNotNull() & F.col("content").isNotNull()).where(can_match(rules))
+    tests = keyword_tests(rules)
+    return by_file(held, lambda path, language, content: file_findings(rules, path, language, content, tests), carry)
 
 
 def findings(files: DataFrame, rules: list[Rule], carry: tuple[str, ...] = ()) -> DataFrame:

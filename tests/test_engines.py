@@ -420,3 +420,22 @@ def test_harness(spark, files):
 def test_redact_flag():
     rules = load_text("version: 1\nrules:\n  - {id: a.b, severity: info, message: m, regex: {pattern: x, redact: true}}\n  - {id: a.c, severity: info, message: m, regex: {pattern: x}}\n")
     assert rules.redacted() == ["a.b"]
+
+
+def test_texts_are_lowered_once_for_all_rules(spark, files):
+    some = default_rules().rules
+    plan = files({"a": "x"}).where(matching.can_match(some))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(content") == 1
+
+
+def test_keywords_within_keywords(spark, files):
+    """A keyword is looked for only where those within it are; a rule without any looks at all files."""
+    secret = lambda k, *words, **more: Rule(id=f"t.{k}", severity="error", message="m", kind="secret", pattern=r"(v\w+)", group=1, keywords=words, **more)
+    some = [secret("a", "pass"), secret("b", "password"), secret("c", "_p", "xpassword"), secret("d"), secret("e", "ss", languages=("python",))]
+    texts = {"1": "v1 PASS", "2.py": "v2 passWord", "3": "v3 _p", "4": "v4 xpassword", "5": "v5", "6": "pass"}
+    found = rows(matching.findings(files(texts), some), "matched", "rule_id")
+    assert found == [("v1", "t.a"), ("v1", "t.d"), *(("v2", f"t.{k}") for k in "abde"), ("v3", "t.c"), ("v3", "t.d"), *(("v4", f"t.{k}") for k in "abcd"), ("v5", "t.d")]
+    few = files(texts).withColumn("language", F.lit("python")).where(matching.can_match(some[:2] + some[4:]))
+    assert rows(few, "path") == [("1",), ("2.py",), ("4",), ("6",)]
+    held = files(texts).where(matching.can_match(some[2:3]))
+    assert rows(held, "path") == [("3",), ("4",)]
