@@ -24,6 +24,7 @@ from ..functions.languages import detect
 from ..functions.paths import matches_any, python_glob
 from ..model import FINDING, FINDING_COLUMNS
 from ..rulesets.loader import Rule, compiled, java_pattern
+from ..session import spread
 
 _SPACE = re.compile(r"\s+")
 _SIGNS = "_-.:/~0123456789"  # rare in prose
@@ -209,7 +210,7 @@ _ARROW = pa.schema([(f.name, pa.int64() if f.dataType.simpleString() == "bigint"
 
 def by_file(files: DataFrame, find: Callable[[str, str | None, str], list[tuple]], carry: tuple[str, ...] = ()) -> DataFrame:
     """The findings that ``find(path, language, content)`` gives for each file, over Arrow batches; columns named in ``carry`` are handed on."""
-    slim = files.select("path", "language", "content", *carry)
+    slim = spread(files.select("path", "language", "content", *carry))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -27,7 +27,7 @@ from .queries import _ROLLED, _SCANNED, _hits
 from .rulesets import loader
 from .rulesets.convert import convert
 from .rulesets.loader import Rule
-from .session import shared_dir, table, temporary
+from .session import shared_dir, spread, table, temporary
 from .sinks import reports as sinks
 from .sources import files as sources
 from .sources import reports
@@ -445,7 +445,7 @@ def _sources_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     end = F.when(k % 3 == 0, ".py").when(k % 3 == 1, ".js").otherwise("")
     body = F.concat(F.when(k % 3 == 2, "#!/usr/bin/env python\n").otherwise(""), F.lit("import os\n\n\nclass C(Base):\n    def run(self):\n        return eval(os.name)  # "), F.repeat(F.lit("x"), (k % 7 * 40).cast("int")), F.lit("\n"), F.when(k % 10 == 9, "def (:\n").otherwise(""))
-    return table(spark, sf_dir, "customer").select(F.concat(F.lit("src/"), k.cast("string"), end).alias("path"), body.alias("content"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select(F.concat(F.lit("src/"), k.cast("string"), end).alias("path"), body.alias("content"))
 
 
 _EVAL = Rule(id="code.eval", severity="error", message="eval", kind="ast", languages=("python",), queries=(("python", '(call function: (identifier) @_f (#eq? @_f "eval") arguments: (argument_list (_) @report))'),))

@@ -29,6 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in partitions for all cores where it is read in fewer, as small tables with much work on each row are; plans with exchanges are left to Spark."""
+    q, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    if q.executedPlan().nodeName() == "AdaptiveSparkPlan" or q.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(3 * cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` where set, else (tests, one machine) one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -439,3 +439,14 @@ def test_keywords_within_keywords(spark, files):
     assert rows(few, "path") == [("1",), ("2.py",), ("4",), ("6",)]
     held = files(texts).where(matching.can_match(some[2:3]))
     assert rows(held, "path") == [("3",), ("4",)]
+
+
+def test_files_of_one_partition_are_spread(spark, files):
+    f = files({f"{k}.py": f"eval({k % 2})" for k in range(64)} | {"n/0.py": "eval(0)"}).coalesce(1)
+    rule = lambda k, **more: Rule(id=f"t.{k}", severity="error", message="m", kind="ast", languages=("python",), queries=(("python", "(call) @report"),), **more)
+    found = syntax.findings(f, [rule("a", exclude=("n/*",)), rule("b", include=("n/*",))])
+    assert found.rdd.getNumPartitions() > 1
+    # copies of a text are told apart by path and rules
+    assert rows(found, "path", "rule_id", "matched") == sorted([(f"{k}.py", "t.a", f"eval({k % 2})") for k in range(64)] + [("n/0.py", "t.b", "eval(0)")])
+    secret = Rule(id="t.s", severity="error", message="m", kind="secret", pattern=r"eval\((\d)", group=1, keywords=("eval",))
+    assert matching.findings(f, [secret]).rdd.getNumPartitions() > 1
