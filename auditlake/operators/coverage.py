@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..model import FINDING_COLUMNS
 from ..rulesets.loader import Rule
+from ..session import by_size
 from .matching import applies
 
 
-def rolled_up(hits: DataFrame, summary: DataFrame | None = None) -> DataFrame:
-    """(path, lines_total, lines_covered) from (path, line, hits): a line counts as covered if any record hit it. ``summary`` (path, found, hit) wins where it has numbers; hit is at most found."""
-    by_line = hits.groupBy("path", "line").agg(F.max("hits").alias("hits"))
-    out = by_line.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("hits") > 0).alias("c"))
-    if summary is not None:
-        best = summary.groupBy("path").agg(F.max("found").alias("found"), F.max("hit").alias("hit"))
-        out = out.join(best, "path", "full_outer").select("path", F.coalesce("found", "n", F.lit(0)).alias("n"), F.coalesce("hit", "c", F.lit(0)).alias("c"))
+def rolled_up(hits: DataFrame) -> DataFrame:
+    """(path, lines_total, lines_covered) from (path, line, hits): a line counts as covered if any record hit it."""
+    none = F.lit(None).cast("long")
+    return summed_up(hits.select("path", "line", "hits", none.alias("found"), none.alias("hit"), F.lit(True).alias("measured")))
+
+
+def summed_up(rows: DataFrame) -> DataFrame:
+    """The same from lines (``measured``) and summaries (path, found, hit) in one table; summaries win where they have numbers; hit is at most found."""
+    most = [F.max(c).alias(c) for c in ("hits", "found", "hit", "measured")]
+    by_line = by_size(rows, "path").groupBy("path", "line").agg(*most)
+    out = by_line.groupBy("path").agg(F.count_if("measured").alias("n"), F.count_if(F.col("hits") > 0).alias("c"), F.max("found").alias("found"), F.max("hit").alias("hit"))
+    out = out.select("path", F.coalesce("found", "n").alias("n"), F.coalesce("hit", "c").alias("c"))
     return out.select("path", F.col("n").cast("long").alias("lines_total"), F.least("n", "c").cast("long").alias("lines_covered"))
 
 

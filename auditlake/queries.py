@@ -17,7 +17,7 @@ from .model import FINDING_COLUMNS
 from .operators import baseline, boundary, coverage, duplication, facts, markers, matching, syntax
 from .plans import scan, views
 from .rulesets.loader import Rule, RuleSet, default_rules, load_text
-from .session import checkpointed, prepare, table
+from .session import by_size, checkpointed, prepare, table
 from .sinks import reports as sinks
 from .sources import files as sources
 from .sources import reports
@@ -600,9 +600,9 @@ def coverage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_ROLLED} SELECT path, lines_total, lines_covered FROM roll")
 def coverage_lcov(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same report, written as LCOV lines and read again."""
-    rows = _hits(spark, sf_dir).groupBy("path").agg(F.collect_list(F.concat(F.lit("DA:"), F.col("line").cast("string"), F.lit(","), F.col("hits").cast("string"))).alias("da"))
+    rows = by_size(_hits(spark, sf_dir), "path").groupBy("path").agg(F.collect_list(F.concat(F.lit("DA:"), F.col("line").cast("string"), F.lit(","), F.col("hits").cast("string"))).alias("da"))
     text = F.concat(F.array(F.lit("TN:"), F.concat(F.lit("SF:"), F.translate("path", "/", "\\"))), F.col("da"), F.array(F.lit("end_of_record"), F.lit("DA:1,1")))
-    return reports.lcov(rows.select(F.col("path").alias("file"), F.posexplode(text).alias("n", "value")))
+    return reports.lcov(rows.select(text.alias("lines")))
 
 
 _SCANNED = """scanned AS (SELECT DISTINCT CASE WHEN s_suppkey % 3 = 0 THEN 'lib/' ELSE 'app/lib/' END || (s_suppkey // 10) || '/' || s_suppkey || '.py' AS path FROM supplier),

@@ -37,6 +37,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(3 * cores)
 
 
+def by_size(df: DataFrame, *keys: str, megabytes: int = 4) -> DataFrame:
+    """``df`` by these columns, in as many partitions as the tables and files it is made of have pieces of ``megabytes``: a task's share doesn't grow with them. Left as it is where their size isn't known."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    if size > 1 << 50:
+        return df
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // (megabytes << 20))), *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` where set, else (tests, one machine) one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)

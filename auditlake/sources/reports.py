@@ -5,36 +5,39 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import normalized
 from ..model import BASELINE, COVERAGE, FINDING
-from ..operators.coverage import rolled_up
+from ..operators.coverage import rolled_up, summed_up
 
 
 class ReportError(ValueError):
     pass
 
 
-def lcov(lines: DataFrame) -> DataFrame:
-    """Coverage from (file, n, value): the lines of LCOV files with their numbers. A record runs from ``SF:`` to ``end_of_record``; records of one path are joined."""
-    order = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    v = F.trim("value")
-    opened = F.when(F.startswith(v, F.lit("SF:")), F.struct(normalized(F.trim(F.substring(v, 4, 1 << 30))).alias("p"))).when(v == "end_of_record", F.struct(F.lit(None).cast("string").alias("p")))
-    inside = lines.withColumn("v", v).withColumn("path", F.last(opened, ignorenulls=True).over(order)["p"]).where("path IS NOT NULL AND path <> ''")
-    da = F.regexp_extract("v", r"^DA:\s*(\d+)\s*,\s*(\d+)", 1)
-    hits = inside.where(da != "").select("path", da.cast("long").alias("line"), F.regexp_extract("v", r"^DA:\s*\d+\s*,\s*(\d+)", 1).cast("long").alias("hits"))
-    total = lambda k: F.when(F.col("v").rlike(rf"^{k}:\s*\d+"), F.regexp_extract("v", rf"^{k}:\s*(\d+)", 1).cast("long"))
-    summary = inside.select("path", total("LF").alias("found"), total("LH").alias("hit"))
-    return rolled_up(hits, summary)
+def lcov(files: DataFrame) -> DataFrame:
+    """Coverage from (lines): the lines of each LCOV file. A record runs from ``SF:`` to ``end_of_record``; records of one path are joined. A file's lines are cut into records where they are, without a sort."""
+    trimmed = files.select(F.transform("lines", lambda x: F.trim(x)).alias("t"))
+    starts = F.filter(F.transform("t", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: F.startswith(s["x"], F.lit("SF:")) | (s["x"] == "end_of_record"))
+    marked = trimmed.select("t", starts.alias("marks"))
+    end = lambda k: F.coalesce(F.get("marks", k + 1)["i"], F.size("t"))
+    records = F.transform("marks", lambda m, k: F.struct(m["x"].alias("x"), F.slice("t", m["i"] + 2, end(k) - m["i"] - 1).alias("of")))
+    opened = marked.select(F.explode(F.filter(records, lambda r: r["x"] != "end_of_record")).alias("r")).select(normalized(F.trim(F.substring("r.x", 4, 1 << 30))).alias("path"), F.col("r.of").alias("of")).where("path <> ''")
+    none = F.lit(None).cast("long")
+    number = lambda x, pattern, k=1: F.regexp_extract(x, pattern, k).cast("long")
+    total = lambda name: F.array_max(F.transform(F.filter("of", lambda x: x.rlike(rf"^{name}:\s*\d+")), lambda x: number(x, rf"^{name}:\s*(\d+)")))
+    row = lambda line, hits, found, hit, measured: F.struct(line.alias("line"), hits.alias("hits"), found.alias("found"), hit.alias("hit"), F.lit(measured).alias("measured"))
+    da = r"^DA:\s*(\d+)\s*,\s*(\d+)"
+    measured = F.transform(F.filter("of", lambda x: x.rlike(da)), lambda x: row(number(x, da), number(x, da, 2), none, none, True))
+    return summed_up(opened.select("path", F.explode(F.concat(measured, F.array(row(none, none, total("LF"), total("LH"), False)))).alias("r")).select("path", "r.*"))
 
 
 def read_lcov(spark: SparkSession, path: str) -> DataFrame:
-    """An LCOV file; its lines are numbered where they are read, so that their order is the file's."""
-    text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return lcov(text.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("n", "value")))
+    """An LCOV file, read whole, so that the order of its lines is the file's."""
+    return lcov(spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("lines")))
 
 
 def read_cobertura(spark: SparkSession, path: str) -> DataFrame:

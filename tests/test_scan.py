@@ -278,3 +278,20 @@ def test_matches_are_read_from_files_again(spark):
     f = spark.createDataFrame([("é😀x needle 😀\nneedle\n\nend", entries)], f"content string, entries array<{incremental.ENTRY}>")
     got = f.select(incremental.matched_in(F.col("content"), F.col("entries")).alias("e")).first()["e"]
     assert [e["matched"] for e in got] == ["needle", "😀x ne", "needle 😀\nneed", "needle\n\n", "\n\nend"]
+
+
+def test_lcov_records_are_cut_in_place(spark):
+    texts = ["DA:1,1|SF: a\\b |DA:1,0|DA: 2 , 3|DA:x|SF:c|LF:9|LH:4|LF:7|DA:5,0|end_of_record|DA:8,8|SF:|DA:1,1|end_of_record", "SF:a/b|DA:1,2|  end_of_record |SF:d|DA:4,0", "", "TN:"]
+    got = R.lcov(spark.createDataFrame([(t.split("|"),) for t in texts], "lines array<string>"))
+    assert sorted(map(tuple, got.collect())) == [("a/b", 2, 2), ("c", 9, 4), ("d", 1, 0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and "Join" not in plan
+
+
+def test_tasks_grow_in_number_with_the_input(spark, tmp_path):
+    from auditlake.session import by_size
+
+    spark.range(1 << 20).select("id", F.rand(1).alias("x")).write.parquet(str(tmp_path / "t"))
+    d = spark.read.parquet(str(tmp_path / "t"))
+    assert by_size(d, "id", megabytes=1).rdd.getNumPartitions() > 8 and by_size(d, "id", megabytes=64).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert by_size(d, "id", megabytes=1).count() == 1 << 20
