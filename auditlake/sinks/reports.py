@@ -1,22 +1,25 @@
 """Reports: JSON, SARIF 2.1.0, text, baselines and parity tables.
 
-A report is one document, so its rows come to the driver; the tables behind it stay distributed and can be written by
-``report.rows().write`` at any size.
+A report is one document. :func:`json_report` and the others that give a text make it on the driver, for reports that fit there;
+:func:`write_json_report` writes the same text at any size, and the tables behind it can be written by ``report.rows().write``.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..model import FINDING_COLUMNS, ORDER, RANK
 from ..plans.scan import Report, fails
 from ..rulesets.loader import RESERVED, RuleSet
+from ..session import discard, shared_dir, temporary
 
 SCHEMA_VERSION = "1.2"
 REDACTED = "<redacted>"
@@ -30,23 +33,21 @@ def redacted(findings: DataFrame, ids: list[str]) -> DataFrame:
     return findings.withColumn("matched", shown)
 
 
-def _json_rows(d: DataFrame, ids: list[str], least: str | None) -> list[dict]:
+def _json_findings(d: DataFrame, ids: list[str], least: str | None) -> DataFrame:
     if least:
         d = d.where(X.severity_rank("severity") >= RANK[least])
-    keys = [c for c in FINDING_COLUMNS if c != "column_utf16"]
-    return [{k: r[k] for k in keys} for r in redacted(d, ids).orderBy(*ORDER).collect()]
+    return redacted(d, ids).orderBy(*ORDER).select(*(c for c in FINDING_COLUMNS if c != "column_utf16"))
 
 
-def json_report(report: Report, version: str = "0.1.0", least: str | None = None) -> str:
+def _drop(d: dict) -> dict:
+    return {k: v for k, v in d.items() if v is not None}
+
+
+def _document(report: Report, version: str, least: str | None, findings: list, baselined: list, suppressed: list, skipped: list, files: dict) -> str:
     t = report.totals.first()
-    drop = lambda d: {k: v for k, v in d.items() if v is not None}
     out = {
-        "version": version, "findings": _json_rows(report.findings, report.redacted, least), "baselined": _json_rows(report.baselined, report.redacted, least),
-        "suppressed": _json_rows(report.suppressed, report.redacted, least), "skipped": [r.asDict() for r in report.skipped.orderBy("path").collect()], "schema_version": SCHEMA_VERSION,
-        "metrics": {
-            "files": {r["path"]: drop({k: r[k] for k in ("lines", "code_lines", "duplicated_lines")}) for r in report.metrics.orderBy("path").collect()},
-            "totals": drop({"lines": t["lines"], "code_lines": t["code_lines"], "duplicated_lines": t["duplicated_lines"], "duplication_density": t["duplication_density"]}),
-        },
+        "version": version, "findings": findings, "baselined": baselined, "suppressed": suppressed, "skipped": skipped, "schema_version": SCHEMA_VERSION,
+        "metrics": {"files": files, "totals": _drop({"lines": t["lines"], "code_lines": t["code_lines"], "duplicated_lines": t["duplicated_lines"], "duplication_density": t["duplication_density"]})},
         "anchor": report.anchor, "ignored": {"files": report.ignored[0], "directories": report.ignored[1]}, "warnings": report.warnings,
     }
     if least:
@@ -54,6 +55,131 @@ def json_report(report: Report, version: str = "0.1.0", least: str | None = None
     return json.dumps(out, indent=2, ensure_ascii=False)
 
 
+_COUNTS = ("lines", "code_lines", "duplicated_lines")
+
+
+def json_report(report: Report, version: str = "0.1.0", least: str | None = None) -> str:
+    lists = [[r.asDict() for r in _json_findings(d, report.redacted, least).collect()] for d in (report.findings, report.baselined, report.suppressed)]
+    skipped = [r.asDict() for r in report.skipped.orderBy("path").collect()]
+    return _document(report, version, least, *lists, skipped, {r["path"]: _drop({k: r[k] for k in _COUNTS}) for r in report.metrics.orderBy("path").collect()})
+
+
+def _texts(rows: DataFrame, indent: int, key: str | None = None) -> DataFrame:
+    """(value): each row as an entry of an indented JSON list, or of an object under its ``key``, with the comma behind it."""
+    pad = " " * indent
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                name = f"{json.dumps(r.pop(key), ensure_ascii=False)}: " if key else ""
+                text = json.dumps(_drop(r) if key else r, indent=2, ensure_ascii=False)
+                out.append(pad + name + text.replace("\n", "\n" + pad) + ",")
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+
+    return rows.mapInArrow(run, "value string")
+
+
+def ordered_bytes(rows: DataFrame, but: int = 1) -> Iterator[bytes]:
+    """The lines of (value) in the order of its partitions, without the last ``but`` bytes, a piece at a time: executors write them to the shared folder."""
+    import pyarrow.fs as pafs
+
+    folder = f"{shared_dir(rows.sparkSession).rstrip('/')}/text-{uuid.uuid4().hex}"
+    rows.write.option("compression", "none").text(temporary(folder))
+    fs, at = pafs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (pafs.LocalFileSystem(), folder)
+    held = b""
+    for name in sorted(f.path for f in fs.get_file_info(pafs.FileSelector(at)) if f.is_file and f.base_name.startswith("part-")):
+        with fs.open_input_stream(name) as part:
+            while piece := part.read(1 << 20):
+                held += piece
+                if len(held) > but:
+                    yield held[: len(held) - but]
+                    held = held[len(held) - but :]
+    discard(rows.sparkSession, folder)
+
+
+def write_json_report(report: Report, path: str | Path, version: str = "0.1.0", least: str | None = None) -> dict[str, tuple[int, int]]:
+    """The text of :func:`json_report` as a file, of any size: executors write the entries of its lists, which are joined a piece at a time. Where (bytes) the entries of each list are."""
+    mark = uuid.uuid4().hex
+    names = ("findings", "baselined", "suppressed", "skipped", "files")
+    lists = [_texts(_json_findings(d, report.redacted, least), 4) for d in (report.findings, report.baselined, report.suppressed)]
+    lists.append(_texts(report.skipped.select("path", "reason").orderBy("path"), 4))
+    lists.append(_texts(report.metrics.select("path", *_COUNTS).dropDuplicates(["path"]).orderBy("path"), 6, "path"))
+    rest = _document(report, version, least, *([f"{mark}{n}"] for n in names[:4]), {f"{mark}files": 0})
+    where = {}
+    with open(f"{path}.part", "wb") as out:
+        for name, rows in zip(names, lists):
+            own = f'"{mark}{name}"' + (": 0" if name == "files" else "")
+            head, _, rest = rest.partition(own)
+            out.write(head.rstrip().encode())
+            start = out.tell() + 1
+            for k, piece in enumerate(ordered_bytes(rows, 2)):
+                out.write(piece if k else b"\n" + piece)
+            where[name] = (start, max(start, out.tell()))
+            rest = rest if out.tell() > start else rest.lstrip()
+        out.write(rest.encode())
+    os.replace(f"{path}.part", path)
+    return where
+
+
+def json_entries(spark: SparkSession, path: str | Path, where: tuple[int, int], indent: int = 4, piece: int = 16 << 20) -> DataFrame:
+    """(value): the entries of a list of such a file, in order, read by executors in pieces of the file, which all see."""
+    path, (start, end) = str(path), where
+    pieces = spark.range(0, -(-(end - start) // piece), 1, max(1, -(-(end - start) // piece)))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                for some in _pieces(path, start + k * piece, min(end, start + (k + 1) * piece), start, indent):
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["value"])
+
+    return pieces.mapInArrow(run, "value string")
+
+
+def json_outline(path: str | Path, where: dict[str, tuple[int, int]]) -> dict:
+    """Such a file without the entries of its lists."""
+    out, at = b"", 0
+    with open(path, "rb") as f:
+        for start, end in [*where.values(), (os.path.getsize(path), 0)]:
+            f.seek(at)
+            out += f.read(start - at)
+            at = end
+    return json.loads(out)
+
+
+def _pieces(path: str, a: int, b: int, start: int, indent: int, most: int = 2000) -> Iterator[list[str]]:
+    """Lists of the entries that begin from byte ``a`` on and before ``b``; one that goes on behind is read to its end."""
+    pad = b" " * indent
+    with open(path, "rb") as f:
+        f.seek(a - (a > start))
+        if a > start:
+            f.readline()
+        some, entry, at = [], [], f.tell()
+        while entry or at < b:
+            line = f.readline()
+            at += len(line)
+            inner = line[indent : indent + 1] if line.startswith(pad) else b""
+            if inner in (b"{", b'"'):
+                entry = [line]
+            elif inner == b" ":
+                entry += [line] * bool(entry)  # else it is of an entry that began before
+            elif inner == b"}":
+                if entry:
+                    some.append(b"".join([*entry, line]).decode().strip().rstrip(","))
+                if len(some) == most:
+                    yield some
+                    some = []
+                entry = []
+            else:
+                break
+        if some:
+            yield some
+
+
 def write_json_lines(report: Report, folder: str) -> None:
     """A report of any size: findings with their status, metrics and skipped files as JSON lines, which executors write."""
     redacted(report.rows(), report.redacted).orderBy("status", *ORDER).write.mode("overwrite").json(f"{folder}/findings")

@@ -295,3 +295,23 @@ def test_tasks_grow_in_number_with_the_input(spark, tmp_path):
     d = spark.read.parquet(str(tmp_path / "t"))
     assert by_size(d, "id", megabytes=1).rdd.getNumPartitions() > 8 and by_size(d, "id", megabytes=64).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert by_size(d, "id", megabytes=1).count() == 1 << 20
+
+
+def test_json_report_as_a_file(spark, report, files, tmp_path):
+    """The file is the text that the driver would make; its entries are read by pieces of any size."""
+    clean = scan.Scanner(spark, RULES).scan(files({"é\n{ \"x.txt": "nothing"}))
+    for k, (some, least) in enumerate([(report, None), (report, "error"), (clean, None)]):
+        p = tmp_path / f"{k}.json"
+        where = sinks.write_json_report(some, p, least=least)
+        text = sinks.json_report(some, least=least)
+        assert p.read_text(encoding="utf-8") == text
+        d = json.loads(text)
+        for name, (start, end) in where.items():
+            for piece in (9, 1 << 20):
+                got = [r["value"] for r in sinks.json_entries(spark, p, (start, end), 6 if name == "files" else 4, max(piece, (end - start) // 9 + 1)).collect()]
+                if name == "files":
+                    assert json.loads("{" + ",".join(got) + "}") == d["metrics"]["files"] and len(got) == len(d["metrics"]["files"])
+                else:
+                    assert [json.loads(x) for x in got] == d[name]
+        rest = sinks.json_outline(p, where)
+        assert rest["findings"] == rest["skipped"] == [] and rest["metrics"] == {**d["metrics"], "files": {}}
