@@ -347,11 +347,14 @@ def baseline_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {findings_sql()} SELECT rule_id, path, line, \"column\", CASE WHEN rule_id = 'text.hex-token' THEN '<redacted>' ELSE matched END AS matched, fingerprint, 'new' AS status FROM found WHERE severity <> 'info'")
 def report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON report of all but infos, written and read again."""
+    """A JSON report of all but infos, written and read again by executors."""
+    import functools
+
     report = scan.Scanner(spark, rules()).scan(_files(spark, sf_dir))
     path = _folder(spark) / "report.json"
-    sinks.write_atomically(path, sinks.json_report(report, least="warning"))
-    return reports.read_report(spark, str(path))[0].select("rule_id", "path", "line", "column", "matched", "fingerprint", "status")
+    where = sinks.write_json_report(report, path, least="warning")
+    parts = [reports.findings_of(sinks.json_entries(spark, path, where[k]), status) for k, status in (("findings", "new"), ("baselined", "baselined"), ("suppressed", "suppressed"))]
+    return functools.reduce(DataFrame.unionByName, parts).select("rule_id", "path", "line", "column", "matched", "fingerprint", "status")
 
 
 @query(f"WITH {NATIONS} SELECT r || '/' || n AS path, k::BIGINT AS line, CASE k % 3 WHEN 0 THEN [] WHEN 1 THEN ['a.' || k] ELSE ['a.' || k, 'b.' || k] END AS expect FROM nat")

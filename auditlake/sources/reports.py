@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,6 +89,26 @@ def read_baseline(spark: SparkSession, path: str, explicit: bool = False) -> Dat
     return spark.createDataFrame(rows, BASELINE)
 
 
+def _finding(f: dict, status: str, old: bool = False) -> tuple:
+    matched = f.get("matched", "")
+    if old and f.get("rule_id") != "metrics.duplicate-block":
+        matched = "<redacted>"
+    return f.get("rule_id"), f.get("severity"), f.get("message"), f.get("path"), f.get("line"), f.get("column"), f.get("column_utf16", f.get("column")), matched, f.get("fingerprint"), status
+
+
+def findings_of(entries: DataFrame, status: str) -> DataFrame:
+    """Findings with ``status`` from (value): entries of a report of our own, read by executors, so there may be any number."""
+    schema = T.StructType([*FINDING.fields, T.StructField("status", T.StringType())])
+    arrow = [pa.int64() if f.dataType == T.LongType() else pa.string() for f in schema]
+
+    def run(batches):
+        for b in batches:
+            rows = [_finding(json.loads(x), status) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(arrow)], names=schema.names)
+
+    return entries.mapInArrow(run, schema)
+
+
 def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """Findings with ``status`` from a JSON report of version 1.x, and its other parts; unknown keys and missing lists are accepted. Before 1.2, match text is withheld but for duplicate blocks."""
     try:
@@ -104,10 +125,7 @@ def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     rows = []
     for key, status in (("findings", "new"), ("baselined", "baselined"), ("suppressed", "suppressed")):
         for f in data.get(key) or []:
-            matched = f.get("matched", "")
-            if old and f.get("rule_id") != "metrics.duplicate-block":
-                matched = "<redacted>"
-            rows.append((f.get("rule_id"), f.get("severity"), f.get("message"), f.get("path"), f.get("line"), f.get("column"), f.get("column_utf16", f.get("column")), matched, f.get("fingerprint"), status))
+            rows.append(_finding(f, status, old))
     return spark.createDataFrame(rows, T.StructType([*FINDING.fields, T.StructField("status", T.StringType())])), {k: v for k, v in data.items() if k not in ("findings", "baselined", "suppressed")}
 
 

@@ -315,3 +315,5 @@ def test_json_report_as_a_file(spark, report, files, tmp_path):
                     assert [json.loads(x) for x in got] == d[name]
         rest = sinks.json_outline(p, where)
         assert rest["findings"] == rest["skipped"] == [] and rest["metrics"] == {**d["metrics"], "files": {}}
+        read = R.read_report(spark, str(p))[0].where("status = 'new'").orderBy("path", "line", "rule_id").collect()
+        assert R.findings_of(sinks.json_entries(spark, p, where["findings"]), "new").orderBy("path", "line", "rule_id").collect() == read
